@@ -7,6 +7,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from kgloom import vocab as V
 from kgloom.functions import text as T
+from kgloom.functions.arrays import explode_rows
 
 
 def window_sizes(max_tokens: int, overlap: int) -> tuple[int, int]:
@@ -28,23 +29,21 @@ def sliding_chunks(df: DataFrame, max_tokens: int = V.EMBED_WINDOW[0], overlap:
     """
     per_chunk, step = window_sizes(max_tokens, overlap)
     base = df.select(F.col(id_col).alias("document_id"), F.col(text_col).alias("_t"), T.words(text_col).alias("_w"))
-    # blank documents get a NULL array, which the explode below drops
+    # blank documents get a NULL array, which gives no rows below
     starts = F.when(F.size("_w") > 0, F.sequence(F.lit(1), F.size("_w"), F.lit(step)))
     base = base.withColumn("_c", F.transform(starts, lambda s: F.array_join(F.slice("_w", s, per_chunk), " ")))
-    cols = ["document_id", "_t", "_c"]
     if offsets:
         # array of 1-based positions found so far; 0 marks "not found"
         found = F.expr(
             "aggregate(_c, cast(array() as array<int>), (acc, c) -> "
             "concat(acc, array(locate(c, _t, greatest(1, coalesce(try_element_at(acc, -1), 1))))))")
-        base = base.select("document_id", F.arrays_zip(F.col("_c").alias("text"), found.alias("at")).alias("_z"))
-        base = base.select("document_id", F.posexplode("_z").alias("chunk_index", "_z"))
+        base = explode_rows(base, ["document_id"], F.arrays_zip(F.col("_c").alias("text"), found.alias("at")), "_z", "chunk_index")
         at, body = F.col("_z.at"), F.col("_z.text")
         return base.select(
             "document_id", "chunk_index", body.alias("text"), T.count_tokens(body).alias("token_count"),
             F.greatest(at - 1, F.lit(0)).alias("start_char"),
             F.when(at > 0, at - 1 + F.length(body)).otherwise(0).alias("end_char"))
-    base = base.select("document_id", F.posexplode("_c").alias("chunk_index", "text"))
+    base = explode_rows(base, ["document_id"], "_c", "text", "chunk_index")
     return base.select("document_id", "chunk_index", "text", T.count_tokens("text").alias("token_count"))
 
 
@@ -75,14 +74,14 @@ def sentence_chunks(df: DataFrame, max_tokens: int = V.EMBED_WINDOW[0], id_col:
         "'text', array_join(slice(_s, if(i = 0, 0, _e[i - 1]) + 1, e - if(i = 0, 0, _e[i - 1])), ' '),"
         "'token_count', aggregate(slice(_n, if(i = 0, 0, _e[i - 1]) + 1, e - if(i = 0, 0, _e[i - 1])), 0, (a, x) -> a + x)))"))
     if not offsets:
-        base = base.select("document_id", F.posexplode("_g").alias("chunk_index", "_g"))
+        base = explode_rows(base, ["document_id"], "_g", "_g", "chunk_index")
         return base.select("document_id", "chunk_index", F.col("_g.text").alias("text"), F.col("_g.token_count").alias("token_count"))
     # 0-based starts; the search continues after the previous group's end
     found = F.expr(
         "aggregate(_g, cast(array() as array<struct<s:int,e:int>>), (acc, g) -> concat(acc, transform("
         "array(locate(g.text, _t, coalesce(try_element_at(acc, -1).e, 0) + 1) - 1),"
         " p -> named_struct('s', p, 'e', greatest(0, p + length(g.text))))))")
-    base = base.select("document_id", F.posexplode(F.arrays_zip("_g", found.alias("at"))).alias("chunk_index", "_z"))
+    base = explode_rows(base, ["document_id"], F.arrays_zip("_g", found.alias("at")), "_z", "chunk_index")
     return base.select("document_id", "chunk_index", F.col("_z._g.text").alias("text"),
                        F.col("_z._g.token_count").alias("token_count"),
                        F.greatest(F.col("_z.at.s"), F.lit(0)).alias("start_char"), F.col("_z.at.e").alias("end_char"))

@@ -6,7 +6,7 @@ from kgloom import vocab as V
 from kgloom.functions import text as T
 
 
-def language_of(words: Column, profiles=None) -> Column:
+def language_of(lower_words: Column, profiles=None) -> Column:
     """Code whose stop words occur most often; ties go to the lower code.
 
     NULL for texts of fewer than five words or without any hit.
@@ -14,21 +14,21 @@ def language_of(words: Column, profiles=None) -> Column:
     profiles = profiles or V.STOP_WORDS
 
     def vote(code, stop):
-        hits = F.size(F.filter(words, lambda w: F.lower(w).isin(stop)))
+        hits = F.size(F.filter(lower_words, lambda w: w.isin(stop)))
         return F.struct((-hits).alias("rank"), F.lit(code).alias("code"))
     votes = [vote(code, stop) for code, stop in sorted(profiles.items())]
     best = F.array_min(F.array(*votes))
-    return F.when((F.size(words) >= 5) & (best["rank"] < 0), best["code"])
+    return F.when((F.size(lower_words) >= 5) & (best["rank"] < 0), best["code"])
 
 
 def detect_language(col, profiles=None) -> Column:
-    return language_of(T.words(col), profiles)
+    return language_of(T.words(F.lower(col)), profiles)
 
 
 def preprocess(df, max_tokens=V.EMBED_WINDOW[0], overlap=V.EMBED_WINDOW[1], id_col="id", text_col="raw_text"):
     """Cleaned text, language and word count per document, with its sliding chunks."""
     from kgloom.functions.chunking import sliding_chunks
     docs = df.select(F.col(id_col).alias("document_id"), T.clean_text(text_col).alias("clean"))
-    docs = docs.withColumn("_w", T.words("clean")).select(
+    docs = docs.withColumn("_w", T.words(F.lower("clean"))).select(
         "document_id", "clean", language_of(F.col("_w")).alias("language"), F.size("_w").alias("word_count"))
     return docs, sliding_chunks(docs, max_tokens, overlap, "document_id", "clean")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kgloom import vocab as V
 from kgloom.functions import text as T
+from kgloom.functions.arrays import explode_rows
 from kgloom.session import stable_id
 
 
@@ -42,7 +43,7 @@ def entities_from_responses(resp: DataFrame) -> DataFrame:
     are kept, as extraction does not merge them.
     """
     ok, _ = parse_responses(resp, ENTITY_RESPONSE)
-    items = ok.select("document_id", "chunk_index", F.posexplode("parsed.entities").alias("item", "e"))
+    items = explode_rows(ok, ["document_id", "chunk_index"], "parsed.entities", "e", "item")
     evidence = F.substring(T.strip(F.coalesce("e.evidence", F.lit(""))), 1, V.EVIDENCE_CHARS)
     given = F.coalesce(F.from_json("e.attributes", "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
     attrs = F.map_concat(F.map_filter(given, lambda k, v: k != "_evidence"), F.create_map(F.lit("_evidence"), evidence))
@@ -67,7 +68,7 @@ def _token_rows(chunks: DataFrame, max_words: int = 1, evidence: bool = False) -
             extra = [F.array_join(around, " ").alias("evidence")] if evidence else []
             return F.struct(token.alias("token"), i.alias("word_pos"), *extra)
         starts = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - (n - 1)))
-        return toks.select("document_id", "chunk_index", F.explode(F.transform(starts, fields)).alias("_x"))
+        return explode_rows(toks, ["document_id", "chunk_index"], F.transform(starts, fields), "_x")
     return merge_results(*[spans(n) for n in range(1, max_words + 1)]).select("document_id", "chunk_index", "_x.*")
 
 
@@ -93,7 +94,7 @@ def extract_entities(chunks: DataFrame, gazetteer: DataFrame, patterns=None, max
         F.min("word_pos").alias("word_pos"), F.min_by("evidence", "word_pos").alias("evidence"), F.max("confidence").alias("confidence"))
     out = known
     for rx, typ, conf in (DEFAULT_PATTERNS if patterns is None else patterns):
-        found = (chunks.select("document_id", "chunk_index", F.posexplode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).alias("_i", "name"))
+        found = (explode_rows(chunks, ["document_id", "chunk_index"], F.regexp_extract_all("text", F.lit(rx), F.lit(0)), "name", "_i")
                  .groupBy("document_id", "chunk_index", "name")
                  .agg((F.min("_i") + 100_000).alias("word_pos"))
                  .select("document_id", "chunk_index", "name", F.lit(typ).alias("entity_type"), "word_pos",
@@ -133,13 +134,13 @@ def visible_entities(chunks: DataFrame, entities: DataFrame, q: int = 4, min_vis
     names = name_map(entities).filter("key <> ''").withColumn("_w", longest)
     low = chunks.select("document_id", "chunk_index", F.lower("text").alias("_text"))
     long_names = names.filter(F.length("_w") >= q).withColumn("gram", F.substring("_w", 1, q)).drop("_w")
-    grams = low.select("document_id", "chunk_index", F.explode(_grams(F.split("_text", " "), q)).alias("gram"))
+    grams = explode_rows(low, ["document_id", "chunk_index"], _grams(F.split("_text", " "), q), "gram")
     # names made of short words are rare: only their documents are cut into shorter grams
     short_names = names.filter(F.length("_w") < q).withColumnRenamed("_w", "gram")
     short_docs = low.join(short_names.select("document_id").distinct(), "document_id", "left_semi")
     pieces = F.split("_text", " ")
-    short_grams = short_docs.select(
-        "document_id", "chunk_index", F.explode(F.concat(*[_grams(pieces, n) for n in range(1, q)])).alias("gram"))
+    short_grams = explode_rows(
+        short_docs, ["document_id", "chunk_index"], F.concat(*[_grams(pieces, n) for n in range(1, q)]), "gram")
     hits = (grams.join(long_names, ["document_id", "gram"])
             .unionByName(short_grams.join(short_names, ["document_id", "gram"])).drop("gram"))
     seen = (hits.join(low, ["document_id", "chunk_index"]).filter(F.contains("_text", key))
@@ -153,7 +154,7 @@ def visible_entities(chunks: DataFrame, entities: DataFrame, q: int = 4, min_vis
 def relations_from_responses(resp: DataFrame, entities: DataFrame) -> DataFrame:
     """Relation rows from (document_id, chunk_index, response); ends resolved by name within the document."""
     ok, _ = parse_responses(resp, RELATION_RESPONSE)
-    items = ok.select("document_id", "chunk_index", F.posexplode("parsed.relations").alias("item", "r"))
+    items = explode_rows(ok, ["document_id", "chunk_index"], "parsed.relations", "r", "item")
     rows = items.select(
         "document_id", "chunk_index", "item", F.upper(T.strip("r.type")).alias("relationship_type"),
         F.lower(T.strip("r.source")).alias("src_key"), F.lower(T.strip("r.target")).alias("tgt_key"),

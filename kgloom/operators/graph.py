@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom import vocab as V
+from kgloom.functions.arrays import explode_rows
 from kgloom.functions.text import safe_label
 
 NODE_FIELDS = ["name", "document_id", "entity_type", "confidence", "attributes"]
@@ -152,7 +153,7 @@ def _slice_for(wanted: DataFrame, rows: DataFrame, order: str, cap: int) -> Data
     The first ``cap`` rows of every single type are enough to answer any set of
     types, so a type that covers a third of the graph contributes ``cap`` rows.
     """
-    keyed = _first_per(rows.withColumn("match_key", F.explode("_keys")), ["match_key"], [order], cap)
+    keyed = _first_per(explode_rows(rows, rows.columns, "_keys", "match_key"), ["match_key"], [order], cap)
     hits = wanted.join(keyed, "match_key").drop("match_key", "_keys").dropDuplicates(["question_id", order])
     return _first_per(hits, ["question_id"], [order], cap)
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom import vocab as V
+from kgloom.functions.arrays import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -151,7 +152,7 @@ men_r as (
 
 def text_documents(spark, sf):
     """documents as ingested rows: id, filename, raw_text, language, mime_type."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     return d.select(F.col("doc_id").alias("id"),
                     F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
                     F.col("text").alias("raw_text"), F.col("lang").alias("language"),

@@ -5,7 +5,7 @@ from kgloom import vocab as V
 from kgloom.functions import chunking as K
 from kgloom.functions import language as L
 from kgloom.functions import text as T
-from kgloom.operators import extraction as X
+from kgloom.functions.arrays import explode_rows
 from kgloom.operators import graph as G
 from kgloom.plans import lenses as N
 from kgloom.plans.lenses import SPACES, STAR, MENTION, TEXT, sql_strip, sql_words, with_ctes
@@ -86,7 +86,7 @@ def sql_sentences(c):
 select id, (i-1)::int as pos, s[i] as sentence
 from (select doc_id as id, {sql_sentences('text')} as s from documents), unnest(range(1, len(s)+1)) as u(i)""")
 def _(spark, sf):
-    return N.text_documents(spark, sf).select("id", F.posexplode(T.sentences("raw_text")).alias("pos", "sentence"))
+    return explode_rows(N.text_documents(spark, sf), ["id"], T.sentences("raw_text"), "sentence", "pos")
 
 
 def sql_sliding(src, key, text, max_tokens, overlap, name="chunks"):
@@ -193,7 +193,7 @@ def _(spark, sf):
     return d.select("id", T.strip_fences(body).alias("any_tag"), T.strip_json_fences(body).alias("json_tag"))
 
 
-@query("text_to_json", "select doc_id as id, to_json({'id': doc_id, 'language': lang, 'source': source, 'words': len(" + sql_words("text") + ")}) as body from documents")
+@query("text_to_json", "select doc_id as id, to_json({'id': doc_id, 'language': lang, 'source': source, 'words': len(" + sql_words("text") + ")})::varchar as body from documents")
 def _(spark, sf):
     d = N.table(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("id"), T.to_json_text(F.struct(

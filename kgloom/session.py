@@ -1,7 +1,7 @@
 """Session settings, lineage cuts and deterministic ids."""
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,11 +43,22 @@ def stable_id(*cols) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string") for c in cols]), 256)
 
 
-def salted_on(df: DataFrame, by, salts: int) -> DataFrame:
-    """Adds a ``salt`` in [0, salts) taken from the hash of ``by``."""
-    return df.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+def number_within(df: DataFrame, keys: list, order: list, name: str = "seq_no") -> DataFrame:
+    """Row numbers from 1 within each key, in the given total order.
 
-
-def replicate_salts(df: DataFrame, salts: int) -> DataFrame:
-    """One copy of each row per salt value; for the small side of a salted join."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    Rows are range-partitioned by key and order, so one huge key is cut into many
+    ranges. Numbers are made inside each range and shifted by the number of
+    earlier rows of the key, taken from one count per (range, key).
+    """
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    inner = Window.partitionBy("_range", *keys).orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    shifts = counts.select("_range", *[F.col(k).alias(f"_k_{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    numbered = ranged.withColumn("_at", F.row_number().over(inner))
+    return (numbered.join(shifts.withColumnRenamed("_range", "_r"), (F.col("_range") == F.col("_r")) & same)
+            .withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name))
