@@ -213,7 +213,7 @@ def latest_version_classes(versions: DataFrame, n: int = V.VERSION_WINDOW) -> Da
 
 def _proposal(df: DataFrame, kind, description, rationale, detail, now, *key) -> DataFrame:
     rows = df.select(kind.alias("proposal_type"), F.lit("pending").alias("status"), description.alias("description"),
-                     rationale.alias("rationale"), F.to_json(detail).alias("detail_json"),
+                     rationale.alias("rationale"), F.to_json(detail, {"ignoreNullFields": "false"}).alias("detail_json"),
                      F.to_timestamp_ntz(F.lit(now)).alias("proposed_at"), F.lit(None).cast("timestamp_ntz").alias("applied_at"),
                      stable_id(F.lit("proposal"), *key).alias("id"))
     return rows.select(PROPOSAL_COLUMNS)

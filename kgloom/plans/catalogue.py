@@ -1,3 +1,3 @@
 """All registered queries."""
-from kgloom.plans import extraction_queries, graph_queries, text_queries  # noqa: F401
+from kgloom.plans import extraction_queries, graph_queries, quality_queries, text_queries  # noqa: F401
 from kgloom.plans.registry import QUERIES, SQL  # noqa: F401

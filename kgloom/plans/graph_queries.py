@@ -72,7 +72,7 @@ def _(spark, sf):
 
 
 @query("graph_merge_counts", with_ctes(STAR, MENTION, body="""
-select count_if(entity_type not in ('Location','Company')) as nodes_created, count_if(entity_type='Company') as nodes_updated,
+select count_if(entity_type not in ('Location','Company'))::bigint as nodes_created, count_if(entity_type='Company')::bigint as nodes_updated,
        (select count(*) from star_r where type not in ('LOCATED_IN','BELONGS_TO')) as edges_created,
        (select count(*) from star_r where type='LOCATED_IN') as edges_updated, (select count(*) from men_r) as edges_skipped from star_e"""))
 def _(spark, sf):
