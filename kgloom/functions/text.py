@@ -109,6 +109,12 @@ def safe_label(col) -> Column:
     return F.coalesce(F.nullif(joined, F.lit("")), F.lit("Entity"))
 
 
+def fixed(col, places: int) -> Column:
+    """Number as text with a fixed count of decimals."""
+    scale = float(10 ** places)
+    return F.format_string(f"%.{places}f", F.floor(_c(col) * scale + 0.5) / scale)
+
+
 def to_json_text(col) -> Column:
     """Struct or map as JSON text; non-ASCII characters are kept."""
     return F.to_json(col)

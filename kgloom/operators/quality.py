@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kgloom import vocab as V
 from kgloom.functions.arrays import explode_rows
 from kgloom.functions.matching import close_strings
+from kgloom.functions.text import fixed
 from kgloom.session import stable_id
 
 ISSUE_COLUMNS = ["id", "issue_type", "severity", "entity_id", "relationship_id", "document_id",
@@ -78,7 +79,7 @@ def sparse_documents(e: DataFrame, r: DataFrame) -> DataFrame:
 def find_issues(e: DataFrame, r: DataFrame, t: float, now) -> DataFrame:
     """The six detectors as issue rows. ``r`` carries the end names."""
     fmt = F.format_string
-    conf = F.format_string("%.2f", "confidence")
+    conf = fixed("confidence", 2)
     low_e = _issue(low_confidence_entities(e, t), "low_confidence_entity", "warning", now,
                    fmt(f"Entity '%s' (%s) has confidence %s, below threshold {t}", "name", "entity_type", conf),
                    F.struct(F.col("name").alias("entity_name"), "entity_type", "confidence"), entity="id", document="document_id")
