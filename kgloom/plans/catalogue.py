@@ -1,4 +1,4 @@
 """All registered queries."""
 from kgloom.plans import (  # noqa: F401
-    extraction_queries, graph_queries, ontology_queries, quality_queries, retrieval_queries, text_queries)
+    corpus_queries, extraction_queries, graph_queries, ontology_queries, quality_queries, retrieval_queries, text_queries)
 from kgloom.plans.registry import QUERIES, SQL  # noqa: F401
