@@ -145,35 +145,62 @@ def unescape_entities(col) -> Column:
     return c
 
 
+def _raw(pattern: str) -> str:
+    """Pattern as a raw SQL string literal."""
+    return "r'" + pattern + "'"
+
+
+def _replace_sql(x: str, pattern: str, by: str = "''") -> str:
+    return f"regexp_replace({x}, {_raw(pattern)}, {by})"
+
+
+def _strip_sql(x: str) -> str:
+    return _replace_sql(x, f"^{_SPACE}+|{_SPACE}+\\z")
+
+
+def _words_sql(x: str) -> str:
+    return f"filter(split({x}, {_raw(_SPACE + '+')}), w -> w <> '')"
+
+
+def _whitespace_sql(x: str) -> str:
+    x = _replace_sql(x, r"\r\n|\r", "chr(10)")
+    x = _replace_sql(x, r"[ \t]+", "' '")
+    return _strip_sql(_replace_sql(x, r"\n{3,}", "concat(chr(10), chr(10))"))
+
+
+def _language_sql(x: str) -> str:
+    votes = ", ".join(
+        "named_struct('rank', -size(filter(" + _words_sql(f"lower({x})") + ", w -> w in (" + ", ".join(f"'{w}'" for w in stop)
+        + f"))), 'code', '{code}')" for code, stop in sorted(V.STOP_WORDS.items()))
+    return f"if(size({_words_sql(x)}) >= 5 and array_min(array({votes})).rank < 0, array_min(array({votes})).code, null)"
+
+
 def register_sql_functions(spark: SparkSession) -> list[str]:
-    """Makes the scalar functions callable from ``spark.sql`` under ``kg_*`` names."""
-    sp = f"[{V.SPACE_CLASS}]"
-    spark.udf.register("kg_nfc", _nfc)
+    """Makes the scalar functions callable from ``spark.sql`` under ``kg_*`` names.
 
-    def lit(s):
-        return "r'" + s + "'"
-    strip_sql = "regexp_replace({x}, " + lit(f"^{sp}+|{sp}+\\z") + ", '')"
-    words_sql = "filter(split({x}, " + lit(f"{sp}+") + "), w -> w <> '')"
-    ws_sql = ("regexp_replace(regexp_replace(regexp_replace({x}, " + lit(r"\r\n|\r") + ", chr(10)), "
-              + lit(r"[ \t]+") + ", ' '), " + lit(r"\n{{3,}}") + ", concat(chr(10), chr(10)))")
+    All but ``kg_nfc`` are SQL expressions that the optimizer inlines;
+    ``kg_clean_text`` takes text that is in NFC already, e.g. ``kg_clean_text(kg_nfc(x))``.
+    """
+    spark.udf.register("kg_nfc", _nfc)
+    cleaned = _whitespace_sql(_replace_sql("x", f"[{V.CONTROL_CLASS}]"))
+    cleaned = _strip_sql(_replace_sql(_replace_sql(cleaned, r"-{3,}", "'—'"), r"\.{3,}", "'…'"))
+    unfenced = _replace_sql(_replace_sql(_strip_sql("x"), r"\A```[a-zA-Z]*\n?"), r"\n?```\z")
     bodies = {
-        "kg_strip": ("x STRING", "STRING", strip_sql.format(x="x")),
-        "kg_words": ("x STRING", "ARRAY<STRING>", words_sql.format(x="x")),
-        "kg_word_count": ("x STRING", "INT", "size(" + words_sql.format(x="x") + ")"),
-        "kg_count_tokens": ("x STRING", "INT", "cast(floor(size(" + words_sql.format(x="x") + ") * 0.75D) as int)"),
+        "kg_strip": ("x STRING", "STRING", _strip_sql("x")),
+        "kg_words": ("x STRING", "ARRAY<STRING>", _words_sql("x")),
+        "kg_word_count": ("x STRING", "INT", f"size({_words_sql('x')})"),
+        "kg_count_tokens": ("x STRING", "INT", f"cast(floor(size({_words_sql('x')}) * 0.75D) as int)"),
         "kg_truncate": ("x STRING, n INT", "STRING", "substring(x, 1, n * 4)"),
-        "kg_normalize_whitespace": ("x STRING", "STRING", strip_sql.format(x=ws_sql.format(x="x"))),
+        "kg_normalize_whitespace": ("x STRING", "STRING", _whitespace_sql("x")),
+        "kg_clean_text": ("x STRING", "STRING", cleaned),
+        "kg_detect_language": ("x STRING", "STRING", _language_sql("x")),
         "kg_sentences": ("x STRING", "ARRAY<STRING>",
-                         "filter(transform(split(x, " + lit(f"(?<=[.!?]){sp}+") + "), s -> "
-                         + strip_sql.format(x="s") + "), s -> s <> '')"),
-        "kg_safe_filename": ("x STRING", "STRING",
-                             strip_sql.format(x="regexp_replace(x, " + lit(r"[^\p{L}\p{N}._\- ]") + ", '')")),
+                         f"filter(transform(split(x, {_raw('(?<=[.!?])' + _SPACE + '+')}), s -> {_strip_sql('s')}), s -> s <> '')"),
+        "kg_safe_filename": ("x STRING", "STRING", _strip_sql(_replace_sql("x", r"[^\p{L}\p{N}._\- ]"))),
         "kg_safe_label": ("x STRING", "STRING",
                           "coalesce(nullif(array_join(transform(split(replace(replace(x, '-', '_'), ' ', '_'), '_'), "
                           "p -> concat(upper(left(p, 1)), lower(substr(p, 2)))), ''), ''), 'Entity')"),
-        "kg_strip_fences": ("x STRING", "STRING", strip_sql.format(
-            x="regexp_replace(regexp_replace(" + strip_sql.format(x="x") + ", " + lit(r"\A```[a-zA-Z]*\n?") + ", ''), "
-            + lit(r"\n?```\z") + ", '')")),
+        "kg_strip_fences": ("x STRING", "STRING", f"if(x rlike {_raw('(?s)```.*```')}, {_strip_sql(unfenced)}, {_strip_sql('x')})"),
     }
     for name, (args, ret, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {ret} RETURN {body}")

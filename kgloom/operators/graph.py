@@ -124,13 +124,13 @@ def _type_keys(*cols) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.lower(c) for c in cols])))
 
 
-def _node_view(nodes: DataFrame) -> DataFrame:
+def node_view(nodes: DataFrame) -> DataFrame:
     return nodes.filter("id is not null and id <> ''").select(
         "id", F.coalesce(F.nullif("name", F.lit("")), F.lit("(unnamed)")).alias("name"),
         F.coalesce(F.nullif("entity_type", F.lit("")), F.lit("Unknown")).alias("entity_type"), "label", "confidence")
 
 
-def _edge_view(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def edge_view(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ends = nodes.groupBy("id").agg(F.max_by(F.struct("name", "entity_type", "label"), "label").alias("n"))
     s = ends.select(F.col("id").alias("src"), F.col("n").alias("_s"))
     t = ends.select(F.col("id").alias("tgt"), F.col("n").alias("_t"))
@@ -141,7 +141,7 @@ def _edge_view(edges: DataFrame, nodes: DataFrame) -> DataFrame:
                     _type_keys("_s.entity_type", "_s.label", "_t.entity_type", "_t.label").alias("_keys")))
 
 
-def _first_per(df: DataFrame, keys, order, n: int) -> DataFrame:
+def first_per(df: DataFrame, keys, order, n: int) -> DataFrame:
     """First ``n`` rows per key; the limit is applied before the shuffle as well."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
@@ -153,9 +153,9 @@ def _slice_for(wanted: DataFrame, rows: DataFrame, order: str, cap: int) -> Data
     The first ``cap`` rows of every single type are enough to answer any set of
     types, so a type that covers a third of the graph contributes ``cap`` rows.
     """
-    keyed = _first_per(explode_rows(rows, rows.columns, "_keys", "match_key"), ["match_key"], [order], cap)
+    keyed = first_per(explode_rows(rows, rows.columns, "_keys", "match_key"), ["match_key"], [order], cap)
     hits = wanted.join(keyed, "match_key").drop("match_key", "_keys").dropDuplicates(["question_id", order])
-    return _first_per(hits, ["question_id"], [order], cap)
+    return first_per(hits, ["question_id"], [order], cap)
 
 
 def seed_slices(questions: DataFrame, nodes: DataFrame, edges: DataFrame,
@@ -167,9 +167,9 @@ def seed_slices(questions: DataFrame, nodes: DataFrame, edges: DataFrame,
     """
     wanted = questions.select("question_id", F.lower("class_name").alias("match_key")).distinct()
     asked = wanted.select("question_id").distinct()
-    view = _node_view(nodes)
+    view = node_view(nodes)
     node_rows = view.withColumn("_keys", _type_keys("entity_type", "label"))
-    edge_rows = _edge_view(edges, nodes)
+    edge_rows = edge_view(edges, nodes)
     hit_nodes = _slice_for(wanted, node_rows, "id", node_cap)
     empty = asked.join(hit_nodes.select("question_id").distinct(), "question_id", "left_anti")
     hit_edges = _slice_for(wanted, edge_rows, "id", edge_cap).join(empty, "question_id", "left_anti")
@@ -185,7 +185,7 @@ def seed_slices(questions: DataFrame, nodes: DataFrame, edges: DataFrame,
 
 def seed_nodes(nodes: DataFrame, types: list[str], cap: int = V.NODE_CAP) -> DataFrame:
     """Nodes whose type or label is among ``types``; without any match, the first of all nodes."""
-    view = _node_view(nodes)
+    view = node_view(nodes)
     if not types:
         return view.limit(0)
     keys = [t.lower() for t in types]
@@ -198,7 +198,7 @@ def seed_nodes(nodes: DataFrame, types: list[str], cap: int = V.NODE_CAP) -> Dat
 
 def touching_edges(edges: DataFrame, nodes: DataFrame, types: list[str], cap: int = V.EDGE_CAP) -> DataFrame:
     """Edges with an end whose type or label is among ``types``; without any such node, the first of all edges."""
-    view = _edge_view(edges, nodes)
+    view = edge_view(edges, nodes)
     if not types:
         return view.drop("_keys").limit(0)
     keys = F.array(*[F.lit(t.lower()) for t in types])
