@@ -58,28 +58,54 @@ def _tokens(col) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _token_rows(chunks: DataFrame, max_words: int = 1, evidence: bool = False) -> DataFrame:
-    """Every token (or token n-gram up to ``max_words``) of a chunk with its position."""
+def _token_rows(chunks: DataFrame, max_words: int = 1, keep_tokens: bool = False) -> DataFrame:
+    """Every token (or token n-gram up to ``max_words``) of a chunk with its position from 1.
+
+    With ``keep_tokens`` each row still refers to the chunk's token array ``_t``.
+    """
     toks = chunks.select("document_id", "chunk_index", _tokens("text").alias("_t"))
-    def spans(n):
-        def fields(i):
-            token = F.element_at("_t", i) if n == 1 else F.array_join(F.slice("_t", i, n), " ")
-            around = F.slice("_t", F.greatest(i - 5, F.lit(1)), F.least(i - 1, F.lit(5)) + n + 5)
-            extra = [F.array_join(around, " ").alias("evidence")] if evidence else []
-            return F.struct(token.alias("token"), i.alias("word_pos"), *extra)
+    keep = ["document_id", "chunk_index"] + (["_t"] if keep_tokens else [])
+
+    def grams(n):
+        if n == 1:
+            return F.col("_t")
         starts = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - (n - 1)))
-        return explode_rows(toks, ["document_id", "chunk_index"], F.transform(starts, fields), "_x")
-    return merge_results(*[spans(n) for n in range(1, max_words + 1)]).select("document_id", "chunk_index", "_x.*")
+        return F.transform(starts, lambda i: F.array_join(F.slice("_t", i, n), " "))
+    parts = [explode_rows(toks, keep, grams(n), "token", "_p").withColumns({"word_pos": F.col("_p") + 1, "words": F.lit(n)}).drop("_p")
+             for n in range(1, max_words + 1)]
+    return merge_results(*parts)
 
 
 # fixed rules beside the gazetteer: (pattern, entity type, confidence)
 DEFAULT_PATTERNS = [(V.EMAIL_PATTERN, "Person", 0.6), (V.URL_PATTERN, "Technology", 0.6)]
 
 
+# gazetteers up to this many names are sent to every task
+BROADCAST_NAMES = 200_000
+
+
 def mentions(chunks: DataFrame, gazetteer: DataFrame, max_words: int = 1, evidence: bool = True) -> DataFrame:
-    """Every occurrence of a gazetteer name: document_id, chunk_index, word_pos, name, entity_type, confidence."""
+    """Every occurrence of a gazetteer name: document_id, chunk_index, word_pos, name, entity_type, confidence.
+
+    ``evidence`` adds the five words around it. A gazetteer of checked size is
+    broadcast, and tokens meet it inside the scan stage without being copied; a
+    larger one is joined by shuffling bare tokens, and evidence is cut from the
+    chunks that had a hit.
+    """
     names = gazetteer.select(F.lower("name").alias("token"), "name", "entity_type", "confidence")
-    return _token_rows(chunks, max_words, evidence).join(names, "token").drop("token")
+    small = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    around = F.array_join(F.slice("_t", F.greatest(F.col("word_pos") - 5, F.lit(1)),
+                                  F.least(F.col("word_pos") - 1, F.lit(5)) + F.col("words") + 5), " ")
+    if small:
+        hits = _token_rows(chunks, max_words, keep_tokens=evidence).join(F.broadcast(names), "token")
+    else:
+        hits = _token_rows(chunks, max_words).join(names, "token")
+        if evidence:
+            toks = chunks.select("document_id", "chunk_index", _tokens("text").alias("_t"))
+            hits = hits.join(toks, ["document_id", "chunk_index"])
+    if evidence:
+        hits = hits.withColumn("evidence", around).drop("_t")
+    return hits.drop("token", "words")
 
 
 def extract_entities(chunks: DataFrame, gazetteer: DataFrame, patterns=None, max_words: int = 1) -> DataFrame:
@@ -114,37 +140,39 @@ def name_map(entities: DataFrame) -> DataFrame:
         F.max_by(F.struct("id", "name", "entity_type"), F.struct("pos", "id")).alias("entity"))
 
 
-def _grams(words: Column, q: int) -> Column:
-    """Distinct length-q substrings of the given words."""
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(words), lambda w: F.when(
-        F.length(w) >= q, F.transform(F.sequence(F.lit(1), F.length(w) - (q - 1)), lambda i: F.substring(w, i, q))
-    ).otherwise(F.array().cast("array<string>")))))
+def _words_containing(words: DataFrame, parts: DataFrame, q: int) -> DataFrame:
+    """(word, part) for every distinct word that contains the part. Exact, by equi joins on length-q substrings."""
+    def grams(col, n):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substring(col, i, n)))
+    long_parts = parts.filter(F.length("part") >= q).withColumn("gram", F.substring("part", 1, q))
+    long_words = explode_rows(words, ["word"], F.when(F.length("word") >= q, grams(F.col("word"), q)), "gram")
+    found = long_words.join(long_parts, "gram").filter(F.contains("word", F.col("part"))).select("word", "part")
+    # parts shorter than q are met by their whole text
+    short_parts = parts.filter(F.length("part") < q).withColumn("gram", F.col("part"))
+    pieces = F.flatten(F.array(*[F.when(F.length("word") >= n, grams(F.col("word"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, q)]))
+    short_words = explode_rows(words, ["word"], pieces, "gram")
+    return found.unionByName(short_words.join(short_parts, "gram").select("word", "part")).distinct()
 
 
 def visible_entities(chunks: DataFrame, entities: DataFrame, q: int = 4, min_visible: int = 2) -> DataFrame:
     """Names that occur as a substring of a chunk: document_id, chunk_index, entity_id, name, entity_type, chunk_names.
 
-    Chunks with fewer than ``min_visible`` names are left out. A name can only
-    occur where the first q characters of its longest word occur, so candidates
-    come from an equi join on (document, q-gram) and are then verified; the
-    document's names and chunks are never paired one by one.
+    Chunks with fewer than ``min_visible`` names are left out. Where a name
+    occurs, some word of the chunk contains the name's longest word. Which words
+    of the corpus contain which longest words is worked out once on the distinct
+    words; chunks then meet their document's names by equi joins on words, never
+    one by one, and names of several words are verified against the text.
     """
-    key = F.col("key")
     longest = F.expr("reduce(split(key, ' '), '', (a, w) -> if(length(w) > length(a), w, a))")
-    names = name_map(entities).filter("key <> ''").withColumn("_w", longest)
+    names = name_map(entities).filter("key <> ''").withColumn("part", longest)
     low = chunks.select("document_id", "chunk_index", F.lower("text").alias("_text"))
-    long_names = names.filter(F.length("_w") >= q).withColumn("gram", F.substring("_w", 1, q)).drop("_w")
-    grams = explode_rows(low, ["document_id", "chunk_index"], _grams(F.split("_text", " "), q), "gram")
-    # names made of short words are rare: only their documents are cut into shorter grams
-    short_names = names.filter(F.length("_w") < q).withColumnRenamed("_w", "gram")
-    short_docs = low.join(short_names.select("document_id").distinct(), "document_id", "left_semi")
-    pieces = F.split("_text", " ")
-    short_grams = explode_rows(
-        short_docs, ["document_id", "chunk_index"], F.concat(*[_grams(pieces, n) for n in range(1, q)]), "gram")
-    hits = (grams.join(long_names, ["document_id", "gram"])
-            .unionByName(short_grams.join(short_names, ["document_id", "gram"])).drop("gram"))
-    seen = (hits.join(low, ["document_id", "chunk_index"]).filter(F.contains("_text", key))
-            .select("document_id", "chunk_index", "entity"))
+    words = explode_rows(low, ["document_id", "chunk_index"], F.array_distinct(F.split("_text", " ")), "word").filter("word <> ''")
+    known = _words_containing(words.select("word").distinct(), names.select("part").distinct(), q)
+    cand = (words.join(known, "word").select("document_id", "chunk_index", "part").distinct()
+            .join(names, ["document_id", "part"]).select("document_id", "chunk_index", "key", "entity"))
+    single = F.instr("key", " ") == 0
+    verified = (cand.filter(~single).join(low, ["document_id", "chunk_index"]).filter(F.contains("_text", F.col("key"))))
+    seen = cand.filter(single).drop("key").unionByName(verified.select("document_id", "chunk_index", "entity"))
     enough = seen.groupBy("document_id", "chunk_index").agg(F.count(F.lit(1)).alias("chunk_names")).filter(F.col("chunk_names") >= min_visible)
     return seen.join(enough, ["document_id", "chunk_index"]).select(
         "document_id", "chunk_index", F.col("entity.id").alias("entity_id"), F.col("entity.name").alias("name"),
@@ -177,17 +205,19 @@ def extract_relations(chunks: DataFrame, entities: DataFrame, cues: DataFrame, d
     is a token of the chunk; chunks with fewer than two are skipped. Work per
     chunk is bounded by the chunk window, and no entity pairs are formed.
     """
-    toks = _token_rows(chunks)
     names = name_map(entities).select("document_id", F.col("key").alias("token"), "entity")
-    spots = toks.join(names, ["document_id", "token"]).groupBy("document_id", "chunk_index").agg(
-        F.collect_list(F.struct("word_pos", F.col("entity.entity_type").alias("t"), F.col("entity.id").alias("eid"))).alias("spots"))
-    spots = spots.filter(F.size(F.array_distinct(F.transform("spots", lambda s: s.eid))) >= 2)
-    cue_rows = cues.select(F.lower("cue").alias("token"), "cue", "relationship_type", "source_type", "target_type", "confidence")
-    marks = toks.join(cue_rows, "token").drop("token")
+    cue_rows = cues.select(F.lower("cue").alias("token"), F.struct("cue", "relationship_type", "source_type", "target_type", "confidence").alias("c"))
+    # one pass over the tokens: each is looked up as a cue and as a name, the rest is dropped
+    toks = _token_rows(chunks).drop("words").join(cue_rows, "token", "left").join(names, ["document_id", "token"], "left")
+    spot = F.when(F.col("entity").isNotNull(), F.struct("word_pos", F.col("entity.entity_type").alias("t"), F.col("entity.id").alias("eid")))
+    mark = F.when(F.col("c").isNotNull(), F.struct("word_pos", "c.*"))
+    per_chunk = (toks.filter("c is not null or entity is not null").groupBy("document_id", "chunk_index")
+                 .agg(F.collect_set(spot).alias("spots"), F.collect_set(mark).alias("marks")))
+    per_chunk = per_chunk.filter((F.size("marks") > 0) & (F.size(F.array_distinct(F.transform("spots", lambda s: s.eid))) >= 2))
+    marks = explode_rows(per_chunk, ["document_id", "chunk_index", "spots"], "marks", "m").select("document_id", "chunk_index", "spots", "m.*")
     before = F.array_max(F.filter("spots", lambda s: (s.word_pos < F.col("word_pos")) & (s.t == F.col("source_type"))))
     after = F.array_min(F.filter("spots", lambda s: (s.word_pos > F.col("word_pos")) & (s.t == F.col("target_type"))))
-    rows = (marks.join(spots, ["document_id", "chunk_index"])
-            .withColumn("s", before).withColumn("o", after).filter("s is not null and o is not null and s.eid <> o.eid"))
+    rows = marks.withColumn("s", before).withColumn("o", after).filter("s is not null and o is not null and s.eid <> o.eid")
     out = rows.select(
         stable_id("document_id", "chunk_index", "word_pos", "relationship_type").alias("id"), "document_id", "chunk_index",
         F.col("s.eid").alias("source_entity_id"), F.col("o.eid").alias("target_entity_id"), "relationship_type", "confidence",

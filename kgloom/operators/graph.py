@@ -190,10 +190,10 @@ def seed_nodes(nodes: DataFrame, types: list[str], cap: int = V.NODE_CAP) -> Dat
         return view.limit(0)
     keys = [t.lower() for t in types]
     hit = F.lower("entity_type").isin(keys) | F.lower("label").isin(keys)
-    found = view.filter(hit).orderBy("id").limit(cap)
-    any_hit = found.agg(F.count(F.lit(1))).scalar()
-    rest = view.orderBy("id").limit(cap).filter(any_hit == 0)
-    return found.unionByName(rest)
+    # matches sort first, so the cut rows hold a match if there is one at all
+    top = view.withColumn("_hit", hit).orderBy(F.col("_hit").desc(), "id").limit(cap)
+    any_hit = top.agg(F.max("_hit")).scalar()
+    return top.filter(F.col("_hit") | ~any_hit).drop("_hit")
 
 
 def touching_edges(edges: DataFrame, nodes: DataFrame, types: list[str], cap: int = V.EDGE_CAP) -> DataFrame:
@@ -202,10 +202,9 @@ def touching_edges(edges: DataFrame, nodes: DataFrame, types: list[str], cap: in
     if not types:
         return view.drop("_keys").limit(0)
     keys = F.array(*[F.lit(t.lower()) for t in types])
-    found = view.filter(F.arrays_overlap("_keys", keys)).drop("_keys").orderBy("id").limit(cap)
+    top = view.withColumn("_hit", F.arrays_overlap("_keys", keys)).drop("_keys").orderBy(F.col("_hit").desc(), "id").limit(cap)
     any_node = nodes.filter(F.arrays_overlap(_type_keys("entity_type", "label"), keys)).limit(1).agg(F.count(F.lit(1))).scalar()
-    rest = view.drop("_keys").orderBy("id").limit(cap).filter(any_node == 0)
-    return found.unionByName(rest)
+    return top.filter(F.col("_hit") | (any_node == 0)).drop("_hit")
 
 
 # -- structured reads ------------------------------------------------------

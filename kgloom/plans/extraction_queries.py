@@ -8,6 +8,7 @@ from kgloom.plans import lenses as N
 from kgloom.plans.lenses import MENTION, STAR, TEXT, sql_strip, with_ctes
 from kgloom.plans.registry import query
 from kgloom.plans.text_queries import sql_sliding
+from kgloom.session import cut_lineage
 
 TYPES_SQL = "(" + ",".join(f"'{t}'" for t in V.ENTITY_TYPES) + ")"
 RELS_SQL = "(" + ",".join(f"'{t}'" for t in V.RELATIONSHIP_TYPES) + ")"
@@ -133,7 +134,7 @@ def _(spark, sf):
 
 def relation_responses(spark, sf):
     """One JSON answer per document relating each found name to the next, with unknown types and names mixed in."""
-    e = X.entities_from_responses(entity_responses(spark, sf))
+    e = cut_lineage(X.entities_from_responses(entity_responses(spark, sf)))
     from pyspark.sql import Window
     w = Window.partitionBy("document_id").orderBy("pos")
     nxt = e.withColumn("nxt", F.lead("name").over(w)).filter("nxt is not null")

@@ -238,11 +238,14 @@ w2 as (select w1.*, q.parent as p2 from w1 left join par q on q.s=w1.s and q.id=
 w3 as (select w2.*, q.parent as p3 from w2 left join par q on q.s=w2.s and q.id=w2.p2)
 select s as from_id, to_id, hops, concat_ws('->', p3, p2, p1, to_id) as path from w3"""))
 def _(spark, sf):
-    e = N.star_entities(spark, sf)
-    # every order and customer with the region its nation belongs to, and with all others that cannot be reached in time
-    targets = e.filter("id like 'o:%' or id like 'c:%'").select(F.col("id").alias("to_id"))
-    tree = R.distances(star_nodes(spark, sf), star_edges(spark, sf), _regions(spark, sf), 3)
-    pairs = tree.select(F.col("start_id").alias("from_id"), F.col("id").alias("to_id")).join(targets, "to_id", "left_semi")
+    # every customer and every order, from the region of the customer's nation
+    t = N.table
+    home = t(spark, sf, "customer").join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.concat(F.lit("r:"), F.col("n_regionkey").cast("string")).alias("from_id"))
+    customers = home.select("from_id", F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("to_id"))
+    orders = t(spark, sf, "orders").join(home, F.col("o_custkey") == F.col("c_custkey")).select(
+        "from_id", F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("to_id"))
+    pairs = customers.unionByName(orders)
     return R.shortest_paths(star_nodes(spark, sf), star_edges(spark, sf), pairs, 3)
 
 

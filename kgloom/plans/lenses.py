@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of texts, spread over the cores for the CPU-heavy work on it."""
+    return spread(table(spark, sf, name))
+
+
 def _id(prefix, col):
     return F.concat(F.lit(prefix + ":"), F.col(col).cast("string"))
 
@@ -152,7 +157,7 @@ men_r as (
 
 def text_documents(spark, sf):
     """documents as ingested rows: id, filename, raw_text, language, mime_type."""
-    d = spread(table(spark, sf, "documents"))
+    d = texts(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("id"),
                     F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
                     F.col("text").alias("raw_text"), F.col("lang").alias("language"),

@@ -1,4 +1,6 @@
 """Catalogue of runnable queries and their SQL twins."""
+from functools import wraps
+
 QUERIES = {}
 SQL = {}
 
@@ -6,7 +8,12 @@ SQL = {}
 def query(name, sql=None):
     """Registers ``fn(spark, sf_dir)`` under ``name`` with an optional SQL twin."""
     def keep(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark, sf_dir):
+            # split skewed join partitions even where that costs a further shuffle
+            spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn

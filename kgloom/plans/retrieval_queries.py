@@ -2,7 +2,6 @@
 from pyspark.sql import functions as F
 
 from kgloom import vocab as V
-from kgloom.functions import chunking as K
 from kgloom.operators import graph as G
 from kgloom.operators import ontology as O
 from kgloom.operators import quality as Q
@@ -18,6 +17,7 @@ from kgloom.plans.ontology_queries import MATCHED, question_classes
 from kgloom.plans.quality_queries import sql_metrics
 from kgloom.plans.registry import query
 from kgloom.plans.text_queries import sql_sliding
+from kgloom.session import cut_lineage
 
 
 def sql_vectors(src, key, text, name):
@@ -56,7 +56,8 @@ def _(spark, sf):
 def _chunk_store(spark, sf):
     docs = N.text_documents(spark, sf)
     c = E.embed_chunks(docs).withColumn("id", F.col("document_id") * 1000 + F.col("chunk_index"))
-    return docs, c
+    # stands for the stored chunk table, which is read for the vectors and again for the texts
+    return docs, cut_lineage(c)
 
 
 def _asked(spark, sf):
@@ -93,7 +94,7 @@ def _(spark, sf):
 
 def _text_graph(spark, sf):
     """Graph of the extracted entities; an entity's type is its name, so questions can ask for it."""
-    e = XQ._entities(spark, sf).filter("entity_type <> 'Person' or confidence <> 0.6D")
+    e = cut_lineage(XQ._entities(spark, sf)).filter("entity_type <> 'Person' or confidence <> 0.6D")
     nodes = G.nodes_from(e.withColumn("entity_type", F.col("name")))
     first = e.select("document_id", "id", "pos")
     from pyspark.sql import Window

@@ -37,9 +37,9 @@ def sql_clean(c, options=False):
 
 def _bodies(spark, sf):
     """Texts of documents, pages and conversations with a key."""
-    d = N.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("key"), F.col("text").alias("body"))
-    p = N.table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id")).alias("key"), F.col("html").alias("body"))
-    c = N.table(spark, sf, "conversations").select(
+    d = N.texts(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("key"), F.col("text").alias("body"))
+    p = N.texts(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id")).alias("key"), F.col("html").alias("body"))
+    c = N.texts(spark, sf, "conversations").select(
         F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("key"), F.col("text").alias("body"))
     return d.unionByName(p).unionByName(c)
 
@@ -195,7 +195,7 @@ def _(spark, sf):
 
 @query("text_to_json", "select doc_id as id, to_json({'id': doc_id, 'language': lang, 'source': source, 'words': len(" + sql_words("text") + ")})::varchar as body from documents")
 def _(spark, sf):
-    d = N.table(spark, sf, "documents")
+    d = N.texts(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("id"), T.to_json_text(F.struct(
         F.col("doc_id").alias("id"), F.col("lang").alias("language"), "source", T.word_count("text").alias("words"))).alias("body"))
 
@@ -207,7 +207,7 @@ select sha256(conv_id||'|'||turn) as id, case when role='user' then 'raw_text' e
        {sql_strip('text')} as raw_text, len({sql_words('text')})::int as word_count, 'en' as language
 from conversations where {sql_strip('text')}<>''""")
 def _(spark, sf):
-    c = N.table(spark, sf, "conversations").withColumn("fn", F.when(F.col("role") != "user", F.col("role")))
+    c = N.texts(spark, sf, "conversations").withColumn("fn", F.when(F.col("role") != "user", F.col("role")))
     return D.ingest_text(c, "text", "fn", ["conv_id", "turn"])
 
 
@@ -223,7 +223,7 @@ m as (select doc_id, path, case when content like '\\%PDF-%' escape '\\' then 'a
           [lower(regexp_extract(path,'(\\.[A-Za-z0-9]+)$',1))], 'application/octet-stream') end as mime_type from f)
 select doc_id, mime_type, mime_type<>'application/octet-stream' as supported from m""")
 def _(spark, sf):
-    d = N.table(spark, sf, "documents")
+    d = N.texts(spark, sf, "documents")
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % 8 + 1).cast("int"))
     files = d.select("doc_id", F.concat(F.lit("store/doc_"), F.col("doc_id"), ext).alias("path"),
                      F.concat(F.when(F.col("doc_id") % 11 == 0, "%PDF-1.7 ").otherwise(""), "text").alias("content"))
@@ -249,7 +249,7 @@ select page_id as id, url, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as hos
        {sql_html("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} as title,
        {sql_html('html')} as raw_text, len({sql_words(sql_html('html'))})::int as word_count from pages""")
 def _(spark, sf):
-    return D.html_to_documents(N.table(spark, sf, "pages"))
+    return D.html_to_documents(N.texts(spark, sf, "pages"))
 
 
 @query("documents_exact_dedup", """
@@ -263,7 +263,7 @@ def _(spark, sf):
 select page_id as id, {sql_strip("regexp_replace(url, '[^\\p{L}\\p{N}._\\- ]', '', 'g')")} as filename,
        {sql_strip("regexp_replace(html, '[^\\p{L}\\p{N}._\\- ]', '', 'g')")} as from_html from pages""")
 def _(spark, sf):
-    return N.table(spark, sf, "pages").select(
+    return N.texts(spark, sf, "pages").select(
         F.col("page_id").alias("id"), T.safe_filename("url").alias("filename"), T.safe_filename("html").alias("from_html"))
 
 
@@ -273,7 +273,7 @@ select doc_id as id, case when source='src0' then 'text' else 'file' end as sour
        round(strlen(text)/1024.0::double,2) as size_kb, len({sql_words('text')})::int as word_count, lang as language,
        timestamp '2024-01-01' + to_seconds(doc_id) as ingested_at, 'ingested' as status from documents""")
 def _(spark, sf):
-    d = N.table(spark, sf, "documents")
+    d = N.texts(spark, sf, "documents")
     docs = d.select(
         F.col("doc_id").alias("id"), F.when(F.col("source") == "src0", "raw_text").otherwise(F.col("source")).alias("filename"),
         F.lit("text/plain").alias("mime_type"), F.col("text").alias("raw_text"), T.word_count("text").alias("word_count"),
