@@ -13,11 +13,17 @@ def language_of(lower_words: Column, profiles=None) -> Column:
     """
     profiles = profiles or V.STOP_WORDS
 
-    def vote(code, stop):
-        hits = F.size(F.filter(lower_words, lambda w: w.isin(stop)))
-        return F.struct((-hits).alias("rank"), F.lit(code).alias("code"))
-    votes = [vote(code, stop) for code, stop in sorted(profiles.items())]
-    best = F.array_min(F.array(*votes))
+    known = sorted({w for stop in profiles.values() for w in stop})
+
+    def vote(code, stop, hits):
+        n = F.size(F.filter(hits, lambda w: w.isin(stop)))
+        return F.struct((-n).alias("rank"), F.lit(code).alias("code"))
+
+    def winner(hits):
+        return F.array_min(F.array(*[vote(code, stop, hits) for code, stop in sorted(profiles.items())]))
+    # one pass picks the stop words of any language, the votes then run over those few
+    hits = F.filter(lower_words, lambda w: w.isin(known))
+    best = F.element_at(F.transform(F.array(hits), winner), 1)
     return F.when((F.size(lower_words) >= 5) & (best["rank"] < 0), best["code"])
 
 

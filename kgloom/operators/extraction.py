@@ -76,8 +76,8 @@ def _token_rows(chunks: DataFrame, max_words: int = 1, keep_tokens: bool = False
     return merge_results(*parts)
 
 
-# fixed rules beside the gazetteer: (pattern, entity type, confidence)
-DEFAULT_PATTERNS = [(V.EMAIL_PATTERN, "Person", 0.6), (V.URL_PATTERN, "Technology", 0.6)]
+# fixed rules beside the gazetteer: (pattern, entity type, confidence, text every match holds)
+DEFAULT_PATTERNS = [(V.EMAIL_PATTERN, "Person", 0.6, "@"), (V.URL_PATTERN, "Technology", 0.6, "://")]
 
 
 # gazetteers up to this many names are sent to every task
@@ -112,15 +112,17 @@ def extract_entities(chunks: DataFrame, gazetteer: DataFrame, patterns=None, max
     """Entities named in chunks: one row per (chunk, name), placed at its first occurrence.
 
     ``gazetteer``: name, entity_type, confidence. ``patterns``: (regex, type,
-    confidence) rules whose matches become names themselves.
+    confidence, needle) rules whose matches become names themselves; a chunk
+    without the needle is not searched.
     """
     keys = ["document_id", "chunk_index", "name", "entity_type"]
     # rows with the same names fold map-side, so a frequent name does not pile up
     known = mentions(chunks, gazetteer, max_words).groupBy(*keys).agg(
         F.min("word_pos").alias("word_pos"), F.min_by("evidence", "word_pos").alias("evidence"), F.max("confidence").alias("confidence"))
     out = known
-    for rx, typ, conf in (DEFAULT_PATTERNS if patterns is None else patterns):
-        found = (explode_rows(chunks, ["document_id", "chunk_index"], F.regexp_extract_all("text", F.lit(rx), F.lit(0)), "name", "_i")
+    for rx, typ, conf, needle in (DEFAULT_PATTERNS if patterns is None else patterns):
+        matches = F.when(F.contains("text", F.lit(needle)), F.regexp_extract_all("text", F.lit(rx), F.lit(0)))
+        found = (explode_rows(chunks, ["document_id", "chunk_index"], matches, "name", "_i")
                  .groupBy("document_id", "chunk_index", "name")
                  .agg((F.min("_i") + 100_000).alias("word_pos"))
                  .select("document_id", "chunk_index", "name", F.lit(typ).alias("entity_type"), "word_pos",

@@ -70,16 +70,22 @@ def merge_edges(edges: DataFrame, nodes: DataFrame, rels: DataFrame) -> tuple[Da
     linked = F.col("_s").isNotNull() & F.col("_t").isNotNull()
     merged, counts = _merge(edges, flagged.filter(linked), ["src", "tgt", "id"], EDGE_FIELDS)
     skipped = flagged.agg(F.count_if(~linked).alias("skipped"))
-    return merged, counts.withColumn("skipped", skipped.scalar())
+    return merged, _totals(["created", "updated", "skipped"], counts, skipped)
+
+
+def _totals(names: list[str], *parts: DataFrame) -> DataFrame:
+    """One row from one-row frames holding some of the named counts each."""
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p, allowMissingColumns=True)
+    return stacked.agg(*[F.sum(n).alias(n) for n in names])
 
 
 def merge_counts(node_counts: DataFrame, edge_counts: DataFrame) -> DataFrame:
     """One row: nodes_created, nodes_updated, edges_created, edges_updated, edges_skipped."""
-    return node_counts.select(
-        F.col("created").alias("nodes_created"), F.col("updated").alias("nodes_updated"),
-        edge_counts.select("created").scalar().alias("edges_created"),
-        edge_counts.select("updated").scalar().alias("edges_updated"),
-        edge_counts.select("skipped").scalar().alias("edges_skipped"))
+    n = node_counts.select(*[F.col(c).alias(f"nodes_{c}") for c in ("created", "updated")])
+    e = edge_counts.select(*[F.col(c).alias(f"edges_{c}") for c in ("created", "updated", "skipped")])
+    return _totals(n.columns + e.columns, n, e)
 
 
 def _ends_in_one_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 """Queries over entity and relationship extraction."""
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgloom import vocab as V
@@ -23,6 +24,11 @@ def _entities(spark, sf):
     return X.extract_entities(_chunks(spark, sf), N.gazetteer(spark, sf))
 
 
+def stored_entities(spark, sf):
+    """Stands for the stored entity table where one is read more than once."""
+    return cut_lineage(_entities(spark, sf))
+
+
 # every token of every chunk, the mentions among them, and one row per (chunk, name)
 TOKENS = CHUNKS + r""",
 tk0 as (select document_id, chunk_index, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from chunks),
@@ -61,7 +67,7 @@ def _(spark, sf):
 select *, count(*) over (partition by document_id, chunk_index) as chunk_names from vis
 qualify chunk_names>=2"""))
 def _(spark, sf):
-    return X.visible_entities(_chunks(spark, sf), _entities(spark, sf))
+    return X.visible_entities(cut_lineage(_chunks(spark, sf)), stored_entities(spark, sf))
 
 
 EXTREL = TOKENS + """,
@@ -82,7 +88,7 @@ extrel as (select * from rel0 qualify row_number() over (partition by lower(sour
 
 @query("extract_relations_by_cues", with_ctes(TEXT, EXTREL, body="select * from extrel"))
 def _(spark, sf):
-    return X.extract_relations(_chunks(spark, sf), _entities(spark, sf), N.cue_words(spark, sf))
+    return X.extract_relations(_chunks(spark, sf), stored_entities(spark, sf), N.cue_words(spark, sf))
 
 
 # -- response tables -------------------------------------------------------
@@ -135,7 +141,6 @@ def _(spark, sf):
 def relation_responses(spark, sf):
     """One JSON answer per document relating each found name to the next, with unknown types and names mixed in."""
     e = cut_lineage(X.entities_from_responses(entity_responses(spark, sf)))
-    from pyspark.sql import Window
     w = Window.partitionBy("document_id").orderBy("pos")
     nxt = e.withColumn("nxt", F.lead("name").over(w)).filter("nxt is not null")
     typ = F.element_at(F.array(*[F.lit(t) for t in ("uses", "OWNS", "ACQUIRED_BY", "Located_In")]), (F.col("pos") % 4 + 1).cast("int"))

@@ -3,7 +3,7 @@
 Each lens exists twice: as DataFrames for the operators and as SQL common table
 expressions for the twin queries.
 """
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgloom import vocab as V
@@ -126,10 +126,9 @@ def mention_entities(spark, sf):
 
 
 def mention_relationships(spark, sf):
-    """An event followed by the same user's next event."""
+    """An event followed by the same user's next event of the day; a day bounds what one task has to order."""
     ev = table(spark, sf, "events")
-    from pyspark.sql import Window
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
     nxt = ev.withColumn("nxt", F.lead("event_id").over(w))
     return (nxt.filter((F.col("user_id") % 10 != 0) & F.col("event_type").isin("click", "purchase") & F.col("nxt").isNotNull())
             .select(_id("m", "event_id").alias("id"), _id("u", "user_id").alias("document_id"),
@@ -148,7 +147,7 @@ men_r as (
   select 'm:'||event_id as id, 'u:'||user_id as document_id, 'e:'||event_id as src, 'e:'||nxt as tgt,
          case when event_type='click' then 'USES' else 'renews' end as type,
          least(value/100.0::double, 1.0::double) as confidence
-  from (select *, lead(event_id) over (partition by user_id order by ts, event_id) as nxt from events)
+  from (select *, lead(event_id) over (partition by user_id, ts::date order by ts, event_id) as nxt from events)
   where user_id%10<>0 and event_type in ('click','purchase') and nxt is not null
 )"""
 

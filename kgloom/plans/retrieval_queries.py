@@ -1,4 +1,5 @@
 """Queries over embeddings, search, retrieval contexts and runs."""
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgloom import vocab as V
@@ -94,12 +95,11 @@ def _(spark, sf):
 
 def _text_graph(spark, sf):
     """Graph of the extracted entities; an entity's type is its name, so questions can ask for it."""
-    e = cut_lineage(XQ._entities(spark, sf)).filter("entity_type <> 'Person' or confidence <> 0.6D")
+    e = XQ.stored_entities(spark, sf).filter("entity_type <> 'Person' or confidence <> 0.6D")
     nodes = G.nodes_from(e.withColumn("entity_type", F.col("name")))
-    first = e.select("document_id", "id", "pos")
-    from pyspark.sql import Window
-    w = Window.partitionBy("document_id").orderBy("pos", "id")
-    # consecutive entities of a document are related
+    first = e.select("document_id", "chunk_index", "id", "pos")
+    w = Window.partitionBy("document_id", "chunk_index").orderBy("pos", "id")
+    # consecutive entities of a chunk are related
     rel = first.withColumn("nxt", F.lead("id").over(w)).filter("nxt is not null").select(
         F.concat(F.lit("x"), "id").alias("id"), "document_id", F.col("id").alias("source_entity_id"), F.col("nxt").alias("target_entity_id"),
         F.lit("USES").alias("relationship_type"), F.lit(1.0).alias("confidence"))
@@ -115,7 +115,7 @@ def _retrieve(spark, sf):
 
 GRAPHRAG = MATCHED + """,
 gn as (select *, lower(name) as lname from ext where name in (select name from gaz)),
-ge as (select 'x'||id as id, id as src, lead(id) over (partition by document_id order by pos, id) as tgt, name as sname, lead(name) over (partition by document_id order by pos, id) as tname from gn),
+ge as (select 'x'||id as id, id as src, lead(id) over (partition by document_id, chunk_index order by pos, id) as tgt, name as sname, lead(name) over (partition by document_id, chunk_index order by pos, id) as tname from gn),
 ge2 as (select * from ge where tgt is not null),
 wn as (select distinct question_id, gn.id, gn.name from matched join gn on gn.lname=lower(class_name)),
 hn as (select *, row_number() over (partition by question_id order by id) as rn from wn qualify rn<=60),
