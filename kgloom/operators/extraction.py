@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kgloom import vocab as V
 from kgloom.functions import text as T
 from kgloom.functions.arrays import explode_rows
-from kgloom.session import stable_id
+from kgloom.session import BROADCAST_ROWS, stable_id
 
 
 def parse_responses(df: DataFrame, schema: str, col: str = "response") -> tuple[DataFrame, DataFrame]:
@@ -80,10 +80,6 @@ def _token_rows(chunks: DataFrame, max_words: int = 1, keep_tokens: bool = False
 DEFAULT_PATTERNS = [(V.EMAIL_PATTERN, "Person", 0.6, "@"), (V.URL_PATTERN, "Technology", 0.6, "://")]
 
 
-# gazetteers up to this many names are sent to every task
-BROADCAST_NAMES = 200_000
-
-
 def mentions(chunks: DataFrame, gazetteer: DataFrame, max_words: int = 1, evidence: bool = True) -> DataFrame:
     """Every occurrence of a gazetteer name: document_id, chunk_index, word_pos, name, entity_type, confidence.
 
@@ -93,7 +89,7 @@ def mentions(chunks: DataFrame, gazetteer: DataFrame, max_words: int = 1, eviden
     chunks that had a hit.
     """
     names = gazetteer.select(F.lower("name").alias("token"), "name", "entity_type", "confidence")
-    small = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    small = names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     around = F.array_join(F.slice("_t", F.greatest(F.col("word_pos") - 5, F.lit(1)),
                                   F.least(F.col("word_pos") - 1, F.lit(5)) + F.col("words") + 5), " ")
     if small:

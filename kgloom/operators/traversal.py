@@ -7,33 +7,34 @@ linear and an executor loss repeats at most one hop.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.session import cut_lineage
+from kgloom.session import broadcast_if_small, cut_lineage
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """Distinct (a, b) pairs in both directions, without self-loops."""
+    """(a, b) pairs in both directions, without self-loops; parallel edges stay, as the aggregates after it fold them."""
     e = edges.filter("src is not null and tgt is not null and src <> tgt")
-    return (e.select(F.col("src").alias("a"), F.col("tgt").alias("b"))
-            .unionByName(e.select(F.col("tgt").alias("a"), F.col("src").alias("b"))).distinct())
+    return e.select(F.col("src").alias("a"), F.col("tgt").alias("b")).unionByName(e.select(F.col("tgt").alias("a"), F.col("src").alias("b")))
 
 
 def distances(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int, parents: bool = False) -> DataFrame:
     """start_id, id, dist (and parent) for everything within ``depth`` hops of each start.
 
-    The parent is the lowest neighbour id one hop nearer to the start.
+    The parent is the lowest neighbour id one hop nearer to the start. A frontier
+    of few rows is broadcast, so the edge table is scanned and not shuffled; a
+    large one is joined by shuffle, where skewed hubs are split at run time.
     """
     adj = undirected(edges)
     known = nodes.select(F.col("id").alias("start_id"))
-    seen = starts.select("start_id").distinct().join(known, "start_id", "left_semi").select(
-        "start_id", F.col("start_id").alias("id"), F.struct(F.lit(0).alias("dist"), F.lit(None).cast("string").alias("parent")).alias("at"))
+    none = F.lit(None).cast("string")
+    seen = cut_lineage(starts.select("start_id").distinct().join(known, "start_id", "left_semi").select(
+        "start_id", F.col("start_id").alias("id"), F.struct(F.lit(0).alias("dist"), none.alias("parent")).alias("at")))
     for d in range(1, depth + 1):
-        if d > 1:
-            seen = cut_lineage(seen)
-        edge_of_set = seen.filter(F.col("at.dist") == d - 1)
-        step = edge_of_set.join(adj, F.col("id") == F.col("a")).select(
-            "start_id", F.col("b").alias("id"),
-            F.struct(F.lit(d).alias("dist"), (F.col("a") if parents else F.lit(None).cast("string")).alias("parent")).alias("at"))
-        seen = seen.unionByName(step).groupBy("start_id", "id").agg(F.min("at").alias("at"))
+        frontier = seen.filter(F.col("at.dist") == d - 1).select("start_id", F.col("id").alias("a"))
+        if frontier.isEmpty():
+            break
+        step = adj.join(broadcast_if_small(frontier), "a").select(
+            "start_id", F.col("b").alias("id"), F.struct(F.lit(d).alias("dist"), (F.col("a") if parents else none).alias("parent")).alias("at"))
+        seen = cut_lineage(seen.unionByName(step).groupBy("start_id", "id").agg(F.min("at").alias("at")))
     out = seen.select("start_id", "id", F.col("at.dist").alias("dist"), F.col("at.parent").alias("parent"))
     return out if parents else out.drop("parent")
 
@@ -44,8 +45,8 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: i
     An edge belongs to the result when some walk of at most ``depth`` edges uses
     it, i.e. its nearer end is at most ``depth - 1`` away.
     """
-    near = cut_lineage(distances(nodes, edges, starts, depth))
-    inner = near.filter(F.col("dist") <= depth - 1).select("start_id", "id")
+    near = distances(nodes, edges, starts, depth)
+    inner = broadcast_if_small(near.filter(F.col("dist") <= depth - 1).select("start_id", "id"))
     cols = ["start_id", "id", "type", "src", "tgt"]
     by_src = edges.join(inner.withColumnRenamed("id", "src"), "src").select(cols)
     by_tgt = edges.join(inner.withColumnRenamed("id", "tgt"), "tgt").select(cols)
@@ -60,7 +61,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, depth:
     walking back from the target.
     """
     starts = pairs.select(F.col("from_id").alias("start_id"))
-    tree = cut_lineage(distances(nodes, edges, starts, depth, parents=True))
+    tree = distances(nodes, edges, starts, depth, parents=True)
     back = tree.select(F.col("start_id").alias("from_id"), F.col("id").alias("at"), "parent")
     goal = tree.select(F.col("start_id").alias("from_id"), F.col("id").alias("to_id"), F.col("dist").alias("hops"))
     cur = (pairs.select("from_id", "to_id").distinct().join(goal, ["from_id", "to_id"])

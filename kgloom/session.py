@@ -38,6 +38,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# frames up to this many rows may be sent to every task
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows, else unchanged.
+
+    Counting stops at the limit. For narrow frames that are cheap to evaluate,
+    such as checkpointed ones.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def stable_id(*cols) -> Column:
     """Deterministic row id from a natural key, so re-runs give the same ids."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string") for c in cols]), 256)

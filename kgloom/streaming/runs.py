@@ -35,6 +35,12 @@ def latest_status(updates: DataFrame) -> DataFrame:
     return updates.groupBy("run_id").agg(F.max_by(F.struct(*cols), order).alias("u")).select("run_id", "u.*")
 
 
+def stuck_in_stream(updates: DataFrame, now, minutes: int = 15) -> DataFrame:
+    """Runs whose latest update is older than ``minutes`` and which have not finished."""
+    at = F.to_timestamp(F.lit(now))
+    return latest_status(updates).filter((F.col("status") == "running") & (F.col("last_ts") + F.make_dt_interval(mins=F.lit(minutes)) < at))
+
+
 def monitor_runs(events: DataFrame, path: str, checkpoint: str, **options):
     """Starts the monitor; each batch of updates is written to its own folder, so a repeated batch overwrites itself."""
     def save(batch, epoch):

@@ -79,6 +79,8 @@ def test_run_stream_equals_batch(spark, rows, tmp_path):
     SR.monitor_runs(SR.read_run_events(spark, src), out, ck).awaitTermination()
     df.filter("event_id >= 25").write.mode("append").parquet(src)
     SR.monitor_runs(SR.read_run_events(spark, src), out, ck).awaitTermination()
+    late = rows(SR.stuck_in_stream(spark.read.parquet(out), "2024-01-01 01:30:00"), "run_id")
+    assert late == [(0,), (3,), (4,)] and SR.stuck_in_stream(spark.read.parquet(out), "2024-01-01 00:50:00").count() == 0
     cols = ["run_id", "status", "current_step", "finished"]
     assert rows(SR.latest_status(spark.read.parquet(out)), *cols) == rows(SR.latest_status(SR.stream_run_status(df)), *cols)
 
