@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kgloom import vocab as V
 from kgloom.functions import text as T
 from kgloom.functions.arrays import explode_rows
-from kgloom.session import BROADCAST_ROWS, stable_id
+from kgloom.session import BROADCAST_ROWS, cut_lineage, stable_id
 
 
 def parse_responses(df: DataFrame, schema: str, col: str = "response") -> tuple[DataFrame, DataFrame]:
@@ -166,8 +166,8 @@ def visible_entities(chunks: DataFrame, entities: DataFrame, q: int = 4, min_vis
     low = chunks.select("document_id", "chunk_index", F.lower("text").alias("_text"))
     words = explode_rows(low, ["document_id", "chunk_index"], F.array_distinct(F.split("_text", " ")), "word").filter("word <> ''")
     known = _words_containing(words.select("word").distinct(), names.select("part").distinct(), q)
-    cand = (words.join(known, "word").select("document_id", "chunk_index", "part").distinct()
-            .join(names, ["document_id", "part"]).select("document_id", "chunk_index", "key", "entity"))
+    cand = cut_lineage(words.join(known, "word").select("document_id", "chunk_index", "part").distinct()
+                       .join(names, ["document_id", "part"]).select("document_id", "chunk_index", "key", "entity"))
     single = F.instr("key", " ") == 0
     verified = (cand.filter(~single).join(low, ["document_id", "chunk_index"]).filter(F.contains("_text", F.col("key"))))
     seen = cand.filter(single).drop("key").unionByName(verified.select("document_id", "chunk_index", "entity"))
@@ -205,8 +205,13 @@ def extract_relations(chunks: DataFrame, entities: DataFrame, cues: DataFrame, d
     """
     names = name_map(entities).select("document_id", F.col("key").alias("token"), "entity")
     cue_rows = cues.select(F.lower("cue").alias("token"), F.struct("cue", "relationship_type", "source_type", "target_type", "confidence").alias("c"))
+    toks = _token_rows(chunks).drop("words")
+    vocabulary = names.select("token").unionByName(cue_rows.select("token")).distinct()
+    if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # tokens that are no cue and no name of any document need not be shuffled
+        toks = toks.join(F.broadcast(vocabulary), "token", "left_semi")
     # one pass over the tokens: each is looked up as a cue and as a name, the rest is dropped
-    toks = _token_rows(chunks).drop("words").join(cue_rows, "token", "left").join(names, ["document_id", "token"], "left")
+    toks = toks.join(cue_rows, "token", "left").join(names, ["document_id", "token"], "left")
     spot = F.when(F.col("entity").isNotNull(), F.struct("word_pos", F.col("entity.entity_type").alias("t"), F.col("entity.id").alias("eid")))
     mark = F.when(F.col("c").isNotNull(), F.struct("word_pos", "c.*"))
     per_chunk = (toks.filter("c is not null or entity is not null").groupBy("document_id", "chunk_index")

@@ -40,11 +40,12 @@ def stream_documents(arriving: DataFrame, gazetteer: DataFrame, path: str, check
 
     def save(batch, epoch):
         order = F.struct("ts", "raw_text") if "ts" in batch.columns else F.col("raw_text")
-        one = batch.groupBy("id").agg(F.max_by(F.struct("filename", "raw_text"), order).alias("d")).select("id", "d.*")
+        one = batch.groupBy("id").agg(F.max_by(F.struct("filename", "raw_text"), order).alias("d")).select("id", "d.*").persist()
         tables = document_tables(one, gazetteer, embedder)
         # the document list makes a batch valid, so it is written last
         for name in reversed(TABLES):
             tables[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={epoch}")
+        one.unpersist()
     w = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
