@@ -12,6 +12,7 @@ def query(name, sql=None):
         def run(spark, sf_dir):
             # split skewed join partitions even where that costs a further shuffle
             spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(spark, sf_dir)
         QUERIES[name] = run
         if sql is not None:
