@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kgloom import vocab as V
 from kgloom.functions import text as T
 from kgloom.functions.arrays import explode_rows
-from kgloom.session import BROADCAST_ROWS, cut_lineage, stable_id
+from kgloom.session import BROADCAST_ROWS, cut_lineage, page, stable_id
 
 
 def parse_responses(df: DataFrame, schema: str, col: str = "response") -> tuple[DataFrame, DataFrame]:
@@ -293,12 +293,12 @@ def list_entities(df: DataFrame, document_id=None, entity_type=None, limit: int
         df = df.filter(F.col("document_id") == document_id)
     if entity_type is not None:
         df = df.filter(F.col("entity_type") == entity_type)
-    page = df.orderBy(F.col("created_at").desc(), "id").offset(offset).limit(limit)
+    rows = page(df, [F.col("created_at").desc(), "id"], limit, offset)
     attrs = F.col("attributes")
     if dict(df.dtypes)["attributes"] == "string":
         attrs = F.from_json("attributes", "map<string,string>")
     attrs = F.coalesce(attrs, F.expr("cast(map() as map<string,string>)"))
-    return page.select("id", "document_id", "entity_type", "name",
+    return rows.select("id", "document_id", "entity_type", "name",
                        F.map_filter(attrs, lambda k, v: k != "_evidence").alias("attributes"),
                        F.coalesce(F.try_element_at(attrs, F.lit("_evidence")), "evidence_chunk").alias("evidence_chunk"), "confidence", "created_at")
 
@@ -310,7 +310,7 @@ def list_relationships(df: DataFrame, document_id=None, relationship_type=None,
         df = df.filter(F.col("document_id") == document_id)
     if relationship_type is not None:
         df = df.filter(F.col("relationship_type") == relationship_type)
-    return df.orderBy(F.col("created_at").desc(), "id").offset(offset).limit(limit)
+    return page(df, [F.col("created_at").desc(), "id"], limit, offset)
 
 
 def type_counts(df: DataFrame, col: str, only=None) -> DataFrame:

@@ -6,7 +6,7 @@ from kgloom import vocab as V
 from kgloom.functions.arrays import explode_rows
 from kgloom.functions.matching import close_strings
 from kgloom.operators.quality import latest_version_classes
-from kgloom.session import number_within
+from kgloom.session import number_within, page
 
 CLASS_SCHEMA = "id string, name string, description string, parent_class string, properties array<string>, synonyms array<string>"
 
@@ -198,7 +198,7 @@ def list_versions(versions: DataFrame, document_id=None, limit: int = 20, offset
     if not 1 <= limit <= 100:
         raise ValueError("limit must be between 1 and 100")
     v = versions if document_id is None else versions.filter(F.col("document_id") == document_id)
-    return v.orderBy(F.col("created_at").desc(), "id").offset(offset).limit(limit).drop("ontology_json")
+    return page(v, [F.col("created_at").desc(), "id"], limit, offset).drop("ontology_json")
 
 
 def get_version(versions: DataFrame, version_id) -> DataFrame:

@@ -76,3 +76,19 @@ def number_within(df: DataFrame, keys: list, order: list, name: str = "seq_no")
     numbered = ranged.withColumn("_at", F.row_number().over(inner))
     return (numbered.join(shifts.withColumnRenamed("_range", "_r"), (F.col("_range") == F.col("_r")) & same)
             .withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name))
+
+
+# pages that end beyond this row are cut from ranges instead of one sorted head
+DEEP_PAGE = 100_000
+
+
+def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """Rows offset+1 .. offset+limit in a total order.
+
+    A page near the start is a top-n. Far from it the rows are range-partitioned
+    and numbered, so no task or driver ever holds all rows before the page.
+    """
+    if offset + limit <= DEEP_PAGE:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    numbered = number_within(df, [], order, "_pos")
+    return numbered.filter((F.col("_pos") > offset) & (F.col("_pos") <= offset + limit)).orderBy("_pos").drop("_pos")

@@ -2,6 +2,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.session import page
+
 OWNED = ("chunks", "entities", "relationships")
 REFERRING = ("ontology_versions", "runs", "issues")
 
@@ -41,7 +43,7 @@ def append_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def paginate(df: DataFrame, order, limit: int, offset: int = 0) -> DataFrame:
     """One page in the given total order, with the full row count in ``total``."""
     total = df.agg(F.count(F.lit(1)))
-    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total.scalar())
+    return page(df, order, limit, offset).withColumn("total", total.scalar())
 
 
 _NODE, _PROP, _TYPE = "urn:kg:node:", "urn:kg:prop:", "urn:kg:type:"

@@ -168,3 +168,13 @@ def test_report_after_clean_build(spark, rows):
     v = C.consistency_violations(e, r)
     assert v.count() == 0
     assert C.report_summary(C.validation_report(v, e, r)).first().summary == "Validation PASSED: 0 errors, 0 warnings across 3 items"
+
+
+def test_deep_pages_equal_shallow_ones(spark, rows, monkeypatch):
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("g")).repartition(6)
+    order = [F.col("g").desc(), "id"]
+    want = sorted(((-(i % 7), i) for i in range(500)))[120:150]
+    assert [r.id for r in S.paginate(df, order, 30, 120).collect()] == [i for _, i in want]
+    monkeypatch.setattr("kgloom.session.DEEP_PAGE", 10)
+    deep = S.paginate(df, order, 30, 120).collect()
+    assert [r.id for r in deep] == [i for _, i in want] and deep[0].total == 500
