@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from kgloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,11 +29,12 @@ def duck():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalogue.QUERIES) == set(catalogue.SQL)
+    assert set(catalogue.QUERIES) <= set(entry.queries()) and set(catalogue.SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(entry.queries()) if os.environ.get("ALL_QUERIES") else SAMPLE)
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES) if os.environ.get("ALL_QUERIES") else SAMPLE)
 def test_twin(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
