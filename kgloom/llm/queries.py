@@ -1,14 +1,23 @@
 """The registered queries of this subpackage: one per operator, over whole tables, and the pipeline."""
-from kgloom.llm import bpe_codec, exact_dedup, token_counts
+from kgloom.llm import bpe_codec, exact_dedup, language_id, packing, sharding, token_counts, url_filters
 
 
 def _documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _url_filters(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filters.filter_urls(url_filters.page_captures(pages), url_filters.page_lists(pages))
+
+
 QUERIES = {
     "op3_bpe_codec": lambda spark, sf: bpe_codec.codec_digests(_documents(spark, sf)),
+    "op4_sharding": lambda spark, sf: sharding.shard_report(_documents(spark, sf)),
+    "op5_url_filters": _url_filters,
+    "op7_best_fit_packing": lambda spark, sf: packing.pack_documents(_documents(spark, sf)),
+    "op8_language_id": lambda spark, sf: language_id.language_report(_documents(spark, sf)),
     "op9_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(_documents(spark, sf)),
     "op10_token_counts": lambda spark, sf: token_counts.token_report(_documents(spark, sf)),
 }
-SQL = {"op9_exact_dedup": exact_dedup.SQL}
+SQL = {"op5_url_filters": url_filters.SQL, "op9_exact_dedup": exact_dedup.SQL}
