@@ -1,5 +1,5 @@
 """The registered queries of this subpackage: one per operator, over whole tables, and the pipeline."""
-from kgloom.llm import bpe_codec, exact_dedup, language_id, packing, sharding, token_counts, url_filters
+from kgloom.llm import bpe_codec, exact_dedup, language_id, ngram_join, packing, sharding, token_counts, url_filters, vector_dedup
 
 
 def _documents(spark, sf_dir):
@@ -12,9 +12,11 @@ def _url_filters(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_vector_dedup": lambda spark, sf: vector_dedup.near_duplicate_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")),
     "op3_bpe_codec": lambda spark, sf: bpe_codec.codec_digests(_documents(spark, sf)),
     "op4_sharding": lambda spark, sf: sharding.shard_report(_documents(spark, sf)),
     "op5_url_filters": _url_filters,
+    "op6_ngram_join": lambda spark, sf: ngram_join.similar_groups(_documents(spark, sf)),
     "op7_best_fit_packing": lambda spark, sf: packing.pack_documents(_documents(spark, sf)),
     "op8_language_id": lambda spark, sf: language_id.language_report(_documents(spark, sf)),
     "op9_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(_documents(spark, sf)),
