@@ -9,45 +9,42 @@ Defined cases: a null text encodes like an empty one (no ids, decoded as the emp
 string); special strings of the file inside a text become their own ids; repeated
 rows and rows without id are encoded like any other; other columns pass through.
 """
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructType
+
+from kgloom.llm.common import SharedEncoder, add_columns, tokenizer_path
 
-from kgloom.llm.common import SharedEncoder, no_cycle_collection, tokenizer_path
 
+def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with a binary column of token ids, little-endian unsigned 32-bit integers.
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", shared: SharedEncoder | None = None) -> DataFrame:
-    """``docs`` with a binary column of token ids: little-endian unsigned 32-bit integers."""
-    shared = shared or SharedEncoder(docs.sparkSession, path)
+    With ``decoded`` the ids are decoded again in the same pass, into a column of that name.
+    """
+    shared = SharedEncoder(docs.sparkSession, path)
 
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make(texts: list) -> list:
         encoder = shared.get()
-        with no_cycle_collection():
-            for texts in batches:
-                yield pd.Series([encoder.encode(t or "") for t in texts], dtype=object)
-    return docs.withColumn(out, ids(F.col(text_col)))
+        ids = [encoder.encode(t or "") for t in texts]
+        return [pa.array(ids, pa.binary()), *([pa.array(map(encoder.decode, ids), pa.string())] if decoded else [])]
+    added = StructType().add(out, BinaryType())
+    return add_columns(docs, text_col, added.add(decoded, StringType()) if decoded else added, make)
 
 
-def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded", shared: SharedEncoder | None = None) -> DataFrame:
+def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids; special tokens are kept."""
-    shared = shared or SharedEncoder(df.sparkSession, path)
+    shared = SharedEncoder(df.sparkSession, path)
 
-    @F.pandas_udf("string")
-    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make(ids: list) -> list:
         encoder = shared.get()
-        for ids in batches:
-            yield pd.Series([encoder.decode(i or b"") for i in ids], dtype=object)
-    return df.withColumn(out, texts(F.col(ids_col)))
+        return [pa.array([encoder.decode(i or b"") for i in ids], pa.string())]
+    return add_columns(df, ids_col, StructType().add(out, StringType()), make)
 
 
 def codec_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    path = path or tokenizer_path("word_bpe_49k.json")
-    shared = SharedEncoder(docs.sparkSession, path)
-    coded = decode(encode(docs.select("doc_id", "text"), path, shared=shared), path, shared=shared)
+    coded = encode(docs.select("doc_id", "text"), path or tokenizer_path("word_bpe_49k.json"), decoded="decoded")
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -1,10 +1,15 @@
 """What several operators share: lineage cuts, free column names, tokenizer tables for tasks."""
 import gc
 import os
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kgloom.llm import merges
 from kgloom.session import cut_lineage  # noqa: F401
@@ -12,7 +17,8 @@ from kgloom.session import cut_lineage  # noqa: F401
 # fixed value: folder of the public tokenizer files on this machine; every operator takes a path of its own
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
-HELD_OUT = "crc32(cast(cast({id} as string) as binary)) % {n} = {rest}"
+# bytes of input that are worked on, and sent on, at a time
+SLICE_BYTES = 2 << 20
 
 
 def held_out(id_col: str, n: int, rest: int):
@@ -59,3 +65,22 @@ def no_cycle_collection():
     finally:
         if was:
             gc.enable()
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of about ``SLICE_BYTES`` of a text or binary column, at least a row each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
+
+
+def add_columns(df: DataFrame, source: str, added: StructType, make: Callable[[list], list[pa.Array]]) -> DataFrame:
+    """``df`` with columns that ``make`` derives from the values of ``source``, a bounded part of a batch at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with no_cycle_collection():
+            for batch in batches:
+                for part in slices(batch, source) if batch.num_rows else ():
+                    yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(source).to_pylist())], names=[*batch.schema.names, *added.names])
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
