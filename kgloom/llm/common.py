@@ -26,6 +26,15 @@ def held_out(id_col: str, n: int, rest: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n == rest, F.lit(False))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; set here only where nothing is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        cut_lineage(spark.range(0))  # local sessions get a folder with their first checkpoint
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def tokenizer_path(name: str) -> str:
     return os.path.join(TOKENIZER_DIR, name)
 

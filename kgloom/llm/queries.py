@@ -1,5 +1,6 @@
 """The registered queries of this subpackage: one per operator, over whole tables, and the pipeline."""
-from kgloom.llm import bpe_codec, exact_dedup, language_id, ngram_join, packing, sharding, token_counts, url_filters, vector_dedup
+import corpus_pipeline
+from kgloom.llm import bpe_codec, exact_dedup, language_id, ngram_join, packing, sharding, token_counts, toxicity, url_filters, vector_dedup
 
 
 def _documents(spark, sf_dir):
@@ -12,6 +13,7 @@ def _url_filters(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": lambda spark, sf: toxicity.toxicity_report(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")),
     "op2_vector_dedup": lambda spark, sf: vector_dedup.near_duplicate_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")),
     "op3_bpe_codec": lambda spark, sf: bpe_codec.codec_digests(_documents(spark, sf)),
     "op4_sharding": lambda spark, sf: sharding.shard_report(_documents(spark, sf)),
@@ -21,5 +23,6 @@ QUERIES = {
     "op8_language_id": lambda spark, sf: language_id.language_report(_documents(spark, sf)),
     "op9_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(_documents(spark, sf)),
     "op10_token_counts": lambda spark, sf: token_counts.token_report(_documents(spark, sf)),
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op5_url_filters": url_filters.SQL, "op9_exact_dedup": exact_dedup.SQL}
