@@ -18,13 +18,18 @@ PAD = ""
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words without punctuation around them; a longer one is cut into pieces."""
-    words = [w.strip(".,;:!?\"'()[]{}<>«»¡¿|*_#%-") or w for w in (text or "").lower().split()]
+    """Lower-cased words of a text as they stand; a longer one is cut into pieces."""
+    words = (text or "").lower().split()
     if words and max(map(len, words)) > PIECE:
         words = [w[i:i + PIECE] for w in words for i in range(0, len(w), PIECE)]
     return words
 
 
+def bare(word: str) -> str:
+    """The word without punctuation around it, unless it is nothing else."""
+    return word.strip(".,;:!?\"'()[]{}<>«»¡¿|*_#%-") or word
+
+
 def window_starts(n: int) -> range:
     """Starts of overlapping windows that cover all of n words."""
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
@@ -91,26 +96,25 @@ def word_bucket(word: str) -> int:
 
 def word_inputs(words: list[str], common: np.ndarray):
     """Word buckets (0 unless ``common``), character buckets (length, words) and mask of a list of words."""
-    longest = max(1, max(map(len, words)))
-    chars, keep = np.zeros((longest, len(words)), dtype=np.int64), np.zeros((longest, len(words)), dtype=np.float32)
-    for i, w in enumerate(words):
-        codes = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        chars[:len(codes), i] = codes % (CHAR_BUCKETS - 1) + 1
-        keep[:len(codes), i] = 1
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    keep = np.arange(max(1, sizes.max())) < sizes[:, None]
+    chars = np.zeros(keep.shape, dtype=np.int64)
+    chars[keep] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % (CHAR_BUCKETS - 1) + 1
     buckets = np.fromiter(map(word_bucket, words), dtype=np.int64, count=len(words))
-    return np.where(common[buckets], buckets, 0), chars, keep
+    return np.where(common[buckets], buckets, 0), np.ascontiguousarray(chars.T), np.ascontiguousarray(keep.T.astype(np.float32))
 
 
 def word_vectors(p: dict, inputs, trace: dict | None = None) -> np.ndarray:
     buckets, chars, keep = inputs
-    emb = p["char"][chars]
+    same_length = bool(keep.all())
     ends = []
     for side in "fb":
-        e, k = (emb, keep) if side == "f" else (emb[::-1], keep[::-1])
+        at, k = (chars, keep) if side == "f" else (chars[::-1], keep[::-1])
         kept: list = []
-        ends.append(forward_gru(e @ p[f"c{side}_w"] + p[f"c{side}_b"], p[f"c{side}_u"], k, kept if trace is not None else None)[-1])
+        gates = (p["char"] @ p[f"c{side}_w"] + p[f"c{side}_b"])[at]
+        ends.append(forward_gru(gates, p[f"c{side}_u"], None if same_length else k, kept if trace is not None else None)[-1])
         if trace is not None:
-            trace[side] = (e, k, kept)
+            trace[side] = (at, None if same_length else k, kept)
     return np.concatenate([p["word"][buckets], *ends], axis=1)
 
 
@@ -166,13 +170,14 @@ def gradients(p: dict, windows: list[list[str]], labels: np.ndarray, common: np.
     g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
     np.add.at(g["word"], inputs[0], d_x[:, :WORD_DIM])
     for side, lo in (("f", WORD_DIM), ("b", WORD_DIM + CHAR_STATE)):
-        e, keep, kept = chars_trace[side]
-        grad = np.zeros((*keep.shape, CHAR_STATE), dtype=np.float32)
+        order, keep, kept = chars_trace[side]
+        grad = np.zeros((*order.shape, CHAR_STATE), dtype=np.float32)
         grad[-1] = d_x[:, lo:lo + CHAR_STATE]
         d_gates, g[f"c{side}_u"] = backward_gru(grad, p[f"c{side}_u"], kept, keep)
-        g[f"c{side}_w"], g[f"c{side}_b"] = np.einsum("tni,tnj->ij", e, d_gates), d_gates.sum(axis=(0, 1))
-        d_e = d_gates @ p[f"c{side}_w"].T
-        np.add.at(g["char"], (inputs[1] if side == "f" else inputs[1][::-1]).ravel(), d_e.reshape(-1, CHAR_DIM))
+        d_table = np.zeros((CHAR_BUCKETS, 3 * CHAR_STATE), dtype=np.float32)
+        np.add.at(d_table, order.ravel(), d_gates.reshape(-1, 3 * CHAR_STATE))
+        g[f"c{side}_w"], g[f"c{side}_b"] = p["char"].T @ d_table, d_table.sum(axis=0)
+        g["char"] += d_table @ p[f"c{side}_w"].T
     return loss, g
 
 
@@ -198,7 +203,7 @@ class Adam:
 class Scorer:
     """Largest window logit of texts. Gates of words are kept in a table of bounded size."""
 
-    WORDS, BLOCK, LENGTHS = 200_000, 2048, (4, 8, 12, 16, PIECE)
+    WORDS, BLOCK = 300_000, 2048
 
     def __init__(self, params: dict, common: np.ndarray):
         self.p, self.common = params, common
@@ -212,17 +217,18 @@ class Scorer:
 
     def _learn(self, words: list[str]):
         first = len(self.known)
+        shown = [bare(w) for w in words]
         for i, w in enumerate(words):
             self.known[w] = first + i
         while len(self.known) > len(self.gates_f):
             self.gates_f, self.gates_b = (np.concatenate([g, np.empty_like(g)]) for g in (self.gates_f, self.gates_b))
         by_length: dict = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(next(n for n in self.LENGTHS if len(w) <= n), []).append(i)
+        for i, w in enumerate(shown):
+            by_length.setdefault(len(w), []).append(i)
         for rows in by_length.values():
             for a in range(0, len(rows), 4 * self.BLOCK):
                 part = rows[a:a + 4 * self.BLOCK]
-                x = word_vectors(self.p, word_inputs([words[i] for i in part], self.common))
+                x = word_vectors(self.p, word_inputs([shown[i] for i in part], self.common))
                 at = first + np.array(part)
                 self.gates_f[at] = x @ self.p["sf_w"] + self.p["sf_b"]
                 self.gates_b[at] = x @ self.p["sb_w"] + self.p["sb_b"]
@@ -230,12 +236,13 @@ class Scorer:
     def windows(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Logits of all overlapping windows of the texts, and the text each belongs to."""
         lists = [words_of(t) for t in texts]
-        new = [w for w in dict.fromkeys([w for words in lists for w in words]) if w not in self.known]
+        every = set().union(*lists)
+        new = every - self.known.keys()
         if len(self.known) + len(new) > self.WORDS and len(self.known) > 1:
             self.forget()
-            new = list(dict.fromkeys([w for words in lists for w in words if w != PAD]))
+            new = every
         if new:
-            self._learn(new)
+            self._learn(sorted(new))
         at, owner, get = [], [], self.known.__getitem__
         for j, words in enumerate(lists):
             if words:

@@ -27,9 +27,9 @@ from kgloom.llm import gated_net as net
 from kgloom.llm.common import add_columns, free_name, held_out, no_cycle_collection
 
 # the sample to fit: so many labelled documents per class at most, none longer than this
-TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 900, 1800, 40_000
+TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 900, 2400, 40_000
 REJECT = 0.7
-SEED, RATE, BATCH, STEPS = 7, 0.01, 64, 300
+SEED, RATE, BATCH, STEPS = 7, 0.01, 64, 400
 # characters per gram, and documents a word must be in for a vector of its own
 GRAM, COMMON = 5, 3
 
@@ -72,7 +72,7 @@ def train(sample: list[tuple[str, int]], steps: int = STEPS) -> dict | None:
     marked word with few neighbours put into the window of a clean document, so that
     the network learns the words and not what happens to stand around them.
     """
-    rows = [(w, y) for w, y in ((net.words_of(t), y) for t, y in sample) if w]
+    rows = [([net.bare(w) for w in words], y) for words, y in ((net.words_of(t), y) for t, y in sample) if words]
     labels = np.array([y for _, y in rows], dtype=np.int64)
     if not 0 < labels.sum() < len(labels):
         return None
@@ -87,7 +87,7 @@ def train(sample: list[tuple[str, int]], steps: int = STEPS) -> dict | None:
     hard: list[list[str]] = []
 
     def clean_window() -> list[str]:
-        if hard and rng.random() < 0.3:
+        if hard and rng.random() < 0.5:
             return hard[rng.integers(len(hard))]
         words = lists[rng.choice(clean)]
         start = int(rng.integers(0, max(1, len(words) - net.WINDOW + 1)))
@@ -105,7 +105,7 @@ def train(sample: list[tuple[str, int]], steps: int = STEPS) -> dict | None:
         return around[:net.WINDOW]
 
     for step in range(steps):
-        if step in (steps // 2, 3 * steps // 4):
+        if step in (steps // 3, steps // 2, 2 * steps // 3, 5 * steps // 6):
             hard = _worst_windows(net.Scorer(params, common), [lists[j] for j in clean])
         y = (np.arange(BATCH) < BATCH // 2).astype(np.float32)
         batch = [toxic_window(j) for j in rng.choice(toxic, BATCH // 2)] + [clean_window() for _ in range(BATCH - BATCH // 2)]
