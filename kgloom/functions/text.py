@@ -105,7 +105,7 @@ def safe_label(col) -> Column:
     """Node label from an entity type: parts capitalised and joined; empty gives Entity."""
     parts = F.split(F.regexp_replace(_c(col), "[- ]", "_"), "_")
     joined = F.array_join(
-        F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1_000_000)))), "")
+        F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))), "")
     return F.coalesce(F.nullif(joined, F.lit("")), F.lit("Entity"))
 
 
@@ -116,8 +116,8 @@ def fixed(col, places: int) -> Column:
 
 
 def to_json_text(col) -> Column:
-    """Struct or map as JSON text; non-ASCII characters are kept."""
-    return F.to_json(col)
+    """Struct or map as JSON text; non-ASCII characters and NULL fields are kept."""
+    return F.to_json(col, {"ignoreNullFields": "false"})
 
 
 def html_to_text(col) -> Column:
@@ -184,7 +184,8 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
     spark.udf.register("kg_nfc", _nfc)
     cleaned = _whitespace_sql(_replace_sql("x", f"[{V.CONTROL_CLASS}]"))
     cleaned = _strip_sql(_replace_sql(_replace_sql(cleaned, r"-{3,}", "'—'"), r"\.{3,}", "'…'"))
-    unfenced = _replace_sql(_replace_sql(_strip_sql("x"), r"\A```[a-zA-Z]*\n?"), r"\n?```\z")
+    fenced = r"(?s)\A```[a-zA-Z]*\n?(.*?)\n?```\z"
+    unfenced = f"regexp_extract({_strip_sql('x')}, {_raw(fenced)}, 1)"
     bodies = {
         "kg_strip": ("x STRING", "STRING", _strip_sql("x")),
         "kg_words": ("x STRING", "ARRAY<STRING>", _words_sql("x")),
@@ -200,7 +201,7 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
         "kg_safe_label": ("x STRING", "STRING",
                           "coalesce(nullif(array_join(transform(split(replace(replace(x, '-', '_'), ' ', '_'), '_'), "
                           "p -> concat(upper(left(p, 1)), lower(substr(p, 2)))), ''), ''), 'Entity')"),
-        "kg_strip_fences": ("x STRING", "STRING", f"if(x rlike {_raw('(?s)```.*```')}, {_strip_sql(unfenced)}, {_strip_sql('x')})"),
+        "kg_strip_fences": ("x STRING", "STRING", f"if({_strip_sql('x')} rlike {_raw(fenced)}, {_strip_sql(unfenced)}, {_strip_sql('x')})"),
     }
     for name, (args, ret, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {ret} RETURN {body}")

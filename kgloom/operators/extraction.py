@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kgloom import vocab as V
 from kgloom.functions import text as T
 from kgloom.functions.arrays import explode_rows
-from kgloom.session import BROADCAST_ROWS, cut_lineage, page, stable_id
+from kgloom.session import cut_lineage, page, stable_id
 
 
 def parse_responses(df: DataFrame, schema: str, col: str = "response") -> tuple[DataFrame, DataFrame]:
@@ -44,13 +44,13 @@ def entities_from_responses(resp: DataFrame) -> DataFrame:
     """
     ok, _ = parse_responses(resp, ENTITY_RESPONSE)
     items = explode_rows(ok, ["document_id", "chunk_index"], "parsed.entities", "e", "item")
-    evidence = F.substring(T.strip(F.coalesce("e.evidence", F.lit(""))), 1, V.EVIDENCE_CHARS)
+    evidence = T.strip(F.coalesce("e.evidence", F.lit("")))
     given = F.coalesce(F.from_json("e.attributes", "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
     attrs = F.map_concat(F.map_filter(given, lambda k, v: k != "_evidence"), F.create_map(F.lit("_evidence"), evidence))
     rows = items.select(
         stable_id("document_id", "chunk_index", "item").alias("id"), "document_id", "chunk_index",
         T.strip("e.type").alias("entity_type"), T.strip("e.name").alias("name"), _confidence(F.col("e.confidence")).alias("confidence"),
-        evidence.alias("evidence_chunk"), attrs.alias("attributes"), (F.col("chunk_index") * 100_000 + F.col("item")).cast("bigint").alias("pos"))
+        evidence.alias("evidence_chunk"), attrs.alias("attributes"), place("chunk_index", "item").alias("pos"))
     return rows.filter(F.col("entity_type").isin(V.ENTITY_TYPES) & (F.col("name") != ""))
 
 
@@ -58,53 +58,66 @@ def _tokens(col) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _token_rows(chunks: DataFrame, max_words: int = 1, keep_tokens: bool = False) -> DataFrame:
-    """Every token (or token n-gram up to ``max_words``) of a chunk with its position from 1.
+def _token_table(chunks: DataFrame) -> DataFrame:
+    """Chunks as token arrays ``t`` with a number ``row`` of their own, so that lookups come back to the very row, whatever its keys."""
+    return cut_lineage(chunks.select(F.monotonically_increasing_id().alias("row"), "document_id", "chunk_index", _tokens("text").alias("t")))
 
-    With ``keep_tokens`` each row still refers to the chunk's token array ``_t``.
-    """
-    toks = chunks.select("document_id", "chunk_index", _tokens("text").alias("_t"))
-    keep = ["document_id", "chunk_index"] + (["_t"] if keep_tokens else [])
 
-    def grams(n):
-        if n == 1:
-            return F.col("_t")
-        starts = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - (n - 1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_t", i, n), " "))
-    parts = [explode_rows(toks, keep, grams(n), "token", "_p").withColumns({"word_pos": F.col("_p") + 1, "words": F.lit(n)}).drop("_p")
-             for n in range(1, max_words + 1)]
-    return merge_results(*parts)
+def _occurrences(table: DataFrame, names: DataFrame, name_col: str, keys: list = ()) -> DataFrame:
+    """Every place where the tokens of a name follow each other in a chunk: row, word_pos (from 1), words and the columns of ``names``.
+
+    A name of any length is looked up by the token of it that is rarest in the
+    corpus, so that tokens meet few names; names of several tokens are then
+    verified in the chunk. ``keys`` are further columns that have to be equal, NULL
+    matching NULL.
+    """
+    names = cut_lineage(names.withColumns({"_nt": _tokens(name_col), "_nid": F.monotonically_increasing_id()}).filter(F.size("_nt") > 0))
+    flat = explode_rows(table, ["row", *keys], "t", "_token", "_p")
+    parts = names.select("_nid", F.posexplode("_nt").alias("_off", "_token"))
+    counts = flat.join(parts.select("_token").distinct(), "_token", "left_semi").groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = parts.join(counts, "_token").groupBy("_nid").agg(F.min_by(F.struct("_token", "_off"), F.struct("_n", "_off")).alias("_a"))
+    wanted = cut_lineage(names.join(rarest, "_nid").select("*", "_a.*", *[F.col(k).alias(f"_k_{k}") for k in keys]).drop("_a", "_nid", *keys))
+    same = F.col("flat._token") == F.col("wanted._token")
+    for k in keys:
+        same = same & F.col(f"flat.{k}").eqNullSafe(F.col(f"wanted._k_{k}"))
+    hits = flat.alias("flat").join(wanted.alias("wanted"), same).select(
+        "flat.row", (F.col("_p") - F.col("_off") + 1).alias("word_pos"), F.size("_nt").alias("words"), *[F.col(f"wanted.{c}") for c in wanted.columns if not c.startswith("_k_") and c not in ("_token", "_off")])
+    alone = hits.filter("words = 1").drop("_nt")
+    several = hits.filter("words > 1 and word_pos > 0").join(table.select("row", "t"), "row").filter(
+        F.slice("t", F.col("word_pos"), F.col("words")) == F.col("_nt")).drop("_nt", "t")
+    return alone.unionByName(several)
 
 
 # fixed rules beside the gazetteer: (pattern, entity type, confidence, text every match holds)
 DEFAULT_PATTERNS = [(V.EMAIL_PATTERN, "Person", 0.6, "@"), (V.URL_PATTERN, "Technology", 0.6, "://")]
+# words and items of a chunk are counted in 32 bits, so this many keep chunks apart
+CHUNK_SPAN = 1 << 32
+# pattern matches come after all words of their chunk
+AFTER_WORDS = 1 << 31
+
+
+def place(chunk_index, at) -> Column:
+    """Number that orders places by chunk, then by position in the chunk."""
+    return (F.col(chunk_index).cast("bigint") * CHUNK_SPAN + (F.col(at) if isinstance(at, str) else at)).cast("bigint")
 
 
-def mentions(chunks: DataFrame, gazetteer: DataFrame, max_words: int = 1, evidence: bool = True) -> DataFrame:
+def mentions(chunks: DataFrame, gazetteer: DataFrame, evidence: bool = True) -> DataFrame:
     """Every occurrence of a gazetteer name: document_id, chunk_index, word_pos, name, entity_type, confidence.
 
-    ``evidence`` adds the five words around it. A gazetteer of checked size is
-    broadcast, and tokens meet it inside the scan stage without being copied; a
-    larger one is joined by shuffling bare tokens, and evidence is cut from the
-    chunks that had a hit.
+    Names of any number of words are found; punctuation between words does not
+    count. ``evidence`` adds the five words on both sides.
     """
-    names = gazetteer.select(F.lower("name").alias("token"), "name", "entity_type", "confidence")
-    small = names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    around = F.array_join(F.slice("_t", F.greatest(F.col("word_pos") - 5, F.lit(1)),
+    table = _token_table(chunks)
+    hits = _occurrences(table, gazetteer.select("name", "entity_type", "confidence"), "name")
+    around = F.array_join(F.slice("t", F.greatest(F.col("word_pos") - 5, F.lit(1)),
                                   F.least(F.col("word_pos") - 1, F.lit(5)) + F.col("words") + 5), " ")
-    if small:
-        hits = _token_rows(chunks, max_words, keep_tokens=evidence).join(F.broadcast(names), "token")
-    else:
-        hits = _token_rows(chunks, max_words).join(names, "token")
-        if evidence:
-            toks = chunks.select("document_id", "chunk_index", _tokens("text").alias("_t"))
-            hits = hits.join(toks, ["document_id", "chunk_index"])
+    found = hits.join(table, "row")
     if evidence:
-        hits = hits.withColumn("evidence", around).drop("_t")
-    return hits.drop("token", "words")
+        found = found.withColumn("evidence", around)
+    return found.drop("row", "t", "words")
 
 
-def extract_entities(chunks: DataFrame, gazetteer: DataFrame, patterns=None, max_words: int = 1) -> DataFrame:
+def extract_entities(chunks: DataFrame, gazetteer: DataFrame, patterns=None) -> DataFrame:
     """Entities named in chunks: one row per (chunk, name), placed at its first occurrence.
 
     ``gazetteer``: name, entity_type, confidence. ``patterns``: (regex, type,
@@ -113,23 +126,21 @@ def extract_entities(chunks: DataFrame, gazetteer: DataFrame, patterns=None, max
     """
     keys = ["document_id", "chunk_index", "name", "entity_type"]
     # rows with the same names fold map-side, so a frequent name does not pile up
-    known = mentions(chunks, gazetteer, max_words).groupBy(*keys).agg(
-        F.min("word_pos").alias("word_pos"), F.min_by("evidence", "word_pos").alias("evidence"), F.max("confidence").alias("confidence"))
+    known = mentions(chunks, gazetteer).groupBy(*keys).agg(
+        F.min("word_pos").cast("bigint").alias("word_pos"), F.min_by("evidence", "word_pos").alias("evidence"), F.max("confidence").alias("confidence"))
     out = known
     for rx, typ, conf, needle in (DEFAULT_PATTERNS if patterns is None else patterns):
         matches = F.when(F.contains("text", F.lit(needle)), F.regexp_extract_all("text", F.lit(rx), F.lit(0)))
         found = (explode_rows(chunks, ["document_id", "chunk_index"], matches, "name", "_i")
                  .groupBy("document_id", "chunk_index", "name")
-                 .agg((F.min("_i") + 100_000).alias("word_pos"))
+                 .agg((F.min("_i").cast("bigint") + AFTER_WORDS).alias("word_pos"))
                  .select("document_id", "chunk_index", "name", F.lit(typ).alias("entity_type"), "word_pos",
                          F.col("name").alias("evidence"), F.lit(conf).alias("confidence")))
         out = out.unionByName(found)
-    evidence = F.substring("evidence", 1, V.EVIDENCE_CHARS)
     return out.select(
         stable_id(*keys).alias("id"), "document_id", "chunk_index", "entity_type", "name",
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))).alias("confidence"), evidence.alias("evidence_chunk"),
-        F.create_map(F.lit("_evidence"), evidence).alias("attributes"),
-        (F.col("chunk_index") * 1_000_000 + F.col("word_pos")).cast("bigint").alias("pos"))
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))).alias("confidence"), F.col("evidence").alias("evidence_chunk"),
+        F.create_map(F.lit("_evidence"), F.col("evidence")).alias("attributes"), place("chunk_index", "word_pos").alias("pos"))
 
 
 def name_map(entities: DataFrame) -> DataFrame:
@@ -184,14 +195,14 @@ def relations_from_responses(resp: DataFrame, entities: DataFrame) -> DataFrame:
     rows = items.select(
         "document_id", "chunk_index", "item", F.upper(T.strip("r.type")).alias("relationship_type"),
         F.lower(T.strip("r.source")).alias("src_key"), F.lower(T.strip("r.target")).alias("tgt_key"),
-        F.substring(T.strip(F.coalesce("r.evidence", F.lit(""))), 1, V.EVIDENCE_CHARS).alias("evidence_text"),
+        T.strip(F.coalesce("r.evidence", F.lit(""))).alias("evidence_text"),
         _confidence(F.col("r.confidence")).alias("confidence")).filter(F.col("relationship_type").isin(V.RELATIONSHIP_TYPES))
     m = name_map(entities).select("document_id", "key", F.col("entity.id").alias("eid"))
     rows = (rows.join(m.select("document_id", F.col("key").alias("src_key"), F.col("eid").alias("source_entity_id")), ["document_id", "src_key"])
             .join(m.select("document_id", F.col("key").alias("tgt_key"), F.col("eid").alias("target_entity_id")), ["document_id", "tgt_key"]))
     return rows.select(
         stable_id("document_id", "chunk_index", "item").alias("id"), "document_id", "chunk_index", "source_entity_id", "target_entity_id",
-        "relationship_type", "confidence", "evidence_text", (F.col("chunk_index") * 100_000 + F.col("item")).cast("bigint").alias("seq"))
+        "relationship_type", "confidence", "evidence_text", place("chunk_index", "item").alias("seq"))
 
 
 def extract_relations(chunks: DataFrame, entities: DataFrame, cues: DataFrame, dedup: bool = True) -> DataFrame:
@@ -199,33 +210,28 @@ def extract_relations(chunks: DataFrame, entities: DataFrame, cues: DataFrame, d
 
     ``cues``: cue, relationship_type, source_type, target_type, confidence. A cue
     relates the nearest entity of its source type before it to the nearest of its
-    target type after it. Entities are those of ``entities`` whose lower-case name
-    is a token of the chunk; chunks with fewer than two are skipped. Work per
-    chunk is bounded by the chunk window, and no entity pairs are formed.
+    target type after it. Entities are those of the document whose name, of any
+    number of words, stands in the chunk; chunks with fewer than two are skipped.
+    Work per chunk is bounded by the chunk window, and no entity pairs are formed.
     """
-    names = name_map(entities).select("document_id", F.col("key").alias("token"), "entity")
-    cue_rows = cues.select(F.lower("cue").alias("token"), F.struct("cue", "relationship_type", "source_type", "target_type", "confidence").alias("c"))
-    toks = _token_rows(chunks).drop("words")
-    vocabulary = names.select("token").unionByName(cue_rows.select("token")).distinct()
-    if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        # tokens that are no cue and no name of any document need not be shuffled
-        toks = toks.join(F.broadcast(vocabulary), "token", "left_semi")
-    # one pass over the tokens: each is looked up as a cue and as a name, the rest is dropped
-    toks = toks.join(cue_rows, "token", "left").join(names, ["document_id", "token"], "left")
-    spot = F.when(F.col("entity").isNotNull(), F.struct("word_pos", F.col("entity.entity_type").alias("t"), F.col("entity.id").alias("eid")))
-    mark = F.when(F.col("c").isNotNull(), F.struct("word_pos", "c.*"))
-    per_chunk = (toks.filter("c is not null or entity is not null").groupBy("document_id", "chunk_index")
-                 .agg(F.collect_set(spot).alias("spots"), F.collect_set(mark).alias("marks")))
-    per_chunk = per_chunk.filter((F.size("marks") > 0) & (F.size(F.array_distinct(F.transform("spots", lambda s: s.eid))) >= 2))
+    table = _token_table(chunks)
+    names = name_map(entities).select("document_id", "key", "entity")
+    cue_rows = cues.select("cue", F.struct("cue", "relationship_type", "source_type", "target_type", "confidence").alias("c"))
+    spots = _occurrences(table, names, "key", ["document_id"]).select(
+        "row", F.struct("word_pos", F.col("entity.entity_type").alias("t"), F.col("entity.id").alias("eid")).alias("spot"))
+    marks = _occurrences(table, cue_rows, "cue").select("row", F.struct("word_pos", "c.*").alias("mark"))
+    # the window of a chunk bounds what is collected for it
+    per_chunk = spots.unionByName(marks, allowMissingColumns=True).groupBy("row").agg(F.collect_set("spot").alias("spots"), F.collect_set("mark").alias("marks"))
+    per_chunk = per_chunk.filter((F.size("marks") > 0) & (F.size(F.array_distinct(F.transform("spots", lambda s: s.eid))) >= 2)).join(
+        table.select("row", "document_id", "chunk_index"), "row")
     marks = explode_rows(per_chunk, ["document_id", "chunk_index", "spots"], "marks", "m").select("document_id", "chunk_index", "spots", "m.*")
     before = F.array_max(F.filter("spots", lambda s: (s.word_pos < F.col("word_pos")) & (s.t == F.col("source_type"))))
     after = F.array_min(F.filter("spots", lambda s: (s.word_pos > F.col("word_pos")) & (s.t == F.col("target_type"))))
     rows = marks.withColumn("s", before).withColumn("o", after).filter("s is not null and o is not null and s.eid <> o.eid")
     out = rows.select(
-        stable_id("document_id", "chunk_index", "word_pos", "relationship_type").alias("id"), "document_id", "chunk_index",
+        stable_id("document_id", "chunk_index", "word_pos", "relationship_type", "source_type", "target_type").alias("id"), "document_id", "chunk_index",
         F.col("s.eid").alias("source_entity_id"), F.col("o.eid").alias("target_entity_id"), "relationship_type", "confidence",
-        F.substring("cue", 1, V.EVIDENCE_CHARS).alias("evidence_text"),
-        (F.col("chunk_index") * 1_000_000 + F.col("word_pos")).cast("bigint").alias("seq"))
+        F.col("cue").alias("evidence_text"), place("chunk_index", "word_pos").alias("seq"))
     return dedup_relations(out) if dedup else out
 
 

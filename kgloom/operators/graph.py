@@ -19,22 +19,24 @@ def nodes_from(entities: DataFrame) -> DataFrame:
     return entities.select(safe_label("entity_type").alias("label"), "id", *NODE_FIELDS, F.lit(True).alias("was_created"))
 
 
-def edges_from(rels: DataFrame) -> DataFrame:
-    """Relationships with both ends known as fresh edges."""
+def edges_from(rels: DataFrame, *keep: str) -> DataFrame:
+    """Relationships with both ends known as fresh edges; ``keep`` names further columns to carry along."""
     evidence = F.col("evidence_text") if "evidence_text" in rels.columns else F.lit("")
     return (rels.filter("source_entity_id is not null and target_entity_id is not null")
-            .select("id", F.col("source_entity_id").alias("src"), F.col("target_entity_id").alias("tgt"),
+            .select(*keep, "id", F.col("source_entity_id").alias("src"), F.col("target_entity_id").alias("tgt"),
                     F.col("relationship_type").alias("type"), "confidence", evidence.alias("evidence"), "document_id",
                     F.lit(True).alias("was_created")))
 
 
-def _merge(existing: DataFrame, incoming: DataFrame, keys: list[str], fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Upsert on ``keys``; the last incoming row per key wins. Returns (table, counts).
+def _merge(existing: DataFrame, incoming: DataFrame, keys: list[str], fields: list[str], order: str | None) -> tuple[DataFrame, DataFrame]:
+    """Upsert on ``keys``; the last incoming row per key wins, by the column ``order``. Returns (table, counts).
 
-    The incoming side is folded per key first, so both join sides are unique on
-    the key and no key can be hot.
+    Rows that are equal in ``order``, or come without one, have no last row; the
+    greatest field values are taken, so that the result is the same every time. The
+    incoming side is folded per key first, so both join sides are unique on the key
+    and no key can be hot.
     """
-    order = F.col("pos") if "pos" in incoming.columns else F.lit(0)
+    order = F.col(order) if order else F.lit(0)
     new = incoming.groupBy(*keys).agg(
         F.max_by(F.struct(*fields), F.struct(order, *[F.col(f) for f in fields if f != "attributes"])).alias("_new"),
         F.count(F.lit(1)).alias("_rows"))
@@ -50,25 +52,25 @@ def _merge(existing: DataFrame, incoming: DataFrame, keys: list[str], fields: li
     return merged, counts
 
 
-def merge_nodes(nodes: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Upserts entities as nodes keyed by (label, id). Returns (nodes, counts)."""
+def merge_nodes(nodes: DataFrame, entities: DataFrame, order: str | None = "pos") -> tuple[DataFrame, DataFrame]:
+    """Upserts entities as nodes keyed by (label, id); of several, the last by ``order``. Returns (nodes, counts)."""
     incoming = entities.withColumn("label", safe_label("entity_type"))
-    return _merge(nodes, incoming, ["label", "id"], NODE_FIELDS)
+    return _merge(nodes, incoming, ["label", "id"], NODE_FIELDS, order)
 
 
-def merge_edges(edges: DataFrame, nodes: DataFrame, rels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Upserts relationships as edges keyed by (src, tgt, id). Returns (edges, counts).
+def merge_edges(edges: DataFrame, nodes: DataFrame, rels: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Upserts relationships as edges keyed by (src, tgt, id); of several, the last by ``order``. Returns (edges, counts).
 
     Relationships with a NULL end are ignored; those whose end is not a node are
     counted in ``skipped``.
     """
     ids = nodes.select("id").distinct()
-    incoming = edges_from(rels)
+    incoming = edges_from(rels, *([order] if order else []))
     src_known = ids.select(F.col("id").alias("src"), F.lit(True).alias("_s"))
     tgt_known = ids.select(F.col("id").alias("tgt"), F.lit(True).alias("_t"))
     flagged = incoming.join(src_known, "src", "left").join(tgt_known, "tgt", "left")
     linked = F.col("_s").isNotNull() & F.col("_t").isNotNull()
-    merged, counts = _merge(edges, flagged.filter(linked), ["src", "tgt", "id"], EDGE_FIELDS)
+    merged, counts = _merge(edges, flagged.filter(linked), ["src", "tgt", "id"], EDGE_FIELDS, order)
     skipped = flagged.agg(F.count_if(~linked).alias("skipped"))
     return merged, _totals(["created", "updated", "skipped"], counts, skipped)
 
@@ -278,10 +280,10 @@ def repeated_names(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("name").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1")
 
 
-def low_confidence_edges(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, cap: int = 50) -> DataFrame:
-    """Weakest edges first, cut to ``cap`` before the names are attached."""
-    weak = edges.filter(F.col("confidence") < threshold).orderBy("confidence", "id").limit(cap)
-    return graph_relate(nodes, weak).orderBy("confidence", "edge_id")
+def low_confidence_edges(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, limit: int | None = None) -> DataFrame:
+    """Edges below the threshold with the names of their ends, weakest first; with a limit, the first so many of them."""
+    named = graph_relate(nodes, edges.filter(F.col("confidence") < threshold)).orderBy("confidence", "edge_id")
+    return named if limit is None else named.limit(limit)
 
 
 def orphan_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

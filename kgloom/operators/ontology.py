@@ -6,7 +6,7 @@ from kgloom import vocab as V
 from kgloom.functions.arrays import explode_rows
 from kgloom.functions.matching import close_strings
 from kgloom.operators.quality import latest_version_classes
-from kgloom.session import number_within, page
+from kgloom.session import cut_lineage, number_within, page
 
 CLASS_SCHEMA = "id string, name string, description string, parent_class string, properties array<string>, synonyms array<string>"
 
@@ -55,15 +55,17 @@ def is_subclass_of(classes: DataFrame, child: str, parent: str) -> DataFrame:
     return classes.filter(F.col("name") == child).select("id", "name", F.coalesce(F.col("parent_class") == parent, F.lit(False)).alias("is_subclass"))
 
 
-def ancestor_pairs(classes: DataFrame, levels: int = 5) -> DataFrame:
-    """child, ancestor, distance for parents up to ``levels`` steps up."""
-    up = classes.filter("parent_class is not null").select(F.col("name").alias("child"), F.col("parent_class").alias("ancestor"))
-    step, out = up, up.withColumn("distance", F.lit(1))
-    for n in range(2, levels + 1):
-        step = step.join(up.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_up")), "ancestor").select(
-            "child", F.col("_up").alias("ancestor"))
+def ancestor_pairs(classes: DataFrame, levels: int | None = None) -> DataFrame:
+    """child, ancestor, distance for all parents, or for those up to ``levels`` steps up. A cycle ends where it meets a known pair."""
+    up = cut_lineage(classes.filter("parent_class is not null").select(F.col("name").alias("child"), F.col("parent_class").alias("ancestor")).distinct())
+    parents = up.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_up"))
+    out, step, n = up.withColumn("distance", F.lit(1)), up, 1
+    while (levels is None or n < levels) and step.limit(1).count():
+        n += 1
+        step = cut_lineage(step.join(parents, "ancestor").select("child", F.col("_up").alias("ancestor")).distinct()
+                           .join(out.select("child", "ancestor"), ["child", "ancestor"], "left_anti"))
         out = out.unionByName(step.withColumn("distance", F.lit(n)))
-    return out.groupBy("child", "ancestor").agg(F.min("distance").alias("distance"))
+    return out
 
 
 # -- profiles --------------------------------------------------------------
@@ -242,8 +244,8 @@ def alignment_violations(e: DataFrame, alignments: DataFrame, classes: DataFrame
 
 
 def available_classes(classes: DataFrame, versions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Sorted names of the class table, of the latest versions and of up to 50 node types."""
-    from_nodes = nodes.filter("entity_type is not null and entity_type <> ''").select(F.col("entity_type").alias("name")).distinct().orderBy("name").limit(V.GRAPH_TYPE_CAP)
+    """Sorted names of the class table, of the stored versions and of the node types."""
+    from_nodes = nodes.filter("entity_type is not null and entity_type <> ''").select(F.col("entity_type").alias("name")).distinct()
     return (classes.select("name").unionByName(latest_version_classes(versions).select("name")).unionByName(from_nodes)
             .distinct().orderBy("name"))
 

@@ -19,7 +19,7 @@ def _issue(df: DataFrame, kind: str, severity: str, now, description: Column, de
     rows = df.select(
         F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), text(entity).alias("entity_id"),
         text(relationship).alias("relationship_id"), text(document).alias("document_id"), description.alias("description"),
-        F.to_json(detail).alias("detail_json"), F.lit("open").alias("status"), F.to_timestamp_ntz(F.lit(now)).alias("detected_at"))
+        F.to_json(detail, {"ignoreNullFields": "false"}).alias("detail_json"), F.lit("open").alias("status"), F.to_timestamp_ntz(F.lit(now)).alias("detected_at"))
     ident = stable_id("issue_type", F.coalesce("entity_id", "relationship_id", "document_id"), "description")
     return rows.withColumn("id", ident).select(ISSUE_COLUMNS)
 
@@ -29,12 +29,17 @@ def _unknown(col: str, known: list[str]) -> Column:
     return F.col(col).isNotNull() & (F.col(col) != "") & ~F.lower(col).isin([k.lower() for k in known])
 
 
-def low_confidence_entities(e: DataFrame, t: float = 0.5, cap: int = V.ISSUE_CAP) -> DataFrame:
-    return e.filter(F.col("confidence") < t).orderBy("confidence", "id").limit(cap)
+def _first(df: DataFrame, limit: int | None, *order) -> DataFrame:
+    """All rows, or with a limit the first so many in order."""
+    return df if limit is None else df.orderBy(*order).limit(limit)
 
 
-def low_confidence_relationships(r: DataFrame, t: float = 0.5, cap: int = V.ISSUE_CAP) -> DataFrame:
-    return r.filter(F.col("confidence") < t).orderBy("confidence", "id").limit(cap)
+def low_confidence_entities(e: DataFrame, t: float = 0.5, limit: int | None = None) -> DataFrame:
+    return _first(e.filter(F.col("confidence") < t), limit, "confidence", "id")
+
+
+def low_confidence_relationships(r: DataFrame, t: float = 0.5, limit: int | None = None) -> DataFrame:
+    return _first(r.filter(F.col("confidence") < t), limit, "confidence", "id")
 
 
 def duplicate_groups(e: DataFrame) -> DataFrame:
@@ -42,8 +47,8 @@ def duplicate_groups(e: DataFrame) -> DataFrame:
     return e.groupBy("name", "document_id").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1")
 
 
-def duplicate_entities(e: DataFrame, cap: int = V.ISSUE_CAP) -> DataFrame:
-    return duplicate_groups(e).orderBy("name", "document_id").limit(cap)
+def duplicate_entities(e: DataFrame, limit: int | None = None) -> DataFrame:
+    return _first(duplicate_groups(e), limit, "name", "document_id")
 
 
 def referenced_ids(r: DataFrame) -> DataFrame:
@@ -56,8 +61,8 @@ def all_orphans(e: DataFrame, r: DataFrame) -> DataFrame:
     return e.join(referenced_ids(r), "id", "left_anti")
 
 
-def orphan_entities(e: DataFrame, r: DataFrame, cap: int = V.ORPHAN_CAP) -> DataFrame:
-    return all_orphans(e, r).orderBy("id").limit(cap)
+def orphan_entities(e: DataFrame, r: DataFrame, limit: int | None = None) -> DataFrame:
+    return _first(all_orphans(e, r), limit, "id")
 
 
 def unknown_entity_types(e: DataFrame) -> DataFrame:
@@ -203,9 +208,9 @@ def vocabulary_drift(e: DataFrame, r: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def latest_version_classes(versions: DataFrame, n: int = V.VERSION_WINDOW) -> DataFrame:
-    """Classes named in the latest ``n`` ontology versions: version_id, name, description."""
-    last = versions.orderBy(F.col("created_at").desc(), "id").limit(n)
+def latest_version_classes(versions: DataFrame, n: int | None = None) -> DataFrame:
+    """Classes named in the ontology versions, or in the latest ``n`` of them: version_id, name, description."""
+    last = _first(versions, n, F.col("created_at").desc(), "id")
     parsed = last.withColumn("_o", F.from_json("ontology_json", "struct<classes:array<struct<name:string,description:string>>>"))
     return (explode_rows(parsed, [F.col("id").alias("version_id")], "_o.classes", "_c", "pos")
             .select("version_id", "pos", F.col("_c.name").alias("name"), F.coalesce("_c.description", F.lit("")).alias("description"))
@@ -233,8 +238,12 @@ def proposals_from_versions(versions: DataFrame, classes: DataFrame, now) -> Dat
 def proposals_from_responses(resp: DataFrame, now, id_col="response_id", col="response") -> DataFrame:
     """Proposals from JSON arrays; items need a proposal_type, an unreadable answer gives none."""
     from kgloom.functions.text import strip_json_fences
-    items = F.from_json(strip_json_fences(col), "array<struct<proposal_type:string,subject:string,target:string,description:string,rationale:string>>")
-    rows = explode_rows(resp, [F.col(id_col).alias("_r")], items, "p", "pos").filter("p.proposal_type is not null")
+    # an answer has to be an array; each item is read on its own, so one that is no object costs only itself
+    body = strip_json_fences(col)
+    items = F.when(F.startswith(body, F.lit("[")), F.from_json(body, "array<string>"))
+    fields = "struct<proposal_type:string,subject:string,target:string,description:string,rationale:string>"
+    rows = explode_rows(resp, [F.col(id_col).alias("_r")], items, "item", "pos").select(
+        "_r", "pos", F.when(F.startswith("item", F.lit("{")), F.from_json("item", fields)).alias("p")).filter("p.proposal_type is not null")
     return _proposal(rows, F.col("p.proposal_type"), F.coalesce("p.description", F.lit("")), F.coalesce("p.rationale", F.lit("")),
                      F.struct(F.coalesce("p.subject", F.lit("")).alias("subject"), F.col("p.target").alias("target")), now, "_r", "pos")
 

@@ -53,7 +53,7 @@ def report_summary(report: DataFrame) -> DataFrame:
     """document_id, summary line and the report as JSON."""
     line = F.concat(F.lit("Validation "), F.when(F.col("passed"), "PASSED").otherwise("FAILED"), F.lit(": "), F.col("error_count").cast("string"),
                     F.lit(" errors, "), F.col("warning_count").cast("string"), F.lit(" warnings across "), F.col("total_checked").cast("string"), F.lit(" items"))
-    return report.select("document_id", line.alias("summary"), F.to_json(F.struct(*report.columns)).alias("report_json"))
+    return report.select("document_id", line.alias("summary"), F.to_json(F.struct(*report.columns), {"ignoreNullFields": "false"}).alias("report_json"))
 
 
 def violations_json(violations: DataFrame) -> DataFrame:
@@ -83,9 +83,10 @@ def shape_violations(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> Da
     bad_nodes = on_nodes.withColumn("message", verdict).filter("message is not null").select(
         "rule_id", F.when(F.col("kind") == "pattern", "warning").otherwise("error").alias("severity"), "message",
         F.col("id").alias("node_id"), F.col("prop").alias("property_name"), F.col("document_id").cast("string").alias("document_id"))
-    target = nodes.select(F.col("id").alias("tgt"), F.col("entity_type").alias("actual"))
+    # a node can carry several types; any of them will do
+    target = nodes.groupBy(F.col("id").alias("tgt")).agg(F.collect_set("entity_type").alias("actual"))
     on_edges = edges.join(r.filter("kind = 'class'"), F.col("type") == F.col("prop")).join(target, "tgt", "left")
-    wrong = on_edges.filter(F.col("actual").isNull() | (F.col("actual") != F.col("target_class"))).select(
+    wrong = on_edges.filter(~F.coalesce(F.array_contains("actual", F.col("target_class")), F.lit(False))).select(
         "rule_id", F.lit("warning").alias("severity"), F.format_string("Target of %s is not a %s", "prop", "target_class").alias("message"),
         F.col("id").alias("node_id"), F.col("prop").alias("property_name"), F.col("document_id").cast("string").alias("document_id"))
     return bad_nodes.unionByName(wrong)

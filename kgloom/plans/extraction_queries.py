@@ -29,27 +29,28 @@ def stored_entities(spark, sf):
     return cut_lineage(_entities(spark, sf))
 
 
-# every token of every chunk, the mentions among them, and one row per (chunk, name)
+# every run of tokens as long as some name, the mentions among them, and one row per (chunk, name)
 TOKENS = CHUNKS + r""",
 tk0 as (select document_id, chunk_index, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from chunks),
-tk as (select document_id, chunk_index, w[i] as token, i as word_pos,
-       array_to_string(w[greatest(i-5,1) : greatest(i-5,1)+least(i-1,5)+6-1], ' ') as evidence
-       from tk0, unnest(range(1, len(w)+1)) as u(i)),
-ext_known as (
-  select document_id, chunk_index, g.name, g.entity_type, min(word_pos) as word_pos, arg_min(evidence, word_pos) as evidence, max(confidence) as confidence
-  from tk join gaz g on g.name=tk.token group by all),
 ext_pat as (
-  select document_id, chunk_index, name, 'Person' as entity_type, min(i)-1+100000 as word_pos, name as evidence, 0.6::double as confidence
+  select document_id, chunk_index, name, 'Person' as entity_type, min(i)-1+2147483648 as word_pos, name as evidence, 0.6::double as confidence
   from (select document_id, chunk_index, m[i] as name, i from (select document_id, chunk_index,
           regexp_extract_all(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[a-z]{2,}') as m from chunks), unnest(range(1, len(m)+1)) as u(i)) group by 1,2,3
   union all
-  select document_id, chunk_index, name, 'Technology', min(i)-1+100000, name, 0.6::double
+  select document_id, chunk_index, name, 'Technology', min(i)-1+2147483648, name, 0.6::double
   from (select document_id, chunk_index, m[i] as name, i from (select document_id, chunk_index,
           regexp_extract_all(text, 'https?://[^""" + N.SPACES[1:-1] + r"""]+') as m from chunks), unnest(range(1, len(m)+1)) as u(i)) group by 1,2,3
 ),
+lens as (select distinct len(regexp_extract_all(lower(name), '[\p{L}\p{N}]+')) as n from (select name from gaz union select name from ext_pat)),
+tk as (select document_id, chunk_index, array_to_string(w[i:i+n-1], ' ') as token, i as word_pos,
+       array_to_string(w[greatest(i-5,1) : greatest(i-5,1)+least(i-1,5)+n+5-1], ' ') as evidence
+       from tk0, lens, unnest(range(1, len(w)-n+2)) as u(i)),
+ext_known as (
+  select document_id, chunk_index, g.name, g.entity_type, min(word_pos) as word_pos, arg_min(evidence, word_pos) as evidence, max(confidence) as confidence
+  from tk join gaz g on g.name=tk.token group by all),
 ext as (
   select sha256(document_id||'|'||chunk_index||'|'||name||'|'||entity_type) as id, document_id, chunk_index, entity_type, name, confidence,
-         substr(evidence,1,500) as evidence_chunk, (chunk_index*1000000+word_pos)::bigint as pos
+         evidence as evidence_chunk, (chunk_index::bigint*4294967296+word_pos)::bigint as pos
   from (select * from ext_known union all select * from ext_pat)
 ),
 nmap as (
@@ -70,17 +71,18 @@ def _(spark, sf):
     return X.visible_entities(cut_lineage(_chunks(spark, sf)), stored_entities(spark, sf))
 
 
-EXTREL = TOKENS + """,
+EXTREL = TOKENS + r""",
 spot as (select t.document_id, t.chunk_index, t.word_pos, n.entity.id as eid, n.entity.entity_type as t
-         from tk t join nmap n on n.document_id=t.document_id and n.key=t.token),
+         from tk t join nmap n on n.document_id=t.document_id
+         and array_to_string(regexp_extract_all(n.key, '[\p{L}\p{N}]+'), ' ')=t.token),
 enough as (select document_id, chunk_index from spot group by 1,2 having count(distinct eid)>=2),
 mark as (select t.document_id, t.chunk_index, t.word_pos, c.* from tk t join cues c on c.cue=t.token join enough using (document_id, chunk_index)),
-srcs as (select m.document_id, m.chunk_index, m.word_pos, m.relationship_type, arg_max(s.eid, s.word_pos) as sid
+srcs as (select m.document_id, m.chunk_index, m.word_pos, m.relationship_type, arg_max(s.eid, {'p':s.word_pos,'e':s.eid}) as sid
          from mark m join spot s on s.document_id=m.document_id and s.chunk_index=m.chunk_index and s.word_pos<m.word_pos and s.t=m.source_type group by 1,2,3,4),
-tgts as (select m.document_id, m.chunk_index, m.word_pos, m.relationship_type, arg_min(s.eid, s.word_pos) as oid
+tgts as (select m.document_id, m.chunk_index, m.word_pos, m.relationship_type, arg_min(s.eid, {'p':s.word_pos,'e':s.eid}) as oid
          from mark m join spot s on s.document_id=m.document_id and s.chunk_index=m.chunk_index and s.word_pos>m.word_pos and s.t=m.target_type group by 1,2,3,4),
-rel0 as (select sha256(document_id||'|'||chunk_index||'|'||word_pos||'|'||relationship_type) as id, document_id, chunk_index, sid as source_entity_id,
-         oid as target_entity_id, relationship_type, m.confidence, m.cue as evidence_text, (chunk_index*1000000+word_pos)::bigint as seq
+rel0 as (select sha256(document_id||'|'||chunk_index||'|'||word_pos||'|'||relationship_type||'|'||m.source_type||'|'||m.target_type) as id, document_id, chunk_index, sid as source_entity_id,
+         oid as target_entity_id, relationship_type, m.confidence, m.cue as evidence_text, (chunk_index::bigint*4294967296+word_pos)::bigint as seq
          from mark m join srcs using (document_id, chunk_index, word_pos, relationship_type) join tgts using (document_id, chunk_index, word_pos, relationship_type)
          where sid<>oid),
 extrel as (select * from rel0 qualify row_number() over (partition by lower(source_entity_id), relationship_type, lower(target_entity_id) order by confidence desc, seq)=1)"""
@@ -97,7 +99,7 @@ def entity_responses(spark, sf):
     """One JSON answer per document built from its gazetteer words: fenced, plain, badly typed or broken by id."""
     docs = N.text_documents(spark, sf)
     ch = docs.select(F.col("id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("raw_text").alias("text"))
-    hits = X.mentions(ch, N.gazetteer(spark, sf), evidence=False).groupBy("document_id", "name", "entity_type").agg(F.min("word_pos").alias("p"))
+    hits = X.mentions(ch, N.gazetteer(spark, sf).filter("instr(name, ' ') = 0"), evidence=False).groupBy("document_id", "name", "entity_type").agg(F.min("word_pos").alias("p"))
     k = F.col("document_id") % 4
     item = F.struct(
         "p", F.concat(F.lit('{"name":" '), "name", F.lit(' ","type":"'), F.when(k == 1, F.upper("entity_type")).otherwise(F.col("entity_type")),
@@ -116,7 +118,7 @@ RESPONSES = r"""
 rs_h as (
   select document_id, name, entity_type, min(i) as p from (
     select d.id as document_id, w[i] as token, i from (select id, regexp_extract_all(lower(raw_text), '[\p{L}\p{N}]+') as w from docs) d, unnest(range(1, len(w)+1)) as u(i)
-  ) join gaz on gaz.name=token group by 1,2,3)"""
+  ) join gaz on gaz.name=token and instr(gaz.name, ' ')=0 group by 1,2,3)"""
 # rows a response reader must produce: broken answers (id % 7 = 0) and shouted types (id % 4 = 1) give none
 RESP_ENTITIES = RESPONSES + """,
 rs_i as (select *, row_number() over (partition by document_id order by p) - 1 as item from rs_h),

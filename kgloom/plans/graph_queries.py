@@ -172,7 +172,7 @@ def _(spark, sf):
     return G.repeated_names(_both(spark, sf)[0])
 
 
-@query("graph_low_confidence_edges", with_ctes(BOTH, body=", w as (select * from all_r where confidence<0.5 order by confidence, id limit 50) " + RELATE.replace("all_r", "w")))
+@query("graph_low_confidence_edges", with_ctes(BOTH, body=", w as (select * from all_r where confidence<0.5) " + RELATE.replace("all_r", "w")))
 def _(spark, sf):
     return G.low_confidence_edges(*_both(spark, sf))
 

@@ -170,10 +170,21 @@ def _benchmark_words(spark, sf, low, high):
             .withColumn("h", F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint")))
 
 
+def _benchmark_phrases(spark, sf):
+    """Two and three words that follow each other in a benchmark passage, some of them, picked by hash."""
+    w = table(spark, sf, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+
+    def runs(n):
+        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        return w.filter(F.size("w") >= n).select(F.lit(n).alias("n"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).alias("word"))
+    rows = runs(2).unionByName(runs(3)).distinct().withColumn("h", F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint"))
+    return rows.filter(F.col("h") % 9 == F.col("n") - 2).select("word", "h")
+
+
 def gazetteer(spark, sf):
-    """Known names: the longer words of the benchmark passages, typed by hash."""
+    """Known names: the longer words of the benchmark passages and some phrases of two and three words, typed by hash."""
     types = F.array(*[F.lit(t) for t in V.ENTITY_TYPES])
-    return _benchmark_words(spark, sf, 6, 1000).select(
+    return _benchmark_words(spark, sf, 6, 1000).unionByName(_benchmark_phrases(spark, sf)).select(
         F.col("word").alias("name"), F.element_at(types, (F.col("h") % 8 + 1).cast("int")).alias("entity_type"),
         (F.lit(0.5) + (F.col("h") % 50) / F.lit(100.0)).alias("confidence"))
 
@@ -215,11 +226,16 @@ bench_words as (
   select word, ('0x'||substr(md5(word),1,8))::bigint as h
   from (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from benchmark)
 ),
+bench_phrases as (
+  select word, n, ('0x'||substr(md5(word),1,8))::bigint as h from (
+    select distinct array_to_string(w[i:i+n-1], ' ') as word, n
+    from (select regexp_extract_all(lower(text), '[a-z]+') as w from benchmark), (values (2), (3)) v(n), unnest(range(1, len(w)-n+2)) as u(i))
+),
 gaz as (
   select word as name,
          ['Company','Person','Product','Contract','Location','Technology','Policy','Regulation'][(h%8+1)::int] as entity_type,
          0.5::double + (h%50)/100.0::double as confidence
-  from bench_words where length(word)>=6
+  from (select word, h from bench_words where length(word)>=6 union all select word, h from bench_phrases where h%9=n-2)
 ),
 cues as (
   select word as cue,

@@ -259,7 +259,7 @@ def _(spark, sf):
 
 
 AVAILABLE = """,
-avail as (select name from """ + SEEDS + """ union select name from vcls union select 'person' union (select distinct entity_type from star_e order by 1 limit 50))"""
+avail as (select name from """ + SEEDS + """ union select name from vcls union select 'person' union (select distinct entity_type from star_e))"""
 
 
 @query("ontology_available_classes", with_ctes(STAR, VERSIONS + AVAILABLE, body=" select name from avail"))
@@ -269,11 +269,11 @@ def _(spark, sf):
 
 def question_classes(spark, sf):
     """Class names for matching: the gazetteer words and the seed classes."""
-    return N.gazetteer(spark, sf).select("name").unionByName(O.default_classes(spark).select("name"))
+    return N.gazetteer(spark, sf).filter("instr(name, ' ') = 0").select("name").unionByName(O.default_classes(spark).select("name"))
 
 
 MATCHED = """,
-cnames as (select name from gaz union all select name from """ + SEEDS + """),
+cnames as (select name from gaz where instr(name, ' ')=0 union all select name from """ + SEEDS + """),
 qtok as (select question_id, unnest(list_distinct(regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+'))) as w from questions),
 hit as (select distinct question_id, name as class_name from qtok join cnames on lower(name)=w
         union select distinct question_id, 'Organization' from qtok where w='company'),

@@ -24,22 +24,22 @@ def both_relationships(spark, sf):
     return X.merge_results(N.star_relationships(spark, sf), N.mention_relationships(spark, sf))
 
 
-@query("quality_low_confidence_entities", with_ctes(BOTH, body="select id, document_id, entity_type, name, confidence from all_e where confidence<0.5 order by confidence, id limit 200"))
+@query("quality_low_confidence_entities", with_ctes(BOTH, body="select id, document_id, entity_type, name, confidence from all_e where confidence<0.5"))
 def _(spark, sf):
     return Q.low_confidence_entities(both_entities(spark, sf)).select("id", "document_id", "entity_type", "name", "confidence")
 
 
-@query("quality_low_confidence_relationships", with_ctes(BOTH, body="select id, document_id, src as source_entity_id, tgt as target_entity_id, type as relationship_type, confidence from all_r where confidence<0.5 order by confidence, id limit 200"))
+@query("quality_low_confidence_relationships", with_ctes(BOTH, body="select id, document_id, src as source_entity_id, tgt as target_entity_id, type as relationship_type, confidence from all_r where confidence<0.5"))
 def _(spark, sf):
     return Q.low_confidence_relationships(both_relationships(spark, sf))
 
 
-@query("quality_duplicate_entities", with_ctes(BOTH, body="select name, document_id, count(*) as cnt from all_e group by 1,2 having count(*)>1 order by 1,2 limit 200"))
+@query("quality_duplicate_entities", with_ctes(BOTH, body="select name, document_id, count(*) as cnt from all_e group by 1,2 having count(*)>1"))
 def _(spark, sf):
     return Q.duplicate_entities(both_entities(spark, sf))
 
 
-@query("quality_orphan_entities", with_ctes(BOTH, body="select id, document_id, entity_type, name from all_e where id not in (select src from all_r union select tgt from all_r) order by id limit 100"))
+@query("quality_orphan_entities", with_ctes(BOTH, body="select id, document_id, entity_type, name from all_e where id not in (select src from all_r union select tgt from all_r)"))
 def _(spark, sf):
     return Q.orphan_entities(both_entities(spark, sf), both_relationships(spark, sf)).select("id", "document_id", "entity_type", "name")
 
@@ -64,16 +64,16 @@ all_e as (select * from men_e), all_r as (select * from men_r),
 found as (
   select 'low_confidence_entity' as issue_type, 'warning' as severity, id as entity_id, null::varchar as relationship_id, document_id,
          'Entity '''||name||''' ('||entity_type||') has confidence '||printf('%.2f', round(confidence,2))||', below threshold 0.5' as description
-  from (select * from men_e where confidence<0.5 order by confidence, id limit 200)
+  from (select * from men_e where confidence<0.5)
   union all
   select 'low_confidence_relationship', 'warning', null, id, document_id,
-         'Relationship '''||sn||''' -['||type||']-> '''||tn||''' has confidence '||printf('%.2f', round(confidence,2)) from (select * from rn where confidence<0.5 order by confidence, id limit 200)
+         'Relationship '''||sn||''' -['||type||']-> '''||tn||''' has confidence '||printf('%.2f', round(confidence,2)) from (select * from rn where confidence<0.5)
   union all
   select 'duplicate_entity', 'error', null, null, document_id, 'Entity '''||name||''' appears '||cnt||' times in document '||document_id[1:8]||'…'
-  from (select name, document_id, count(*) as cnt from men_e group by 1,2 having count(*)>1 order by 1,2 limit 200)
+  from (select name, document_id, count(*) as cnt from men_e group by 1,2 having count(*)>1)
   union all
   select 'orphan_entity', 'info', id, null, document_id, 'Entity '''||name||''' ('||entity_type||') has no relationships'
-  from (select * from men_e where id not in (select src from men_r union select tgt from men_r) order by id limit 100)
+  from (select * from men_e where id not in (select src from men_r union select tgt from men_r))
   union all
   select 'unknown_entity_type', 'warning', null, null, null, 'Entity type '''||entity_type||''' is not in the known taxonomy ('||count(*)||' entities)'
   from men_e where lower(entity_type) not in {KNOWN} group by entity_type
@@ -187,7 +187,7 @@ def versions_table(spark, sf):
 VERSIONS = """
 vers as (select p_brand||'/'||p_size as id, case when p_size%5=0 then null else p_brand end as document_id, p_size as size,
          list_sort(list(distinct string_split(p_type,' ')[1])) as cls, timestamp '2024-01-01' + to_days(p_size) as created_at from part group by p_brand, p_size),
-last5 as (select * from vers order by created_at desc, id limit 5),
+last5 as (select * from vers),
 vcls as (select id as version_id, i-1 as pos, cls[i] as name, 'd '||cls[i] as description from last5, unnest(range(1, len(cls)+1)) as u(i)),
 from_versions as (select 'add_class' as proposal_type, 'Add ontology class '''||name||''' discovered in extracted ontology' as description,
    'Class '''||name||''' was discovered during ontology analysis but is not in the active ontology manager.' as rationale,
@@ -210,7 +210,7 @@ from conversations where conv_id%4<>3""")
 def _(spark, sf):
     c = N.table(spark, sf, "conversations")
     body = F.concat(
-        F.lit('[{"proposal_type":"'), F.when(F.col("turn") % 2 == 0, "add_class").otherwise("merge_class"), F.lit('","subject":"'), "role", F.col("turn").cast("string"),
+        F.lit('["noise",{"proposal_type":"'), F.when(F.col("turn") % 2 == 0, "add_class").otherwise("merge_class"), F.lit('","subject":"'), "role", F.col("turn").cast("string"),
         F.lit('","target":'), F.when(F.col("turn") % 3 == 0, '"Entity"').otherwise("null"), F.lit(',"description":"about '), "role", F.lit('"},{"subject":"no kind"}'),
         F.when(F.col("conv_id") % 4 == 3, " broken").otherwise("]"))
     resp = c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("response_id"),

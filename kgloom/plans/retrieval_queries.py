@@ -33,7 +33,7 @@ def sql_vectors(src, key, text, name):
 CHUNKS_1000 = sql_sliding("docs", "id", "raw_text", 1000, 100)
 
 
-@query("embed_chunks", with_ctes(TEXT, CHUNKS_1000, sql_vectors("chunks", "document_id*1000+chunk_index", "text", "cv"), body="""
+@query("embed_chunks", with_ctes(TEXT, CHUNKS_1000, sql_vectors("chunks", "document_id*4294967296+chunk_index", "text", "cv"), body="""
  select key//1000 as document_id, (key%1000)::int as chunk_index, d as dim, round(v,6) as value from cv"""))
 def _(spark, sf):
     c = E.embed_chunks(N.text_documents(spark, sf))
@@ -56,7 +56,7 @@ def _(spark, sf):
 
 def _chunk_store(spark, sf):
     docs = N.text_documents(spark, sf)
-    c = E.embed_chunks(docs).withColumn("id", F.col("document_id") * 1000 + F.col("chunk_index"))
+    c = E.embed_chunks(docs).withColumn("id", F.col("document_id") * (1 << 32) + F.col("chunk_index"))
     # stands for the stored chunk table, which is read for the vectors and again for the texts
     return docs, cut_lineage(c)
 
@@ -70,13 +70,13 @@ def _search(spark, sf, k=3):
     return E.semantic_search(c, docs, _asked(spark, sf), k)
 
 
-SEARCH = CHUNKS_1000 + "," + sql_vectors("chunks", "document_id*1000+chunk_index", "text", "cv") + "," + sql_vectors("questions", "question_id", "question", "qv") + """,
+SEARCH = CHUNKS_1000 + "," + sql_vectors("chunks", "document_id*4294967296+chunk_index", "text", "cv") + "," + sql_vectors("questions", "question_id", "question", "qv") + """,
 sims as (select q.key as question_id, c.key as chunk_id, round(sum(q.v*c.v),12) as sim from qv q join cv c using (d) group by 1,2),
 allp as (select q.key as question_id, c.key as chunk_id, coalesce(sim,0.0::double) as sim from (select distinct key from qv) q cross join (select distinct key from cv) c
          left join sims s on s.question_id=q.key and s.chunk_id=c.key),
 tops as (select *, row_number() over (partition by question_id order by sim desc, chunk_id) as rank from allp qualify rank<=3),
 found as (select question_id, rank::int as rank, chunk_id, k.document_id, k.chunk_index, k.text, 'doc_'||k.document_id||'.txt' as filename, round(sim,4) as similarity
-          from tops join chunks k on k.document_id*1000+k.chunk_index=chunk_id)"""
+          from tops join chunks k on k.document_id*4294967296+k.chunk_index=chunk_id)"""
 
 
 @query("retrieval_sources", with_ctes(TEXT, SEARCH, body=" select question_id as query_id, rank, substr(text,1,300) as chunk, filename, similarity, chunk_index from found"))

@@ -193,11 +193,11 @@ def _(spark, sf):
     return d.select("id", T.strip_fences(body).alias("any_tag"), T.strip_json_fences(body).alias("json_tag"))
 
 
-@query("text_to_json", "select doc_id as id, to_json({'id': doc_id, 'language': lang, 'source': source, 'words': len(" + sql_words("text") + ")})::varchar as body from documents")
+@query("text_to_json", "select doc_id as id, to_json({'id': doc_id, 'language': case when doc_id%7=3 then null else lang end, 'source': source, 'words': len(" + sql_words("text") + ")})::varchar as body from documents")
 def _(spark, sf):
     d = N.texts(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("id"), T.to_json_text(F.struct(
-        F.col("doc_id").alias("id"), F.col("lang").alias("language"), "source", T.word_count("text").alias("words"))).alias("body"))
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 3, F.col("lang")).alias("language"), "source", T.word_count("text").alias("words"))).alias("body"))
 
 
 # -- sources ---------------------------------------------------------------
@@ -287,7 +287,7 @@ def _(spark, sf):
 @query("tables_cascade_delete", with_ctes(TEXT, sql_sliding("docs", "id", "raw_text", 1000, 100), body="""
 select 'documents' as table_name, id, id as document_id from docs where id not in (select doc_id from labels where toxic=1)
 union all
-select 'chunks', document_id*1000+chunk_index, document_id from chunks where document_id not in (select doc_id from labels where toxic=1)
+select 'chunks', document_id*4294967296+chunk_index, document_id from chunks where document_id not in (select doc_id from labels where toxic=1)
 union all
 select 'runs', l.doc_id, case when l.toxic=1 then null else l.doc_id end from labels l"""))
 def _(spark, sf):
@@ -298,7 +298,7 @@ def _(spark, sf):
         "documents": docs, "chunks": K.sliding_chunks(docs, offsets=False),
         "runs": labels.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"))}, gone)
     a = out["documents"].select(F.lit("documents").alias("table_name"), "id", F.col("id").alias("document_id"))
-    b = out["chunks"].select(F.lit("chunks").alias("table_name"), (F.col("document_id") * 1000 + F.col("chunk_index")).alias("id"), "document_id")
+    b = out["chunks"].select(F.lit("chunks").alias("table_name"), (F.col("document_id") * (1 << 32) + F.col("chunk_index")).alias("id"), "document_id")
     return a.unionByName(b).unionByName(out["runs"].select(F.lit("runs").alias("table_name"), "id", "document_id"))
 
 
@@ -338,8 +338,8 @@ def _(spark, sf):
 
 
 @query("graph_export_jsonld", with_ctes(STAR, body="""
-select to_json({'@id': 'urn:kg:node:'||id, '@type': entity_type, 'name': name})::varchar as value from star_e
+select to_json({'@context': {'@vocab': 'urn:kg:prop:'}, '@id': 'urn:kg:node:'||url_encode(id), '@type': 'urn:kg:type:'||entity_type, 'name': name})::varchar as value from star_e
 union all
-select to_json({'@id': 'urn:kg:node:'||src, 'relation': type, 'target': 'urn:kg:node:'||tgt})::varchar from star_r"""))
+select to_json({'@context': {'@vocab': 'urn:kg:prop:'}, '@id': 'urn:kg:node:'||url_encode(src), 'relation': {'@id': 'urn:kg:prop:'||type}, 'target': {'@id': 'urn:kg:node:'||url_encode(tgt)}})::varchar from star_r"""))
 def _(spark, sf):
     return S.jsonld(G.nodes_from(N.star_entities(spark, sf)), G.edges_from(N.star_relationships(spark, sf)))

@@ -1,4 +1,5 @@
 """Session settings, lineage cuts and deterministic ids."""
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,12 +30,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``.
 
     Files go to the cluster's ``spark.checkpoint.dir`` so a lost executor loses
-    nothing; a scratch folder is used only when no such folder is configured.
+    nothing. Without one, a scratch folder serves a local master only: on a cluster
+    its files would stay on the executors' own disks.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kgloom-ckpt-"))
     return df.checkpoint(eager=True)
 
@@ -53,8 +57,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def stable_id(*cols) -> Column:
-    """Deterministic row id from a natural key, so re-runs give the same ids."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string") for c in cols]), 256)
+    """Deterministic row id from a natural key, so re-runs give the same ids.
+
+    Parts are joined by bars; a bar or backslash inside a part is escaped and NULL
+    has a mark of its own, so different keys never give one text.
+    """
+    def part(c):
+        text = (F.col(c) if isinstance(c, str) else c).cast("string")
+        return F.coalesce(F.regexp_replace(text, r"([|\\])", r"\\$1"), F.lit("\\0"))
+    return F.sha2(F.concat_ws("|", *[part(c) for c in cols]), 256)
 
 
 def number_within(df: DataFrame, keys: list, order: list, name: str = "seq_no") -> DataFrame:

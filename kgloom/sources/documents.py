@@ -1,6 +1,7 @@
 """Document sources: files, stored pages, raw text rows."""
 import io
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,17 @@ from kgloom.session import stable_id
 DOCUMENT_FIELDS = ["id", "filename", "mime_type", "raw_text", "word_count", "language"]
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files under ``path``: path, content, length."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", "length")
+def read_files(spark: SparkSession, path: str, suffixes: list[str] | None = None) -> DataFrame:
+    """Files under ``path``: path, content, length. With ``suffixes`` files are picked by name, before any content is read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if suffixes:
+        either = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(either) + "}")
+    return reader.load(path).select("path", "content", "length")
+
+
+def _suffixes(mime: str) -> list[str]:
+    return [s for s, m in V.SUPPORTED_MIME.items() if m.startswith(mime)]
 
 
 def _as_documents(df: DataFrame) -> DataFrame:
@@ -54,22 +63,28 @@ def text_from_files(files: DataFrame) -> DataFrame:
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    files, _ = route_by_mime(read_files(spark, path))
+    files, _ = route_by_mime(read_files(spark, path, _suffixes("text/")))
     return text_from_files(files.filter(F.col("mime_type").startswith("text/")))
 
 
 _PARA = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def _docx_text(blob: bytes) -> str:
-    with zipfile.ZipFile(io.BytesIO(blob)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
+def _docx_text(blob: bytes) -> str | None:
+    try:
+        with zipfile.ZipFile(io.BytesIO(blob)) as z:
+            root = ElementTree.fromstring(z.read("word/document.xml"))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error, EOFError, NotImplementedError, RuntimeError):
+        return None
     paras = ("".join(t.text or "" for t in p.iter(_PARA + "t")) for p in root.iter(_PARA + "p"))
     return "\n\n".join(p for p in paras if p.strip())
 
 
 def docx_from_files(files: DataFrame) -> DataFrame:
-    """Word files as documents: non-blank paragraphs with a blank line between them."""
+    """Word files as documents: non-blank paragraphs with a blank line between them.
+
+    A file that is damaged or no Word file has NULL text; a build reports it as failed.
+    """
     def parse(batches):
         for pdf in batches:
             pdf["raw_text"] = pdf["content"].map(lambda b: _docx_text(bytes(b)))
@@ -79,7 +94,7 @@ def docx_from_files(files: DataFrame) -> DataFrame:
 
 
 def read_docx_documents(spark: SparkSession, path: str) -> DataFrame:
-    files, _ = route_by_mime(read_files(spark, path))
+    files, _ = route_by_mime(read_files(spark, path, [".docx"]))
     return docx_from_files(files.filter(F.col("mime_type") == V.SUPPORTED_MIME[".docx"]))
 
 

@@ -51,7 +51,12 @@ _RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 
 
 def _iri(prefix, col):
-    return F.concat(F.lit("<" + prefix), F.url_encode(col), F.lit(">"))
+    return F.concat(F.lit("<"), _name(prefix, col), F.lit(">"))
+
+
+def _name(prefix, col):
+    """Percent-encoded name, the same in every export; NULL for NULL."""
+    return F.concat(F.lit(prefix), F.replace(F.url_encode(col), F.lit("+"), F.lit("%20")))
 
 
 def _literal(col):
@@ -62,24 +67,34 @@ def _literal(col):
 
 
 def ntriples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The graph as N-Triples lines, column ``value``: type and name of nodes, one triple per edge."""
+    """The graph as N-Triples lines, column ``value``: type and name of nodes, one triple per edge.
+
+    A statement with a NULL part is left out.
+    """
+    def line(*parts):
+        return F.concat(*[x for p in parts for x in (p, F.lit(" "))], F.lit("."))
     subject = _iri(_NODE, F.col("id"))
     node_lines = nodes.select(F.explode(F.array(
-        F.concat_ws(" ", subject, F.lit(_RDF_TYPE), _iri(_TYPE, F.col("label")), F.lit(".")),
-        F.concat_ws(" ", subject, F.lit(f"<{_PROP}name>"), _literal(F.col("name")), F.lit(".")),
+        line(subject, F.lit(_RDF_TYPE), _iri(_TYPE, F.col("label"))),
+        line(subject, F.lit(f"<{_PROP}name>"), _literal(F.col("name"))),
     )).alias("value"))
-    edge_lines = edges.select(F.concat_ws(
-        " ", _iri(_NODE, F.col("src")), _iri(_PROP, F.col("type")), _iri(_NODE, F.col("tgt")), F.lit(".")).alias("value"))
-    return node_lines.unionByName(edge_lines)
+    edge_lines = edges.select(line(_iri(_NODE, F.col("src")), _iri(_PROP, F.col("type")), _iri(_NODE, F.col("tgt"))).alias("value"))
+    return node_lines.unionByName(edge_lines).filter("value is not null")
 
 
 def jsonld(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The graph as JSON-LD objects, one line each, column ``value``."""
-    node_rows = nodes.select(F.to_json(F.struct(
-        F.concat(F.lit(_NODE), F.col("id")).alias("@id"), F.col("label").alias("@type"), F.col("name").alias("name"))).alias("value"))
-    edge_rows = edges.select(F.to_json(F.struct(
-        F.concat(F.lit(_NODE), F.col("src")).alias("@id"), F.col("type").alias("relation"),
-        F.concat(F.lit(_NODE), F.col("tgt")).alias("target"))).alias("value"))
+    """The graph as JSON-LD objects, one line each, column ``value``; nodes and terms have the names of ``ntriples``.
+
+    Rows without an id or end are left out.
+    """
+    context = F.struct(F.lit(_PROP).alias("@vocab")).alias("@context")
+
+    def ref(prefix, col):
+        return F.struct(_name(prefix, F.col(col)).alias("@id"))
+    node_rows = nodes.filter("id is not null").select(F.to_json(F.struct(
+        context, _name(_NODE, F.col("id")).alias("@id"), _name(_TYPE, F.col("label")).alias("@type"), F.col("name").alias("name"))).alias("value"))
+    edge_rows = edges.filter("src is not null and tgt is not null and type is not null").select(F.to_json(F.struct(
+        context, _name(_NODE, F.col("src")).alias("@id"), ref(_PROP, "type").alias("relation"), ref(_NODE, "tgt").alias("target"))).alias("value"))
     return node_rows.unionByName(edge_rows)
 
 

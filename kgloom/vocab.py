@@ -48,13 +48,8 @@ SUPPORTED_MIME = {
 NODE_CAP = 60
 EDGE_CAP = 80
 CONTEXT_CAP = 30
-ISSUE_CAP = 200
-ORPHAN_CAP = 100
 FIND_LIMIT = 50
-VERSION_WINDOW = 5
-GRAPH_TYPE_CAP = 50
 DEFAULT_CONFIDENCE = 0.8
-EVIDENCE_CHARS = 500
 SNIPPET_CHARS = 300
 
 # chunking presets: (max tokens, overlap tokens)

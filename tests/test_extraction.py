@@ -50,7 +50,7 @@ def test_entities_from_responses(spark, rows):
         {"name": "Acme", "type": "Company", "attributes": "none"}, {"name": "low", "type": "company"}, {"name": "  ", "type": "Person"}]})
     e = X.entities_from_responses(spark.createDataFrame([("d", 3, body)], "document_id string, chunk_index int, response string"))
     got = [(r.name, r.confidence, len(r.evidence_chunk), r.attributes.get("k"), "_evidence" in r.attributes) for r in e.orderBy("pos").collect()]
-    assert got == [("Acme", 0.0, 500, "v", True), ("Acme", 0.8, 0, None, True)]
+    assert got == [("Acme", 0.0, 600, "v", True), ("Acme", 0.8, 0, None, True)]
 
 
 def test_chunks_with_one_visible_name_are_skipped(spark, rows, people):
@@ -87,13 +87,14 @@ def test_template_relations(spark, rows, people):
 def test_gazetteer_and_cues(spark, rows):
     chunks = spark.createDataFrame([("d", 0, "Yesterday acme bought new kubernetes tools; acme uses kubernetes, mail bob@x.org")], "document_id string, chunk_index int, text string")
     gaz = spark.createDataFrame([("Acme", "Company", 0.9), ("Kubernetes", "Technology", 1.5), ("new kubernetes", "Product", 0.5)], "name string, entity_type string, confidence double")
-    e = X.extract_entities(chunks, gaz, max_words=2)
+    e = X.extract_entities(chunks, gaz)
     assert rows(e, "name", "entity_type", "confidence") == [("Acme", "Company", 0.9), ("Kubernetes", "Technology", 1.0), ("bob@x.org", "Person", 0.6), ("new kubernetes", "Product", 0.5)]
     cues = spark.createDataFrame([("uses", "USES", "Company", "Technology", 0.7), ("bought", "OWNS", "Company", "Person", 0.7)],
                                  "cue string, relationship_type string, source_type string, target_type string, confidence double")
     r = X.extract_relations(chunks, e, cues)
     names = {x.id: x.name for x in e.collect()}
-    assert [(names[x.source_entity_id], x.relationship_type, names[x.target_entity_id]) for x in r.collect()] == [("Acme", "USES", "Kubernetes")]
+    assert [(names[x.source_entity_id], x.relationship_type, names[x.target_entity_id]) for x in r.orderBy("seq").collect()] == [
+        ("Acme", "OWNS", "bob@x.org"), ("Acme", "USES", "Kubernetes")]
 
 
 def test_plugin_extractor(spark, rows):
@@ -112,3 +113,27 @@ def test_listing_bounds(spark, people):
     df = people.withColumn("attributes", F.lit("broken")).withColumn("evidence_chunk", F.lit("ev")).withColumn("created_at", F.current_timestamp())
     row = X.list_entities(df, entity_type="Person").first()
     assert row.attributes == {} and row.evidence_chunk == "ev"
+
+
+def test_names_of_any_length(spark, rows):
+    schema = "document_id string, chunk_index int, text string"
+    chunks = spark.createDataFrame([("d", 0, "We met Acme Corp and GDPR today with node.js"), (None, 1, "Acme (Corp) uses Node.js"), (None, 1, "Acme (Corp) uses Node.js"), ("d", 2, "acme corporation")], schema)
+    gaz = spark.createDataFrame([("Acme Corp", "Company", 0.9), ("Node.js", "Technology", 0.9), ("GDPR", "Regulation", 0.9), ("corp", "Policy", 0.9), ("!!", "Policy", 0.9), ("never seen", "Policy", 0.9)],
+                                "name string, entity_type string, confidence double")
+    got = rows(X.mentions(chunks, gaz), "document_id", "chunk_index", "word_pos", "name")
+    assert got == sorted([("d", 0, 3, "Acme Corp"), ("d", 0, 4, "corp"), ("d", 0, 6, "GDPR"), ("d", 0, 9, "Node.js"), *[(None, 1, 1, "Acme Corp"), (None, 1, 2, "corp"), (None, 1, 4, "Node.js")] * 2], key=repr)
+
+
+def test_relation_between_names_of_several_words(spark):
+    chunks = spark.createDataFrame([("d", 0, "Bob joined Acme Corp"), (None, 7, "Bob joined Acme Corp")], "document_id string, chunk_index int, text string")
+    ents = spark.createDataFrame([("1", "d", "Person", "Bob", 0.9, 0), ("2", "d", "Company", "Acme Corp", 0.9, 1), ("3", None, "Person", "Bob", 0.9, 0), ("4", None, "Company", "Acme Corp", 0.9, 1)], ENT)
+    cues = spark.createDataFrame([("joined", "WORKS_FOR", "Person", "Company", 0.7), ("joined", "WORKS_FOR", "Person", "Product", 0.7)],
+                                 "cue string, relationship_type string, source_type string, target_type string, confidence double")
+    got = sorted((r.source_entity_id, r.relationship_type, r.target_entity_id) for r in X.extract_relations(chunks, ents, cues).collect())
+    assert got == [("1", "WORKS_FOR", "2"), ("3", "WORKS_FOR", "4")]
+
+
+def test_places_do_not_overlap(spark):
+    row = spark.createDataFrame([(0, 2_000_000, 1, 0)], "a int, at int, b int, first int").select(
+        X.place("a", "at").alias("x"), X.place("a", F.lit(X.AFTER_WORDS)).alias("p"), X.place("b", "first").alias("y")).first()
+    assert row.x < row.p < row.y

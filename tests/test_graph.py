@@ -178,3 +178,34 @@ def test_deep_pages_equal_shallow_ones(spark, rows, monkeypatch):
     monkeypatch.setattr("kgloom.session.DEEP_PAGE", 10)
     deep = S.paginate(df, order, 30, 120).collect()
     assert [r.id for r in deep] == [i for _, i in want] and deep[0].total == 500
+
+
+def test_last_edge_wins_by_order(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    rels = spark.createDataFrame([("e", "a", "b", "OWNS", 0.5, "d", 2), ("e", "a", "b", "USES", 0.5, "d", 1)],
+                                 "id string, source_entity_id string, target_entity_id string, relationship_type string, confidence double, document_id string, seq int")
+    edges, _ = G.merge_edges(G.edges_from(rels).limit(0), nodes, rels, order="seq")
+    assert [r.type for r in edges.collect()] == ["OWNS"]
+
+
+def test_weak_edges_are_cut_after_the_names(spark):
+    nodes = spark.createDataFrame([("a", "A", "T"), ("b", "B", "T")], "id string, name string, entity_type string")
+    edges = spark.createDataFrame([("1", "x", "y", "R", 0.1), ("2", "a", "b", "R", 0.2)], "id string, src string, tgt string, type string, confidence double")
+    assert [r.edge_id for r in G.low_confidence_edges(nodes, edges, limit=1).collect()] == ["2"]
+
+
+def test_a_target_may_carry_several_types(spark):
+    from kgloom.operators import validation
+    nodes = spark.createDataFrame([("a", "Person", "d", {"k": "v"}), ("b", "Person", "d", {"k": "v"}), ("b", "Company", "d", {"k": "v"})], "id string, entity_type string, document_id string, attributes map<string,string>")
+    edges = spark.createDataFrame([("1", "a", "b", "WORKS_FOR", "d"), ("2", "b", "a", "WORKS_FOR", "d"), ("3", "b", "zz", "WORKS_FOR", "d")], "id string, src string, tgt string, type string, document_id string")
+    rules = spark.createDataFrame([("r", "class", "Company", "WORKS_FOR", None)], "rule_id string, kind string, target_class string, property string, argument string")
+    assert sorted(r.node_id for r in validation.shape_violations(nodes, edges, rules).collect()) == ["2", "3"]
+
+
+def test_all_ancestors(spark):
+    from kgloom.operators import ontology
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(8)] + [("x", "y"), ("y", "x"), ("top", None)]
+    classes = spark.createDataFrame(chain, "name string, parent_class string")
+    got = {(r.child, r.ancestor): r.distance for r in ontology.ancestor_pairs(classes).collect()}
+    assert got["c0", "c8"] == 8 and got["x", "x"] == 2 and got["x", "y"] == 1 and len(got) == 36 + 4
+    assert max(r.distance for r in ontology.ancestor_pairs(classes, 5).collect()) == 5

@@ -96,3 +96,38 @@ def test_corpus_build(spark, rows, tmp_path):
     assert runs["3"].error_message == f"entity_extraction: {B.NO_TEXT}; vector_memory: {B.NO_TEXT}"
     B.write_corpus(t, str(tmp_path / "kg"))
     assert rows(spark.read.parquet(str(tmp_path / "kg/edges")), "type") == [("USES",)]
+
+
+def test_export_leaves_null_statements_out(spark):
+    from kgloom.sources import tables
+    nodes = spark.createDataFrame([("n 1", None, None), ("n2", "Person", "B")], "id string, label string, name string")
+    edges = spark.createDataFrame([("n 1", "n2", None), ("n 1", "n2", "USES")], "src string, tgt string, type string")
+    lines = sorted(r.value for r in tables.ntriples(nodes, edges).collect())
+    assert lines == sorted(['<urn:kg:node:n%201> <urn:kg:prop:USES> <urn:kg:node:n2> .', '<urn:kg:node:n2> <urn:kg:prop:name> "B" .',
+                            '<urn:kg:node:n2> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <urn:kg:type:Person> .'])
+    assert sum('"@id":"urn:kg:node:n%201"' in r.value for r in tables.jsonld(nodes, edges).collect()) == 2
+
+
+def test_damaged_word_file_has_no_text(spark):
+    from kgloom.sources import documents
+    files = spark.createDataFrame([("/x/a.docx", bytearray(b"PK\x03\x04 no zip"), 12), ("/x/b.docx", bytearray(b""), 0)], "path string, content binary, length long")
+    assert [r.raw_text for r in documents.docx_from_files(files).collect()] == [None, None]
+
+
+def test_files_are_picked_by_name(spark, tmp_path):
+    from kgloom.sources import documents
+    for name in ("a.txt", "B.TXT", "c.md", "d.bin", "e.docx"):
+        (tmp_path / name).write_text("hello")
+    assert sorted(r.filename for r in documents.read_text_documents(spark, str(tmp_path)).collect()) == ["B.TXT", "a.txt", "c.md"]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from kgloom import session
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    frame = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d)))
+    with pytest.raises(RuntimeError):
+        session.cut_lineage(frame)

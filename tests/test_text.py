@@ -147,3 +147,22 @@ def test_sql_functions(spark):
                     "kg_normalize_whitespace(' a \t b '), kg_nfc('é'), kg_count_tokens('a b c d'), kg_truncate('abcdefgh', 1), kg_safe_filename('a/b'), "
                     "kg_clean_text('a\\u0001  b....'), kg_detect_language('the cat and the dog are in')").first()
     assert list(row) == ["ABC", 2, ["A.", "B."], "1", "a b", "é", 3, "abcd", "ab", "a b…", "en"]
+
+
+def test_sql_fences_equal_column(spark):
+    from kgloom.functions import text as T
+    T.register_sql_functions(spark)
+    cases = ["abc ```x``` ", "```json\n{}\n```", "```x```", " ```\na```b\n``` ", "", "plain", "```"]
+    df = spark.createDataFrame([(c,) for c in cases], "x string")
+    assert [r[0] for r in df.selectExpr("kg_strip_fences(x)").collect()] == [r[0] for r in df.select(T.strip_fences("x")).collect()]
+
+
+def test_json_keeps_null_fields(spark):
+    from kgloom.functions import text as T
+    assert spark.range(1).select(T.to_json_text(F.struct(F.lit(None).cast("string").alias("a"), F.lit(1).alias("b")))).first()[0] == '{"a":null,"b":1}'
+
+
+def test_ids_of_different_keys_differ(spark):
+    from kgloom.session import stable_id
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a\\", "b|c"), (None, "c"), ("", "c"), ("\\0", "c")], "x string, y string")
+    assert df.select(stable_id("x", "y")).distinct().count() == 6
