@@ -1,5 +1,6 @@
 """Scalar text functions. All are Catalyst expressions except the NFC step."""
 import unicodedata
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -128,21 +129,19 @@ def html_to_text(col) -> Column:
     return strip(F.regexp_replace(c, f"{_SPACE}+", " "))
 
 
-# fixed values: named character references handled by unescape_entities;
-# the ampersand comes last so that its own output is never unescaped again
-NAMED_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'",
-    "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·",
-    "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&euro;": "€",
-    "&amp;": "&",
-}
-
-
 def unescape_entities(col) -> Column:
-    c = _c(col)
-    for ref, char in NAMED_ENTITIES.items():
-        c = F.replace(c, F.lit(ref), F.lit(char))
-    return c
+    """Named (those of HTML 4), decimal and hexadecimal character references replaced, each once; anything else stays."""
+    named = F.create_map(*[F.lit(x) for kv in sorted({**name2codepoint, "apos": 39}.items()) for x in kv])
+    parts = F.split(_c(col), "&")
+
+    def replaced(p):
+        ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = (F.when(F.lower(F.substr(ref, F.lit(1), F.lit(2))) == "#x", F.conv(F.substr(ref, F.lit(3)), 16, 10))
+                .when(F.startswith(ref, F.lit("#")), F.substr(ref, F.lit(2))).otherwise(F.try_element_at(named, ref).cast("string"))).try_cast("int")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(valid, F.concat(char, F.substr(p, F.length(ref) + 2))).otherwise(F.concat(F.lit("&"), p))
+    return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), replaced), ""))
 
 
 def _raw(pattern: str) -> str:

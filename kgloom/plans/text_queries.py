@@ -232,8 +232,18 @@ def _(spark, sf):
             .select("doc_id", "mime_type", "supported"))
 
 
+# fixed values: the character references that the pages hold;
+# the ampersand comes last so that its own output is never unescaped again
+NAMED_ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'",
+    "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·",
+    "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&euro;": "€",
+    "&amp;": "&",
+}
+
+
 def sql_unescape(c):
-    for ref, ch in T.NAMED_ENTITIES.items():
+    for ref, ch in NAMED_ENTITIES.items():
         c = f"replace({c}, '{ref}', chr({ord(ch)}))"
     return c
 

@@ -166,3 +166,11 @@ def test_ids_of_different_keys_differ(spark):
     from kgloom.session import stable_id
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a\\", "b|c"), (None, "c"), ("", "c"), ("\\0", "c")], "x string, y string")
     assert df.select(stable_id("x", "y")).distinct().count() == 6
+
+
+def test_character_references(spark):
+    from kgloom.functions import text as T
+    cases = {"a&#8217;b &#x41;&eacute; &amp;lt; &lt;": "a\u2019b A\u00e9 &lt; <", "&": "&", "": "", "&#0; &#xD800; &#9999999; &nope; & x;": "&#0; &#xD800; &#9999999; &nope; & x;",
+             "&#128512;&apos;": "\U0001f600'"}
+    df = spark.createDataFrame([(c,) for c in cases], "x string")
+    assert [r[0] for r in df.select(T.unescape_entities("x")).collect()] == list(cases.values())
