@@ -2,7 +2,8 @@
 
 Every micro-batch is written under its own ``batch=`` folder and the newest batch
 of a document is the valid one. Writing costs as much as the batch, never as much
-as the stored table, and a repeated batch overwrites exactly its own folder.
+as the stored table, and a repeated batch overwrites exactly its own folder. Numbers
+go on growing when a stream restarts with a new checkpoint.
 """
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from kgloom.functions import text as T
 from kgloom.functions.chunking import sliding_chunks
 from kgloom.operators import extraction as X
 from kgloom.operators import vectors as E
+from kgloom.streaming.batches import BatchNumbers
 
 TABLES = ("documents", "chunks", "entities")
 
@@ -38,13 +40,16 @@ def stream_documents(arriving: DataFrame, gazetteer: DataFrame, path: str, check
         stream = (arriving.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
                   .withColumn("_f", F.sha2(F.concat_ws("|", F.col("id").cast("string"), "raw_text"), 256)).dropDuplicatesWithinWatermark(["_f"]).drop("_f"))
 
+    numbers = BatchNumbers(arriving.sparkSession, path.rstrip("/"), checkpoint)
+
     def save(batch, epoch):
         order = F.struct("ts", "raw_text") if "ts" in batch.columns else F.col("raw_text")
         one = batch.groupBy("id").agg(F.max_by(F.struct("filename", "raw_text"), order).alias("d")).select("id", "d.*").persist()
         tables = document_tables(one, gazetteer, embedder)
+        number = numbers.number(epoch)
         # the document list makes a batch valid, so it is written last
         for name in reversed(TABLES):
-            tables[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={epoch}")
+            tables[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
         one.unpersist()
     w = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()

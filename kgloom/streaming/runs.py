@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.operators.runs import EVENT_SCHEMA
+from kgloom.streaming.batches import BatchNumbers
 
 
 def read_run_events(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = EVENT_SCHEMA, files_per_batch: int = 100) -> DataFrame:
@@ -43,7 +44,9 @@ def stuck_in_stream(updates: DataFrame, now, minutes: int = 15) -> DataFrame:
 
 def monitor_runs(events: DataFrame, path: str, checkpoint: str, **options):
     """Starts the monitor; each batch of updates is written to its own folder, so a repeated batch overwrites itself."""
+    numbers = BatchNumbers(events.sparkSession, path.rstrip("/"), checkpoint)
+
     def save(batch, epoch):
-        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={numbers.number(epoch)}")
     return (stream_run_status(events, **options).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
             .foreachBatch(save).trigger(availableNow=True).start())

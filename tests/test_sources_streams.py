@@ -63,6 +63,15 @@ def test_document_stream_equals_batch(spark, rows, tmp_path):
     assert rows(SD.current_table(spark, str(tmp_path / "small"), "entities"), "document_id", "name") == [("1", "acme"), ("3", "kubernetes")]
 
 
+def test_new_checkpoint_does_not_overwrite(spark, rows, tmp_path):
+    out, schema = str(tmp_path / "out"), "id string, filename string, raw_text string"
+    for k, data in enumerate([[("1", "a", "acme"), ("2", "b", "kubernetes")], [("1", "a", "kubernetes")]]):
+        src = str(tmp_path / f"in{k}")
+        spark.createDataFrame(data, schema).write.parquet(src)
+        SD.stream_documents(spark.readStream.schema(schema).parquet(src), gaz(spark), out, str(tmp_path / f"ck{k}")).awaitTermination()
+    assert rows(SD.current_table(spark, out, "documents"), "document_id", "raw_text") == [("1", "kubernetes"), ("2", "kubernetes")]
+
+
 def test_stream_skips_repeated_content(spark, rows, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     df = spark.createDataFrame([("1", "a", "acme", "2024-01-01 00:00:00")] * 3, "id string, filename string, raw_text string, ts string").withColumn("ts", F.to_timestamp("ts"))
