@@ -14,6 +14,9 @@ a large group. Then only pairs of one signature whose ends are still in differen
 components are verified. So no link between components is lost, and a group of
 thousands of near copies costs thousands of comparisons, not millions.
 
+Before two sets are fetched, their profiles (how many tokens fall into each part of
+the hash space) must allow the similarity; this is a bound, so nothing is lost.
+
 Words are hashed to 64 bits in numpy over whole texts, in blocks; sets are compared
 by built-in functions. A signature is combined inside each task before the shuffle.
 
@@ -114,6 +117,22 @@ def _digest(tokens: np.ndarray) -> int:
     return int(mix(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
+def profile(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each of 2^k equal parts of the hash space, about 4 to 8 in each."""
+    parts_log2 = max(4, len(tokens).bit_length() - 3)
+    counts = np.bincount((mix(~tokens) >> np.uint64(64 - parts_log2)).astype(np.int64), minlength=1 << parts_log2)
+    return bytes([parts_log2]) + counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """Tokens that two sets can share at most, by their profiles."""
+    folded, least = [], min(a[0], b[0])
+    for x in (a, b):
+        counts = np.frombuffer(x, dtype=np.uint8 if len(x) == 1 + (1 << x[0]) else np.uint32, offset=1)
+        folded.append(counts.reshape(1 << least, -1).sum(axis=1, dtype=np.int64))
+    return int(np.minimum(*folded).sum())
+
+
 def _counter(tokens: np.ndarray) -> np.ndarray:
     return (mix(tokens) >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)
 
@@ -149,7 +168,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     return np.unique(np.concatenate(out))
 
 
-SETS = "doc_id long, n int, cls long, chunk int, counts binary"
+SETS = "doc_id long, n int, cls long, profile binary, chunk int, counts binary"
 
 
 def _texts(batch: pa.RecordBatch) -> list:
@@ -162,12 +181,13 @@ def _summarize(words: int):
         table, known = np.zeros(1 << COUNTERS_LOG2, dtype=np.uint32), set()
         names = [c.split()[0] for c in SETS.split(", ")]
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, profiles = [], [], []
             for text in _texts(batch):
                 tokens = shingle_set(text, words)
                 digest = _digest(tokens) if len(tokens) else None
                 sizes.append(len(tokens))
                 digests.append(digest)
+                profiles.append(profile(tokens) if len(tokens) else None)
                 if digest is not None and digest not in known:
                     np.add.at(table, _counter(tokens), 1)
                     if len(known) >= REMEMBERED:
@@ -175,12 +195,12 @@ def _summarize(words: int):
                     known.add(digest)
             rows = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.int64()),
-                                              pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+                                              pa.array(profiles, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if known:
             parts = table.reshape(-1, 1 << CHUNK_LOG2)
             packed = [zlib.compress(p.tobytes(), 1) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int32()), pa.nulls(len(parts), pa.int64()),
-                                              pa.array(range(len(parts)), pa.int32()), pa.array(packed, pa.binary())], names=names)
+                                              pa.nulls(len(parts), pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array(packed, pa.binary())], names=names)
     return run
 
 
@@ -267,8 +287,24 @@ def _class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return held.mapInArrow(run, "cls long, tokens array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, summaries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that can reach the threshold by the sizes and profiles of their sets: only their sets are fetched."""
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls")
+    profiles = summaries.select("cls", "n", "profile", F.col("doc_id").alias("low")).join(ends, ["cls", "low"]).dropDuplicates(["cls"])
+    profiles = cut_lineage(profiles.select("cls", F.struct("n", "profile").alias("p")))
+    both = pairs.join(profiles.select(F.col("cls").alias("a"), F.col("p").alias("pa")), "a").join(profiles.select(F.col("cls").alias("b"), F.col("p").alias("pb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [100 * (shared := most_shared(x["profile"], y["profile"])) >= percent * (x["n"] + y["n"] - shared)
+                    for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return cut_lineage(both.mapInArrow(run, "a long, b long"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, summaries: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough."""
+    pairs = _plausible(pairs, summaries, classes, percent)
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     wanted = cut_lineage(ends.join(classes, "cls").select("cls", "low"))
     # rows that repeat an id give a set more than once
@@ -293,11 +329,11 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = cut_lineage(rows.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("low")))
     indexed = _index_table(texts, frequent, words, percent)
     pairs = cut_lineage(indexed.filter(_alike_in_size("n", "center_n", percent)).select(*_ordered("center", "cls")).distinct())
-    links = _verified(texts, pairs, classes, words, percent)
+    links = _verified(texts, pairs, summaries, classes, words, percent)
     groups = connected_components(links)
     more = cut_lineage(_open_pairs(indexed, groups, percent).join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        groups = connected_components(links.union(_verified(texts, more, classes, words, percent)))
+        groups = connected_components(links.union(_verified(texts, more, summaries, classes, words, percent)))
     # a component is named by the smallest id of its classes
     named = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
     named = cut_lineage(named)
@@ -336,3 +372,10 @@ def _open_pairs(indexed: DataFrame, groups: DataFrame, percent: int) -> DataFram
     outside = inside.filter("group <> most").select("sig", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("group").alias("gx"))
     met = inside.join(outside, "sig").filter((F.col("group") != F.col("gx")) & _alike_in_size("n", "nx", percent))
     return met.select(*_ordered("cls", "x")).distinct()
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that no link joins to a document with a smaller id; all columns as they are."""
+    dropped = similar_groups(docs, id_col=id_col, text_col=text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = broadcast_if_small(cut_lineage(dropped))
+    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
