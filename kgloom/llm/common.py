@@ -93,3 +93,41 @@ def add_columns(df: DataFrame, source: str, added: StructType, make: Callable[[l
                 for part in slices(batch, source) if batch.num_rows else ():
                     yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(source).to_pylist())], names=[*batch.schema.names, *added.names])
     return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys`` in tables that hold whole groups, numbered in a column ``group``; a group that goes on in the next batch waits for it."""
+    waiting = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if waiting is not None:
+            table = pa.concat_tables([waiting, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        change = np.zeros(table.num_rows, dtype=bool)
+        for name in keys:
+            codes = table.column(name).combine_chunks().dictionary_encode()
+            codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy()
+            change[1:] |= codes[1:] != codes[:-1]
+        last = int(np.flatnonzero(change)[-1]) if change.any() else 0
+        waiting = table.slice(last)
+        if last:
+            yield table.slice(0, last).append_column("group", pa.array(np.cumsum(change[:last])))
+    if waiting is not None and waiting.num_rows:
+        yield waiting.append_column("group", pa.array(np.zeros(waiting.num_rows, dtype=np.int64)))
+
+
+# pairs of rows that a task looks at at once
+PAIRS = 1 << 18
+
+
+def pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (left, right) of all pairs inside runs of equal ``group``, about ``PAIRS`` at a time; nothing is sent on."""
+    sizes = np.diff(np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)))
+    ends = np.cumsum(sizes)
+    after = np.repeat(ends, sizes) - np.arange(ends[-1]) - 1
+    edges = np.searchsorted(np.cumsum(after), np.arange(0, after.sum(), PAIRS), side="left")
+    for a, b in zip(edges, [*edges[1:].tolist(), len(after)]):
+        part = after[a:b]
+        left = np.repeat(np.arange(a, b), part)
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(part) - part, part)

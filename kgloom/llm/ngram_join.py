@@ -9,13 +9,13 @@ counts are; counts only decide which tokens are frequent. They come from a hashe
 count table over all texts, of fixed size.
 
 Signatures that many classes share do not make all pairs. First every class is
-verified against the smallest class of the signature only; those links join most of
-a large group. Then only pairs of one signature whose ends are still in different
-components are verified. So no link between components is lost, and a group of
-thousands of near copies costs thousands of comparisons, not millions.
-
-Before two sets are fetched, their profiles (how many tokens fall into each part of
-the hash space) must allow the similarity; this is a bound, so nothing is lost.
+verified against the most typical class of the signature only (the one with the
+fewest rare tokens); those links join most of a large group. Then only pairs of one
+signature whose ends are still in different components can matter. They are looked
+at block by block inside the tasks, and a pair is sent on only if the profiles of its
+sets (how many tokens fall into each part of the hash space) allow the similarity;
+this is a bound, so no link between components is lost, and what is verified grows
+with the links, not with the square of a group.
 
 Words are hashed to 64 bits in numpy over whole texts, in blocks; sets are compared
 by built-in functions. A signature is combined inside each task before the shuffle.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import cut_lineage
+from kgloom.llm.common import cut_lineage, pairs_within, whole_groups
 from kgloom.llm.components import connected_components
 from kgloom.session import broadcast_if_small
 
@@ -45,10 +45,13 @@ CHUNK_LOG2 = 16
 # a token is frequent when its counter is this many standard deviations, and this many occurrences, above the mean
 DEVIATIONS, LEAST_FREQUENT = 6, 24
 # frequent tokens of a text of 2^k shingles fall into 2^k / GROUP_SPAN groups, whose pairs are indexed
-GROUP_SPAN = 16
+GROUP_SPAN = 8
 # bytes of a text that are hashed at once, and signatures that are combined at once
 BLOCK = 1 << 20
 FLUSH = 1 << 20
+# classes of a signature per block, and bytes of profiles that are compared at once
+CLASSES = 1024
+COMPARED = 1 << 25
 REMEMBERED = 1 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -226,24 +229,24 @@ def _frequent_tokens(summaries: DataFrame) -> np.ndarray:
     return counts > mean + max(LEAST_FREQUENT, DEVIATIONS * np.sqrt(mean))
 
 
-INDEX = "sig long, cls long, n int, center long, center_n int"
+INDEX = "sig long, cls long, n int, rare int, center long, center_n int"
 
 
 def _index(frequent, words: int, percent: int):
-    """Signatures of every set. Of the sets of a task that share one, all name the smallest as center, and only that goes on."""
-    def flush(sigs, classes, sizes, counts):
-        cls, n = np.repeat(np.array(classes, dtype=np.int64), counts), np.repeat(np.array(sizes, dtype=np.int32), counts)
+    """Signatures of every set. Of the sets of a task that share one, all name the most typical as center, and only that goes on."""
+    def flush(sigs, classes, sizes, rares, counts):
+        cls, n, rare = (np.repeat(np.array(x, dtype=kind), counts) for x, kind in ((classes, np.int64), (sizes, np.int32), (rares, np.int32)))
         sig = np.concatenate(sigs).view(np.int64)
-        order = np.lexsort((cls, n, sig))
-        sig, cls, n = sig[order], cls[order], n[order]
+        order = np.lexsort((cls, n, rare, sig))
+        sig, cls, n, rare = sig[order], cls[order], n[order], rare[order]
         new = np.concatenate([[True], sig[1:] != sig[:-1]])
         first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
-        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cls), pa.array(n), pa.array(cls[first], mask=new), pa.array(n[first], mask=new)],
-                                          names=["sig", "cls", "n", "center", "center_n"])
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cls), pa.array(n), pa.array(rare), pa.array(cls[first], mask=new), pa.array(n[first], mask=new)],
+                                          names=["sig", "cls", "n", "rare", "center", "center_n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = frequent.value, set()
-        sigs, classes, sizes, counts, held = [], [], [], [], 0
+        sigs, classes, sizes, rares, counts, held = [], [], [], [], [], 0
         for batch in batches:
             for text in _texts(batch):
                 tokens = shingle_set(text, words)
@@ -258,13 +261,14 @@ def _index(frequent, words: int, percent: int):
                     sigs.append(found)
                     classes.append(digest)
                     sizes.append(len(tokens))
+                    rares.append(len(tokens) - int(bits[_counter(tokens)].sum()))
                     counts.append(len(found))
                     held += len(found)
                 if held >= FLUSH:
-                    yield flush(sigs, classes, sizes, counts)
-                    sigs, classes, sizes, counts, held = [], [], [], [], 0
+                    yield flush(sigs, classes, sizes, rares, counts)
+                    sigs, classes, sizes, rares, counts, held = [], [], [], [], [], 0
         if held:
-            yield flush(sigs, classes, sizes, counts)
+            yield flush(sigs, classes, sizes, rares, counts)
     return run
 
 
@@ -287,18 +291,47 @@ def _class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return held.mapInArrow(run, "cls long, tokens array<long>")
 
 
+def _profiles(ends: DataFrame, summaries: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, profile) of the classes in ``ends``, written to the shared folder."""
+    wanted = ends.select("cls").distinct().join(classes, "cls")
+    rows = summaries.select("cls", "profile", F.col("doc_id").alias("low")).join(wanted, ["cls", "low"])
+    return cut_lineage(rows.dropDuplicates(["cls"]).select("cls", "profile"))
+
+
+def _within_bound(profiles: list, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sets at positions ``a`` and ``b`` can reach the threshold by their profiles."""
+    level = np.array([p[0] for p in profiles], dtype=np.int64)
+    place, tables = np.zeros(len(profiles), dtype=np.int64), {}
+    for at in np.unique(level).tolist():
+        own = np.flatnonzero(level == at)
+        place[own] = np.arange(len(own))
+        counts = [np.frombuffer(profiles[i], dtype=np.uint8 if len(profiles[i]) == 1 + (1 << at) else np.uint32, offset=1) for i in own.tolist()]
+        tables[at] = np.stack(counts) if len({c.dtype for c in counts}) == 1 else np.stack([c.astype(np.uint32) for c in counts])
+    shared = np.zeros(len(a), dtype=np.int64)
+    for la, lb in np.unique(np.stack([level[a], level[b]]), axis=1).T.tolist():
+        pairs, least = np.flatnonzero((level[a] == la) & (level[b] == lb)), min(la, lb)
+        step = max(1, COMPARED >> max(la, lb))
+        for k in range(0, len(pairs), step):
+            part = pairs[k:k + step]
+            sides = [tables[at][place[x[part]]] for x, at in ((a, la), (b, lb))]
+            sides = [x if at == least else x.reshape(len(x), 1 << least, -1).sum(axis=2, dtype=np.uint32) for x, at in zip(sides, (la, lb))]
+            shared[part] = np.minimum(*sides).sum(axis=1, dtype=np.int64)
+    return 100 * shared >= percent * (n[a].astype(np.int64) + n[b] - shared)
+
+
 def _plausible(pairs: DataFrame, summaries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that can reach the threshold by the sizes and profiles of their sets: only their sets are fetched."""
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls")
-    profiles = summaries.select("cls", "n", "profile", F.col("doc_id").alias("low")).join(ends, ["cls", "low"]).dropDuplicates(["cls"])
-    profiles = cut_lineage(profiles.select("cls", F.struct("n", "profile").alias("p")))
-    both = pairs.join(profiles.select(F.col("cls").alias("a"), F.col("p").alias("pa")), "a").join(profiles.select(F.col("cls").alias("b"), F.col("p").alias("pb")), "b")
+    """Pairs (a, b) that can reach the threshold by the profiles of their sets: only their sets are fetched."""
+    profiles = _profiles(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")), summaries, classes)
+    both = pairs.join(profiles.select(F.col("cls").alias("a"), F.col("profile").alias("pa")), "a").join(
+        profiles.select(F.col("cls").alias("b"), F.col("profile").alias("pb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [100 * (shared := most_shared(x["profile"], y["profile"])) >= percent * (x["n"] + y["n"] - shared)
-                    for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            profiles = [*batch.column("pa").to_pylist(), *batch.column("pb").to_pylist()]
+            n = np.array([int(np.frombuffer(p, dtype=np.uint8 if len(p) == 1 + (1 << p[0]) else np.uint32, offset=1).sum(dtype=np.int64)) for p in profiles], dtype=np.int64)
+            half = np.arange(batch.num_rows)
+            keep = _within_bound(profiles, n, half, half + batch.num_rows, percent) if batch.num_rows else np.zeros(0, dtype=bool)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
     return cut_lineage(both.mapInArrow(run, "a long, b long"))
 
 
@@ -331,7 +364,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     pairs = cut_lineage(indexed.filter(_alike_in_size("n", "center_n", percent)).select(*_ordered("center", "cls")).distinct())
     links = _verified(texts, pairs, summaries, classes, words, percent)
     groups = connected_components(links)
-    more = cut_lineage(_open_pairs(indexed, groups, percent).join(pairs, ["a", "b"], "left_anti"))
+    more = cut_lineage(_open_pairs(indexed, groups, summaries, classes, percent).join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         groups = connected_components(links.union(_verified(texts, more, summaries, classes, words, percent)))
     # a component is named by the smallest id of its classes
@@ -344,11 +377,11 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def _index_table(texts: DataFrame, frequent, words: int, percent: int) -> DataFrame:
-    """(sig, center, center_n, cls, n) for every class that shares a signature with a smaller one, written to the shared folder."""
+    """(sig, center, center_n, cls, n) for every class that shares a signature with a more typical one, written to the shared folder."""
     index = texts.filter("doc_id is not null").select("text").mapInArrow(_index(frequent, words, percent), INDEX)
     # rows that already name the center of their task are dealt by it; the centers of all tasks meet by signature
-    smallest = Window.partitionBy("sig", "center").orderBy("n", "cls")
-    first = index.withColumn("first", F.first(F.struct("cls", "n")).over(smallest))
+    typical = Window.partitionBy("sig", "center").orderBy("rare", "n", "cls")
+    first = index.withColumn("first", F.first(F.struct("cls", "n")).over(typical))
     return cut_lineage(first.select("sig", F.coalesce("center", "first.cls").alias("center"), F.coalesce("center_n", "first.n").alias("center_n"), "cls", "n")
                        .filter("center <> cls"))
 
@@ -358,20 +391,40 @@ def _alike_in_size(n: str, m: str, percent: int):
     return F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * percent
 
 
-def _open_pairs(indexed: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a signature and are still in different components."""
-    group = broadcast_if_small(groups.select(F.col("node").alias("cls"), F.col("component").alias("group")))
+BLOCK_PAIR = ["sig", "low", "high"]
+
+
+def _across_components(percent: int):
+    """Pairs inside a pair of blocks whose ends are in different components and can be similar by size and profile."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, BLOCK_PAIR):
+            n, cls, component, block, low, high, group = (table.column(c).to_numpy() for c in ("n", "cls", "component", "block", "low", "high", "group"))
+            n, across, profiles = n.astype(np.int64), low != high, table.column("profile").to_pylist()
+            for a, b in pairs_within(group):
+                keep = (component[a] != component[b]) & (~across[a] | (block[a] != block[b])) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                a, b = a[keep], b[keep]
+                if len(a):
+                    keep = _within_bound(profiles, n, a, b, percent)
+                    x, y = cls[a[keep]], cls[b[keep]]
+                    found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+    return run
+
+
+def _open_pairs(indexed: DataFrame, groups: DataFrame, summaries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share a signature, are still in different components and can be similar."""
+    group = broadcast_if_small(groups.select(F.col("node").alias("cls"), "component"))
     members = indexed.select("sig", "cls", "n").union(indexed.select("sig", "center", "center_n")).distinct().join(group, "cls", "left").select(
-        "sig", "cls", "n", F.coalesce("group", "cls").alias("group"))
+        "sig", "cls", "n", F.coalesce("component", "cls").alias("component"))
     members = cut_lineage(members)
-    # signatures that join several components; every pair across has an end outside the largest of them
-    counted = members.groupBy("sig", "group").agg(F.count(F.lit(1)).alias("size"))
-    split = cut_lineage(counted.groupBy("sig").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("size", "group")).alias("largest"))
-                        .filter("groups > 1").select("sig", F.col("largest.group").alias("most")))
-    inside = cut_lineage(members.join(split, "sig"))
-    outside = inside.filter("group <> most").select("sig", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("group").alias("gx"))
-    met = inside.join(outside, "sig").filter((F.col("group") != F.col("gx")) & _alike_in_size("n", "nx", percent))
-    return met.select(*_ordered("cls", "x")).distinct()
+    split = cut_lineage(members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
+                        .filter("least <> most").select("sig", F.ceil(F.col("size") / CLASSES).cast("int").alias("blocks")))
+    inside = members.join(split, "sig").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    inside = cut_lineage(inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "n", "component"))
+    profiles = _profiles(inside, summaries, classes)
+    together = inside.join(profiles, "cls").repartition(*BLOCK_PAIR).sortWithinPartitions(*BLOCK_PAIR)
+    return together.mapInArrow(_across_components(percent), "a long, b long").distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
