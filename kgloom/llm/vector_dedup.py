@@ -17,18 +17,18 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import cut_lineage
+from kgloom.llm.common import cut_lineage, pairs_within, whole_groups
 from kgloom.llm.components import connected_components
 
 THRESHOLD = 0.93
-# a pair at the threshold agrees in one bit with probability 0.88, in one of these tables with 0.99
-TABLES = 32
-BITS = 15
+# a pair at the threshold agrees in one bit with probability 0.88, in all bits of one of these tables with 0.98
+TABLES = 48
+BITS = 20
 SEED = 42
 # classes of a bucket per block
 BLOCK = 512
@@ -38,61 +38,83 @@ def _hyperplanes(dims: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((dims, TABLES * BITS))
 
 
+def _matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix in double precision) per vector length; null vectors are left out, null components are NaN."""
+    if column.null_count:
+        kept = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        column = column.take(pa.array(kept))
+    else:
+        kept = np.arange(len(column))
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    return [(kept[own], flat[starts[own][:, None] + np.arange(n)]) for n in np.unique(sizes) for own in [np.flatnonzero(sizes == n)] if n]
+
+
 def _hash_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the vector at unit length, a digest of it and one bucket per table; unusable vectors get nulls."""
     planes: dict = {}
     powers = (1 << np.arange(BITS)).astype(np.int64)
     for batch in batches:
-        vectors = [None if v is None else np.asarray([np.nan if x is None else x for x in v], dtype=np.float64) for v in batch.column("embedding").to_pylist()]
-        units, digests, buckets = [], [], []
-        for v, label in zip(vectors, batch.column("label").to_pylist()):
-            norm = 0.0
-            if v is not None and len(v) and label is not None and np.isfinite(v).all():
-                largest = np.abs(v).max()
-                if largest > 0:
-                    v = v / largest
-                    norm = np.sqrt((v * v).sum())
-            if norm == 0.0:
-                units.append(None)
-                digests.append(None)
-                buckets.append(None)
-                continue
-            unit = v / norm
-            if len(unit) not in planes:
-                planes[len(unit)] = _hyperplanes(len(unit))
-            signs = (unit @ planes[len(unit)] >= 0).reshape(TABLES, BITS)
-            units.append(unit)
-            digests.append(blake2b(unit.tobytes(), digest_size=16).hexdigest())
-            buckets.append(signs @ powers)
+        labelled = batch.column("label").is_valid().to_numpy(zero_copy_only=False)
+        units, digests, buckets = ([None] * batch.num_rows for _ in range(3))
+        for rows, matrix in _matrices(batch.column("embedding")):
+            largest = np.abs(matrix).max(axis=1)
+            good = np.isfinite(largest) & (largest > 0) & labelled[rows]
+            rows, unit = rows[good], matrix[good] / largest[good, None]
+            unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+            dims = matrix.shape[1]
+            if dims not in planes:
+                planes[dims] = _hyperplanes(dims)
+            hashed = (unit @ planes[dims] >= 0).reshape(-1, TABLES, BITS) @ powers
+            for at, u, h in zip(rows.tolist(), unit, hashed):
+                units[at], digests[at], buckets[at] = u, blake2b(u.tobytes(), digest_size=16).hexdigest(), h
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(units, pa.list_(pa.float64())), pa.array(digests, pa.string()),
                                           pa.array(buckets, pa.list_(pa.int64()))], names=["vec_id", "label", "unit", "digest", "buckets"])
 
 
-def _compare(threshold: float):
-    """Links between the classes of one or two blocks of a bucket."""
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        table, low, high = int(key[2]), int(key[4]), int(key[5])
-        rows = rows.sort_values("cls", ignore_index=True)
-        units, seen = np.stack(rows["unit"].to_numpy()), np.stack(rows["buckets"].to_numpy())
-        block, cls, copies = rows["block"].to_numpy(), rows["cls"].to_numpy(), rows["copies"].to_numpy()
-        near = units @ units.T >= threshold
-        np.fill_diagonal(near, False)
-        if low != high:
-            near &= block[:, None] != block[None, :]
-        for earlier in range(table):  # met before
-            near &= seen[:, None, earlier] != seen[None, :, earlier]
-        linked = near @ copies
-        # within the blocks every class is tied to the first class that its links reach
+GROUP = ["dims", "label", "table", "bucket", "low", "high"]
+
+
+def _links(rows: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Link counts and a spanning forest of the links inside the groups of ``rows``, which are sorted by group."""
+    for n in rows.column("dims").unique().to_pylist():
+        own = rows.filter(pa.compute.equal(rows.column("dims"), n)).combine_chunks()
+        unit = own.column("unit").combine_chunks().flatten().to_numpy().reshape(-1, n)
+        seen = own.column("buckets").combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
+        cls, copies, block, table, group = (own.column(c).to_numpy() for c in ("cls", "copies", "block", "table", "group"))
+        across = own.column("low").to_numpy() != own.column("high").to_numpy()
+        counts = np.zeros(len(cls), dtype=np.int64)
+        left, right = [], []
+        for a, b in pairs_within(group):
+            near = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
+            a, b = a[near], b[near]
+            # rows of two blocks are compared across them only; a pair counts in the first table where it meets
+            new = (~across[a] | (block[a] != block[b])) & ~((seen[a] == seen[b]) & (np.arange(TABLES) < table[a][:, None])).any(axis=1)
+            a, b = a[new], b[new]
+            counts += np.bincount(a, copies[b], len(cls)).astype(np.int64) + np.bincount(b, copies[a], len(cls)).astype(np.int64)
+            left.append(a)
+            right.append(b)
+        a, b = np.concatenate(left) if left else np.zeros(0, int), np.concatenate(right) if right else np.zeros(0, int)
         root = np.arange(len(cls))
         while True:
-            lower = np.minimum(root, np.where(near, root[None, :], len(cls)).min(axis=1))
+            lower, least = root.copy(), np.minimum(root[a], root[b])
+            np.minimum.at(lower, a, least)
+            np.minimum.at(lower, b, least)
             lower = lower[lower]
             if (lower == root).all():
                 break
             root = lower
-        hit, tied = linked > 0, root < np.arange(len(cls))
-        return pd.concat([pd.DataFrame({"cls": cls[hit], "partner": None, "links": linked[hit]}),
-                          pd.DataFrame({"cls": cls[tied], "partner": cls[root[tied]], "links": None})])[["cls", "partner", "links"]].astype("Int64")
+        hit, tied = np.flatnonzero(counts), np.flatnonzero(root < np.arange(len(cls)))
+        none = pa.nulls
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cls[hit], cls[tied]])), pa.concat_arrays([none(len(hit), pa.int64()), pa.array(cls[root[tied]])]),
+                                          pa.concat_arrays([pa.array(counts[hit]), none(len(tied), pa.int64())])], names=["cls", "partner", "links"])
+
+
+def _compare(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, GROUP):
+            yield from _links(table, threshold)
     return run
 
 
@@ -118,7 +140,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blo
         "cls", "dims", "label", "table", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     dealt = cut_lineage(dealt)
     full = dealt.join(held.select("cls", "unit", "buckets", "copies"), "cls")
-    found = cut_lineage(full.groupBy("dims", "label", "table", "bucket", "low", "high").applyInPandas(_compare(threshold), "cls long, partner long, links long"))
+    together = full.select(*GROUP, "cls", "block", "unit", "buckets", "copies").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    found = cut_lineage(together.mapInArrow(_compare(threshold), "cls long, partner long, links long"))
     counts = cut_lineage(found.filter("links is not null").groupBy("cls").agg(F.sum("links").alias("links")))
     joined = connected_components(found.filter("partner is not null"), "cls", "partner")
     # classes of one component, copies of one class and rows of one id share a component: the smallest id of all
