@@ -3,7 +3,8 @@
 Only a document longer than a sequence is cut. Packing is hierarchical: every
 partition packs its own pieces best-fit, longest first; bins that are nearly full
 are emitted; the underfull bins of several partitions then meet as items of the
-next, smaller round, until one bounded partition is left or a round saves nothing.
+next, smaller round (those that stay underfull there are opened and packed anew),
+until one bounded partition is left or a round saves nothing.
 A bin carries its members (at most one per token), so no join is needed, only
 underfull bins move, and a round is one map over a checkpointed table.
 
@@ -25,8 +26,8 @@ from kgloom.llm.common import SharedEncoder, cut_lineage, no_cycle_collection, t
 
 CAPACITY = 2048
 END_ID = 0
-# a bin with less room than this is emitted
-SLACK = 4
+# a bin is emitted when its room is at most this part of the capacity
+NEARLY = 1 / 512
 # bins that one task packs at most, and partitions that meet in one of the next round
 BINS_PER_TASK = 100_000
 FAN_IN = 8
@@ -37,6 +38,10 @@ PIECES = ArrayType(StructType([StructField("piece", IntegerType()), StructField(
                                StructField("length", LongType()), StructField("ids_crc32", LongType())]))
 
 
+def least_full(capacity: int) -> int:
+    return capacity - int(capacity * NEARLY)
+
+
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. The end id follows the last token."""
     shared = SharedEncoder(docs.sparkSession, path)
@@ -87,28 +92,42 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+def _gathered(members: pa.ListArray, number: np.ndarray) -> pa.ListArray:
+    """Members of the bins with equal number, put together in the order of the numbers."""
+    order = np.argsort(number, kind="stable")
+    taken = members.take(pa.array(order))
+    count = np.bincount(number[order], weights=np.diff(taken.offsets.to_numpy())).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.flatten(), type=members.type)
+
+
+def _levels(members: pa.ListArray) -> np.ndarray:
+    lengths = members.flatten().field("length").to_numpy()
+    return np.bincount(np.repeat(np.arange(len(members)), np.diff(members.offsets.to_numpy())), weights=lengths, minlength=len(members)).astype(np.int64)
+
+
 def _merge_round(capacity: int):
-    """Packs all bins of a partition into fewer; members of merged bins are put together."""
+    """Packs all bins of a partition into fewer.
+
+    First whole bins are put together best-fit. Bins that are still underfull are
+    then opened, and their pieces packed anew among themselves where that saves bins.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not batches:
+        parts = [b.column("members") for b in batches if b.num_rows]
+        if not parts:
             return
-        table = pa.Table.from_batches(batches).combine_chunks()
-        if not table.num_rows:
-            return
-        levels = table.column("level").to_numpy().astype(np.int64)
-        number = best_fit(levels, capacity)
-        order = np.argsort(number, kind="stable")
-        number = number[order]
-        members = table.column("members").combine_chunks().take(pa.array(order))
-        if isinstance(members, pa.ChunkedArray):
-            members = members.combine_chunks()
-        sizes = np.diff(members.offsets.to_numpy())
-        count = np.bincount(number, weights=sizes).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-        merged = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), members.flatten(), type=members.type)
-        total = np.bincount(number, weights=levels[order]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(total), merged], names=["level", "members"])
+        members = pa.concat_arrays(parts)
+        members = _gathered(members, best_fit(_levels(members), capacity))
+        levels = _levels(members)
+        full = levels >= least_full(capacity)
+        rest = members.filter(pa.array(~full))
+        if len(rest):
+            pieces = rest.flatten()
+            single = pa.ListArray.from_arrays(pa.array(np.arange(len(pieces) + 1, dtype=np.int32)), pieces, type=members.type)
+            anew = _gathered(single, best_fit(_levels(single), capacity))
+            rest = anew if len(anew) < len(rest) else rest
+            members = pa.concat_arrays([members.filter(pa.array(full)), rest])
+        yield pa.RecordBatch.from_arrays([pa.array(_levels(members)), members], names=["level", "members"])
     return run
 
 
@@ -133,7 +152,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bins_per_task: int
     bins = pieces.select(F.col("length").alias("level"), F.array(member).alias("members"))
     merge, schema = _merge_round(capacity), bins.schema
     bins = cut_lineage(bins.mapInArrow(merge, schema))
-    done, nearly = [], F.col("level") > capacity - SLACK
+    done, nearly = [], F.col("level") >= least_full(capacity)
     parts = max(1, bins.rdd.getNumPartitions())
     while True:
         done.append(bins.filter(nearly))
