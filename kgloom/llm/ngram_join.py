@@ -121,8 +121,9 @@ def _digest(tokens: np.ndarray) -> int:
 
 
 def profile(tokens: np.ndarray) -> bytes:
-    """How many tokens fall into each of 2^k equal parts of the hash space, about 4 to 8 in each."""
-    parts_log2 = max(4, len(tokens).bit_length() - 3)
+    """How many tokens fall into each of 2^k equal parts of the hash space: 1 to 2 of a short text, 4 to 8 of a long one."""
+    bits = len(tokens).bit_length()
+    parts_log2 = max(4, min(bits - 1, 8), bits - 3)
     counts = np.bincount((mix(~tokens) >> np.uint64(64 - parts_log2)).astype(np.int64), minlength=1 << parts_log2)
     return bytes([parts_log2]) + counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
@@ -417,8 +418,12 @@ def _open_pairs(indexed: DataFrame, groups: DataFrame, summaries: DataFrame, cla
     members = indexed.select("sig", "cls", "n").union(indexed.select("sig", "center", "center_n")).distinct().join(group, "cls", "left").select(
         "sig", "cls", "n", F.coalesce("component", "cls").alias("component"))
     members = cut_lineage(members)
-    split = cut_lineage(members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
-                        .filter("least <> most").select("sig", F.ceil(F.col("size") / CLASSES).cast("int").alias("blocks")))
+    split = members.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most"),
+        F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).filter("least <> most")
+    # signatures of exactly the same classes give the same pairs: one of them is enough
+    split = cut_lineage(split.groupBy("size", "least", "most", "x", "y").agg(F.min("sig").alias("sig")).select(
+        "sig", F.ceil(F.col("size") / CLASSES).cast("int").alias("blocks")))
     inside = members.join(split, "sig").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     inside = cut_lineage(inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "n", "component"))
