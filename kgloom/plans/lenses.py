@@ -3,11 +3,12 @@
 Each lens exists twice: as DataFrames for the operators and as SQL common table
 expressions for the twin queries.
 """
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom import vocab as V
 from kgloom.functions.arrays import spread
+from kgloom.session import next_within
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -126,11 +127,10 @@ def mention_entities(spark, sf):
 
 
 def mention_relationships(spark, sf):
-    """An event followed by the same user's next event of the day; a day bounds what one task has to order."""
-    ev = table(spark, sf, "events")
-    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
-    nxt = ev.withColumn("nxt", F.lead("event_id").over(w))
-    return (nxt.filter((F.col("user_id") % 10 != 0) & F.col("event_type").isin("click", "purchase") & F.col("nxt").isNotNull())
+    """An event followed by the same user's next event, whatever the day; a user's events are cut into ranges."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    nxt = next_within(ev, ["user_id"], ["ts", "event_id"], "event_id", "nxt")
+    return (nxt.filter(F.col("event_type").isin("click", "purchase") & F.col("nxt").isNotNull())
             .select(_id("m", "event_id").alias("id"), _id("u", "user_id").alias("document_id"),
                     _id("e", "event_id").alias("source_entity_id"), _id("e", "nxt").alias("target_entity_id"),
                     F.when(F.col("event_type") == "click", "USES").otherwise("renews").alias("relationship_type"),

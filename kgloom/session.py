@@ -89,6 +89,24 @@ def number_within(df: DataFrame, keys: list, order: list, name: str = "seq_no")
             .withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name))
 
 
+def next_within(df: DataFrame, keys: list, order: list, value: str, name: str) -> DataFrame:
+    """``value`` of the next row of the same keys in the given total order, null after the last.
+
+    Rows are range-partitioned by key and order, so one huge key is cut into many
+    ranges. Only the last row of a range can be followed by a row of another range:
+    the first one of the next range, carried over in a table of one row per range.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    inner = Window.partitionBy("_range", *keys).orderBy(*order)
+    heads = ranged.groupBy("_range").agg(F.min(F.struct(*keys, *order, F.struct(F.col(value).alias("v")).alias("_value"))).alias("h"))
+    ahead = heads.select("_range", F.lead("h").over(Window.orderBy("_range")).alias("_ahead"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_ahead.{k}"))
+    following = F.coalesce(F.lead(F.struct(F.col(value).alias("v"))).over(inner), F.when(same, F.col("_ahead._value")))
+    return (ranged.join(F.broadcast(ahead), "_range", "left").withColumn(name, following["v"]).select(*df.columns, name))
+
+
 # pages that end beyond this row are cut from ranges instead of one sorted head
 DEEP_PAGE = 100_000
 
