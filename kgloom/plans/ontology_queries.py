@@ -140,8 +140,7 @@ def _(spark, sf):
  union all select '  '||source_type||' --'||relationship_type||'--> '||target_type||'  ('||cnt||case when cnt=1 then ' occurrence)' else ' occurrences)' end from pat"""))
 def _(spark, sf):
     e, r = _named_rels(spark, sf)
-    lines = O.render_profile(e, r, "trade").select("line")
-    return lines.filter(~F.col("line").startswith("  Company ("))
+    return O.render_profile(e, r, "trade").select("line")
 
 
 ONTO = """

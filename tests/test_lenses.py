@@ -1,12 +1,17 @@
 """Views of the test tables against plain Python."""
+import os
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from kgloom.plans import catalogue
 from kgloom.plans import lenses as N
 from kgloom.session import next_within
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_next_event_over_days_and_for_every_user(spark, tmp_path):
     start = datetime(2024, 1, 1, 22)
@@ -33,3 +38,12 @@ def test_next_within_one_hot_key(spark):
         rows[k].append(o)
     assert len(got) == 6000
     assert all(got[k, a] == (b if b is not None and b % 5 else None) for k, os in rows.items() for a, b in zip(sorted(os), [*sorted(os)[1:], None]))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_profile_has_a_line_for_every_type(spark):
+    lines = [r.line for r in catalogue.QUERIES["ontology_profile_lines"](spark, SF).collect()]
+    companies = [r.name for r in N.star_entities(spark, SF).filter("entity_type = 'Company'").orderBy("pos").collect()]
+    assert f"  Company ({len(companies)} instances): {', '.join(companies[:10])} (+{len(set(companies)) - 10} more)" in lines
+    types = {r.entity_type for r in N.star_entities(spark, SF).select("entity_type").distinct().collect()}
+    assert {x.split()[0] for x in lines if " instances): " in x} == types
