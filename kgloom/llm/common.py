@@ -7,12 +7,12 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kgloom.llm import merges
-from kgloom.session import cut_lineage  # noqa: F401
+from kgloom.session import broadcast_if_small, cut_lineage
 
 # fixed value: folder of the public tokenizer files on this machine; every operator takes a path of its own
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -47,6 +47,20 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def without_rows(docs: DataFrame, dropped: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """``docs`` without the rows named in ``dropped`` (doc_id, key) by id and ``key`` of their text.
+
+    Of rows without id that have one key, one stays; which of them is left open.
+    """
+    name = free_name(docs, "_text_key")
+    dropped = broadcast_if_small(cut_lineage(dropped.select(F.col("doc_id").alias("_dropped"), F.col("key").alias("_dropped_key")).distinct()))
+    keyed = docs.withColumn(name, key)
+    named = keyed.filter(F.col(id_col).isNotNull()).join(dropped, (F.col(id_col) == F.col("_dropped")) & (F.col(name) == F.col("_dropped_key")), "left_anti")
+    unnamed = keyed.filter(F.col(id_col).isNull()).dropDuplicates([name])
+    lost = dropped.filter("_dropped is null").select(F.col("_dropped_key").alias(name))
+    return named.unionByName(unnamed.join(lost, name, "left_anti")).select(*docs.columns)
+
+
 class SharedEncoder:
     """Tables of a tokenizer file, read on the driver and broadcast (a few MB, whatever the corpus).
 

@@ -8,12 +8,14 @@ that combine before the shuffle, and only narrow rows (no text) are shuffled.
 
 Defined cases: a null text counts as empty; of equal texts the smallest doc_id
 stays, null ids last; rows that repeat a doc_id of the same text share its fate;
-an empty table gives no rows; other columns are not read.
+an empty table gives no rows; other columns are not read. When copies are dropped,
+a row is named by its doc_id and its text, so that other texts of the same id stay,
+and of equal texts that all lack an id one row stays.
 """
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import cut_lineage
+from kgloom.llm.common import cut_lineage, without_rows
 from kgloom.session import broadcast_if_small
 
 PREFIX_CHARS = 64
@@ -34,12 +36,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts that are alone with their length and prefix are not hashed. Groups are the
     same either way: only documents of shared pairs are compared.
     """
+    out = _groups(docs, id_col, text_col, with_hash)
+    return out if with_hash else out.drop("text_sha256")
+
+
+def _digest(norm: Column) -> Column:
+    return F.sha2(norm.cast("binary"), 256)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, with_hash: bool) -> DataFrame:
+    """The rows of ``exact_groups``; without ``with_hash`` text_sha256 may be null where a text has no equal."""
     norm = docs.select(F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("norm"))
     keyed = norm.select("doc_id", "norm", F.length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix"))
     by_prefix = cut_lineage(keyed.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")))
     by_length = by_prefix.groupBy("len").agg(F.sum("n").alias("n")).filter("n > 1").select("len")
     shared = cut_lineage(by_prefix.filter("n > 1").join(by_length, "len", "left_semi").select("len", "prefix", F.lit(True).alias("shared")))
-    full = F.sha2(F.col("norm").cast("binary"), 256)
+    full = _digest(F.col("norm"))
     few = broadcast_if_small(shared)
     if with_hash or few is shared:
         # every row is hashed in the scan, so that the join moves narrow rows only
@@ -50,18 +62,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = refined.filter("shared").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = broadcast_if_small(cut_lineage(groups.filter("group_size > 1")))
     keep = F.when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id"))
-    out = (refined.withColumn("_key", F.when(F.col("shared"), F.col("text_sha256")).otherwise(F.concat(F.lit("-"), F.col("prefix").cast("string"))))
+    return (refined.withColumn("_key", F.when(F.col("shared"), F.col("text_sha256")).otherwise(F.concat(F.lit("-"), F.col("prefix").cast("string"))))
            .join(groups.withColumnRenamed("text_sha256", "_key"), "_key", "left")
            .select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
                    F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256"))
-    return out if with_hash else out.drop("text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text has no equal with a smaller id; all columns as they are."""
-    dropped = exact_groups(docs, id_col, text_col, with_hash=False).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    dropped = broadcast_if_small(cut_lineage(dropped))
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
+    """Rows of ``docs`` whose text has no equal with a smaller id, nulls last; all columns as they are."""
+    dropped = _groups(docs, id_col, text_col, with_hash=False).filter(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("key"))
+    return without_rows(docs, dropped, id_col, _digest(normalized(F.col(text_col))))
 
 
 SQL = r"""

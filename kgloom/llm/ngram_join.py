@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import cut_lineage, pairs_within, whole_groups
+from kgloom.llm.common import cut_lineage, pairs_within, whole_groups, without_rows
 from kgloom.llm.components import connected_components
 from kgloom.session import broadcast_if_small
 
@@ -428,7 +428,18 @@ def _open_pairs(indexed: DataFrame, groups: DataFrame, summaries: DataFrame, cla
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that no link joins to a document with a smaller id; all columns as they are."""
-    dropped = similar_groups(docs, id_col=id_col, text_col=text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    dropped = broadcast_if_small(cut_lineage(dropped))
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    """Rows of ``docs`` that are the first of their group by (id, nulls last, text); all columns as they are.
+
+    A row is named by id and text: rows that repeat an id with another text are
+    documents of their own, and so are rows without id, one of each text.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = texts.select(F.xxhash64("id", "key").alias("row"), "id", "key", "text")
+    groups = similar_groups(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id").distinct()
+    groups = cut_lineage(groups)
+    linked = cut_lineage(groups.filter("row <> component_id").select("component_id").distinct())
+    members = broadcast_if_small(cut_lineage(groups.join(broadcast_if_small(linked), "component_id", "left_semi")))
+    named = cut_lineage(rows.select("row", "id", "key").join(members, "row").distinct())
+    first = named.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+    dropped = named.join(broadcast_if_small(cut_lineage(first)), "component_id").filter("row <> first").select(F.col("id").alias("doc_id"), "key")
+    return without_rows(docs, dropped, id_col, F.xxhash64(text_col))

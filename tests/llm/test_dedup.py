@@ -54,6 +54,19 @@ def test_drop_exact_copies_keeps_columns(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(["1", "1", "2", "4", "7", "8", "9", "None"])
 
 
+def test_only_the_copy_itself_is_dropped(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, "a b"), (7, "a  b"), (7, "one of its own"), (None, "a b"), (None, "no other has this"), (None, "twice  and no id"), (None, "twice and no id"),
+            (20, near), (21, near + " x"), (21, "far from that"), (None, near + " y"), (None, "blank"), (5, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [(r.doc_id, re.sub(" +", " ", r.text or "")) for r in exact_dedup.drop_exact_copies(docs).collect()]
+    own = [(3, "a b"), (7, "one of its own"), (None, "no other has this"), (None, "twice and no id"), (20, near), (21, "far from that"), (None, "blank"), (5, "")]
+    assert sorted(map(repr, left)) == sorted(map(repr, [*own, (21, near + " x"), (None, near + " y")]))
+    left = [(r.doc_id, re.sub(" +", " ", r.text or "")) for r in ngram_join.drop_near_copies(docs).collect()]
+    # texts without words link with nothing
+    assert sorted(map(repr, left)) == sorted(map(repr, [*own, (None, "")]))
+
+
 def test_hot_exact_group(spark):
     docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one and the same").otherwise(F.concat(F.lit("own "), "id")).alias("text"))
     out = exact_dedup.exact_groups(docs)
