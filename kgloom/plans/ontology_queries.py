@@ -267,8 +267,8 @@ def _(spark, sf):
 
 
 def question_classes(spark, sf):
-    """Class names for matching: the gazetteer words and the seed classes."""
-    return N.gazetteer(spark, sf).filter("instr(name, ' ') = 0").select("name").unionByName(O.default_classes(spark).select("name"))
+    """Class names for matching: the gazetteer, phrases included, and the seed classes."""
+    return N.gazetteer(spark, sf).select("name").unionByName(O.default_classes(spark).select("name"))
 
 
 MATCHED = """,

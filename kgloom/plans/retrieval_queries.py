@@ -95,7 +95,7 @@ def _(spark, sf):
 
 def _text_graph(spark, sf):
     """Graph of the extracted entities; an entity's type is its name, so questions can ask for it."""
-    e = XQ.stored_entities(spark, sf).filter("entity_type <> 'Person' or confidence <> 0.6D")
+    e = XQ.stored_entities(spark, sf)
     nodes = G.nodes_from(e.withColumn("entity_type", F.col("name")))
     first = e.select("document_id", "chunk_index", "id", "pos")
     w = Window.partitionBy("document_id", "chunk_index").orderBy("pos", "id")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from kgloom.plans import catalogue
 from kgloom.plans import lenses as N
+from kgloom.plans import ontology_queries as OQ
+from kgloom.plans import retrieval_queries as RQ
 from kgloom.session import next_within
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +49,17 @@ def test_profile_has_a_line_for_every_type(spark):
     assert f"  Company ({len(companies)} instances): {', '.join(companies[:10])} (+{len(set(companies)) - 10} more)" in lines
     types = {r.entity_type for r in N.star_entities(spark, SF).select("entity_type").distinct().collect()}
     assert {x.split()[0] for x in lines if " instances): " in x} == types
+
+
+def test_graph_has_pattern_entities_and_classes_have_phrases(spark, tmp_path):
+    passage = "quarterly delivery agreement between northern suppliers and retail partners under annual pricing terms for warehouse storage capacity"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "delivery was late, write to ann@mail.org or see https://mail.org/x for the agreement", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, "user", f"Who knows of the {passage}?")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sf = str(tmp_path)
+    nodes, edges = RQ._text_graph(spark, sf)
+    assert {"ann@mail.org", "https://mail.org/x", "delivery", "agreement"} <= {r.name for r in nodes.collect()}
+    assert edges.count() == nodes.count() - 1
+    phrases = {r.name for r in N.gazetteer(spark, sf).filter("instr(name, ' ') > 0").collect()}
+    assert phrases and phrases <= {r.name for r in OQ.question_classes(spark, sf).collect()}
+    assert phrases <= {r.class_name for r in catalogue.QUERIES["ontology_classes_of_questions"](spark, sf).collect()}
