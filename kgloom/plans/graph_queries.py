@@ -66,15 +66,17 @@ def _(spark, sf):
 
 
 @query("graph_merge_edges", with_ctes(STAR, body="""
-select src, tgt, id, type, case when type='BELONGS_TO' then 0.1::double else confidence end as confidence, document_id, type<>'LOCATED_IN' as was_created from star_r"""))
+select src, tgt, id, type, max(case when type='BELONGS_TO' then 0.1::double else confidence end) as confidence, '' as evidence, document_id, type<>'LOCATED_IN' as was_created
+from star_r group by all"""))
 def _(spark, sf):
-    return _edge_merge(spark, sf)[0].drop("evidence")
+    return _edge_merge(spark, sf)[0]
 
 
 @query("graph_merge_counts", with_ctes(STAR, MENTION, body="""
+, made as (select distinct src, tgt, id from star_r where type not in ('LOCATED_IN','BELONGS_TO'))
 select count_if(entity_type not in ('Location','Company'))::bigint as nodes_created, count_if(entity_type='Company')::bigint as nodes_updated,
-       (select count(*) from star_r where type not in ('LOCATED_IN','BELONGS_TO')) as edges_created,
-       (select count(*) from star_r where type='LOCATED_IN') as edges_updated, (select count(*) from men_r) as edges_skipped from star_e"""))
+       (select count(*) from made) as edges_created,
+       (select count(*) from star_r where type<>'BELONGS_TO')-(select count(*) from made) as edges_updated, (select count(*) from men_r) as edges_skipped from star_e"""))
 def _(spark, sf):
     return G.merge_counts(_node_merge(spark, sf)[1], _edge_merge(spark, sf)[1])
 

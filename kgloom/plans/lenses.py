@@ -147,8 +147,8 @@ men_r as (
   select 'm:'||event_id as id, 'u:'||user_id as document_id, 'e:'||event_id as src, 'e:'||nxt as tgt,
          case when event_type='click' then 'USES' else 'renews' end as type,
          least(value/100.0::double, 1.0::double) as confidence
-  from (select *, lead(event_id) over (partition by user_id, ts::date order by ts, event_id) as nxt from events)
-  where user_id%10<>0 and event_type in ('click','purchase') and nxt is not null
+  from (select *, lead(event_id) over (partition by user_id order by ts, event_id) as nxt from events)
+  where event_type in ('click','purchase') and nxt is not null
 )"""
 
 

@@ -117,8 +117,8 @@ pat as (select coalesce(a.entity_type, c.entity_type, 'Unknown') as source_type,
   from rnm left join ty_id a on a.id=src left join ty_id b on b.id=tgt left join ty_name c on c.name=sn left join ty_name d on d.name=tn group by 1,2,3)"""
 
 
-def _named_rels(spark, sf):
-    e = N.star_entities(spark, sf)
+def _named_rels(spark, sf, entities=N.star_entities):
+    e = entities(spark, sf)
     return e, X.relationship_rows(X.merge_results(N.star_relationships(spark, sf), N.mention_relationships(spark, sf)), e)
 
 
@@ -133,13 +133,12 @@ def _(spark, sf):
     return O.class_patterns(*_named_rels(spark, sf))
 
 
-@query("ontology_profile_lines", with_ctes(BOTH + PROFILE + PATTERNS, body="""
+@query("ontology_profile_lines", with_ctes(BOTH + PROFILE + PATTERNS.replace("star_e", "ppos"), body="""
  select 'Domain hint: trade' as line union all select '' union all select 'Entity types observed:' union all select '' union all select 'Relationship patterns observed:'
- union all select '  '||entity_type||' ('||instances||' instances): '||sample||case when more>0 then ' (+'||more||' more)' else '' end from prof where entity_type in (select entity_type from star_e)
-   and entity_type not in (select entity_type from men_e)
+ union all select '  '||entity_type||' ('||instances||' instances): '||sample||case when more>0 then ' (+'||more||' more)' else '' end from prof
  union all select '  '||source_type||' --'||relationship_type||'--> '||target_type||'  ('||cnt||case when cnt=1 then ' occurrence)' else ' occurrences)' end from pat"""))
 def _(spark, sf):
-    e, r = _named_rels(spark, sf)
+    e, r = _named_rels(spark, sf, both_entities)
     return O.render_profile(e, r, "trade").select("line")
 
 
@@ -272,10 +271,11 @@ def question_classes(spark, sf):
 
 
 MATCHED = """,
-cnames as (select name from gaz where instr(name, ' ')=0 union all select name from """ + SEEDS + """),
+cnames as (select name from gaz union all select name from """ + SEEDS + """),
+cterms as (select name, name as term from cnames union all select name, 'company' from cnames where lower(name)='organization' union all select name, 'organization' from cnames where lower(name)='company'),
+cwords as (select name, term, unnest(ws) as w, len(ws) as need from (select *, list_distinct(regexp_extract_all(lower(term), '[\\p{L}\\p{N}]+')) as ws from cterms)),
 qtok as (select question_id, unnest(list_distinct(regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+'))) as w from questions),
-hit as (select distinct question_id, name as class_name from qtok join cnames on lower(name)=w
-        union select distinct question_id, 'Organization' from qtok where w='company'),
+hit as (select distinct question_id, name as class_name from (select question_id, name, term, need, count(*) as got from qtok join cwords using (w) group by all) where got=need),
 matched as (select * from hit union all select question_id, name from questions, (select name from cnames order by name limit 3) where question_id not in (select question_id from hit))"""
 
 

@@ -34,7 +34,7 @@ CHUNKS_1000 = sql_sliding("docs", "id", "raw_text", 1000, 100)
 
 
 @query("embed_chunks", with_ctes(TEXT, CHUNKS_1000, sql_vectors("chunks", "document_id*4294967296+chunk_index", "text", "cv"), body="""
- select key//1000 as document_id, (key%1000)::int as chunk_index, d as dim, round(v,6) as value from cv"""))
+ select key//4294967296 as document_id, (key%4294967296)::int as chunk_index, d as dim, round(v,6) as value from cv"""))
 def _(spark, sf):
     c = E.embed_chunks(N.text_documents(spark, sf))
     return (c.select("document_id", "chunk_index", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0")
@@ -114,14 +114,14 @@ def _retrieve(spark, sf):
 
 
 GRAPHRAG = MATCHED + """,
-gn as (select *, lower(name) as lname from ext where name in (select name from gaz)),
+gn as (select *, lower(name) as lname from ext),
 ge as (select 'x'||id as id, id as src, lead(id) over (partition by document_id, chunk_index order by pos, id) as tgt, name as sname, lead(name) over (partition by document_id, chunk_index order by pos, id) as tname from gn),
 ge2 as (select * from ge where tgt is not null),
 wn as (select distinct question_id, gn.id, gn.name from matched join gn on gn.lname=lower(class_name)),
 hn as (select *, row_number() over (partition by question_id order by id) as rn from wn qualify rn<=60),
 noq as (select distinct question_id from matched where question_id not in (select question_id from hn)),
 fn as (select question_id, id, name from hn union all select question_id, id, name from noq, (select id, name from gn order by id limit 60)),
-we as (select distinct question_id, ge2.id, src, tgt, sname, tname from matched join ge2 on lower(class_name) in (sname, tname)),
+we as (select distinct question_id, ge2.id, src, tgt, sname, tname from matched join ge2 on lower(class_name) in (lower(sname), lower(tname))),
 he as (select *, row_number() over (partition by question_id order by id) as rn from we qualify rn<=80),
 fe as (select question_id, id, src, tgt, sname, tname from he where question_id not in (select question_id from noq)
        union all select question_id, id, src, tgt, sname, tname from noq, (select * from ge2 order by id limit 80))"""
@@ -205,9 +205,9 @@ fold as (select run_id, step as step_name, arg_max(case type when 'step_start' t
 stat as (select run_id, arg_max({'y':type,'s':step}, {'t':ts,'e':event_id}) as l, max(ts) as last_ts from rev group by 1)"""
 
 
-@query("run_steps_folded", with_ctes(RUN_EVENTS, body=" select run_id, step_name, status, started_at, completed_at, output_summary, floor((epoch_us(completed_at)-epoch_us(started_at))/1000)::bigint as duration_ms from fold"))
+@query("run_steps_folded", with_ctes(RUN_EVENTS, body=" select run_id, step_name, status, started_at, completed_at, output_summary, error, floor((epoch_us(completed_at)-epoch_us(started_at))/1000)::bigint as duration_ms from fold"))
 def _(spark, sf):
-    return U.fold_run_events(run_events(N.table(spark, sf, "events"))).drop("error")
+    return U.fold_run_events(run_events(N.table(spark, sf, "events")))
 
 
 @query("run_status", with_ctes(RUN_EVENTS, body=" select run_id, case l.y when 'run_complete' then 'completed' when 'run_failed' then 'failed' else 'running' end as status, case when l.y='step_start' then l.s end as current_step, last_ts from stat"))
