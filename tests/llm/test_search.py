@@ -125,6 +125,7 @@ def _texts():
     base += ["prefixes" + a + b for a in "abcdefghij" for b in "klmnopqrst"]
     base += ["x" * 5000 + "yz", "x" * 5000 + "y", "x" * 5001 + "yz"]
     rows = [(i, " ".join(rng.choices(base, weights=[1 + (k * 7919) % 23 for k in range(len(base))], k=80)) + ", ab×cd 7 " + base[i % len(base)].upper()) for i in range(60)]
+    rows += [(100 + i, "catalog " * 20 + "catalogs " * 7 + "catalogss " * 2) for i in range(6)]
     return rows + [(None, "colour colour"), (3, None), (4, ""), (5, "colour-colour colour\tcolour"), (5, "colour-colour colour\tcolour"), (6, "1234 ... "), (7, "tiny word " * 9)]
 
 
