@@ -11,11 +11,12 @@ count table over all texts, of fixed size.
 Signatures that many classes share do not make all pairs. First every class is
 verified against the most typical class of the signature only (the one with the
 fewest rare tokens); those links join most of a large group. Then only pairs of one
-signature whose ends are still in different components can matter. They are looked
-at block by block inside the tasks, and a pair is sent on only if the profiles of its
-sets (how many tokens fall into each part of the hash space) allow the similarity;
-this is a bound, so no link between components is lost, and what is verified grows
-with the links, not with the square of a group.
+signature whose ends are still in different components can matter. Signatures are put
+together by their largest component, so that classes outside it meet its classes, and
+each other, once and not once per signature. Blocks of both sides meet in a task: first
+with profiles of their sets (how many tokens fall into each part of the hash space),
+a bound that leaves few classes, then with the whole sets of these. A task gives the
+links it found, for a class one into each component; pairs are never sent on.
 
 Words are hashed to 64 bits in numpy over whole texts, in blocks; sets are compared
 by built-in functions. A signature is combined inside each task before the shuffle.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import cut_lineage, pairs_within, whole_groups, without_rows
+from kgloom.llm.common import PAIRS, cut_lineage, slices, whole_groups, without_rows
 from kgloom.llm.components import connected_components
 from kgloom.session import broadcast_if_small
 
@@ -49,8 +50,9 @@ GROUP_SPAN = 8
 # bytes of a text that are hashed at once, and signatures that are combined at once
 BLOCK = 1 << 20
 FLUSH = 1 << 20
-# classes of a signature per block, and bytes of profiles that are compared at once
-CLASSES = 1024
+# classes, and tokens of their sets, per block; bytes of profiles that are compared at once
+CLASSES = 512
+TOKENS = 1 << 20
 COMPARED = 1 << 25
 REMEMBERED = 1 << 20
 
@@ -178,12 +180,18 @@ def _texts(batch: pa.RecordBatch) -> list:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield from slices(batch, "text")
+
+
 def _summarize(words: int):
     """Size and digest of every set; at the end the task's hashed counts, each set counted once while it is remembered."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known = np.zeros(1 << COUNTERS_LOG2, dtype=np.uint32), set()
         names = [c.split()[0] for c in SETS.split(", ")]
-        for batch in batches:
+        for batch in _sliced(batches):
             sizes, digests, profiles = [], [], []
             for text in _texts(batch):
                 tokens = shingle_set(text, words)
@@ -247,7 +255,7 @@ def _index(frequent, words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = frequent.value, set()
         sigs, classes, sizes, rares, counts, held = [], [], [], [], [], 0
-        for batch in batches:
+        for batch in _sliced(batches):
             for text in _texts(batch):
                 tokens = shingle_set(text, words)
                 digest = _digest(tokens) if len(tokens) else None
@@ -275,7 +283,7 @@ def _index(frequent, words: int, percent: int):
 def _class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(cls, tokens) of the wanted classes, from the text of the smallest id of each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             keep, sets = [], []
             for text, cls in zip(_texts(batch), batch.column("cls").to_pylist()):
                 tokens = shingle_set(text, words)
@@ -364,9 +372,9 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     pairs = cut_lineage(indexed.filter(_alike_in_size("n", "center_n", percent)).select(*_ordered("center", "cls")).distinct())
     links = _verified(texts, pairs, summaries, classes, words, percent)
     groups = connected_components(links)
-    more = cut_lineage(_open_pairs(indexed, groups, summaries, classes, percent).join(pairs, ["a", "b"], "left_anti"))
+    more = _links_across(texts, _arenas(indexed, groups), summaries, classes, words, percent)
     if more.limit(1).count():
-        groups = connected_components(links.union(_verified(texts, more, summaries, classes, words, percent)))
+        groups = connected_components(links.union(more))
     # a component is named by the smallest id of its classes
     named = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
     named = cut_lineage(named)
@@ -391,40 +399,111 @@ def _alike_in_size(n: str, m: str, percent: int):
     return F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * percent
 
 
-BLOCK_PAIR = ["sig", "low", "high"]
+CELL = ["arena", "xb", "yb"]
 
 
-def _across_components(percent: int):
-    """Pairs inside a pair of blocks whose ends are in different components and can be similar by size and profile."""
+def _arenas(indexed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(arena, cls, n, component) of the classes of each signature that still holds more than one component.
+
+    The arena of a signature is its largest component. Signatures of one large group
+    name the same arena, so its classes are looked at once and not once per signature.
+    """
+    size = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    known = broadcast_if_small(cut_lineage(groups.join(broadcast_if_small(cut_lineage(size)), "component").select(F.col("node").alias("cls"), "component", "size")))
+    members = cut_lineage(indexed.select("sig", "cls", "n").union(indexed.select("sig", "center", "center_n")).distinct().join(known, "cls", "left").select(
+        "sig", "cls", "n", F.coalesce("component", "cls").alias("component"), F.coalesce("size", F.lit(1)).alias("size")))
+    home = members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("component", F.struct(-F.col("size"), "component")).alias("arena"))
+    home = cut_lineage(home.filter("least <> most").select("sig", "arena"))
+    return cut_lineage(members.join(home, "sig").select("arena", "cls", "n", "component").distinct())
+
+
+def _in_cells(arenas: DataFrame) -> DataFrame:
+    """Rows of arenas dealt into cells: classes outside the arena's component (``x``) meet all classes (``y``), a block of bounded size each."""
+    outside = F.col("component") != F.col("arena")
+
+    def blocks(count, tokens):
+        return F.greatest(F.ceil(count / CLASSES), F.ceil(tokens / TOKENS), F.lit(1)).cast("int")
+    sizes = arenas.groupBy("arena").agg(
+        blocks(F.count_if(outside), F.sum(F.when(outside, F.col("n")).otherwise(0))).alias("xbs"), blocks(F.count(F.lit(1)), F.sum("n")).alias("ybs"))
+    dealt = arenas.join(cut_lineage(sizes), "arena").withColumns({"own_x": F.pmod(F.xxhash64("cls"), "xbs").cast("int"), "own_y": F.pmod(F.xxhash64("cls", F.lit(1)), "ybs").cast("int")})
+    columns = ["arena", "xb", "yb", "cls", "n", "component", "x", "y"]
+    as_y = dealt.withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("xbs") - 1))).withColumns(
+        {"yb": F.col("own_y"), "x": outside & (F.col("xb") == F.col("own_x")), "y": F.lit(True)})
+    as_x = dealt.filter(outside & (F.col("ybs") > 1)).withColumn("yb", F.explode(F.sequence(F.lit(0), F.col("ybs") - 1))).filter("yb <> own_y").withColumns(
+        {"xb": F.col("own_x"), "x": F.lit(True), "y": F.lit(False)})
+    return as_y.select(columns).union(as_x.select(columns))
+
+
+def _meetings(group: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all (x row, y row) of equal ``group``, about ``PAIRS`` at a time; nothing is sent on."""
+    left, right = np.flatnonzero(x), np.flatnonzero(y)
+    begin, end = (np.searchsorted(group[right], group[left], side=side) for side in ("left", "right"))
+    number = end - begin
+    edges = np.searchsorted(np.cumsum(number), np.arange(0, number.sum(), PAIRS), side="left")
+    for a, b in zip(edges, [*edges[1:].tolist(), len(left)]):
+        part = number[a:b]
+        yield np.repeat(left[a:b], part), right[np.repeat(begin[a:b], part) + np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)]
+
+
+def _plausible_classes(percent: int):
+    """(arena, cls) of the classes that have a partner in another component which size and profile allow."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, BLOCK_PAIR):
-            n, cls, component, block, low, high, group = (table.column(c).to_numpy() for c in ("n", "cls", "component", "block", "low", "high", "group"))
-            n, across, profiles = n.astype(np.int64), low != high, table.column("profile").to_pylist()
-            for a, b in pairs_within(group):
-                keep = (component[a] != component[b]) & (~across[a] | (block[a] != block[b])) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        for table in whole_groups(batches, CELL):
+            n, component, x, y, group = (table.column(c).to_numpy() for c in ("n", "component", "x", "y", "group"))
+            n, profiles, found = n.astype(np.int64), table.column("profile").to_pylist(), np.zeros(len(n), dtype=bool)
+            for a, b in _meetings(group, x, y):
+                # rows that play both parts in a cell meet once
+                keep = (component[a] != component[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & ((a < b) | ~(x[b] & y[a]))
                 a, b = a[keep], b[keep]
                 if len(a):
                     keep = _within_bound(profiles, n, a, b, percent)
-                    x, y = cls[a[keep]], cls[b[keep]]
-                    found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+                    found[a[keep]] = found[b[keep]] = True
+            yield table.select(["arena", "cls"]).filter(pa.array(found)).combine_chunks().to_batches()[0] if found.any() else pa.RecordBatch.from_arrays(
+                [pa.array([], pa.int64()), pa.array([], pa.int64())], names=["arena", "cls"])
     return run
 
 
-def _open_pairs(indexed: DataFrame, groups: DataFrame, summaries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a signature, are still in different components and can be similar."""
-    group = broadcast_if_small(groups.select(F.col("node").alias("cls"), "component"))
-    members = indexed.select("sig", "cls", "n").union(indexed.select("sig", "center", "center_n")).distinct().join(group, "cls", "left").select(
-        "sig", "cls", "n", F.coalesce("component", "cls").alias("component"))
-    members = cut_lineage(members)
-    split = cut_lineage(members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
-                        .filter("least <> most").select("sig", F.ceil(F.col("size") / CLASSES).cast("int").alias("blocks")))
-    inside = members.join(split, "sig").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    inside = cut_lineage(inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "n", "component"))
-    profiles = _profiles(inside, summaries, classes)
-    together = inside.join(profiles, "cls").repartition(*BLOCK_PAIR).sortWithinPartitions(*BLOCK_PAIR)
-    return together.mapInArrow(_across_components(percent), "a long, b long").distinct()
+def _links_in_cells(percent: int):
+    """Links between x rows and y rows, by their whole sets: for each x row one into every component that it links to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, CELL):
+            component, cls, x, y, group = (table.column(c).to_numpy() for c in ("component", "cls", "x", "y", "group"))
+            sets = table.column("tokens").combine_chunks()
+            n = np.diff(sets.offsets.to_numpy())
+            first = np.concatenate([[0], np.cumsum(n)])
+            _, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+            marked = np.zeros(len(flat) + 1, dtype=bool)
+            begin, end = (np.searchsorted(group, group, side=side) for side in ("left", "right"))
+            links = []
+            for at in np.flatnonzero(x).tolist():
+                a, b = int(begin[at]), int(end[at])
+                own = flat[first[at]:first[at + 1]]
+                marked[own] = True
+                shared = np.add.reduceat(marked[flat[first[a]:first[b]]], first[a:b] - first[a], dtype=np.int64)
+                marked[own] = False
+                near = a + np.flatnonzero((100 * shared >= percent * (n[at] + n[a:b] - shared)) & y[a:b] & (component[a:b] != component[at]))
+                if len(near):
+                    _, one = np.unique(component[near], return_index=True)
+                    links += [(cls[at], c) for c in cls[near[one]].tolist()]
+            if links:
+                pairs = np.array(links, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+    return run
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL)
+
+
+def _links_across(texts: DataFrame, arenas: DataFrame, summaries: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that tie together classes of different components: enough of them to tie all that are similar."""
+    profiles = _profiles(arenas, summaries, classes)
+    possible = cut_lineage(_dealt(_in_cells(arenas).join(profiles, "cls")).mapInArrow(_plausible_classes(percent), "arena long, cls long").distinct())
+    left = cut_lineage(arenas.join(possible, ["arena", "cls"]))
+    wanted = cut_lineage(left.select("cls").distinct().join(classes, "cls").select("cls", "low"))
+    # rows that repeat an id give a set more than once
+    sets = cut_lineage(_class_sets(texts, wanted, words).dropDuplicates(["cls"]))
+    return cut_lineage(_dealt(_in_cells(left).join(sets, "cls")).mapInArrow(_links_in_cells(percent), "a long, b long").distinct())
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
