@@ -7,7 +7,9 @@ cache of merged words.
 
 Defined cases: a null text encodes like an empty one (no ids, decoded as the empty
 string); special strings of the file inside a text become their own ids; repeated
-rows and rows without id are encoded like any other; other columns pass through.
+rows, rows without id and an empty table are encoded like any other; a text of any
+length is encoded whole; other columns pass through, and one that has the name of the
+result is an error.
 """
 import pyarrow as pa
 from pyspark.sql import DataFrame

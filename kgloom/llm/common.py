@@ -1,10 +1,10 @@
 """What several operators share: lineage cuts, free column names, tokenizer tables for tasks."""
 import gc
-import os
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +14,6 @@ from pyspark.sql.types import StructType
 from kgloom.llm import merges
 from kgloom.session import broadcast_if_small, cut_lineage
 
-# fixed value: folder of the public tokenizer files on this machine; every operator takes a path of its own
-TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
 # bytes of input that are worked on, and sent on, at a time
 SLICE_BYTES = 2 << 20
 
@@ -36,7 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def tokenizer_path(name: str) -> str:
-    return os.path.join(TOKENIZER_DIR, name)
+    """File of a public tokenizer; every operator takes another path as a parameter."""
+    return public_tokenizers.path(name)
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -47,16 +45,25 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def new_name(df: DataFrame, name: str) -> str:
+    """``name``, which must not be a column of ``df`` yet: an operator neither hides nor replaces a caller's column."""
+    if free_name(df, name) != name:
+        raise ValueError(f"there is a column {name} already; name another one for the result")
+    return name
+
+
 def without_rows(docs: DataFrame, dropped: DataFrame, id_col: str, key: Column) -> DataFrame:
     """``docs`` without the rows named in ``dropped`` (doc_id, key) by id and ``key`` of their text.
 
-    Of rows without id that have one key, one stays; which of them is left open.
+    Of rows without id that have one key, the first by all columns stays.
     """
     name = free_name(docs, "_text_key")
     dropped = broadcast_if_small(cut_lineage(dropped.select(F.col("doc_id").alias("_dropped"), F.col("key").alias("_dropped_key")).distinct()))
     keyed = docs.withColumn(name, key)
     named = keyed.filter(F.col(id_col).isNotNull()).join(dropped, (F.col(id_col) == F.col("_dropped")) & (F.col(name) == F.col("_dropped_key")), "left_anti")
-    unnamed = keyed.filter(F.col(id_col).isNull()).dropDuplicates([name])
+    whole = F.struct(*docs.columns)
+    # columns that have no order, such as maps, are compared as text
+    unnamed = keyed.filter(F.col(id_col).isNull()).groupBy(name).agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*", name)
     lost = dropped.filter("_dropped is null").select(F.col("_dropped_key").alias(name))
     return named.unionByName(unnamed.join(lost, name, "left_anti")).select(*docs.columns)
 
@@ -100,7 +107,10 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def add_columns(df: DataFrame, source: str, added: StructType, make: Callable[[list], list[pa.Array]]) -> DataFrame:
-    """``df`` with columns that ``make`` derives from the values of ``source``, a bounded part of a batch at a time."""
+    """``df`` with columns that ``make`` derives from the values of ``source``, a bounded part of a batch at a time; their names must be free."""
+    for name in added.names:
+        new_name(df, name)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with no_cycle_collection():
             for batch in batches:

@@ -13,9 +13,11 @@ from struct import pack
 
 import regex
 
-# pre-tokens and pieces a task keeps; a full cache is emptied, so memory stays bounded for any corpus
-KEPT_WORDS = 600_000
-KEPT_PIECES = 200_000
+# bytes of pre-tokens and of pieces that a task keeps; a full cache is emptied, so memory stays bounded for any corpus
+KEPT_WORDS = 80 << 20
+KEPT_PIECES = 32 << 20
+# bytes of an entry besides its key and value
+ENTRY = 200
 # marks that end most pieces; any other piece is split by the pattern
 SINGLE_MARKS = frozenset(".,;:!?)")
 # longer pieces are encoded anew each time instead of being kept
@@ -61,16 +63,18 @@ def load(path: str) -> dict:
 
 
 class Kept(dict):
-    """A bounded memo: missing keys are computed and kept, and a full memo is emptied."""
+    """A memo of bounded bytes: missing keys are computed and kept, and a full memo is emptied."""
 
-    def __init__(self, make, entries):
-        self.make, self.entries = make, entries
+    def __init__(self, make, limit):
+        self.make, self.limit, self.held = make, limit, 0
 
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= CACHE_PIECE:
-            if len(self) >= self.entries:
+            self.held += ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+            if self.held > self.limit:
                 self.clear()
+                self.held = 0
             self[key] = value
         return value
 

@@ -16,13 +16,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from kgloom.llm.common import SharedEncoder, cut_lineage, no_cycle_collection, tokenizer_path
+from kgloom.llm.common import SharedEncoder, cut_lineage, no_cycle_collection, slices, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
@@ -34,34 +33,50 @@ FAN_IN = 8
 # a round at full task size that saves less than this share of its bins is the last
 LEAST_SAVING = 0.001
 
-PIECES = ArrayType(StructType([StructField("piece", IntegerType()), StructField("start", LongType()),
-                               StructField("length", LongType()), StructField("ids_crc32", LongType())]))
-
-
 def least_full(capacity: int) -> int:
     return capacity - int(capacity * NEARLY)
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32. The end id follows the last token."""
-    shared = SharedEncoder(docs.sparkSession, path)
+PIECE = StructType([StructField("doc_id", LongType()), StructField("piece", IntegerType()), StructField("start", LongType()),
+                    StructField("length", LongType()), StructField("ids_crc32", LongType())])
+
+
+def _cut(shared: SharedEncoder, capacity: int):
+    """Pieces of the texts of a task, a bounded part of a batch at a time."""
     end = END_ID.to_bytes(4, "little")
 
-    @F.pandas_udf(PIECES)
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.get()
         with no_cycle_collection():
-            for texts in batches:
-                out = []
-                for t in texts:
-                    ids = encoder.encode(t or "") + end
-                    cuts = range(0, len(ids), 4 * capacity)
-                    parts = [ids[c:c + 4 * capacity] for c in cuts]
-                    out.append([{"piece": k, "start": c // 4, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)}
-                                for k, (c, p) in enumerate(zip(cuts, parts))])
-                yield pd.Series(out, dtype=object)
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.explode(pieces(F.col(text_col))).alias("p"))
-    return cut.select("doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32")
+            for batch in batches:
+                for part in slices(batch, "text") if batch.num_rows else ():
+                    at, sizes, sums = [], [], []
+                    for row, text in enumerate(part.column("text").to_pylist()):
+                        ids = memoryview(encoder.encode(text or "") + end)
+                        for c in range(0, len(ids), 4 * capacity):
+                            at.append(row)
+                            sizes.append(len(ids[c:c + 4 * capacity]) // 4)
+                            sums.append(zlib.crc32(ids[c:c + 4 * capacity]))
+                    at = np.array(at, dtype=np.int64)
+                    piece = np.arange(len(at)) - np.searchsorted(at, at)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(piece * capacity),
+                                                      pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=PIECE.names)
+    return run
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32. The end id follows the last token."""
+    rows = _texts(docs, id_col, text_col)
+    return rows.mapInArrow(_cut(SharedEncoder(docs.sparkSession, path), capacity), _piece_schema(rows))
+
+
+def _piece_schema(rows: DataFrame) -> StructType:
+    """Columns of a piece, the id of the type it has."""
+    return StructType([rows.schema["doc_id"], *PIECE.fields[1:]])
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -146,12 +161,24 @@ def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[flat.field(n) for n in names], pa.array(sequence), pa.array(place)], names=[*names, "sequence_id", "offset"])
 
 
+def _as_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every piece as a bin of its own."""
+    for batch in batches:
+        members = pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
+        one = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32)), members)
+        yield pa.RecordBatch.from_arrays([batch.column("length"), one], names=["level", "members"])
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bins_per_task: int = BINS_PER_TASK) -> DataFrame:
     """``pieces`` with sequence_id and offset: every sequence holds at most ``capacity`` tokens, without gaps."""
-    member = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
-    bins = pieces.select(F.col("length").alias("level"), F.array(member).alias("members"))
-    merge, schema = _merge_round(capacity), bins.schema
-    bins = cut_lineage(bins.mapInArrow(merge, schema))
+    rows, merge = pieces.select(PIECE.names), _merge_round(capacity)
+    return _pack(lambda schema: rows.mapInArrow(lambda batches: merge(_as_bins(batches)), schema), rows.schema, capacity, bins_per_task)
+
+
+def _pack(first_round, piece: StructType, capacity: int, bins_per_task: int = BINS_PER_TASK) -> DataFrame:
+    """Sequences from the bins that ``first_round(schema)`` makes of the pieces of each partition."""
+    merge, schema = _merge_round(capacity), StructType([StructField("level", LongType()), StructField("members", ArrayType(piece))])
+    bins = cut_lineage(first_round(schema))
     done, nearly = [], F.col("level") >= least_full(capacity)
     parts = max(1, bins.rdd.getNumPartitions())
     while True:
@@ -170,11 +197,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bins_per_task: int
     packed = done[0]
     for more in done[1:]:
         packed = packed.unionAll(more)
-    out = StructType([*pieces.select("doc_id", "piece", "start", "length", "ids_crc32").schema.fields,
-                      StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    out = StructType([*piece.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return packed.select(F.monotonically_increasing_id().alias("sequence_id"), "members").mapInArrow(_offsets, out)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents with their sequence and offset."""
-    return pack_pieces(cut_pieces(docs, path or tokenizer_path("word_bpe_49k.json"), capacity, id_col, text_col), capacity)
+    """Pieces of all documents with their sequence and offset; a task cuts its texts and packs its pieces in one pass."""
+    rows = _texts(docs, id_col, text_col)
+    cut, merge = _cut(SharedEncoder(docs.sparkSession, path or tokenizer_path("word_bpe_49k.json")), capacity), _merge_round(capacity)
+    return _pack(lambda schema: rows.mapInArrow(lambda batches: merge(_as_bins(cut(batches))), schema), _piece_schema(rows), capacity)

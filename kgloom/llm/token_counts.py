@@ -6,17 +6,18 @@ a proven string counts as one without merging; only the rest is merged. The proo
 is as large as the vocabulary and is broadcast with it.
 
 Defined cases: null and empty texts have no tokens; a special string inside a text
-counts as one; other columns pass through.
+counts as one; rows without id, repeated rows and an empty table are like any other;
+other columns pass through, and one that has the name of the result is an error.
 """
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from kgloom.llm import merges
-from kgloom.llm.common import SharedEncoder, no_cycle_collection, tokenizer_path
+from kgloom.llm.common import SharedEncoder, add_columns, tokenizer_path
 
 LIMIT = 512
 _ADJOINING = re.compile(f"[{merges.WHITE}]{{2}}")
@@ -78,13 +79,10 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", out: str =
     """``docs`` with the number of tokens of each whole text."""
     shared = SharedEncoder(docs.sparkSession, path, whole=whole_tokens(path))
 
-    @F.pandas_udf("long")
-    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make(texts: list) -> list:
         counter = shared.get(TokenCounter)
-        with no_cycle_collection():
-            for texts in batches:
-                yield pd.Series([counter.count(t) if t else 0 for t in texts], dtype="int64")
-    return docs.withColumn(out, counts(F.col(text_col)))
+        return [pa.array([counter.count(t) if t else 0 for t in texts], pa.int64())]
+    return add_columns(docs, text_col, StructType().add(out, LongType()), make)
 
 
 def token_report(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
