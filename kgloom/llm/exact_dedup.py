@@ -1,10 +1,11 @@
 """Exact dedup by progressive refinement, with built-in functions only.
 
 Texts are equal when identical after each run of white space became one space.
-A first scan keeps the length and the hash of the first characters. Groups are
-narrowed by length, then by length and prefix hash; only documents of groups that
-still hold two or more are read in full and hashed. All groupings are aggregates
-that combine before the shuffle, and only narrow rows (no text) are shuffled.
+Texts are narrowed by length first; only those that share a length get a hash of their
+first characters, and only those that share length and prefix hash are hashed in full.
+What is shared goes to the next scan as a bitmap of fixed size, sent to every task: a
+clash of bits costs a needless hash and never loses a copy. All groupings are
+aggregates that combine before the shuffle, and only narrow rows (no text) are shuffled.
 
 Defined cases: a null text counts as empty; of equal texts the smallest doc_id
 stays, null ids last; rows that repeat a doc_id of the same text share its fate;
@@ -19,6 +20,8 @@ from kgloom.llm.common import cut_lineage, without_rows
 from kgloom.session import broadcast_if_small
 
 PREFIX_CHARS = 64
+# bits of a bitmap; as words of 64 bits it has at most 131 072 rows, whatever the corpus
+BITS = 1 << 23
 # fixed value: white space that is made equal
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -31,10 +34,9 @@ def normalized(text: Column) -> Column:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept and, with ``with_hash``, text_sha256.
 
-    ``with_hash`` hashes every document, for its digest. Without it, and while the
-    table of shared (length, prefix) pairs is small enough to be sent to the tasks,
-    texts that are alone with their length and prefix are not hashed. Groups are the
-    same either way: only documents of shared pairs are compared.
+    ``with_hash`` hashes every document, for its digest; without it, texts that are
+    alone with their length or prefix are not hashed. Groups are the same either way:
+    only documents of shared pairs are compared.
     """
     out = _groups(docs, id_col, text_col, with_hash)
     return out if with_hash else out.drop("text_sha256")
@@ -44,25 +46,44 @@ def _digest(norm: Column) -> Column:
     return F.sha2(norm.cast("binary"), 256)
 
 
+def _bit(keys: list) -> tuple[Column, Column]:
+    """(word, place in it) of the bit that stands for the keys in a bitmap."""
+    h = F.pmod(F.xxhash64(*keys), F.lit(BITS))
+    return F.shiftright(h, 6), F.pmod(h, F.lit(64)).cast("int")
+
+
+def _bitmap(df: DataFrame, keys: list) -> DataFrame:
+    """The keys that occur more than once as a bitmap of fixed size: its words that hold a bit."""
+    word, at = _bit(keys)
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return cut_lineage(repeated.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), at).alias("_bit"))
+                       .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+
+
+def _marked(df: DataFrame, bitmap: DataFrame, keys: list, name: str) -> DataFrame:
+    """``df`` with a flag whether the keys may occur more than once; always true if they do. No row is shuffled."""
+    word, at = _bit(keys)
+    flag = F.call_function("shiftright", F.col("_bits"), at).bitwiseAND(F.lit(1).cast("long")) == 1
+    return (df.withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left")
+            .withColumn(name, F.coalesce(flag, F.lit(False))).drop("_word", "_bits"))
+
+
 def _groups(docs: DataFrame, id_col: str, text_col: str, with_hash: bool) -> DataFrame:
-    """The rows of ``exact_groups``; without ``with_hash`` text_sha256 may be null where a text has no equal."""
-    norm = docs.select(F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("norm"))
-    keyed = norm.select("doc_id", "norm", F.length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix"))
-    by_prefix = cut_lineage(keyed.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")))
-    by_length = by_prefix.groupBy("len").agg(F.sum("n").alias("n")).filter("n > 1").select("len")
-    shared = cut_lineage(by_prefix.filter("n > 1").join(by_length, "len", "left_semi").select("len", "prefix", F.lit(True).alias("shared")))
+    """The rows of ``exact_groups``; without ``with_hash`` text_sha256 is null where length or prefix show that a text has no equal."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("norm")).withColumn("len", F.length("norm"))
+    prefix = F.xxhash64(F.substring("norm", 1, PREFIX_CHARS))
+    sized = _marked(rows, _bitmap(rows.select("len"), ["len"]), ["len"], "same_length")
+    prefixed = sized.withColumn("prefix", F.when(F.col("same_length"), prefix))
+    pairs = _bitmap(prefixed.filter("same_length").select("len", "prefix"), ["len", "prefix"])
+    marked = _marked(prefixed, pairs, ["len", "prefix"], "same_prefix").withColumn("shared", F.col("same_length") & F.col("same_prefix"))
     full = _digest(F.col("norm"))
-    few = broadcast_if_small(shared)
-    if with_hash or few is shared:
-        # every row is hashed in the scan, so that the join moves narrow rows only
-        refined = keyed.select("doc_id", "len", "prefix", full.alias("text_sha256")).join(few, ["len", "prefix"], "left")
-    else:
-        refined = keyed.join(few, ["len", "prefix"], "left").select("doc_id", "prefix", F.when(F.col("shared"), full).alias("text_sha256"), "shared")
-    refined = cut_lineage(refined)
+    refined = cut_lineage(marked.select("doc_id", "prefix", "shared", (full if with_hash else F.when(F.col("shared"), full)).alias("text_sha256")))
     groups = refined.filter("shared").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = broadcast_if_small(cut_lineage(groups.filter("group_size > 1")))
     keep = F.when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id"))
-    return (refined.withColumn("_key", F.when(F.col("shared"), F.col("text_sha256")).otherwise(F.concat(F.lit("-"), F.col("prefix").cast("string"))))
+    # rows that are alone get evenly spread keys that match nothing
+    alone = F.concat(F.lit("-"), F.xxhash64("doc_id", "prefix").cast("string"))
+    return (refined.withColumn("_key", F.when(F.col("shared"), F.col("text_sha256")).otherwise(alone))
            .join(groups.withColumnRenamed("text_sha256", "_key"), "_key", "left")
            .select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
                    F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256"))
