@@ -374,7 +374,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     groups = connected_components(links)
     more = _links_across(texts, _arenas(indexed, groups), summaries, classes, words, percent)
     if more.limit(1).count():
-        groups = connected_components(links.union(more))
+        groups = _tied(groups, more)
     # a component is named by the smallest id of its classes
     named = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
     named = cut_lineage(named)
@@ -384,6 +384,17 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return rows.join(of_class, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), known.alias("component_id"))
 
 
+def _tied(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """``groups`` (node, component) after further links: components are tied together, not all their nodes again."""
+    small = broadcast_if_small(groups)
+    ends = more
+    for side in ("a", "b"):
+        ends = ends.join(small.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+    tied = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(small, "node", "left_anti").withColumn("component", F.col("node"))
+    return cut_lineage(groups.union(alone).join(broadcast_if_small(tied), "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
+
+
 def _index_table(texts: DataFrame, frequent, words: int, percent: int) -> DataFrame:
     """(sig, center, center_n, cls, n) for every class that shares a signature with a more typical one, written to the shared folder."""
     index = texts.filter("doc_id is not null").select("text").mapInArrow(_index(frequent, words, percent), INDEX)
