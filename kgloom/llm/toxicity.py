@@ -12,10 +12,13 @@ and a bounded table of words.
 
 Defined cases: a null or blank text scores 0; labels other than 0 and 1, and labels
 of unknown documents, are ignored; without labels of both kinds every score is 0;
-repeated rows get equal scores.
+repeated rows get equal scores; an empty table gives no rows; other columns pass through,
+and one that has the name of the result is an error.
 """
 import math
+import pickle
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +37,15 @@ SEED, RATE, BATCH, STEPS = 7, 0.01, 64, 400
 GRAM, COMMON = 5, 3
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """Texts and labels of documents that are not held out: of each class those with the smallest hash of the id, so the driver gets a bounded number."""
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic of documents that are not held out: of each class those with the smallest hash of the id, a bounded number in one partition."""
     ids = labels.select("doc_id", "toxic").filter(~held_out("doc_id", 3, 1) & F.col("doc_id").isNotNull())
     picked = [ids.filter(F.col("toxic") == y).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
               for y, n in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE))]
     picked = F.broadcast(picked[0].union(picked[1]).withColumnRenamed("doc_id", "_id"))
     rows = docs.select("doc_id", "text").filter(F.length("text").between(1, SAMPLE_CHARS)).join(picked, F.col("doc_id") == F.col("_id"))
     # repeated ids could make more rows than were picked
-    return [(r["text"], r["toxic"]) for r in rows.select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(TOXIC_SAMPLE + CLEAN_SAMPLE).collect()]
+    return rows.select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(TOXIC_SAMPLE + CLEAN_SAMPLE).select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def _grams(word: str) -> set[str]:
@@ -157,10 +160,16 @@ def score_toxicity(docs: DataFrame, model: dict | None, text_col: str = "text",
     return add_columns(docs, text_col, StructType().add(out, DoubleType()), make)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    sample = labelled_sample(docs, labels)
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sample = [(t, y) for b in batches for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist())]
     with no_cycle_collection():
-        return train(sample)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(sample))], pa.binary())], names=["model"])
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """The model of ``train``: one task fits it on the bounded sample, the driver gets its parameters only."""
+    models = labelled_sample(docs, labels).coalesce(1).mapInArrow(_fit, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else None
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
