@@ -203,7 +203,7 @@ class Adam:
 class Scorer:
     """Largest window logit of texts. Gates of words are kept in a table of bounded size."""
 
-    WORDS, BLOCK = 300_000, 2048
+    WORDS, BLOCK = 150_000, 2048
 
     def __init__(self, params: dict, common: np.ndarray):
         self.p, self.common = params, common

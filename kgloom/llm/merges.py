@@ -14,8 +14,8 @@ from struct import pack
 import regex
 
 # bytes of pre-tokens and of pieces that a task keeps; a full cache is emptied, so memory stays bounded for any corpus
-KEPT_WORDS = 80 << 20
-KEPT_PIECES = 32 << 20
+KEPT_WORDS = 64 << 20
+KEPT_PIECES = 24 << 20
 # bytes of an entry besides its key and value
 ENTRY = 200
 # marks that end most pieces; any other piece is split by the pattern

@@ -49,7 +49,7 @@ DEVIATIONS, LEAST_FREQUENT = 6, 24
 GROUP_SPAN = 8
 # bytes of a text that are hashed at once, and signatures that are combined at once
 BLOCK = 1 << 20
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 # classes, and tokens of their sets, per block; bytes of profiles that are compared at once
 CLASSES = 512
 TOKENS = 1 << 20

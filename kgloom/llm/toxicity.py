@@ -56,8 +56,10 @@ def _grams(word: str) -> set[str]:
 def _marked_words(lists: list[list[str]], labels: np.ndarray) -> list[list[int]]:
     """Per toxic document, the places of the words whose grams are most typical of toxic documents."""
     counts = [Counter(), Counter()]
-    for words, y in zip(lists, labels):
-        counts[y].update({g for w in set(words) for g in _grams(w)})
+    for y in (1, 0):
+        for words, own in zip(lists, labels):
+            if own == y:  # of clean documents only grams count that toxic ones have
+                counts[y].update({g for w in set(words) for g in _grams(w) if y or g in counts[1]})
     sizes = [max(1, int((labels == y).sum())) for y in (0, 1)]
     weight = {g: math.log((n + 0.1) / sizes[1]) - math.log((counts[0][g] + 1.0) / sizes[0]) for g, n in counts[1].items() if n > 1}
     marks = []
@@ -115,7 +117,8 @@ def train(sample: list[tuple[str, int]], steps: int = STEPS) -> dict | None:
         adam.rate = RATE * min(1.0, 2 * (1 - step / steps) + 0.02)
         adam.step(net.gradients(params, batch, y, common)[1])
     # the limit goes between the largest windows of clean and of toxic texts
-    logits = net.Scorer(params, common).texts([" ".join(w) for w in lists])
+    scorer = net.Scorer(params, common)
+    logits = np.concatenate([scorer.texts([" ".join(w) for w in lists[a:a + 100]]) for a in range(0, len(lists), 100)])
     params["out_b"] = params["out_b"] + np.float32(math.log(REJECT / (1 - REJECT)) - _boundary(logits, labels))
     return {"params": params, "common": common}
 
