@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kgloom import vocab as V
 from kgloom.functions import text as T
 from kgloom.functions.arrays import explode_rows
-from kgloom.session import cut_lineage, page, stable_id
+from kgloom.session import broadcast_if_small, cut_lineage, page, stable_id
 
 
 def parse_responses(df: DataFrame, schema: str, col: str = "response") -> tuple[DataFrame, DataFrame]:
@@ -63,29 +63,47 @@ def _token_table(chunks: DataFrame) -> DataFrame:
     return cut_lineage(chunks.select(F.monotonically_increasing_id().alias("row"), "document_id", "chunk_index", _tokens("text").alias("t")))
 
 
-def _occurrences(table: DataFrame, names: DataFrame, name_col: str, keys: list = ()) -> DataFrame:
-    """Every place where the tokens of a name follow each other in a chunk: row, word_pos (from 1), words and the columns of ``names``.
+def _word_places(table: DataFrame, *texts: DataFrame) -> DataFrame:
+    """Where words of the given texts (frames of one column) stand: row, document_id, chunk_index, _p (from 0), _token.
 
-    A name of any length is looked up by the token of it that is rarest in the
-    corpus, so that tokens meet few names; names of several tokens are then
-    verified in the chunk. ``keys`` are further columns that have to be equal, NULL
-    matching NULL.
+    The tokens of all chunks are made rows once, and only those of some text are kept.
+    """
+    words = texts[0].select(F.col(texts[0].columns[0]).alias("w"))
+    for more in texts[1:]:
+        words = words.unionByName(more.select(F.col(more.columns[0]).alias("w")))
+    words = explode_rows(words, [], _tokens("w"), "_token").distinct()
+    flat = explode_rows(table, ["row", "document_id", "chunk_index"], "t", "_token", "_p")
+    return cut_lineage(flat.join(broadcast_if_small(cut_lineage(words)), "_token", "left_semi"))
+
+
+def _occurrences(places: DataFrame, names: DataFrame, name_col: str, keys: list = ()) -> DataFrame:
+    """Every place where the tokens of a name follow each other in a chunk: row, document_id, chunk_index, word_pos (from 1), words and the columns of ``names``.
+
+    ``places`` holds all places of the words of the names. A name of any length is
+    looked up by the token of it that is rarest in the corpus, and not at all if one of
+    its tokens is absent, so tokens meet few names; for names of several tokens the
+    other tokens are then looked up at their places. ``keys`` are columns of a chunk
+    that have to be equal to those of the name, NULL matching NULL.
     """
     names = cut_lineage(names.withColumns({"_nt": _tokens(name_col), "_nid": F.monotonically_increasing_id()}).filter(F.size("_nt") > 0))
-    flat = explode_rows(table, ["row", *keys], "t", "_token", "_p")
     parts = names.select("_nid", F.posexplode("_nt").alias("_off", "_token"))
-    counts = flat.join(parts.select("_token").distinct(), "_token", "left_semi").groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = parts.join(counts, "_token").groupBy("_nid").agg(F.min_by(F.struct("_token", "_off"), F.struct("_n", "_off")).alias("_a"))
-    wanted = cut_lineage(names.join(rarest, "_nid").select("*", "_a.*", *[F.col(k).alias(f"_k_{k}") for k in keys]).drop("_a", "_nid", *keys))
-    same = F.col("flat._token") == F.col("wanted._token")
+    counts = places.groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    found = parts.join(counts, "_token", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = found.groupBy("_nid").agg(F.min_by(F.struct("_token", "_off"), F.struct("_n", "_off")).alias("_a"), F.min("_n").alias("_least")).filter("_least > 0")
+    anchors = cut_lineage(names.join(rarest, "_nid").select("_nid", "_a.*", F.size("_nt").alias("words"), *[F.col(k).alias(f"_k_{k}") for k in keys]))
+    same = F.col("places._token") == F.col("anchors._token")
     for k in keys:
-        same = same & F.col(f"flat.{k}").eqNullSafe(F.col(f"wanted._k_{k}"))
-    hits = flat.alias("flat").join(wanted.alias("wanted"), same).select(
-        "flat.row", (F.col("_p") - F.col("_off") + 1).alias("word_pos"), F.size("_nt").alias("words"), *[F.col(f"wanted.{c}") for c in wanted.columns if not c.startswith("_k_") and c not in ("_token", "_off")])
-    alone = hits.filter("words = 1").drop("_nt")
-    several = hits.filter("words > 1 and word_pos > 0").join(table.select("row", "t"), "row").filter(
-        F.slice("t", F.col("word_pos"), F.col("words")) == F.col("_nt")).drop("_nt", "t")
-    return alone.unionByName(several)
+        same = same & F.col(f"places.{k}").eqNullSafe(F.col(f"anchors._k_{k}"))
+    hits = places.alias("places").join(broadcast_if_small(anchors).alias("anchors"), same).select(
+        "row", "document_id", "chunk_index", (F.col("_p") - F.col("_off") + 1).alias("word_pos"), "words", "_nid", "_off").filter("word_pos > 0")
+    bodies = broadcast_if_small(names.drop(*keys))
+    several = cut_lineage(hits.filter("words > 1"))
+    others = several.join(broadcast_if_small(names.select("_nid", "_nt")), "_nid").select("row", "word_pos", "_nid", "_off", "words", F.posexplode("_nt").alias("_at", "_token")).filter(
+        "_at <> _off").withColumn("_p", F.col("word_pos") + F.col("_at") - 1)
+    whole = (others.join(places.select("row", "_p", "_token"), ["row", "_p", "_token"]).groupBy("row", "word_pos", "_nid", "words").agg(F.count(F.lit(1)).alias("_got"))
+             .filter("_got = words - 1").select("row", "word_pos", "_nid"))
+    verified = several.join(whole, ["row", "word_pos", "_nid"], "left_semi")
+    return hits.filter("words = 1").unionByName(verified).join(bodies, "_nid").drop("_nid", "_nt", "_off")
 
 
 # fixed rules beside the gazetteer: (pattern, entity type, confidence, text every match holds)
@@ -101,6 +119,12 @@ def place(chunk_index, at) -> Column:
     return (F.col(chunk_index).cast("bigint") * CHUNK_SPAN + (F.col(at) if isinstance(at, str) else at)).cast("bigint")
 
 
+def _with_evidence(found: DataFrame, table: DataFrame) -> DataFrame:
+    """``found`` (row, word_pos, words, ...) with the name and the five words on both sides."""
+    around = F.array_join(F.slice("t", F.greatest(F.col("word_pos") - 5, F.lit(1)), F.least(F.col("word_pos") - 1, F.lit(5)) + F.col("words") + 5), " ")
+    return found.join(table.select("row", "t"), "row").withColumn("evidence", around).drop("t")
+
+
 def mentions(chunks: DataFrame, gazetteer: DataFrame, evidence: bool = True) -> DataFrame:
     """Every occurrence of a gazetteer name: document_id, chunk_index, word_pos, name, entity_type, confidence.
 
@@ -108,13 +132,8 @@ def mentions(chunks: DataFrame, gazetteer: DataFrame, evidence: bool = True) ->
     count. ``evidence`` adds the five words on both sides.
     """
     table = _token_table(chunks)
-    hits = _occurrences(table, gazetteer.select("name", "entity_type", "confidence"), "name")
-    around = F.array_join(F.slice("t", F.greatest(F.col("word_pos") - 5, F.lit(1)),
-                                  F.least(F.col("word_pos") - 1, F.lit(5)) + F.col("words") + 5), " ")
-    found = hits.join(table, "row")
-    if evidence:
-        found = found.withColumn("evidence", around)
-    return found.drop("row", "t", "words")
+    hits = _occurrences(_word_places(table, gazetteer.select("name")), gazetteer.select("name", "entity_type", "confidence"), "name")
+    return (_with_evidence(hits, table) if evidence else hits).drop("row", "words")
 
 
 def extract_entities(chunks: DataFrame, gazetteer: DataFrame, patterns=None) -> DataFrame:
@@ -125,10 +144,12 @@ def extract_entities(chunks: DataFrame, gazetteer: DataFrame, patterns=None) ->
     without the needle is not searched.
     """
     keys = ["document_id", "chunk_index", "name", "entity_type"]
-    # rows with the same names fold map-side, so a frequent name does not pile up
-    known = mentions(chunks, gazetteer).groupBy(*keys).agg(
-        F.min("word_pos").cast("bigint").alias("word_pos"), F.min_by("evidence", "word_pos").alias("evidence"), F.max("confidence").alias("confidence"))
-    out = known
+    table = _token_table(chunks)
+    hits = _occurrences(_word_places(table, gazetteer.select("name")), gazetteer.select("name", "entity_type", "confidence"), "name")
+    # rows with the same names fold map-side, so a frequent name does not pile up; words around it are looked up once per name
+    first = hits.groupBy(*keys).agg(F.min(F.struct("word_pos", "row", "words")).alias("at"), F.max("confidence").alias("confidence"))
+    known = _with_evidence(first.select(*keys, "confidence", "at.*"), table)
+    out = known.select(*keys, F.col("word_pos").cast("bigint").alias("word_pos"), "evidence", "confidence")
     for rx, typ, conf, needle in (DEFAULT_PATTERNS if patterns is None else patterns):
         matches = F.when(F.contains("text", F.lit(needle)), F.regexp_extract_all("text", F.lit(rx), F.lit(0)))
         found = (explode_rows(chunks, ["document_id", "chunk_index"], matches, "name", "_i")
@@ -149,18 +170,30 @@ def name_map(entities: DataFrame) -> DataFrame:
         F.max_by(F.struct("id", "name", "entity_type"), F.struct("pos", "id")).alias("entity"))
 
 
+def _grams(col: str, n: int) -> Column:
+    """The distinct substrings of length ``n``; none of a shorter text."""
+    return F.when(F.length(col) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substring(col, i, n))))
+
+
 def _words_containing(words: DataFrame, parts: DataFrame, q: int) -> DataFrame:
-    """(word, part) for every distinct word that contains the part. Exact, by equi joins on length-q substrings."""
-    def grams(col, n):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substring(col, i, n)))
-    long_parts = parts.filter(F.length("part") >= q).withColumn("gram", F.substring("part", 1, q))
-    long_words = explode_rows(words, ["word"], F.when(F.length("word") >= q, grams(F.col("word"), q)), "gram")
-    found = long_words.join(long_parts, "gram").filter(F.contains("word", F.col("part"))).select("word", "part")
-    # parts shorter than q are met by their whole text
-    short_parts = parts.filter(F.length("part") < q).withColumn("gram", F.col("part"))
-    pieces = F.flatten(F.array(*[F.when(F.length("word") >= n, grams(F.col("word"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, q)]))
-    short_words = explode_rows(words, ["word"], pieces, "gram")
-    return found.unionByName(short_words.join(short_parts, "gram").select("word", "part")).distinct()
+    """(word, part) for every distinct word that contains the part. Exact, by equi joins on substrings.
+
+    A part is looked up by the substring of length q that fewest words have, and not at
+    all if one of its substrings is in no word; a part shorter than q by its whole text.
+    """
+    found = None
+    for n in range(1, q + 1):
+        own = parts.filter(F.length("part") >= q if n == q else F.length("part") == n)
+        asked = cut_lineage(explode_rows(own, ["part"], _grams("part", n), "gram"))
+        if asked.isEmpty():
+            continue
+        held = cut_lineage(explode_rows(words, ["word"], _grams("word", n), "gram").join(broadcast_if_small(cut_lineage(asked.select("gram").distinct())), "gram", "left_semi"))
+        counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+        rarest = (asked.join(counts, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("_n", F.lit(0))).alias("_least"))
+                  .filter("_least > 0").drop("_least"))
+        met = held.join(broadcast_if_small(cut_lineage(rarest)), "gram").filter(F.contains("word", F.col("part"))).select("word", "part")
+        found = met if found is None else found.unionByName(met)
+    return words.select("word", F.col("word").alias("part")).limit(0) if found is None else found
 
 
 def visible_entities(chunks: DataFrame, entities: DataFrame, q: int = 4, min_visible: int = 2) -> DataFrame:
@@ -170,20 +203,22 @@ def visible_entities(chunks: DataFrame, entities: DataFrame, q: int = 4, min_vis
     occurs, some word of the chunk contains the name's longest word. Which words
     of the corpus contain which longest words is worked out once on the distinct
     words; chunks then meet their document's names by equi joins on words, never
-    one by one, and names of several words are verified against the text.
+    one by one, and names of several words are verified against the text. Chunks
+    have a number of their own: NULL documents (equal to each other) and repeated
+    keys neither lose nor multiply rows.
     """
     longest = F.expr("reduce(split(key, ' '), '', (a, w) -> if(length(w) > length(a), w, a))")
-    names = name_map(entities).filter("key <> ''").withColumn("part", longest)
-    low = chunks.select("document_id", "chunk_index", F.lower("text").alias("_text"))
-    words = explode_rows(low, ["document_id", "chunk_index"], F.array_distinct(F.split("_text", " ")), "word").filter("word <> ''")
-    known = _words_containing(words.select("word").distinct(), names.select("part").distinct(), q)
-    cand = cut_lineage(words.join(known, "word").select("document_id", "chunk_index", "part").distinct()
-                       .join(names, ["document_id", "part"]).select("document_id", "chunk_index", "key", "entity"))
+    names = cut_lineage(name_map(entities).filter("key <> ''").select(F.col("document_id").alias("_doc"), "key", "entity", longest.alias("part")))
+    low = cut_lineage(chunks.select(F.monotonically_increasing_id().alias("row"), "document_id", "chunk_index", F.lower("text").alias("_text")))
+    words = explode_rows(low, ["row", "document_id"], F.array_distinct(F.split("_text", " ")), "word").filter("word <> ''")
+    known = cut_lineage(_words_containing(words.select("word").distinct(), names.select("part").distinct(), q))
+    met = cut_lineage(words.join(broadcast_if_small(known), "word").select("row", "document_id", "part").distinct())
+    cand = cut_lineage(met.join(names, met["document_id"].eqNullSafe(names["_doc"]) & (met["part"] == names["part"])).select("row", "key", "entity"))
     single = F.instr("key", " ") == 0
-    verified = (cand.filter(~single).join(low, ["document_id", "chunk_index"]).filter(F.contains("_text", F.col("key"))))
-    seen = cand.filter(single).drop("key").unionByName(verified.select("document_id", "chunk_index", "entity"))
-    enough = seen.groupBy("document_id", "chunk_index").agg(F.count(F.lit(1)).alias("chunk_names")).filter(F.col("chunk_names") >= min_visible)
-    return seen.join(enough, ["document_id", "chunk_index"]).select(
+    verified = cand.filter(~single).join(low.select("row", "_text"), "row").filter(F.contains("_text", F.col("key")))
+    seen = cand.filter(single).drop("key").unionByName(verified.select("row", "entity"))
+    enough = seen.groupBy("row").agg(F.count(F.lit(1)).alias("chunk_names")).filter(F.col("chunk_names") >= min_visible)
+    return seen.join(enough, "row").join(low.drop("_text"), "row").select(
         "document_id", "chunk_index", F.col("entity.id").alias("entity_id"), F.col("entity.name").alias("name"),
         F.col("entity.entity_type").alias("entity_type"), "chunk_names")
 
@@ -217,9 +252,10 @@ def extract_relations(chunks: DataFrame, entities: DataFrame, cues: DataFrame, d
     table = _token_table(chunks)
     names = name_map(entities).select("document_id", "key", "entity")
     cue_rows = cues.select("cue", F.struct("cue", "relationship_type", "source_type", "target_type", "confidence").alias("c"))
-    spots = _occurrences(table, names, "key", ["document_id"]).select(
+    places = _word_places(table, names.select("key"), cues.select("cue"))
+    spots = _occurrences(places, names, "key", ["document_id"]).select(
         "row", F.struct("word_pos", F.col("entity.entity_type").alias("t"), F.col("entity.id").alias("eid")).alias("spot"))
-    marks = _occurrences(table, cue_rows, "cue").select("row", F.struct("word_pos", "c.*").alias("mark"))
+    marks = _occurrences(places, cue_rows, "cue").select("row", F.struct("word_pos", "c.*").alias("mark"))
     # the window of a chunk bounds what is collected for it
     per_chunk = spots.unionByName(marks, allowMissingColumns=True).groupBy("row").agg(F.collect_set("spot").alias("spots"), F.collect_set("mark").alias("marks"))
     per_chunk = per_chunk.filter((F.size("marks") > 0) & (F.size(F.array_distinct(F.transform("spots", lambda s: s.eid))) >= 2)).join(

@@ -96,10 +96,10 @@ def _(spark, sf):
 # -- response tables -------------------------------------------------------
 
 def entity_responses(spark, sf):
-    """One JSON answer per document built from its gazetteer words: fenced, plain, badly typed or broken by id."""
+    """One JSON answer per document built from its gazetteer names: fenced, plain, badly typed or broken by id."""
     docs = N.text_documents(spark, sf)
     ch = docs.select(F.col("id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("raw_text").alias("text"))
-    hits = X.mentions(ch, N.gazetteer(spark, sf).filter("instr(name, ' ') = 0"), evidence=False).groupBy("document_id", "name", "entity_type").agg(F.min("word_pos").alias("p"))
+    hits = X.mentions(ch, N.gazetteer(spark, sf), evidence=False).groupBy("document_id", "name", "entity_type").agg(F.min("word_pos").alias("p"))
     k = F.col("document_id") % 4
     item = F.struct(
         "p", F.concat(F.lit('{"name":" '), "name", F.lit(' ","type":"'), F.when(k == 1, F.upper("entity_type")).otherwise(F.col("entity_type")),
@@ -115,13 +115,15 @@ def entity_responses(spark, sf):
 
 
 RESPONSES = r"""
+rs_w as (select id, regexp_extract_all(lower(raw_text), '[\p{L}\p{N}]+') as w from docs),
+rs_n as (select distinct len(regexp_extract_all(name, '[\p{L}\p{N}]+')) as n from gaz),
 rs_h as (
   select document_id, name, entity_type, min(i) as p from (
-    select d.id as document_id, w[i] as token, i from (select id, regexp_extract_all(lower(raw_text), '[\p{L}\p{N}]+') as w from docs) d, unnest(range(1, len(w)+1)) as u(i)
-  ) join gaz on gaz.name=token and instr(gaz.name, ' ')=0 group by 1,2,3)"""
+    select id as document_id, array_to_string(w[i:i+n-1], ' ') as token, i from rs_w, rs_n, unnest(range(1, len(w)-n+2)) as u(i)
+  ) join gaz on gaz.name=token group by 1,2,3)"""
 # rows a response reader must produce: broken answers (id % 7 = 0) and shouted types (id % 4 = 1) give none
 RESP_ENTITIES = RESPONSES + """,
-rs_i as (select *, row_number() over (partition by document_id order by p) - 1 as item from rs_h),
+rs_i as (select *, row_number() over (partition by document_id order by p, name) - 1 as item from rs_h),
 resp_e as (
   select sha256(document_id||'|0|'||item) as id, document_id, 0 as chunk_index, entity_type, name,
          case when p%2=0 then greatest(0.0::double, least(1.0::double, p/100.0::double)) else 0.8::double end as confidence,

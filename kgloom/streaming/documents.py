@@ -18,17 +18,25 @@ from kgloom.streaming.batches import BatchNumbers
 TABLES = ("documents", "chunks", "entities")
 
 
-def document_tables(docs: DataFrame, gazetteer: DataFrame, embedder=E.hashed_bag_of_words) -> dict[str, DataFrame]:
-    """Cleaned documents, embedded chunks and entities of (id, filename, raw_text) rows."""
-    clean = docs.withColumn("raw_text", T.clean_text("raw_text"))
+def clean_documents(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("raw_text", T.clean_text("raw_text"))
+
+
+def document_tables(docs: DataFrame, gazetteer: DataFrame, embedder=E.hashed_bag_of_words, cleaner=clean_documents, chunker=sliding_chunks) -> dict[str, DataFrame]:
+    """Cleaned documents, embedded chunks and entities of (id, filename, raw_text) rows.
+
+    ``cleaner`` (docs -> docs) and ``chunker`` (called like ``sliding_chunks``) replace
+    the preprocessing.
+    """
+    clean = cleaner(docs)
     rows = clean.select(F.col("id").alias("document_id"), "filename", "raw_text", T.word_count("raw_text").alias("word_count"),
                         F.sha2("raw_text", 256).alias("sha256"))
-    return {"documents": rows, "chunks": E.embed_chunks(clean, embedder),
-            "entities": X.extract_entities(sliding_chunks(clean, *V.ENTITY_WINDOW, offsets=False), gazetteer)}
+    return {"documents": rows, "chunks": E.embed_chunks(clean, embedder, chunker=chunker),
+            "entities": X.extract_entities(chunker(clean, *V.ENTITY_WINDOW, offsets=False), gazetteer)}
 
 
 def stream_documents(arriving: DataFrame, gazetteer: DataFrame, path: str, checkpoint: str, embedder=E.hashed_bag_of_words,
-                     late: str | None = None, available_now: bool = True):
+                     late: str | None = None, available_now: bool = True, cleaner=clean_documents, chunker=sliding_chunks):
     """Starts the upkeep of the tables under ``path`` for a stream of (id, filename, raw_text[, ts]) rows.
 
     Of several versions of a document in one batch the last by ``ts`` (else by
@@ -45,7 +53,7 @@ def stream_documents(arriving: DataFrame, gazetteer: DataFrame, path: str, check
     def save(batch, epoch):
         order = F.struct("ts", "raw_text") if "ts" in batch.columns else F.col("raw_text")
         one = batch.groupBy("id").agg(F.max_by(F.struct("filename", "raw_text"), order).alias("d")).select("id", "d.*").persist()
-        tables = document_tables(one, gazetteer, embedder)
+        tables = document_tables(one, gazetteer, embedder, cleaner, chunker)
         number = numbers.number(epoch)
         # the document list makes a batch valid, so it is written last
         for name in reversed(TABLES):

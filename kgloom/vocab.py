@@ -36,6 +36,12 @@ RUN_STEPS = [
     "graph_update", "vector_memory",
 ]
 
+# who decides in each step, as written to the decision log
+RUN_AGENTS = {
+    "entity_extraction": "EntityExtractionAgent", "relationship_discovery": "RelationshipDiscoveryAgent",
+    "ontology_builder": "OntologyBuilderAgent", "graph_update": "GraphUpdateAgent", "vector_memory": "VectorMemoryAgent",
+}
+
 # extension -> MIME type of the formats that may be ingested
 SUPPORTED_MIME = {
     ".txt": "text/plain",
