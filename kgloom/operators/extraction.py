@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kgloom import vocab as V
 from kgloom.functions import text as T
 from kgloom.functions.arrays import explode_rows
-from kgloom.session import broadcast_if_small, cut_lineage, page, stable_id
+from kgloom.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage, page, stable_id
 
 
 def parse_responses(df: DataFrame, schema: str, col: str = "response") -> tuple[DataFrame, DataFrame]:
@@ -63,47 +63,48 @@ def _token_table(chunks: DataFrame) -> DataFrame:
     return cut_lineage(chunks.select(F.monotonically_increasing_id().alias("row"), "document_id", "chunk_index", _tokens("text").alias("t")))
 
 
-def _word_places(table: DataFrame, *texts: DataFrame) -> DataFrame:
-    """Where words of the given texts (frames of one column) stand: row, document_id, chunk_index, _p (from 0), _token.
-
-    The tokens of all chunks are made rows once, and only those of some text are kept.
-    """
-    words = texts[0].select(F.col(texts[0].columns[0]).alias("w"))
-    for more in texts[1:]:
-        words = words.unionByName(more.select(F.col(more.columns[0]).alias("w")))
-    words = explode_rows(words, [], _tokens("w"), "_token").distinct()
-    flat = explode_rows(table, ["row", "document_id", "chunk_index"], "t", "_token", "_p")
-    return cut_lineage(flat.join(broadcast_if_small(cut_lineage(words)), "_token", "left_semi"))
+def _around() -> Column:
+    """The name at ``word_pos`` with five words on both sides."""
+    return F.array_join(F.slice("t", F.greatest(F.col("word_pos") - 5, F.lit(1)), F.least(F.col("word_pos") - 1, F.lit(5)) + F.col("words") + 5), " ")
 
 
-def _occurrences(places: DataFrame, names: DataFrame, name_col: str, keys: list = ()) -> DataFrame:
+def _occurrences(table: DataFrame, names: DataFrame, name_col: str, keys: list = (), evidence: bool = False, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Every place where the tokens of a name follow each other in a chunk: row, document_id, chunk_index, word_pos (from 1), words and the columns of ``names``.
 
-    ``places`` holds all places of the words of the names. A name of any length is
-    looked up by the token of it that is rarest in the corpus, and not at all if one of
-    its tokens is absent, so tokens meet few names; for names of several tokens the
-    other tokens are then looked up at their places. ``keys`` are columns of a chunk
-    that have to be equal to those of the name, NULL matching NULL.
+    A name of any length is looked up by the token of it that is rarest in the corpus,
+    and not at all if one of its tokens is absent, so tokens meet few names; a name of
+    several tokens is then compared with the chunk at that place. ``keys`` are columns
+    of a chunk that have to be equal to those of the name, NULL matching NULL. Up to
+    ``limit`` names are sent to the chunks, so no chunk is moved; more names meet the
+    tokens that are some name's rarest by a shuffle.
     """
     names = cut_lineage(names.withColumns({"_nt": _tokens(name_col), "_nid": F.monotonically_increasing_id()}).filter(F.size("_nt") > 0))
     parts = names.select("_nid", F.posexplode("_nt").alias("_off", "_token"))
-    counts = places.groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
-    found = parts.join(counts, "_token", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    rarest = found.groupBy("_nid").agg(F.min_by(F.struct("_token", "_off"), F.struct("_n", "_off")).alias("_a"), F.min("_n").alias("_least")).filter("_least > 0")
-    anchors = cut_lineage(names.join(rarest, "_nid").select("_nid", "_a.*", F.size("_nt").alias("words"), *[F.col(k).alias(f"_k_{k}") for k in keys]))
-    same = F.col("places._token") == F.col("anchors._token")
+    words = broadcast_if_small(cut_lineage(parts.select("_token").distinct()))
+    counts = explode_rows(table, [], "t", "_token").join(words, "_token", "left_semi").groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    known = parts.join(counts, "_token", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = known.groupBy("_nid").agg(F.min_by(F.struct("_token", "_off"), F.struct("_n", "_off")).alias("_a"), F.min("_n").alias("_least")).filter("_least > 0")
+    anchors = cut_lineage(names.join(rarest, "_nid").withColumn("words", F.size("_nt")).select("words", "_nt", "_a.*", *[F.col(k).alias(f"_k_{k}") for k in keys], *[
+        c for c in names.columns if c not in ("_nt", "_nid", *keys)]))
+    few = anchors.limit(limit + 1).count() <= limit
+    # the tokens of a chunk go along only as long as nothing is shuffled
+    flat = explode_rows(table, ["row", "document_id", "chunk_index", *(["t"] if few else [])], "t", "_token", "_p")
+    if not few:
+        flat = flat.join(broadcast_if_small(cut_lineage(anchors.select("_token").distinct())), "_token", "left_semi")
+    same = F.col("flat._token") == F.col("anchors._token")
     for k in keys:
-        same = same & F.col(f"places.{k}").eqNullSafe(F.col(f"anchors._k_{k}"))
-    hits = places.alias("places").join(broadcast_if_small(anchors).alias("anchors"), same).select(
-        "row", "document_id", "chunk_index", (F.col("_p") - F.col("_off") + 1).alias("word_pos"), "words", "_nid", "_off").filter("word_pos > 0")
-    bodies = broadcast_if_small(names.drop(*keys))
-    several = cut_lineage(hits.filter("words > 1"))
-    others = several.join(broadcast_if_small(names.select("_nid", "_nt")), "_nid").select("row", "word_pos", "_nid", "_off", "words", F.posexplode("_nt").alias("_at", "_token")).filter(
-        "_at <> _off").withColumn("_p", F.col("word_pos") + F.col("_at") - 1)
-    whole = (others.join(places.select("row", "_p", "_token"), ["row", "_p", "_token"]).groupBy("row", "word_pos", "_nid", "words").agg(F.count(F.lit(1)).alias("_got"))
-             .filter("_got = words - 1").select("row", "word_pos", "_nid"))
-    verified = several.join(whole, ["row", "word_pos", "_nid"], "left_semi")
-    return hits.filter("words = 1").unionByName(verified).join(bodies, "_nid").drop("_nid", "_nt", "_off")
+        same = same & F.col(f"flat.{k}").eqNullSafe(F.col(f"anchors._k_{k}"))
+    hits = flat.alias("flat").join((F.broadcast(anchors) if few else anchors).alias("anchors"), same).withColumn("word_pos", F.col("_p") - F.col("_off") + 1).drop(
+        "_token", "_p", "_off", *[f"_k_{k}" for k in keys])
+    whole = (F.col("words") == 1) | ((F.col("word_pos") > 0) & (F.slice("t", F.greatest("word_pos", F.lit(1)), F.col("words")) == F.col("_nt")))
+    if few:
+        found = hits.filter(whole)
+    elif evidence:
+        found = hits.join(table.select("row", "t"), "row").filter(whole)
+    else:
+        several = hits.filter("words > 1").join(table.select("row", "t"), "row").filter(whole)
+        found = hits.filter("words = 1").withColumn("t", F.array().cast("array<string>")).unionByName(several)
+    return (found.withColumn("evidence", _around()) if evidence else found).drop("t", "_nt")
 
 
 # fixed rules beside the gazetteer: (pattern, entity type, confidence, text every match holds)
@@ -119,21 +120,13 @@ def place(chunk_index, at) -> Column:
     return (F.col(chunk_index).cast("bigint") * CHUNK_SPAN + (F.col(at) if isinstance(at, str) else at)).cast("bigint")
 
 
-def _with_evidence(found: DataFrame, table: DataFrame) -> DataFrame:
-    """``found`` (row, word_pos, words, ...) with the name and the five words on both sides."""
-    around = F.array_join(F.slice("t", F.greatest(F.col("word_pos") - 5, F.lit(1)), F.least(F.col("word_pos") - 1, F.lit(5)) + F.col("words") + 5), " ")
-    return found.join(table.select("row", "t"), "row").withColumn("evidence", around).drop("t")
-
-
 def mentions(chunks: DataFrame, gazetteer: DataFrame, evidence: bool = True) -> DataFrame:
     """Every occurrence of a gazetteer name: document_id, chunk_index, word_pos, name, entity_type, confidence.
 
     Names of any number of words are found; punctuation between words does not
     count. ``evidence`` adds the five words on both sides.
     """
-    table = _token_table(chunks)
-    hits = _occurrences(_word_places(table, gazetteer.select("name")), gazetteer.select("name", "entity_type", "confidence"), "name")
-    return (_with_evidence(hits, table) if evidence else hits).drop("row", "words")
+    return _occurrences(_token_table(chunks), gazetteer.select("name", "entity_type", "confidence"), "name", evidence=evidence).drop("row", "words")
 
 
 def extract_entities(chunks: DataFrame, gazetteer: DataFrame, patterns=None) -> DataFrame:
@@ -144,12 +137,9 @@ def extract_entities(chunks: DataFrame, gazetteer: DataFrame, patterns=None) ->
     without the needle is not searched.
     """
     keys = ["document_id", "chunk_index", "name", "entity_type"]
-    table = _token_table(chunks)
-    hits = _occurrences(_word_places(table, gazetteer.select("name")), gazetteer.select("name", "entity_type", "confidence"), "name")
-    # rows with the same names fold map-side, so a frequent name does not pile up; words around it are looked up once per name
-    first = hits.groupBy(*keys).agg(F.min(F.struct("word_pos", "row", "words")).alias("at"), F.max("confidence").alias("confidence"))
-    known = _with_evidence(first.select(*keys, "confidence", "at.*"), table)
-    out = known.select(*keys, F.col("word_pos").cast("bigint").alias("word_pos"), "evidence", "confidence")
+    # rows with the same names fold map-side, so a frequent name does not pile up
+    first = mentions(chunks, gazetteer).groupBy(*keys).agg(F.min(F.struct("word_pos", "evidence")).alias("at"), F.max("confidence").alias("confidence"))
+    out = first.select(*keys, F.col("at.word_pos").cast("bigint").alias("word_pos"), "at.evidence", "confidence")
     for rx, typ, conf, needle in (DEFAULT_PATTERNS if patterns is None else patterns):
         matches = F.when(F.contains("text", F.lit(needle)), F.regexp_extract_all("text", F.lit(rx), F.lit(0)))
         found = (explode_rows(chunks, ["document_id", "chunk_index"], matches, "name", "_i")
@@ -252,10 +242,9 @@ def extract_relations(chunks: DataFrame, entities: DataFrame, cues: DataFrame, d
     table = _token_table(chunks)
     names = name_map(entities).select("document_id", "key", "entity")
     cue_rows = cues.select("cue", F.struct("cue", "relationship_type", "source_type", "target_type", "confidence").alias("c"))
-    places = _word_places(table, names.select("key"), cues.select("cue"))
-    spots = _occurrences(places, names, "key", ["document_id"]).select(
+    spots = _occurrences(table, names, "key", ["document_id"]).select(
         "row", F.struct("word_pos", F.col("entity.entity_type").alias("t"), F.col("entity.id").alias("eid")).alias("spot"))
-    marks = _occurrences(places, cue_rows, "cue").select("row", F.struct("word_pos", "c.*").alias("mark"))
+    marks = _occurrences(table, cue_rows, "cue").select("row", F.struct("word_pos", "c.*").alias("mark"))
     # the window of a chunk bounds what is collected for it
     per_chunk = spots.unionByName(marks, allowMissingColumns=True).groupBy("row").agg(F.collect_set("spot").alias("spots"), F.collect_set("mark").alias("marks"))
     per_chunk = per_chunk.filter((F.size("marks") > 0) & (F.size(F.array_distinct(F.transform("spots", lambda s: s.eid))) >= 2)).join(

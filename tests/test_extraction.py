@@ -137,3 +137,54 @@ def test_places_do_not_overlap(spark):
     row = spark.createDataFrame([(0, 2_000_000, 1, 0)], "a int, at int, b int, first int").select(
         X.place("a", "at").alias("x"), X.place("a", F.lit(X.AFTER_WORDS)).alias("p"), X.place("b", "first").alias("y")).first()
     assert row.x < row.p < row.y
+
+
+def _brute_occurrences(chunks, names):
+    import re
+    out = []
+    for doc, at, text in chunks:
+        t = re.findall(r"[^\W_]+", text.lower())
+        for name in names:
+            w = re.findall(r"[^\W_]+", name.lower())
+            out += [(doc, at, i + 1, name) for i in range(len(t) - len(w) + 1) if w and t[i:i + len(w)] == w]
+    return sorted(out, key=repr)
+
+
+def test_few_and_many_names_give_the_same_places(spark, rows):
+    import random
+    rng = random.Random(4)
+    words = ["alpha", "beta", "corp", "delta", "new", "york"]
+    chunks = [(d if d else None, c, " ".join(rng.choices(words, k=30)) + ("." if c else "")) for d in range(6) for c in (0, 0, 1)]
+    names = ["corp", "new york", "York New", "alpha beta corp", "zq corp", "corp corp", "...", "beta alpha"]
+    table = X._token_table(spark.createDataFrame(chunks, "document_id long, chunk_index int, text string"))
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    want = _brute_occurrences(chunks, names)
+    for limit in (0, 1000):
+        for evidence in (False, True):
+            got = X._occurrences(table, frame, "name", evidence=evidence, limit=limit)
+            assert rows(got, "document_id", "chunk_index", "word_pos", "name") == want
+    per_doc = spark.createDataFrame([(1, "corp"), (None, "new york"), (7, "alpha")], "document_id long, name string")
+    for limit in (0, 1000):
+        got = rows(X._occurrences(table, per_doc, "name", ["document_id"], limit=limit), "document_id", "name")
+        assert got == sorted([(d, n) for d, _, _, n in want if (d, n) in ((1, "corp"), (None, "new york"))], key=repr)
+
+
+def test_names_with_an_absent_word_are_not_looked_up(spark):
+    chunks = spark.createDataFrame([(i, 0, "the corp of corp") for i in range(50)], "document_id long, chunk_index int, text string")
+    names = spark.createDataFrame([(f"zq{i} corp",) for i in range(200)] + [("of corp",)], "name string")
+    found = X._occurrences(X._token_table(chunks), names, "name", limit=0)
+    assert found.count() == 50
+    joins = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in joins and "NestedLoop" not in joins
+
+
+def test_visible_names_by_substrings_null_documents_and_repeated_keys(spark, rows):
+    texts = [(None, 0, "Prefixation and prefixes abound in new york"), (None, 0, "nothing of that"), (1, 0, "prefixes, prefixed new york"), (1, 0, "prefixes again new  york"), (2, None, "ab abc prefixed")]
+    chunks = spark.createDataFrame(texts, "document_id long, chunk_index int, text string")
+    entities = [(f"e{k}", d, n, "T", k) for k, (d, n) in enumerate([(None, "prefix"), (None, "New York"), (None, "prefixless"), (1, "prefixes"), (1, "new york"), (1, "ed"), (2, "ab"), (2, "c"), (2, "prefixed"), (2, "")])]
+    frame = spark.createDataFrame(entities, "id string, document_id long, name string, entity_type string, pos long")
+    want = []
+    for d, c, text in texts:
+        seen = [(e, n) for e, doc, n, _, _ in entities if doc == d and n and n.lower() in text.lower()]
+        want += [(d, c, e, n, len(seen)) for e, n in seen] if len(seen) >= 2 else []
+    assert rows(X.visible_entities(chunks, frame), "document_id", "chunk_index", "entity_id", "name", "chunk_names") == sorted(want, key=repr) and len(want) == 8
