@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kgloom import vocab as V
 from kgloom.functions.arrays import explode_rows
 from kgloom.functions.text import safe_label
+from kgloom.session import broadcast_if_small, cut_lineage
 
 NODE_FIELDS = ["name", "document_id", "entity_type", "confidence", "attributes"]
 EDGE_FIELDS = ["type", "confidence", "evidence", "document_id"]
@@ -138,15 +139,89 @@ def node_view(nodes: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("entity_type", F.lit("")), F.lit("Unknown")).alias("entity_type"), "label", "confidence")
 
 
-def edge_view(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    ends = nodes.groupBy("id").agg(F.max_by(F.struct("name", "entity_type", "label"), "label").alias("n"))
-    s = ends.select(F.col("id").alias("src"), F.col("n").alias("_s"))
-    t = ends.select(F.col("id").alias("tgt"), F.col("n").alias("_t"))
-    return (edges.join(s, "src").join(t, "tgt")
-            .select(F.coalesce("id", F.concat_ws("-", "src", "tgt")).alias("id"),
-                    F.coalesce("type", F.lit("RELATES")).alias("type"), F.col("src").alias("source_id"), F.col("tgt").alias("target_id"),
-                    F.col("_s.name").alias("source_name"), F.col("_t.name").alias("target_name"),
-                    _type_keys("_s.entity_type", "_s.label", "_t.entity_type", "_t.label").alias("_keys")))
+EDGE_ID = "coalesce(id, concat_ws('-', src, tgt))"
+
+
+def _ends(nodes: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One (id, name, entity_type, label) row per node id, of all or of the given ids."""
+    some = nodes if ids is None else nodes.join(ids, "id", "left_semi")
+    return some.groupBy("id").agg(F.max_by(F.struct("name", "entity_type", "label"), F.coalesce("label", F.lit(""))).alias("n")).select("id", "n.*")
+
+
+def _edge_rows(edges: DataFrame) -> DataFrame:
+    return edges.filter("src is not null and tgt is not null").select(
+        F.expr(EDGE_ID).alias("id"), F.coalesce("type", F.lit("RELATES")).alias("type"), F.col("src").alias("source_id"), F.col("tgt").alias("target_id"))
+
+
+def named_edges(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` (source_id, target_id, ...) whose two ends are nodes, with their names; for few rows the nodes are only scanned."""
+    ids = rows.select(F.col("source_id").alias("id")).unionByName(rows.select(F.col("target_id").alias("id"))).distinct()
+    names = cut_lineage(_ends(nodes, broadcast_if_small(cut_lineage(ids))).select("id", "name"))
+    out = rows
+    for side in ("source", "target"):
+        out = out.join(broadcast_if_small(names).withColumnsRenamed({"id": f"{side}_id", "name": f"{side}_name"}), f"{side}_id")
+    return out.select(*rows.columns, "source_name", "target_name")
+
+
+def edges_around(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """question_id and edges with an end among that question's ends (question_id, n), an id once."""
+    rows = _edge_rows(edges)
+    met = rows.join(ends.withColumnRenamed("n", "source_id"), "source_id").unionByName(rows.join(ends.withColumnRenamed("n", "target_id"), "target_id"))
+    return met.dropDuplicates(["question_id", "id"]).select("question_id", *rows.columns)
+
+
+def _first_edges(hits: DataFrame, key: str, cap: int | None) -> DataFrame:
+    """The edges with the ``cap`` first ids of each key, an id once; the cut comes before the shuffle as well."""
+    if cap is not None:
+        w = Window.partitionBy(key).orderBy("id")
+        hits = hits.withColumn("_rk", F.dense_rank().over(w)).filter(F.col("_rk") <= cap)
+    return hits.groupBy(key, "id").agg(F.min(F.struct("type", "source_id", "target_id")).alias("e")).select(key, "id", "e.*")
+
+
+def _asked_nodes(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(end, match_key): nodes with one of the given type or label keys (column match_key)."""
+    typed = explode_rows(nodes, ["id"], _type_keys("entity_type", "label"), "match_key")
+    ids = typed.join(broadcast_if_small(keys), "match_key", "left_semi").select("id").distinct()
+    # a node with several labels counts with its last one
+    ends = _ends(nodes, broadcast_if_small(cut_lineage(ids)))
+    return explode_rows(ends, [F.col("id").alias("end")], _type_keys("entity_type", "label"), "match_key").join(broadcast_if_small(keys), "match_key", "left_semi")
+
+
+def _with_known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    ids = nodes.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "tgt"), "tgt", "left_semi")
+
+
+def first_touching(edges: DataFrame, nodes: DataFrame, keys: DataFrame, cap: int | None) -> DataFrame:
+    """match_key and the first ``cap`` edges with an end of that type or label, with the names of their ends; all without a cap.
+
+    One scan of the edges meets the ids of the asked nodes; names are attached to what
+    is left after the cut. Edges whose other end is no node do not count: if the cut
+    holds one, it is made again among edges with known ends.
+    """
+    asked = broadcast_if_small(cut_lineage(_asked_nodes(nodes, cut_lineage(keys.select("match_key").distinct()))))
+
+    def cut(rows):
+        ends = _edge_rows(rows).withColumn("end", F.explode(F.array("source_id", "target_id")))
+        return cut_lineage(_first_edges(ends.join(asked, "end").drop("end"), "match_key", cap))
+    return _named_cut(cut, edges, nodes)
+
+
+def first_edges(edges: DataFrame, nodes: DataFrame, cap: int | None) -> DataFrame:
+    """The first ``cap`` edges of all, with the names of their ends."""
+    def cut(rows):
+        rows = _edge_rows(rows).withColumn("_all", F.lit(1))
+        few = rows if cap is None else rows.orderBy("id", "type", "source_id", "target_id").limit(cap)
+        return cut_lineage(_first_edges(few, "_all", cap))
+    return _named_cut(cut, edges, nodes).drop("_all")
+
+
+def _named_cut(cut, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    found = cut(edges)
+    named = cut_lineage(named_edges(found, nodes))
+    if named.count() < found.count():
+        named = cut_lineage(named_edges(cut(_with_known_ends(edges, nodes)), nodes))
+    return named
 
 
 def first_per(df: DataFrame, keys, order, n: int) -> DataFrame:
@@ -155,64 +230,68 @@ def first_per(df: DataFrame, keys, order, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def _slice_for(wanted: DataFrame, rows: DataFrame, order: str, cap: int) -> DataFrame:
-    """Rows matching each question's types, at most ``cap`` per question in id order.
+def _per_question(wanted: DataFrame, keyed: DataFrame, cap: int | None) -> DataFrame:
+    """Rows matching each question's types, an id once, at most ``cap`` per question in id order.
 
     The first ``cap`` rows of every single type are enough to answer any set of
     types, so a type that covers a third of the graph contributes ``cap`` rows.
     """
-    keyed = first_per(explode_rows(rows, rows.columns, "_keys", "match_key"), ["match_key"], [order], cap)
-    hits = wanted.join(keyed, "match_key").drop("match_key", "_keys").dropDuplicates(["question_id", order])
-    return first_per(hits, ["question_id"], [order], cap)
+    hits = wanted.join(keyed, "match_key").drop("match_key").dropDuplicates(["question_id", "id"])
+    return hits if cap is None else first_per(hits, ["question_id"], ["id"], cap)
 
 
 def seed_slices(questions: DataFrame, nodes: DataFrame, edges: DataFrame,
-                node_cap: int = V.NODE_CAP, edge_cap: int = V.EDGE_CAP) -> tuple[DataFrame, DataFrame]:
+                node_cap: int | None = V.NODE_CAP, edge_cap: int | None = V.EDGE_CAP) -> tuple[DataFrame, DataFrame]:
     """Nodes and touching edges for each (question_id, class_name) row.
 
     A question whose classes match no node gets the first nodes and edges of the
-    whole graph; a question without classes gets nothing.
+    whole graph; a question without classes gets nothing. A cap of None gives all.
     """
-    wanted = questions.select("question_id", F.lower("class_name").alias("match_key")).distinct()
+    wanted = cut_lineage(questions.select("question_id", F.lower("class_name").alias("match_key")).distinct())
     asked = wanted.select("question_id").distinct()
+    keys = cut_lineage(wanted.select("match_key").distinct())
     view = node_view(nodes)
-    node_rows = view.withColumn("_keys", _type_keys("entity_type", "label"))
-    edge_rows = edge_view(edges, nodes)
-    hit_nodes = _slice_for(wanted, node_rows, "id", node_cap)
-    empty = asked.join(hit_nodes.select("question_id").distinct(), "question_id", "left_anti")
-    hit_edges = _slice_for(wanted, edge_rows, "id", edge_cap).join(empty, "question_id", "left_anti")
-
-    def everything(rows, cap):
-        # the same bounded list for each such question: joined on a constant key
-        top = rows.orderBy("id").limit(cap).withColumn("_all", F.lit(1))
-        return empty.withColumn("_all", F.lit(1)).join(F.broadcast(top), "_all").drop("_all")
-    out_nodes = hit_nodes.unionByName(everything(view, node_cap))
-    out_edges = hit_edges.unionByName(everything(edge_rows.drop("_keys"), edge_cap))
-    return out_nodes, out_edges
-
-
-def seed_nodes(nodes: DataFrame, types: list[str], cap: int = V.NODE_CAP) -> DataFrame:
-    """Nodes whose type or label is among ``types``; without any match, the first of all nodes."""
+    keyed = explode_rows(view, view.columns, _type_keys("entity_type", "label"), "match_key").join(broadcast_if_small(keys), "match_key", "left_semi")
+    keyed = keyed if node_cap is None else first_per(keyed, ["match_key"], ["id"], node_cap)
+    hit_nodes = cut_lineage(_per_question(wanted, keyed, node_cap))
+    empty = cut_lineage(asked.join(hit_nodes.select("question_id").distinct(), "question_id", "left_anti"))
+    hit_edges = _per_question(wanted, first_touching(edges, nodes, keys, edge_cap), edge_cap).join(empty, "question_id", "left_anti")
+    if empty.isEmpty():
+        return hit_nodes, hit_edges
+
+    def everything(top):
+        # the same list for each such question: joined on a constant key
+        return empty.withColumn("_all", F.lit(1)).join(broadcast_if_small(cut_lineage(top.withColumn("_all", F.lit(1)))), "_all").drop("_all")
+    first_nodes = view if node_cap is None else view.orderBy("id").limit(node_cap)
+    return hit_nodes.unionByName(everything(first_nodes)), hit_edges.unionByName(everything(first_edges(edges, nodes, edge_cap)))
+
+
+def seed_nodes(nodes: DataFrame, types: list[str], cap: int | None = V.NODE_CAP) -> DataFrame:
+    """Nodes whose type or label is among ``types``; without any match, the first of all nodes. A cap of None gives all."""
     view = node_view(nodes)
     if not types:
         return view.limit(0)
     keys = [t.lower() for t in types]
     hit = F.lower("entity_type").isin(keys) | F.lower("label").isin(keys)
+    if cap is None:
+        return view if view.filter(hit).isEmpty() else view.filter(hit)
     # matches sort first, so the cut rows hold a match if there is one at all
     top = view.withColumn("_hit", hit).orderBy(F.col("_hit").desc(), "id").limit(cap)
     any_hit = top.agg(F.max("_hit")).scalar()
     return top.filter(F.col("_hit") | ~any_hit).drop("_hit")
 
 
-def touching_edges(edges: DataFrame, nodes: DataFrame, types: list[str], cap: int = V.EDGE_CAP) -> DataFrame:
-    """Edges with an end whose type or label is among ``types``; without any such node, the first of all edges."""
-    view = edge_view(edges, nodes)
+def touching_edges(edges: DataFrame, nodes: DataFrame, types: list[str], cap: int | None = V.EDGE_CAP) -> DataFrame:
+    """Edges with an end whose type or label is among ``types``; without any such node, the first of all edges. A cap of None gives all."""
+    columns = ["id", "type", "source_id", "target_id", "source_name", "target_name"]
     if not types:
-        return view.drop("_keys").limit(0)
-    keys = F.array(*[F.lit(t.lower()) for t in types])
-    top = view.withColumn("_hit", F.arrays_overlap("_keys", keys)).drop("_keys").orderBy(F.col("_hit").desc(), "id").limit(cap)
-    any_node = nodes.filter(F.arrays_overlap(_type_keys("entity_type", "label"), keys)).limit(1).agg(F.count(F.lit(1))).scalar()
-    return top.filter(F.col("_hit") | (any_node == 0)).drop("_hit")
+        return named_edges(_edge_rows(edges.limit(0)), nodes).select(columns)
+    keys = [t.lower() for t in types]
+    if nodes.filter(F.arrays_overlap(_type_keys("entity_type", "label"), F.array(*[F.lit(k) for k in keys]))).isEmpty():
+        return first_edges(edges, nodes, cap).select(columns)
+    asked = nodes.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], "match_key string")
+    found = first_touching(edges, nodes, asked, cap).dropDuplicates(["id"]).select(columns)
+    return found if cap is None else found.orderBy("id").limit(cap)
 
 
 # -- structured reads ------------------------------------------------------
