@@ -141,7 +141,9 @@ def unescape_entities(col) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(valid, F.concat(char, F.substr(p, F.length(ref) + 2))).otherwise(F.concat(F.lit("&"), p))
-    return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), replaced), ""))
+    whole = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), replaced), ""))
+    # most texts hold no reference at all
+    return F.when(F.contains(_c(col), F.lit("&")), whole).otherwise(_c(col))
 
 
 def _raw(pattern: str) -> str:

@@ -19,24 +19,27 @@ def undirected(edges: DataFrame) -> DataFrame:
 def distances(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int, parents: bool = False) -> DataFrame:
     """start_id, id, dist (and parent) for everything within ``depth`` hops of each start.
 
-    The parent is the lowest neighbour id one hop nearer to the start. A frontier
-    of few rows is broadcast, so the edge table is scanned and not shuffled; a
-    large one is joined by shuffle, where skewed hubs are split at run time.
+    The parent is the lowest neighbour id one hop nearer to the start. A hop writes
+    the rows it reaches first and no other. A frontier of few rows is broadcast, so
+    the edge table is scanned and not shuffled; a large one is joined by shuffle,
+    where skewed hubs are split at run time.
     """
     adj = undirected(edges)
     known = nodes.select(F.col("id").alias("start_id"))
-    none = F.lit(None).cast("string")
-    seen = cut_lineage(starts.select("start_id").distinct().join(known, "start_id", "left_semi").select(
-        "start_id", F.col("start_id").alias("id"), F.struct(F.lit(0).alias("dist"), none.alias("parent")).alias("at")))
+    columns = ["start_id", "id", "dist", "parent"]
+    frontier = cut_lineage(starts.select("start_id").distinct().join(known, "start_id", "left_semi").select(
+        "start_id", F.col("start_id").alias("id"), F.lit(0).alias("dist"), F.lit(None).cast("string").alias("parent")))
+    seen = frontier
     for d in range(1, depth + 1):
-        frontier = seen.filter(F.col("at.dist") == d - 1).select("start_id", F.col("id").alias("a"))
         if frontier.isEmpty():
             break
-        step = adj.join(broadcast_if_small(frontier), "a").select(
-            "start_id", F.col("b").alias("id"), F.struct(F.lit(d).alias("dist"), (F.col("a") if parents else none).alias("parent")).alias("at"))
-        seen = cut_lineage(seen.unionByName(step).groupBy("start_id", "id").agg(F.min("at").alias("at")))
-    out = seen.select("start_id", "id", F.col("at.dist").alias("dist"), F.col("at.parent").alias("parent"))
-    return out if parents else out.drop("parent")
+        near = frontier.select("start_id", F.col("id").alias("a"))
+        step = adj.join(broadcast_if_small(near), "a").groupBy("start_id", F.col("b").alias("id")).agg(F.lit(d).alias("dist"), F.min("a").alias("parent"))
+        # what a hop reaches again lies one or two hops back, as edges have no direction
+        past = seen.filter(F.col("dist") >= d - 2).select("start_id", "id")
+        frontier = cut_lineage(step.join(past, ["start_id", "id"], "left_anti").select(columns))
+        seen = seen.unionByName(frontier)
+    return seen if parents else seen.drop("parent")
 
 
 def neighborhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -57,20 +60,44 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: i
 def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     """Shortest undirected path of at most ``depth`` hops per (from_id, to_id): hops and path (ids joined by ->).
 
-    Pairs without such a path are absent. Ties are broken by the lowest ids,
-    walking back from the target.
+    Both ends search: trees of half the depth grow around the starts, then hop by hop
+    rings around those targets that have an open pair. A pair is done, and leaves, as
+    soon as a ring meets the edge of its start's tree. Pairs without such a path are
+    absent. Ties are broken by the lowest ids, walking back from the target.
     """
-    starts = pairs.select(F.col("from_id").alias("start_id"))
-    tree = distances(nodes, edges, starts, depth, parents=True)
-    back = tree.select(F.col("start_id").alias("from_id"), F.col("id").alias("at"), "parent")
-    goal = tree.select(F.col("start_id").alias("from_id"), F.col("id").alias("to_id"), F.col("dist").alias("hops"))
-    cur = (pairs.select("from_id", "to_id").distinct().join(goal, ["from_id", "to_id"])
-           .withColumn("at", F.col("to_id")).withColumn("path", F.col("to_id")))
-    for _ in range(depth):
+    open_pairs = cut_lineage(pairs.select("from_id", "to_id").distinct())
+    half = (depth + 1) // 2
+    tree = cut_lineage(distances(nodes, edges, pairs.select(F.col("from_id").alias("start_id")), half, parents=True).select(
+        F.col("start_id").alias("from_id"), F.col("id").alias("at"), "dist", "parent"))
+    known = nodes.select(F.col("id").alias("to_id")).distinct()
+    adj = undirected(edges)
+    # the ids from the target outward, the lowest of all ways to a place on the ring
+    ring = cut_lineage(open_pairs.select("to_id").distinct().join(known, "to_id", "left_semi").select("to_id", F.col("to_id").alias("at"), F.array("to_id").alias("way")))
+    past, met = ring.select("to_id", "at"), []
+    for hop in range(depth - half + 1):
+        if hop:
+            ring = ring.join(open_pairs.select("to_id").distinct(), "to_id", "left_semi")
+            step = adj.join(broadcast_if_small(cut_lineage(ring.withColumnRenamed("at", "a"))), "a").select(
+                "to_id", F.col("b").alias("at"), F.concat("way", F.array("b")).alias("way")).groupBy("to_id", "at").agg(F.min("way").alias("way"))
+            ring = cut_lineage(step.join(past, ["to_id", "at"], "left_anti"))
+            past = past.unionByName(ring.select("to_id", "at"))
+        # a ring further out meets only the outermost places of a tree, else its pair were done
+        edge = tree if hop == 0 else tree.filter(F.col("dist") == half)
+        found = cut_lineage(open_pairs.join(ring, "to_id").join(edge.drop("parent"), ["from_id", "at"]).groupBy("from_id", "to_id").agg(
+            F.min(F.struct("way", "at", F.col("dist").alias("dist"))).alias("m")).select("from_id", "to_id", (F.col("m.dist") + hop).alias("hops"), "m.at", F.reverse("m.way").alias("way")))
+        met.append(found)
+        open_pairs = cut_lineage(open_pairs.join(found, ["from_id", "to_id"], "left_anti"))
+        if open_pairs.isEmpty():
+            break
+    cur = met[0]
+    for more in met[1:]:
+        cur = cur.unionByName(more)
+    back = tree.select("from_id", "at", "parent")
+    for _ in range(half):
         cur = cur.join(back, ["from_id", "at"], "left").select(
             "from_id", "to_id", "hops", F.coalesce("parent", "at").alias("at"),
-            F.when(F.col("parent").isNotNull(), F.concat_ws("->", "parent", "path")).otherwise(F.col("path")).alias("path"))
-    return cur.drop("at")
+            F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), F.col("way"))).otherwise(F.col("way")).alias("way"))
+    return cur.select("from_id", "to_id", "hops", F.array_join("way", "->").alias("path"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

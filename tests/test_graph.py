@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgloom.operators import graph as G
@@ -209,3 +210,36 @@ def test_all_ancestors(spark):
     got = {(r.child, r.ancestor): r.distance for r in ontology.ancestor_pairs(classes).collect()}
     assert got["c0", "c8"] == 8 and got["x", "x"] == 2 and got["x", "y"] == 1 and len(got) == 36 + 4
     assert max(r.distance for r in ontology.ancestor_pairs(classes, 5).collect()) == 5
+
+
+def _all_paths(edges, start, goal, depth):
+    """Shortest path by search, lowest ids walking back from the goal."""
+    near = {start: 0}
+    layer = [start]
+    nbr = {}
+    for a, b in edges:
+        if a != b:
+            nbr.setdefault(a, set()).add(b)
+            nbr.setdefault(b, set()).add(a)
+    for d in range(1, depth + 1):
+        layer = sorted({b for a in layer for b in nbr.get(a, ()) if b not in near})
+        near.update(dict.fromkeys(layer, d))
+    if goal not in near:
+        return None
+    path = [goal]
+    while path[-1] != start:
+        path.append(min(b for b in nbr[path[-1]] if near.get(b) == near[path[-1]] - 1))
+    return near[goal], "->".join(reversed(path))
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, 6])
+def test_paths_from_both_ends_equal_search(spark, rows, depth):
+    rng = random.Random(depth)
+    ids = [f"v{i:02d}" for i in range(40)]
+    links = [(rng.choice(ids), rng.choice(ids)) for _ in range(48)] + [(ids[0], i) for i in ids[1:9]]
+    nodes = spark.createDataFrame([("L", i, i, "T", 1.0) for i in ids], "label string, id string, name string, entity_type string, confidence double")
+    edges = spark.createDataFrame([(f"e{k}", a, b, "R") for k, (a, b) in enumerate(links)], "id string, src string, tgt string, type string")
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(60)] + [("nobody", ids[0]), (ids[0], "nobody"), (ids[3], ids[3])]
+    got = rows(R.shortest_paths(nodes, edges, spark.createDataFrame(pairs, "from_id string, to_id string"), depth))
+    want = [(a, b, *found) for a, b in set(pairs) if a in ids and b in ids and (found := _all_paths(links, a, b, depth))]
+    assert got == sorted(want, key=repr) and len(want) > 3
