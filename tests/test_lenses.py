@@ -45,10 +45,11 @@ def test_next_within_one_hot_key(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_profile_has_a_line_for_every_type(spark):
     lines = [r.line for r in catalogue.QUERIES["ontology_profile_lines"](spark, SF).collect()]
-    companies = [r.name for r in N.star_entities(spark, SF).filter("entity_type = 'Company'").orderBy("pos").collect()]
-    assert f"  Company ({len(companies)} instances): {', '.join(companies[:10])} (+{len(set(companies)) - 10} more)" in lines
-    types = {r.entity_type for r in N.star_entities(spark, SF).select("entity_type").distinct().collect()}
-    assert {x.split()[0] for x in lines if " instances): " in x} == types
+    both = [r for view in (N.star_entities, N.mention_entities) for r in view(spark, SF).select("name", "entity_type", "pos").collect()]
+    companies = [r.name for r in sorted(both, key=lambda r: r.pos) if r.entity_type == "Company"]
+    names = list(dict.fromkeys(companies))
+    assert f"  Company ({len(companies)} instances): {', '.join(names[:10])} (+{len(names) - 10} more)" in lines
+    assert {x.split()[0] for x in lines if " instances): " in x} == {r.entity_type for r in both}
 
 
 def test_graph_has_pattern_entities_and_classes_have_phrases(spark, tmp_path):
