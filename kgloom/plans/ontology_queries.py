@@ -93,7 +93,7 @@ def _(spark, sf):
     t = _tree(spark, sf)
     # the region that comes first by name
     first = N.table(spark, sf, "region").agg(F.min("r_name")).scalar()
-    return t.filter(F.col("name") == first).transform(lambda d: d.select("id", "name", F.coalesce(F.col("parent_class") == "Entity", F.lit(False)).alias("is_subclass")))
+    return O.is_subclass_of(t, first, "Entity")
 
 
 PROFILE = """,
@@ -217,6 +217,14 @@ def _(spark, sf):
     return v.select("id", "content.domain", F.size("content.classes").alias("classes"), F.array_join(F.transform("content.classes", lambda c: c["name"]), ",").alias("names"))
 
 
+@query("ontology_version_detail", with_ctes(VERSIONS, body=" select id, 'parts' as domain, unnest(list_append(cls, 'person')) as class_name from vers where id=(select min(id) from vers)"))
+def _(spark, sf):
+    v = versions_table(spark, sf)
+    # the version that comes first by id
+    one = O.get_version(v, v.agg(F.min("id")).scalar())
+    return one.select("id", "content.domain", F.explode("content.classes").alias("c")).select("id", "domain", F.col("c.name").alias("class_name"))
+
+
 def _classes_with_synonyms(spark):
     """Class table for alignment: seeds plus two classes with synonyms."""
     extra = spark.createDataFrame([("org", "Firm", None, "Entity", [], ["company", "business"]), ("thing", "Gadgets", None, "Entity", [], []), ("tech", "Technologie", None, "Entity", [], ["tool"])], O.CLASS_SCHEMA)
