@@ -159,10 +159,18 @@ def _strip_sql(x: str) -> str:
     return _replace_sql(x, f"^{_SPACE}+|{_SPACE}+\\z")
 
 
-def _words_sql(x: str) -> str:
+def words_sql(x: str) -> str:
     return f"filter(split({x}, {_raw(_SPACE + '+')}), w -> w <> '')"
 
 
+def sentences_sql(x: str) -> str:
+    return f"filter(transform(split({x}, {_raw('(?<=[.!?])' + _SPACE + '+')}), s -> {_strip_sql('s')}), s -> s <> '')"
+
+
+def count_tokens_sql(x: str) -> str:
+    return f"cast(floor(size({words_sql(x)}) * 0.75D) as int)"
+
+
 def _whitespace_sql(x: str) -> str:
     x = _replace_sql(x, r"\r\n|\r", "chr(10)")
     x = _replace_sql(x, r"[ \t]+", "' '")
@@ -171,9 +179,9 @@ def _whitespace_sql(x: str) -> str:
 
 def _language_sql(x: str) -> str:
     votes = ", ".join(
-        "named_struct('rank', -size(filter(" + _words_sql(f"lower({x})") + ", w -> w in (" + ", ".join(f"'{w}'" for w in stop)
+        "named_struct('rank', -size(filter(" + words_sql(f"lower({x})") + ", w -> w in (" + ", ".join(f"'{w}'" for w in stop)
         + f"))), 'code', '{code}')" for code, stop in sorted(V.STOP_WORDS.items()))
-    return f"if(size({_words_sql(x)}) >= 5 and array_min(array({votes})).rank < 0, array_min(array({votes})).code, null)"
+    return f"if(size({words_sql(x)}) >= 5 and array_min(array({votes})).rank < 0, array_min(array({votes})).code, null)"
 
 
 def register_sql_functions(spark: SparkSession) -> list[str]:
@@ -189,19 +197,20 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
     unfenced = f"regexp_extract({_strip_sql('x')}, {_raw(fenced)}, 1)"
     bodies = {
         "kg_strip": ("x STRING", "STRING", _strip_sql("x")),
-        "kg_words": ("x STRING", "ARRAY<STRING>", _words_sql("x")),
-        "kg_word_count": ("x STRING", "INT", f"size({_words_sql('x')})"),
-        "kg_count_tokens": ("x STRING", "INT", f"cast(floor(size({_words_sql('x')}) * 0.75D) as int)"),
+        "kg_words": ("x STRING", "ARRAY<STRING>", words_sql("x")),
+        "kg_word_count": ("x STRING", "INT", f"size({words_sql('x')})"),
+        "kg_count_tokens": ("x STRING", "INT", count_tokens_sql("x")),
         "kg_truncate": ("x STRING, n INT", "STRING", "substring(x, 1, n * 4)"),
         "kg_normalize_whitespace": ("x STRING", "STRING", _whitespace_sql("x")),
         "kg_clean_text": ("x STRING", "STRING", cleaned),
         "kg_detect_language": ("x STRING", "STRING", _language_sql("x")),
-        "kg_sentences": ("x STRING", "ARRAY<STRING>",
-                         f"filter(transform(split(x, {_raw('(?<=[.!?])' + _SPACE + '+')}), s -> {_strip_sql('s')}), s -> s <> '')"),
+        "kg_sentences": ("x STRING", "ARRAY<STRING>", sentences_sql("x")),
         "kg_safe_filename": ("x STRING", "STRING", _strip_sql(_replace_sql("x", r"[^\p{L}\p{N}._\- ]"))),
         "kg_safe_label": ("x STRING", "STRING",
                           "coalesce(nullif(array_join(transform(split(replace(replace(x, '-', '_'), ' ', '_'), '_'), "
                           "p -> concat(upper(left(p, 1)), lower(substr(p, 2)))), ''), ''), 'Entity')"),
+        "kg_strip_json_fences": ("x STRING", "STRING", _strip_sql(_replace_sql(_replace_sql(
+            _strip_sql("x"), rf"\A```(?:json)?{_SPACE}*"), rf"{_SPACE}*```\z"))),
         "kg_strip_fences": ("x STRING", "STRING", f"if({_strip_sql('x')} rlike {_raw(fenced)}, {_strip_sql(unfenced)}, {_strip_sql('x')})"),
     }
     for name, (args, ret, body) in bodies.items():

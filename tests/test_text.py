@@ -1,13 +1,17 @@
 import random
 import re
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kgloom.functions import chunking as K
 from kgloom.functions import language as L
 from kgloom.functions import text as T
 from kgloom.functions.matching import close_strings
+from kgloom.functions.places import window_places
 
 SPACE = "[\t-\r\x1c- \x85\xa0  -     　]+"
 
@@ -113,6 +117,57 @@ def test_sliding_chunks_match_plain_python(spark, rows, texts):
         K.sliding_chunks(df, 10, 9)
 
 
+def plain_places(text, size, step):
+    words, out, at = text.split(), [], 0
+    for s in range(0, len(words), step):
+        p = text.find(" ".join(words[s:s + size]), at)
+        out.append(p + 1)
+        at = max(0, p)
+    return out
+
+
+@given(st.lists(st.sampled_from(["a", "b", "ab", "a ", " ", " b ", "\n", "\u3000", "é ", "\U0001f600 "]), max_size=90).map("".join), st.integers(1, 8), st.integers(1, 8))
+@settings(max_examples=400, deadline=None)
+def test_window_places_are_first_occurrences(text, size, step):
+    assert window_places(text, size, step) == plain_places(text, size, step)
+
+
+def test_places_of_a_very_long_text_take_linear_time():
+    rnd = random.Random(7)
+
+    def seconds(n):
+        text = " ".join(f"w{rnd.randrange(50000)}" + "\n" * (i % 700 == 0) for i in range(n))
+        start = time.perf_counter()
+        assert sum(p > 0 for p in window_places(text, 769, 692)) < 5
+        return time.perf_counter() - start
+    small = min(seconds(100_000) for _ in range(3))
+    # a search from the front takes 100 times as long
+    assert seconds(1_000_000) < 40 * small
+
+
+def test_long_texts_have_the_same_offsets(spark, rows, texts, monkeypatch):
+    df = spark.createDataFrame([*enumerate(texts), (99, "x y  z " * 200)], "id int, raw_text string")
+    cols = ["document_id", "chunk_index", "start_char", "end_char"]
+    fold = rows(K.sliding_chunks(df.filter("id < 99"), 13, 3), *cols)
+    monkeypatch.setattr(K, "LONG_TEXT", 0)
+    assert rows(K.sliding_chunks(df.filter("id < 99"), 13, 3), *cols) == fold
+    got = rows(K.sliding_chunks(df.filter("id = 99"), 13, 3), *cols)
+    assert got == sorted(((99, i, a, e) for i, _, _, a, e in plain_windows("x y  z " * 200, 13, 3)), key=repr)
+
+
+def test_chunkers_as_table_functions(spark, rows, texts):
+    K.register_chunk_functions(spark)
+    df = spark.createDataFrame([*enumerate(texts), (98, None), (99, "x y z " * 300)], "id int, raw_text string")
+    df.createOrReplaceTempView("texts_to_cut")
+    for a, b in [(20, 5), (13, 3), (40, 0)]:
+        assert rows(spark.sql(f"select d.id, c.* from texts_to_cut d, lateral kg_sliding_chunks(d.raw_text, {a}, {b}) c")) == rows(K.sliding_chunks(df, a, b))
+    for budget in (1, 4, 10, 1000):
+        assert rows(spark.sql(f"select d.id, c.* from texts_to_cut d, lateral kg_sentence_chunks(d.raw_text, {budget}) c")) == rows(K.sentence_chunks(df, budget))
+    assert [tuple(r) for r in spark.sql("select text, start_char from kg_sentence_chunks('A b. C d.', 1)").collect()] == [("A b.", 0), ("C d.", 5)]
+    with pytest.raises(Exception, match="at least 2 tokens"):
+        spark.sql("select * from kg_sliding_chunks('a b c', 10, 9)").collect()
+
+
 def test_sentence_chunks_match_plain_python(spark, rows, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, raw_text string")
     for budget in (1, 4, 10, 1000):
@@ -155,6 +210,7 @@ def test_sql_fences_equal_column(spark):
     cases = ["abc ```x``` ", "```json\n{}\n```", "```x```", " ```\na```b\n``` ", "", "plain", "```"]
     df = spark.createDataFrame([(c,) for c in cases], "x string")
     assert [r[0] for r in df.selectExpr("kg_strip_fences(x)").collect()] == [r[0] for r in df.select(T.strip_fences("x")).collect()]
+    assert [r[0] for r in df.selectExpr("kg_strip_json_fences(x)").collect()] == [r[0] for r in df.select(T.strip_json_fences("x")).collect()]
 
 
 def test_json_keeps_null_fields(spark):
