@@ -1,5 +1,6 @@
 """Table maintenance: deletes, upserts, paging and graph export."""
-from pyspark.sql import DataFrame
+from py4j.java_gateway import JavaObject
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.session import page
@@ -35,6 +36,78 @@ def replace_by_key(existing: DataFrame, incoming: DataFrame, key="document_id")
     return existing.join(incoming.select(keys).distinct(), keys, "left_anti").unionByName(incoming)
 
 
+# column that holds the bucket of a row's key in stored tables
+BUCKET = "key_bucket"
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def _put_in_place(spark: SparkSession, path: str, pending: str) -> None:
+    """Overwrites the buckets that occur in the finished pending rows, then drops these."""
+    rows = spark.read.parquet(pending)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    files, where = _file_system(spark, pending)
+    files.delete(where, True)
+
+
+def write_by_key(incoming: DataFrame, path: str, key="document_id", buckets: int = 256) -> None:
+    """``replace_by_key`` on a stored table: only buckets that hold a key of ``incoming`` are rewritten.
+
+    The table is parquet under ``path``, partitioned by a hash of the key into ``buckets``; the
+    number belongs to the table and must stay. Other buckets are neither read nor written. A NULL key is a key like any
+    other, so a repeated call changes nothing. Empty input changes nothing, but makes the empty table if there is none.
+
+    New buckets are first written whole beside the table. If a call is broken off while they
+    are put in place, the next call (or ``finish_write``) does that first, so no row is lost.
+    One writer at a time.
+    """
+    spark = incoming.sparkSession
+    path = path.rstrip("/")
+    finish_write(spark, path)
+    keys = [key] if isinstance(key, str) else list(key)
+    placed = incoming.withColumn(BUCKET, F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int"))
+    if not _exists(spark, path):
+        if incoming.isEmpty():
+            placed.limit(0).write.parquet(path)
+            return
+        fresh = placed
+    else:
+        # at most ``buckets`` numbers
+        touched = [r[0] for r in placed.select(BUCKET).distinct().collect()]
+        if not touched:
+            return
+        stored = spark.read.schema(placed.schema).parquet(path).filter(F.col(BUCKET).isin(touched))
+        new_keys = placed.select(BUCKET, *[F.col(k).alias(f"_new_{k}") for k in keys]).distinct().withColumnRenamed(BUCKET, "_new_bucket")
+        same = F.col(BUCKET) == F.col("_new_bucket")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_new_{k}"))
+        fresh = stored.join(new_keys, same, "left_anti").unionByName(placed)
+    # rows of a bucket come together, a crowded bucket is spread over several tasks
+    fresh.hint("rebalance", BUCKET).write.mode("overwrite").parquet(f"{path}_pending")
+    _put_in_place(spark, path, f"{path}_pending")
+
+
+def finish_write(spark: SparkSession, path: str) -> bool:
+    """Ends a ``write_by_key`` that was broken off after its rows were written; False if there was none."""
+    pending = f"{path.rstrip('/')}_pending"
+    if not _exists(spark, f"{pending}/_SUCCESS"):
+        return False
+    _put_in_place(spark, path.rstrip("/"), pending)
+    return True
+
+
+def read_by_key(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
+
+
 def append_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Plain append; re-running a document duplicates its rows."""
     return existing.unionByName(incoming, allowMissingColumns=True)

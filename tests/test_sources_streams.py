@@ -94,6 +94,46 @@ def test_run_stream_equals_batch(spark, rows, tmp_path):
     assert rows(SR.latest_status(spark.read.parquet(out)), *cols) == rows(SR.latest_status(SR.stream_run_status(df)), *cols)
 
 
+RUN_EVENT = "event_id long, run_id long, type string, step string, ts string, summary string, error string"
+
+
+def put_events(spark, src, data):
+    df = spark.createDataFrame([(*d, None, None) for d in data], RUN_EVENT).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.coalesce(1).write.mode("append").parquet(src)
+
+
+def test_silent_runs_are_told_by_timers(spark, rows, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+
+    def drain():
+        SR.watch_runs(SR.read_run_events(spark, src), out, ck, minutes=15, late="10 minutes").awaitTermination()
+        alerts = spark.read.schema(SR.ALERT_SCHEMA).parquet(out)
+        return rows(alerts.select("run_id", "current_step", F.date_format("last_ts", "HH:mm"), F.date_format("stuck_at", "HH:mm")))
+    put_events(spark, src, [(1, 1, "step_start", "a", "2024-01-01 00:00:00"), (2, 2, "step_start", "a", "2024-01-01 00:00:00"),
+                            (3, 2, "run_complete", None, "2024-01-01 00:01:00"), (4, 3, "step_complete", "a", "2024-01-01 00:02:00"), (5, None, "step_start", "a", "2024-01-01 00:02:00")])
+    assert drain() == []
+    # an older event of run 3 and a newer one of run 4: the clock of the stream is 00:20 now
+    put_events(spark, src, [(0, 3, "step_start", "a", "2024-01-01 00:01:30"), (6, 4, "step_start", "b", "2024-01-01 00:30:00")])
+    assert drain() == [(1, "a", "00:00", "00:15"), (3, None, "00:02", "00:17")]
+    # run 4 goes on and ends, run 1 comes back and falls silent again: told once more; run 3 is not repeated
+    put_events(spark, src, [(7, 4, "run_failed", None, "2024-01-01 00:40:00"), (8, 1, "step_start", "c", "2024-01-01 00:41:00"), (9, 5, "run_complete", None, "2024-01-01 02:00:00")])
+    assert drain() == [(1, "a", "00:00", "00:15"), (1, "c", "00:41", "00:56"), (3, None, "00:02", "00:17")]
+
+
+def test_wall_clock_tells_without_any_event(spark, tmp_path):
+    import time
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    put_events(spark, src, [(1, 1, "step_start", "a", "2024-01-01 00:00:00"), (2, 2, "run_complete", None, "2024-01-01 00:00:00")])
+    stream = SR.watch_runs(SR.read_run_events(spark, src), out, ck, available_now=False, minutes=1 / 60, wall_clock=True)
+    try:
+        end = time.monotonic() + 60
+        while time.monotonic() < end and spark.read.schema(SR.ALERT_SCHEMA).option("recursiveFileLookup", True).parquet(str(tmp_path / "out")).isEmpty():
+            time.sleep(1)
+        assert [r.run_id for r in spark.read.schema(SR.ALERT_SCHEMA).parquet(out).collect()] == [1]
+    finally:
+        stream.stop()
+
+
 def test_corpus_build(spark, rows, tmp_path):
     docs = spark.createDataFrame([("1", "a", "today acme uses kubernetes"), ("2", "b", "nothing here"), ("3", "c", None)], "id string, filename string, raw_text string")
     cues = spark.createDataFrame([("uses", "USES", "Company", "Technology", 0.7)], "cue string, relationship_type string, source_type string, target_type string, confidence double")
@@ -140,3 +180,60 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
     frame = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d)))
     with pytest.raises(RuntimeError):
         session.cut_lineage(frame)
+
+
+def stored_files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_replace_by_key_rewrites_touched_buckets_only(spark, rows, tmp_path):
+    from kgloom.sources import tables
+    path, schema = tmp_path / "chunks", "document_id string, chunk_index int, text string"
+    first = spark.createDataFrame([(f"d{i}", k, f"old {k}") for i in range(40) for k in range(3)] + [(None, 0, "no id")], schema)
+    tables.write_by_key(first, str(path), buckets=16)
+    assert rows(tables.read_by_key(spark, str(path))) == rows(first)
+    before = stored_files(path)
+    again = spark.createDataFrame([("d3", 0, "new"), ("d99", 0, "added"), (None, 5, "other")], schema)
+    tables.write_by_key(again, str(path), buckets=16)
+    want = rows(tables.replace_by_key(first.filter("document_id is not null"), again))
+    assert rows(tables.read_by_key(spark, str(path))) == want
+    after = stored_files(path)
+    kept = {n for n in before if after.get(n) == before[n]}
+    buckets = [r.key_bucket for r in spark.read.parquet(str(path)).filter("text in ('new', 'added', 'other')").select("key_bucket").distinct().collect()]
+    assert {n.split("/")[0] for n in before if n not in kept} <= {f"key_bucket={b}" for b in buckets}
+    assert len(buckets) <= 3 and len({n.split("/")[0] for n in kept}) >= 10
+    # a repeated call changes no row, an empty one no file
+    tables.write_by_key(again, str(path), buckets=16)
+    assert rows(tables.read_by_key(spark, str(path))) == want
+    last = stored_files(path)
+    tables.write_by_key(again.limit(0), str(path), buckets=16)
+    assert stored_files(path) == last
+
+
+def test_broken_replacement_is_finished(spark, rows, tmp_path, monkeypatch):
+    from kgloom.sources import tables
+    path, schema = tmp_path / "t", "document_id long, v string"
+    tables.write_by_key(spark.createDataFrame([(i, "old") for i in range(20)], schema), str(path), buckets=4)
+    monkeypatch.setattr(tables, "_put_in_place", lambda *a: 1 / 0)
+    try:
+        tables.write_by_key(spark.createDataFrame([(1, "new")], schema), str(path), buckets=4)
+    except ZeroDivisionError:
+        pass
+    monkeypatch.undo()
+    # part of the buckets is gone already, as when the driver is lost between delete and rename
+    gone = spark.read.parquet(str(path)).filter("document_id = 1").first().key_bucket
+    import shutil
+    shutil.rmtree(path / f"key_bucket={gone}")
+    assert tables.finish_write(spark, str(path)) and not tables.finish_write(spark, str(path))
+    assert rows(tables.read_by_key(spark, str(path)), "document_id", "v") == sorted([(i, "new" if i == 1 else "old") for i in range(20)], key=repr)
+
+
+def test_rows_of_one_hot_key_are_replaced(spark, tmp_path):
+    from kgloom.sources import tables
+    path = str(tmp_path / "hot")
+    many = spark.range(30000).select(F.lit("hot").alias("document_id"), F.col("id").alias("v"))
+    tables.write_by_key(many, path)
+    tables.write_by_key(many.filter("v < 10"), path)
+    assert tables.read_by_key(spark, path).count() == 10
+    tables.write_by_key(many.limit(0), str(tmp_path / "empty"))
+    assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
