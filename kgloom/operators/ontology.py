@@ -154,11 +154,42 @@ def derive_ontology(e: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame, D
     return classes, attrs, rels
 
 
+def _with_attributes(classes: DataFrame, attrs: DataFrame) -> DataFrame:
+    per_class = attrs.groupBy("class_name").agg(F.array_sort(F.collect_list(F.struct(F.col("attribute").alias("name"), F.col("value_type").alias("type")))).alias("attributes"))
+    return classes.join(per_class, classes["name"] == per_class["class_name"], "left").select("name", "attributes")
+
+
+def _pieces(rows: DataFrame, order: list[str], per_part: int) -> DataFrame:
+    """piece (from 0), text: the rows as comma-separated JSON objects in the given order, ``per_part`` of them per piece."""
+    numbered = number_within(rows.select(*order, F.to_json(F.struct(*rows.columns)).alias("_json")), [], order, "_n")
+    item = F.struct("_n", F.concat(F.when(F.col("_n") > 1, ",").otherwise(""), "_json").alias("t"))
+    return (numbered.groupBy(F.floor((F.col("_n") - 1) / per_part).alias("piece"))
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "").alias("text")))
+
+
+def ontology_parts(e: DataFrame, r: DataFrame, domain_hint: str | None = None, per_part: int = 1000) -> DataFrame:
+    """part (gapless from 0), text: the document of ``ontology_document`` cut into ranges; in order of part the texts make it whole.
+
+    Classes and relationships are range-partitioned and numbered, so no task holds more than ``per_part`` of them at once.
+    """
+    classes, attrs, rels = derive_ontology(e, r)
+    cls = cut_lineage(_pieces(_with_attributes(classes, attrs), ["name"], per_part))
+    triple = ["source_class", "predicate", "target_class"]
+    rel = cut_lineage(_pieces(rels.select(triple), triple, per_part))
+    n_cls, n_rel = (d.agg(F.count(F.lit(1))).scalar() for d in (cls, rel))
+    domain = F.to_json(F.struct(F.lit(domain_hint or "derived").alias("domain")))
+    frame = F.array(F.struct(F.lit(0).cast("bigint").alias("part"), F.concat(F.substr(domain, F.lit(1), F.length(domain) - 1), F.lit(',"classes":[')).alias("text")),
+                    F.struct((n_cls + 1).alias("part"), F.lit('],"relationships":[').alias("text")),
+                    F.struct((n_cls + n_rel + 2).alias("part"), F.lit("]}").alias("text")))
+    fixed = e.sparkSession.range(1).select(F.explode(frame).alias("f")).select("f.*")
+    return (fixed.unionByName(cls.select((F.col("piece") + 1).alias("part"), "text"))
+            .unionByName(rel.select((F.col("piece") + n_cls + 2).alias("part"), "text")))
+
+
 def ontology_document(e: DataFrame, r: DataFrame, domain_hint: str | None = None) -> DataFrame:
-    """The derived ontology as one JSON document with its class and relationship counts."""
+    """The derived ontology as one JSON document with its class and relationship counts; ``ontology_parts`` where it may not fit a row."""
     classes, attrs, rels = derive_ontology(e, r)
-    per_class = attrs.groupBy("class_name").agg(F.array_sort(F.collect_list(F.struct(F.col("attribute").alias("name"), F.col("value_type").alias("type")))).alias("attributes"))
-    rows = classes.join(per_class, classes["name"] == per_class["class_name"], "left").select(F.struct("name", "attributes").alias("c"))
+    rows = _with_attributes(classes, attrs).select(F.struct("name", "attributes").alias("c"))
     cls = rows.agg(F.array_sort(F.collect_list("c")).alias("classes")).withColumn("_k", F.lit(1))
     rel = rels.agg(F.array_sort(F.collect_list(F.struct("source_class", "predicate", "target_class"))).alias("relationships")).withColumn("_k", F.lit(1))
     return cls.join(rel, "_k").select(

@@ -158,6 +158,21 @@ def _(spark, sf):
             .unionByName(r.select(F.lit("relationship").alias("kind"), F.col("source_class").alias("a"), F.col("predicate").alias("b"), F.col("target_class").alias("c"), "cnt")))
 
 
+@query("ontology_parts", with_ctes(STAR, body=""",
+att as (select * from (values ('Company','segment','string'), ('Product','brand','string'), ('Product','price','float'), ('Product','type','string'), ('Contract','priority','string'), ('Contract','status','string')) x(t,k,v)),
+cls as (select name, row_number() over (order by name) as n, '{"name":"'||name||'"'||coalesce(',"attributes":['||(select string_agg('{"name":"'||k||'","type":"'||v||'"}', ',' order by k) from att where t=name)||']','')||'}' as j
+  from (select distinct entity_type as name from star_e)),
+rel as (select row_number() over (order by a, p, b) as n, '{"source_class":"'||a||'","predicate":"'||p||'","target_class":"'||b||'"}' as j
+  from (select distinct s.entity_type as a, type as p, t.entity_type as b from star_r join star_e s on s.id=src join star_e t on t.id=tgt)),
+cp as (select (n-1)//3 as piece, string_agg(case when n>1 then ',' else '' end||j, '' order by n) as text from cls group by 1),
+rp as (select (n-1)//3 as piece, string_agg(case when n>1 then ',' else '' end||j, '' order by n) as text from rel group by 1)
+select 0::bigint as part, '{"domain":"trade","classes":[' as text union all select (piece+1)::bigint, text from cp
+union all select (select count(*) from cp)::bigint+1, '],"relationships":[' union all select (piece+2+(select count(*) from cp))::bigint, text from rp
+union all select (select count(*) from cp)::bigint+(select count(*) from rp)+2, ']}'"""))
+def _(spark, sf):
+    return O.ontology_parts(N.star_entities(spark, sf), N.star_relationships(spark, sf), "trade", per_part=3)
+
+
 @query("ontology_derived_counts", with_ctes(STAR, body="""select count(distinct entity_type)::int as classes_count,
  (select count(*) from (select distinct s.entity_type, type, t.entity_type from star_r join star_e s on s.id=src join star_e t on t.id=tgt))::int as relationships_count from star_e"""))
 def _(spark, sf):

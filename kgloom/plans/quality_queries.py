@@ -87,7 +87,7 @@ def _issue_inputs(spark, sf):
     return e, X.relationship_rows(N.mention_relationships(spark, sf), e)
 
 
-def _old_issues(spark, sf):
+def old_issues(spark, sf):
     """Earlier issues, one per error event: open, resolved and dismissed ones."""
     ev = N.table(spark, sf, "events").filter("event_type = 'error'")
     status = F.element_at(F.array(*[F.lit(s) for s in ("open", "resolved", "dismissed")]), (F.col("event_id") % 3 + 1).cast("int"))
@@ -109,7 +109,7 @@ select issue_type, severity, entity_id, relationship_id, document_id, descriptio
 union all select issue_type, severity, entity_id, relationship_id, document_id, description, 'open' from found"""))
 def _(spark, sf):
     e, r = _issue_inputs(spark, sf)
-    return Q.detect_issues(e, r, _old_issues(spark, sf), 0.5, NOW).select("issue_type", "severity", "entity_id", "relationship_id", "document_id", "description", "status")
+    return Q.detect_issues(e, r, old_issues(spark, sf), 0.5, NOW).select("issue_type", "severity", "entity_id", "relationship_id", "document_id", "description", "status")
 
 
 @query("quality_issue_details", with_ctes(MENTION + ISSUES, body="""
@@ -122,7 +122,7 @@ def _(spark, sf):
 
 @query("quality_issue_listing", with_ctes(OLD_ISSUES.strip(",\n"), body=" select id, issue_type, severity, document_id, status, detected_at, k from old where status='resolved' and severity='info' order by detected_at desc, id"))
 def _(spark, sf):
-    out = Q.list_issues(_old_issues(spark, sf), "resolved", severity="info")
+    out = Q.list_issues(old_issues(spark, sf), "resolved", severity="info")
     return out.withColumn("k", F.try_element_at("detail", F.lit("k"))).select("id", "issue_type", "severity", "document_id", "status", "detected_at", "k")
 
 
@@ -341,7 +341,7 @@ def _(spark, sf):
         ((select count(*) from men_e)-(select count(*) from kept)+(select count_if({RECASE}<>entity_type) from kept))::bigint as auto_corrections_applied from m"""))
 def _(spark, sf):
     e, r = _issue_inputs(spark, sf)
-    return Q.analyze(e, r, O.default_classes(spark), versions_table(spark, sf), _old_issues(spark, sf), _old_proposals(spark, sf), None, None, NOW, correct=True)[0]
+    return Q.analyze(e, r, O.default_classes(spark), versions_table(spark, sf), old_issues(spark, sf), _old_proposals(spark, sf), None, None, NOW, correct=True)[0]
 
 
 @query("quality_confidence_by_type", with_ctes(BOTH, body="select entity_type, count(*) as cnt, round(avg(confidence),6) as mean_confidence from all_e group by 1"))

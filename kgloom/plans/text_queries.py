@@ -1,4 +1,6 @@
 """Queries over text preparation, document sources and table maintenance."""
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from kgloom import vocab as V
@@ -9,6 +11,7 @@ from kgloom.functions.arrays import explode_rows
 from kgloom.operators import graph as G
 from kgloom.plans import lenses as N
 from kgloom.plans.lenses import SPACES, STAR, MENTION, TEXT, sql_strip, sql_words, with_ctes
+from kgloom.plans.quality_queries import OLD_ISSUES, VERSIONS, old_issues, versions_table
 from kgloom.plans.registry import query
 from kgloom.sources import documents as D
 from kgloom.sources import tables as S
@@ -294,22 +297,29 @@ def _(spark, sf):
 
 # -- table maintenance -----------------------------------------------------
 
-@query("tables_cascade_delete", with_ctes(TEXT, sql_sliding("docs", "id", "raw_text", 1000, 100), body="""
-select 'documents' as table_name, id, id as document_id from docs where id not in (select doc_id from labels where toxic=1)
-union all
-select 'chunks', document_id*4294967296+chunk_index, document_id from chunks where document_id not in (select doc_id from labels where toxic=1)
-union all
-select 'runs', l.doc_id, case when l.toxic=1 then null else l.doc_id end from labels l"""))
+@query("tables_cascade_delete", with_ctes(TEXT, MENTION, VERSIONS, sql_sliding("docs", "'u:'||id", "raw_text", 1000, 100), OLD_ISSUES.strip(",\n"), body=""",
+gone as (select 'u:'||doc_id as d from labels where toxic=1 union select p_brand from part where p_brand like '%1')
+select 'documents' as table_name, 'u:'||id as id, 'u:'||id as document_id from docs where 'u:'||id not in (from gone)
+union all select 'chunks', document_id||'/'||chunk_index, document_id from chunks where document_id not in (from gone)
+union all select 'entities', id, document_id from men_e where document_id not in (from gone)
+union all select 'relationships', id, document_id from men_r where document_id not in (from gone)
+union all select 'ontology_versions', id, case when document_id not in (from gone) then document_id end from vers
+union all select 'runs', doc_id::varchar, case when 'u:'||doc_id not in (from gone) then 'u:'||doc_id end from labels
+union all select 'issues', id, case when document_id not in (from gone) then document_id end from old"""))
 def _(spark, sf):
-    labels = N.table(spark, sf, "labels")
-    docs = N.text_documents(spark, sf)
-    gone = labels.filter("toxic = 1").select(F.col("doc_id").alias("document_id"))
+    labels, part = N.table(spark, sf, "labels"), N.table(spark, sf, "part")
+    docs = N.text_documents(spark, sf).withColumn("id", F.concat(F.lit("u:"), "id"))
+    gone = labels.filter("toxic = 1").select(F.concat(F.lit("u:"), "doc_id").alias("document_id")).unionByName(
+        part.filter(F.endswith("p_brand", F.lit("1"))).select(F.col("p_brand").alias("document_id")))
     out = S.cascade_delete({
-        "documents": docs, "chunks": K.sliding_chunks(docs, offsets=False),
-        "runs": labels.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"))}, gone)
-    a = out["documents"].select(F.lit("documents").alias("table_name"), "id", F.col("id").alias("document_id"))
-    b = out["chunks"].select(F.lit("chunks").alias("table_name"), (F.col("document_id") * (1 << 32) + F.col("chunk_index")).alias("id"), "document_id")
-    return a.unionByName(b).unionByName(out["runs"].select(F.lit("runs").alias("table_name"), "id", "document_id"))
+        "documents": docs.withColumn("document_id", F.col("id")),
+        "chunks": K.sliding_chunks(docs, offsets=False).withColumn("id", F.concat_ws("/", "document_id", F.col("chunk_index").cast("string"))),
+        "entities": N.mention_entities(spark, sf), "relationships": N.mention_relationships(spark, sf),
+        "ontology_versions": versions_table(spark, sf),
+        "runs": labels.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("u:"), "doc_id").alias("document_id")),
+        "issues": old_issues(spark, sf)}, gone)
+    parts = [df.select(F.lit(name).alias("table_name"), "id", "document_id") for name, df in out.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("tables_replace_by_document", with_ctes(TEXT, sql_sliding("docs", "id", "raw_text", 1000, 100, "ca"),

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgloom.operators import graph as G
+from kgloom.operators import ontology as O
 from kgloom.operators import quality as Q
 from kgloom.operators import traversal as R
 from kgloom.operators import validation as C
@@ -243,3 +244,17 @@ def test_paths_from_both_ends_equal_search(spark, rows, depth):
     got = rows(R.shortest_paths(nodes, edges, spark.createDataFrame(pairs, "from_id string, to_id string"), depth))
     want = [(a, b, *found) for a, b in set(pairs) if a in ids and b in ids and (found := _all_paths(links, a, b, depth))]
     assert got == sorted(want, key=repr) and len(want) > 3
+
+
+def test_ontology_parts_make_the_document(spark):
+    schema = "id string, document_id string, entity_type string, name string, confidence double, attributes map<string,string>"
+    e = spark.createDataFrame([(f"e{i}", "d", f'T"{i % 7}é', f"n{i}", 0.5, {"age": str(i), "x\\y": "a"} if i % 2 else {}) for i in range(30)], schema)
+    r = spark.createDataFrame([(f"r{i}", "d", f"e{i}", f"e{(i * 5) % 30}", f"R{i % 4}", 0.5) for i in range(30)],
+                              "id string, document_id string, source_entity_id string, target_entity_id string, relationship_type string, confidence double")
+    whole = O.ontology_document(e, r, 'a "b"}').first().ontology_json
+    for per_part in (1, 3, 1000):
+        parts = O.ontology_parts(e, r, 'a "b"}', per_part).orderBy("part").collect()
+        assert [p.part for p in parts] == list(range(len(parts)))
+        assert "".join(p.text for p in parts) == whole
+    none = O.ontology_parts(e.limit(0), r.limit(0)).orderBy("part").collect()
+    assert "".join(p.text for p in none) == '{"domain":"derived","classes":[],"relationships":[]}'
