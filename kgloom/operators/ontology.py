@@ -94,21 +94,26 @@ def class_patterns(e: DataFrame, r: DataFrame) -> DataFrame:
     """
     ids = e.select("id", "entity_type")
     named = "source_entity_name" in r.columns
-    rows = r.select("id", "relationship_type", "source_entity_id", "target_entity_id",
-                    *(["source_entity_name", "target_entity_name"] if named else []))
-    for side in ("source", "target"):
+    # the side that was joined last is still dealt out by its ids
+    sides, rows = ("target", "source"), r
+    for side in sides:
         rows = rows.join(ids.select(F.col("id").alias(f"{side}_entity_id"), F.nullif("entity_type", F.lit("")).alias(f"{side}_type")),
                          f"{side}_entity_id", "left")
-        if named:
-            by_name = e.groupBy(F.col("name").alias("_n")).agg(F.max_by("entity_type", "pos").alias("_t"))
+    keys = ["source_type", "relationship_type", "target_type"]
+    if named:
+        # typed ends need no name: relationships are counted before the names of the rest are looked up
+        names = [F.when(F.col(f"{s}_type").isNull(), F.col(f"{s}_entity_name")).alias(f"{s}_name") for s in sides]
+        rows = rows.select(*keys, *names).groupBy(*keys, *[f"{s}_name" for s in sides]).agg(F.count(F.lit(1)).alias("n"))
+        by_name = e.groupBy(F.col("name").alias("_n")).agg(F.max_by("entity_type", "pos").alias("_t"))
+        for side in sides:
             # rows already typed get keys that match nothing and are spread evenly
-            key = F.when(F.col(f"{side}_type").isNull(), F.col(f"{side}_entity_name")).otherwise(
-                F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("id"), F.lit(4096)).cast("string")))
-            rows = rows.withColumn("_n", key).join(by_name, "_n", "left").withColumn(
-                f"{side}_type", F.coalesce(f"{side}_type", "_t")).drop("_n", "_t")
+            key = F.coalesce(f"{side}_name", F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*keys, "source_name", "target_name"), F.lit(4096)).cast("string")))
+            rows = rows.withColumn("_n", key).join(by_name, "_n", "left").withColumn(f"{side}_type", F.coalesce(f"{side}_type", "_t")).drop("_n", "_t")
+    else:
+        rows = rows.withColumn("n", F.lit(1))
     typed = rows.select(F.coalesce("source_type", F.lit("Unknown")).alias("source_type"), "relationship_type",
-                        F.coalesce("target_type", F.lit("Unknown")).alias("target_type"))
-    return (typed.groupBy("source_type", "relationship_type", "target_type").agg(F.count(F.lit(1)).alias("cnt"))
+                        F.coalesce("target_type", F.lit("Unknown")).alias("target_type"), "n")
+    return (typed.groupBy(*keys).agg(F.sum("n").cast("bigint").alias("cnt"))
             .orderBy(F.col("cnt").desc(), "source_type", "relationship_type", "target_type"))
 
 

@@ -258,3 +258,14 @@ def test_ontology_parts_make_the_document(spark):
         assert "".join(p.text for p in parts) == whole
     none = O.ontology_parts(e.limit(0), r.limit(0)).orderBy("part").collect()
     assert "".join(p.text for p in none) == '{"domain":"derived","classes":[],"relationships":[]}'
+
+
+def test_patterns_are_counted_before_names_are_looked_up(spark, rows):
+    from kgloom.operators import ontology as O
+    e = spark.createDataFrame([("a", "A", "X", 1), ("b", "B", "", 2), ("c", "B", "Y", 3)], "id string, name string, entity_type string, pos int")
+    r = spark.createDataFrame([("1", "a", "b", "R", "A", "B"), ("2", "a", "z", "R", "A", "z"), ("3", "y", "c", "R", "B", "B"), ("4", "y", None, "R", None, None)],
+                              "id string, source_entity_id string, target_entity_id string, relationship_type string, source_entity_name string, target_entity_name string")
+    got = O.class_patterns(e, r)
+    assert rows(got) == sorted([("X", "R", "Y", 1), ("X", "R", "Unknown", 1), ("Y", "R", "Y", 1), ("Unknown", "R", "Unknown", 1)], key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("count(1)") > plan.index("_n#")
