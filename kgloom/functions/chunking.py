@@ -45,18 +45,21 @@ def sliding_chunks(df: DataFrame, max_tokens: int = V.EMBED_WINDOW[0], overlap:
     # blank documents get a NULL array, which gives no rows below
     starts = F.when(F.size("_w") > 0, F.sequence(F.lit(1), F.size("_w"), F.lit(step)))
     base = base.withColumn("_c", F.transform(starts, lambda s: F.array_join(F.slice("_w", s, per_chunk), " ")))
+    # the words of a window are counted by its place, so its text is not split again
+    size, first = F.size("_w"), F.col("chunk_index") * step
+    tokens = T.tokens_of(F.least(F.lit(per_chunk), F.col("_size") - first)).alias("token_count")
     if offsets:
         long_text = F.when(F.size("_c") > LONG_TEXT, F.col("_t"))
         base = base.withColumn("_p", _window_places(long_text, F.lit(per_chunk), F.lit(step)))
         found = F.coalesce("_p", F.expr(_FOLD_PLACES.format(c="_c", t="_t")))
-        base = explode_rows(base, ["document_id"], F.arrays_zip(F.col("_c").alias("text"), found.alias("at")), "_z", "chunk_index")
+        base = explode_rows(base, ["document_id", size.alias("_size")], F.arrays_zip(F.col("_c").alias("text"), found.alias("at")), "_z", "chunk_index")
         at, body = F.col("_z.at"), F.col("_z.text")
         return base.select(
-            "document_id", "chunk_index", body.alias("text"), T.count_tokens(body).alias("token_count"),
+            "document_id", "chunk_index", body.alias("text"), tokens,
             F.greatest(at - 1, F.lit(0)).alias("start_char"),
             F.when(at > 0, at - 1 + F.length(body)).otherwise(0).alias("end_char"))
-    base = explode_rows(base, ["document_id"], "_c", "text", "chunk_index")
-    return base.select("document_id", "chunk_index", "text", T.count_tokens("text").alias("token_count"))
+    base = explode_rows(base, ["document_id", size.alias("_size")], "_c", "text", "chunk_index")
+    return base.select("document_id", "chunk_index", "text", tokens)
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

@@ -230,3 +230,11 @@ def test_character_references(spark):
              "&#128512;&apos;": "\U0001f600'"}
     df = spark.createDataFrame([(c,) for c in cases], "x string")
     assert [r[0] for r in df.select(T.unescape_entities("x")).collect()] == list(cases.values())
+
+
+def test_chunks_count_their_words_without_splitting_their_texts(spark, rows):
+    docs = spark.createDataFrame([(1, " a b \n" * 700), (2, "x " * 461), (3, ""), (4, None), (5, "one")], "id int, raw_text string")
+    for offsets in (True, False):
+        got = K.sliding_chunks(docs, 600, 50, offsets=offsets)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+        assert got.filter(got.token_count != T.count_tokens("text")).isEmpty() and got.count() > 4
