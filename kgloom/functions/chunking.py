@@ -7,7 +7,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from kgloom import vocab as V
 from kgloom.functions import text as T
-from kgloom.functions.arrays import explode_rows
+from kgloom.functions.arrays import bound_rows, explode_rows
 from kgloom.functions.places import window_places
 
 # in texts with more windows than this, places come from an index over the words
@@ -41,7 +41,7 @@ def sliding_chunks(df: DataFrame, max_tokens: int = V.EMBED_WINDOW[0], overlap:
     by built-in functions, in long texts by ``window_places``, whose time is linear.
     """
     per_chunk, step = window_sizes(max_tokens, overlap)
-    base = df.select(F.col(id_col).alias("document_id"), F.col(text_col).alias("_t"), T.words(text_col).alias("_w"))
+    base = bound_rows(df, [F.col(id_col).alias("document_id")], F.col(text_col), lambda t: F.struct(t.alias("_t"), T.words(t).alias("_w"))).select("document_id", "_b.*")
     # blank documents get a NULL array, which gives no rows below
     starts = F.when(F.size("_w") > 0, F.sequence(F.lit(1), F.size("_w"), F.lit(step)))
     base = base.withColumn("_c", F.transform(starts, lambda s: F.array_join(F.slice("_w", s, per_chunk), " ")))
@@ -49,7 +49,7 @@ def sliding_chunks(df: DataFrame, max_tokens: int = V.EMBED_WINDOW[0], overlap:
     size, first = F.size("_w"), F.col("chunk_index") * step
     tokens = T.tokens_of(F.least(F.lit(per_chunk), F.col("_size") - first)).alias("token_count")
     if offsets:
-        long_text = F.when(F.size("_c") > LONG_TEXT, F.col("_t"))
+        long_text = F.when(F.size("_w") > LONG_TEXT * step, F.col("_t"))
         base = base.withColumn("_p", _window_places(long_text, F.lit(per_chunk), F.lit(step)))
         found = F.coalesce("_p", F.expr(_FOLD_PLACES.format(c="_c", t="_t")))
         base = explode_rows(base, ["document_id", size.alias("_size")], F.arrays_zip(F.col("_c").alias("text"), found.alias("at")), "_z", "chunk_index")
@@ -88,8 +88,8 @@ _FOLD_GROUP_PLACES = ("aggregate(_g, cast(array() as array<struct<s:int,e:int>>)
 def sentence_chunks(df: DataFrame, max_tokens: int = V.EMBED_WINDOW[0], id_col: str = "id",
                     text_col: str = "raw_text", offsets: bool = True) -> DataFrame:
     """Whole sentences grouped greedily up to ``max_tokens``; a longer sentence stands alone."""
-    base = df.select(F.col(id_col).alias("document_id"), F.col(text_col).alias("_t"), T.sentences(text_col).alias("_s"))
-    base = base.withColumn("_n", F.transform("_s", T.count_tokens))
+    base = bound_rows(df, [F.col(id_col).alias("document_id")], F.col(text_col), lambda t: F.struct(t.alias("_t"), T.sentences(t).alias("_s")),
+                      lambda b: F.struct(b["_t"], b["_s"], F.transform(b["_s"], T.count_tokens).alias("_n"))).select("document_id", "_b.*")
     base = base.withColumn("_e", _group_ends("_n", F.lit(max_tokens)))
     base = base.withColumn("_g", F.expr(_GROUPS))
     if not offsets:

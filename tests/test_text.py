@@ -238,3 +238,12 @@ def test_chunks_count_their_words_without_splitting_their_texts(spark, rows):
         got = K.sliding_chunks(docs, 600, 50, offsets=offsets)
         assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
         assert got.filter(got.token_count != T.count_tokens("text")).isEmpty() and got.count() > 4
+
+
+def test_cleaning_is_written_out_once_below_the_windows(spark, capsys):
+    docs = spark.createDataFrame([(1, "a  b\tc ∑"), (2, None)], "id long, raw_text string").withColumn("raw_text", T.clean_text("raw_text"))
+    for chunks in (K.sliding_chunks(docs, 1000, 100), K.sentence_chunks(docs, 1000)):
+        assert chunks.select("document_id", "text").collect() == [(1, "a b c ∑")]
+        chunks.explain("formatted")
+        # each pattern stands in the plan once, not inside the function of every window
+        assert capsys.readouterr().out.count("-{3,}") == 1
