@@ -188,3 +188,12 @@ def test_visible_names_by_substrings_null_documents_and_repeated_keys(spark, row
         seen = [(e, n) for e, doc, n, _, _ in entities if doc == d and n and n.lower() in text.lower()]
         want += [(d, c, e, n, len(seen)) for e, n in seen] if len(seen) >= 2 else []
     assert rows(X.visible_entities(chunks, frame), "document_id", "chunk_index", "entity_id", "name", "chunk_names") == sorted(want, key=repr) and len(want) == 8
+
+
+def test_an_answer_is_read_once(spark, capsys):
+    resp = spark.createDataFrame([(1, 0, '{"entities":[]}'), (2, 0, "{"), (3, 0, None)], "document_id long, chunk_index int, response string")
+    ok, broken = X.parse_responses(resp, X.ENTITY_RESPONSE)
+    assert [r["document_id"] for r in ok.collect()] == [1] and sorted(r["document_id"] for r in broken.collect()) == [2, 3]
+    ok.explain("formatted")
+    # neither filter reads the answer again
+    assert capsys.readouterr().out.count("from_json(") == 1
