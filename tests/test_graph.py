@@ -269,3 +269,19 @@ def test_patterns_are_counted_before_names_are_looked_up(spark, rows):
     assert rows(got) == sorted([("X", "R", "Y", 1), ("X", "R", "Unknown", 1), ("Y", "R", "Y", 1), ("Unknown", "R", "Unknown", 1)], key=repr)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("count(1)") > plan.index("_n#")
+
+
+def test_edges_away_from_many_asked_nodes_are_not_shuffled(spark, rows, monkeypatch):
+    nodes = spark.createDataFrame([(f"n{i}", f"name {i}", "T" if i < 30 else "U", None, 1.0) for i in range(1000)],
+                                  "id string, name string, entity_type string, label string, confidence double")
+    edges = spark.createDataFrame([(f"e{i:04d}", f"n{i}", f"n{(i * 7) % 1000}", "R") for i in range(1000)] + [("a", "n1", "gone", "R"), ("b", None, "n1", "R")],
+                                  "id string, src string, tgt string, type string")
+    want = rows(G.touching_edges(edges, nodes, ["t"], None))
+    assert {r[0] for r in want} == {f"e{i:04d}" for i in range(1000) if i < 30 or (i * 7) % 1000 < 30}
+    first = rows(G.touching_edges(edges, nodes, ["t"], 5))
+    asked = nodes.filter("entity_type = 'T'").select(F.col("id").alias("end"))
+    near = G._may_be(edges.withColumn("end", F.col("src")), "end", G._bits(asked, "end"))
+    assert 30 <= near.filter("id like 'e%'").count() < 40 and near.filter("id = 'a'").count() == 1
+    # the same edges if the asked nodes are too many to be sent to every task
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 0)
+    assert rows(G.touching_edges(edges, nodes, ["t"], None)) == want and rows(G.touching_edges(edges, nodes, ["t"], 5)) == first
