@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.text import strip
 from kgloom.operators.traversal import connected_components
+from kgloom.session import broadcast_if_small, cut_lineage
 
 VIOLATION_COLUMNS = ["rule_id", "severity", "message", "node_id", "property_name", "document_id"]
 
@@ -69,27 +70,30 @@ def shape_violations(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> Da
     class (edges of type ``property`` must end in ``target_class``). The rules are
     few and joined by class.
     """
-    r = rules.select("rule_id", "kind", "target_class", F.col("property").alias("prop"), "argument")
+    # what a message says depends on its rule alone, so it is written once per rule
+    r = broadcast_if_small(cut_lineage(rules.select(
+        "rule_id", "kind", "target_class", F.col("property").alias("prop"), "argument",
+        F.when(F.col("kind") == "minCount", F.format_string("Required property '%s' is missing", "property"))
+        .when(F.col("kind") == "datatype", F.format_string("Property '%s' is not of type %s", "property", "argument"))
+        .when(F.col("kind") == "pattern", F.format_string("Property '%s' does not match %s", "property", "argument"))
+        .otherwise(F.format_string("Target of %s is not a %s", "property", "target_class")).alias("message"))))
     value = F.try_element_at("attributes", F.col("prop"))
     on_nodes = nodes.join(r.filter("kind in ('minCount', 'datatype', 'pattern')"), F.col("entity_type") == F.col("target_class")).withColumn("value", value)
     bad_type = (F.when(F.col("argument") == "integer", F.col("value").try_cast("bigint").isNull())
                 .when(F.col("argument") == "float", F.col("value").try_cast("double").isNull())
                 .when(F.col("argument") == "boolean", ~F.lower("value").isin("true", "false"))
                 .when(F.col("argument") == "date", F.col("value").try_cast("date").isNull()).otherwise(F.lit(False)))
-    verdict = (F.when((F.col("kind") == "minCount") & F.col("value").isNull(), F.format_string("Required property '%s' is missing", "prop"))
-               .when((F.col("kind") == "datatype") & F.col("value").isNotNull() & bad_type, F.format_string("Property '%s' is not of type %s", "prop", "argument"))
-               .when((F.col("kind") == "pattern") & F.col("value").isNotNull() & ~F.regexp_like("value", F.col("argument")),
-                     F.format_string("Property '%s' does not match %s", "prop", "argument")))
-    bad_nodes = on_nodes.withColumn("message", verdict).filter("message is not null").select(
-        "rule_id", F.when(F.col("kind") == "pattern", "warning").otherwise("error").alias("severity"), "message",
-        F.col("id").alias("node_id"), F.col("prop").alias("property_name"), F.col("document_id").cast("string").alias("document_id"))
-    # a node can carry several types; any of them will do
-    target = nodes.groupBy(F.col("id").alias("tgt")).agg(F.collect_set("entity_type").alias("actual"))
-    on_edges = edges.join(r.filter("kind = 'class'"), F.col("type") == F.col("prop")).join(target, "tgt", "left")
-    wrong = on_edges.filter(~F.coalesce(F.array_contains("actual", F.col("target_class")), F.lit(False))).select(
-        "rule_id", F.lit("warning").alias("severity"), F.format_string("Target of %s is not a %s", "prop", "target_class").alias("message"),
-        F.col("id").alias("node_id"), F.col("prop").alias("property_name"), F.col("document_id").cast("string").alias("document_id"))
-    return bad_nodes.unionByName(wrong)
+    broken = (F.when(F.col("kind") == "minCount", F.col("value").isNull())
+              .when(F.col("kind") == "datatype", F.col("value").isNotNull() & bad_type)
+              .otherwise(F.col("value").isNotNull() & ~F.regexp_like("value", F.col("argument"))))
+    shown = [F.col("id").alias("node_id"), F.col("prop").alias("property_name"), F.col("document_id").cast("string").alias("document_id")]
+    bad_nodes = on_nodes.filter(broken).select("rule_id", F.when(F.col("kind") == "pattern", "warning").otherwise("error").alias("severity"), "message", *shown)
+    # a node can carry several types; any of them will do. Only nodes of a wanted class meet the edges, and only edges under a rule are shuffled
+    classes = r.filter("kind = 'class'")
+    fitting = nodes.select(F.col("id").alias("_id"), F.col("entity_type").alias("_type")).join(classes.select(F.col("target_class").alias("_type")), "_type", "left_semi")
+    on_edges = edges.join(classes, F.col("type") == F.col("prop")).select("rule_id", "message", "target_class", "tgt", *shown)
+    lost = on_edges.join(fitting, (F.col("tgt") == F.col("_id")) & (F.col("target_class") == F.col("_type")), "left_anti")
+    return bad_nodes.unionByName(lost.select("rule_id", F.lit("warning").alias("severity"), "message", "node_id", "property_name", "document_id"))
 
 
 def contradicting_relations(r: DataFrame) -> DataFrame:

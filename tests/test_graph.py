@@ -204,6 +204,23 @@ def test_a_target_may_carry_several_types(spark):
     assert sorted(r.node_id for r in validation.shape_violations(nodes, edges, rules).collect()) == ["2", "3"]
 
 
+def test_few_rules_move_neither_nodes_nor_all_types(spark, rows, capsys):
+    nodes = spark.createDataFrame([("a", "Person", "d", {"k": "v"}), ("b", "Company", "d", {"k": "7"}), ("c", None, None, None)], "id string, entity_type string, document_id string, attributes map<string,string>")
+    edges = spark.createDataFrame([("1", "a", "b", "USES", "d"), ("2", "b", "a", "USES", None), ("3", "b", None, "USES", "d"), ("4", "a", "c", "OWNS", "d")],
+                                  "id string, src string, tgt string, type string, document_id string")
+    rules = spark.createDataFrame([("r", "class", "Company", "USES", None), ("n", "class", None, "OWNS", None), ("i", "datatype", "Person", "k", "integer"), ("m", "minCount", "Company", "x", None),
+                                   ("p", "pattern", "Company", "k", "^[a-z]$")], "rule_id string, kind string, target_class string, property string, argument string")
+    found = C.shape_violations(nodes, edges, rules)
+    assert rows(found, "rule_id", "severity", "message", "node_id", "document_id") == [
+        ("i", "error", "Property 'k' is not of type integer", "a", "d"), ("m", "error", "Required property 'x' is missing", "b", "d"),
+        ("n", "warning", "Target of OWNS is not a null", "4", "d"), ("p", "warning", "Property 'k' does not match ^[a-z]$", "b", "d"),
+        ("r", "warning", "Target of USES is not a Company", "2", None), ("r", "warning", "Target of USES is not a Company", "3", "d")]
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    # rules are sent to nodes and edges, and types of nodes are not gathered
+    assert "collect_set" not in plan and plan.count("BroadcastHashJoin Inner") >= 2
+
+
 def test_all_ancestors(spark):
     from kgloom.operators import ontology
     chain = [(f"c{i}", f"c{i + 1}") for i in range(8)] + [("x", "y"), ("y", "x"), ("top", None)]
