@@ -9,6 +9,7 @@ import re
 import unicodedata
 from array import array
 from heapq import heapify, heappop, heappush
+from string import punctuation
 from struct import pack
 
 import regex
@@ -171,6 +172,46 @@ class Encoder:
         return " ".join(map(self.strings.__getitem__, flat))
 
 
+# words of more bytes are merged with the queue
+SHORT_WORD = 48
+# no pair of symbols has this rank
+NO_RANK = 1 << 62
+
+
+class ShortWordEncoder(Encoder):
+    """The same ids for texts of many words that are met once: short words are merged without a queue."""
+
+    def merge(self, word: str) -> bytes:
+        """Ids of one pre-token: the leftmost of the adjacent pairs of least rank is merged until none is left."""
+        data = word.encode("utf-8")
+        if len(data) > SHORT_WORD:
+            return super().merge(word)
+        first, ranks, made_by = self.first, self.ranks, self.made_by
+        ids = [first[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        near = [ranks[a].get(b, NO_RANK) for a, b in zip(ids, ids[1:])]
+        while near and (least := min(near)) != NO_RANK:
+            at = near.index(least)
+            made = ids[at] = made_by[least]
+            del ids[at + 1], near[at]
+            if at:
+                near[at - 1] = ranks[ids[at - 1]].get(made, NO_RANK)
+            if at < len(near):
+                near[at] = ranks[made].get(ids[at + 1], NO_RANK)
+        return pack(f"<{len(ids)}I", *ids)
+
+    def piece_ids(self, piece: str) -> bytes:
+        """As in ``Encoder``; a word with any marks after it is not searched by the pattern either."""
+        if self.lower:
+            piece = lower_nfc(piece)
+            if piece.isalpha():
+                return self.words[piece]
+            word = piece.rstrip(punctuation)
+            if word.isalpha():
+                return self.words[word] + self.words[piece[len(word):]]
+        return b"".join([self.words[w] for w in self.find(piece)])
+
+
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _WHITE_RUN = re.compile(f"[{WHITE}]+")
 

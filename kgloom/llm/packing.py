@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from kgloom.llm.common import SharedEncoder, cut_lineage, no_cycle_collection, slices, tokenizer_path
+from kgloom.llm.merges import ShortWordEncoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -46,7 +47,7 @@ def _cut(shared: SharedEncoder, capacity: int):
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.get()
+        encoder = shared.get(ShortWordEncoder)
         with no_cycle_collection():
             for batch in batches:
                 for part in slices(batch, "text") if batch.num_rows else ():
