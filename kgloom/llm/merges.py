@@ -8,10 +8,14 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from string import punctuation
 from struct import pack
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # bytes of pre-tokens and of pieces that a task keeps; a full cache is emptied, so memory stays bounded for any corpus
@@ -172,44 +176,122 @@ class Encoder:
         return " ".join(map(self.strings.__getitem__, flat))
 
 
-# words of more bytes are merged with the queue
+# words of more bytes, and words of a length that few others have, are merged one by one
 SHORT_WORD = 48
+FEW_WORDS = 8
+# strings that are looked up at a time
+BLOCK = 1 << 19
 # no pair of symbols has this rank
-NO_RANK = 1 << 62
+NO_RANK = 1 << 30
 
 
-class ShortWordEncoder(Encoder):
-    """The same ids for texts of many words that are met once: short words are merged without a queue."""
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of every run, one run after the other."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(counts.sum())
 
-    def merge(self, word: str) -> bytes:
-        """Ids of one pre-token: the leftmost of the adjacent pairs of least rank is merged until none is left."""
-        data = word.encode("utf-8")
-        if len(data) > SHORT_WORD:
-            return super().merge(word)
-        first, ranks, made_by = self.first, self.ranks, self.made_by
-        ids = [first[b] for b in data]
-        ids[-1] = self.last[data[-1]]
-        near = [ranks[a].get(b, NO_RANK) for a, b in zip(ids, ids[1:])]
-        while near and (least := min(near)) != NO_RANK:
-            at = near.index(least)
-            made = ids[at] = made_by[least]
-            del ids[at + 1], near[at]
-            if at:
-                near[at - 1] = ranks[ids[at - 1]].get(made, NO_RANK)
-            if at < len(near):
-                near[at] = ranks[made].get(ids[at + 1], NO_RANK)
-        return pack(f"<{len(ids)}I", *ids)
 
-    def piece_ids(self, piece: str) -> bytes:
-        """As in ``Encoder``; a word with any marks after it is not searched by the pattern either."""
-        if self.lower:
-            piece = lower_nfc(piece)
-            if piece.isalpha():
-                return self.words[piece]
-            word = piece.rstrip(punctuation)
-            if word.isalpha():
-                return self.words[word] + self.words[piece[len(word):]]
-        return b"".join([self.words[w] for w in self.find(piece)])
+class BulkEncoder(Encoder):
+    """The same ids for many texts at a time: the distinct words of a block are merged together, as arrays, and nothing is kept between blocks."""
+
+    def __init__(self, tables: dict):
+        super().__init__(tables)
+        pairs = sorted((left, right, rank) for left, by_right in tables["ranks"].items() for right, rank in by_right.items())
+        left, right, rank = np.array(pairs, dtype=np.int64).reshape(-1, 3).T
+        # a last key that no pair has
+        self.keys, self.rank_of = np.append(left << 32 | right, np.iinfo(np.int64).max), np.append(rank, NO_RANK).astype(np.int32)
+        self.made, self.first_ids, self.last_ids = (np.array(t, dtype=np.int32) for t in (self.made_by, self.first, self.last))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """``encode`` of each text; those that hold special strings are encoded one by one."""
+        single = [not self.lower or (self.split_specials is not None and self.split_specials.search(t) is not None) for t in texts]
+        split = [[] if alone else blank_split(t) for t, alone in zip(texts, single)]
+        counts, pieces = list(map(len, split)), [p for part in split for p in part]
+        coded = [pa.array(pieces[at:at + BLOCK], pa.string()).dictionary_encode() for at in range(0, len(pieces), BLOCK)]
+        # the strings are let go before the arrays are made
+        del split, pieces
+        blocks = list(map(self.block, coded))
+        ids = np.concatenate([np.zeros(0, dtype="<u4"), *[b[0] for b in blocks]])
+        after = np.concatenate([[0], *[b[1] for b in blocks]]).cumsum()
+        ends = after[np.cumsum([0, *counts])].tolist()
+        for text, alone, a, b in zip(texts, single, ends, ends[1:]):
+            yield self.encode(text) if alone else ids[a:b].tobytes()
+
+    def block(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and how many each has."""
+        piece, distinct = coded.indices.to_numpy(), coded.dictionary
+        # a piece of ASCII letters is one word; others are split into theirs
+        plain = pc.ascii_is_alpha(distinct).to_numpy(zero_copy_only=False) & pc.string_is_ascii(distinct).to_numpy(zero_copy_only=False)
+        words = list(map(self.words_of, distinct.filter(pa.array(~plain)).to_pylist()))
+        n_words = np.ones(len(distinct), dtype=np.int64)
+        n_words[~plain] = list(map(len, words))
+        first = np.zeros(len(distinct), dtype=np.int64)
+        first[plain] = np.arange(plain.sum())
+        first[~plain] = plain.sum() + np.cumsum(n_words[~plain]) - n_words[~plain]
+        said = pa.concat_arrays([pc.ascii_lower(distinct.filter(pa.array(plain))), pa.array([w for ws in words for w in ws], pa.string())]).dictionary_encode()
+        at, count, ids = self.merge_all(said.dictionary)
+        word = said.indices.to_numpy()[_runs(first[piece], n_words[piece])]
+        per_piece = np.concatenate([[0], count[word].cumsum()])[np.concatenate([[0], n_words[piece].cumsum()])]
+        return ids[_runs(at[word], count[word])], np.diff(per_piece)
+
+    def words_of(self, piece: str) -> tuple | list:
+        """Pre-tokens of a piece; a word with any marks after it is not searched by the pattern."""
+        piece = lower_nfc(piece)
+        if piece.isalpha():
+            return (piece,)
+        word = piece.rstrip(punctuation)
+        return (word, piece[len(word):]) if word.isalpha() else self.find(piece)
+
+    def merge_all(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the first id, number of ids) of each word, and the ids."""
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        # a word has at most an id per byte
+        at, count, ids = offsets[:-1], np.zeros(len(words), dtype=np.int64), np.zeros(len(data), dtype="<u4")
+        lengths = np.diff(offsets)
+        for length, many in zip(*np.unique(lengths, return_counts=True)):
+            rows = np.flatnonzero(lengths == length)
+            if length > SHORT_WORD or many < FEW_WORDS:
+                for row in rows.tolist():
+                    merged = np.frombuffer(self.merge(words[row].as_py()), "<u4")
+                    count[row] = len(merged)
+                    ids[at[row]:at[row] + len(merged)] = merged
+            else:
+                self.merge_rows(rows, data[at[rows][:, None] + np.arange(length)], at, count, ids)
+        return at, count, ids
+
+    def merge_rows(self, rows: np.ndarray, data: np.ndarray, at: np.ndarray, count: np.ndarray, out: np.ndarray) -> None:
+        """Puts number and ids of words of one length, given as rows of bytes, into ``count`` and ``out``.
+
+        In a round each row merges the leftmost of its adjacent pairs of least rank, so
+        the rows stay of one length; rows without a pair that merges are done.
+        """
+        ids = np.concatenate([self.first_ids[data[:, :-1]], self.last_ids[data[:, -1:]]], axis=1)
+        near = self.ranks_of(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            n = ids.shape[1]
+            place = near.argmin(axis=1) if n > 1 else np.zeros(len(rows), dtype=np.int64)
+            least = near[np.arange(len(rows)), place] if n > 1 else np.full(len(rows), NO_RANK, dtype=np.int32)
+            more = least != NO_RANK
+            done = rows[~more]
+            count[done] = n
+            out[at[done][:, None] + np.arange(n)] = ids[~more]
+            rows, place, least = rows[more], place[more], least[more]
+            line = np.arange(len(rows))
+            kept = np.ones((len(rows), n), dtype=bool)
+            kept[line, place + 1] = False
+            ids, near = ids[more][kept].reshape(len(rows), n - 1), near[more][kept[:, 1:]].reshape(len(rows), max(n - 2, 0))
+            made = ids[line, place] = self.made[least]
+            inner = np.flatnonzero(place > 0)
+            near[inner, place[inner] - 1] = self.ranks_of(ids[inner, place[inner] - 1], made[inner])
+            inner = np.flatnonzero(place < n - 2)
+            near[inner, place[inner]] = self.ranks_of(made[inner], ids[inner, place[inner] + 1])
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, ``NO_RANK`` if it does not merge."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.rank_of[at], np.int32(NO_RANK))
 
 
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from kgloom.llm.common import SharedEncoder, cut_lineage, no_cycle_collection, slices, tokenizer_path
-from kgloom.llm.merges import ShortWordEncoder
+from kgloom.llm.merges import BulkEncoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -47,13 +47,13 @@ def _cut(shared: SharedEncoder, capacity: int):
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.get(ShortWordEncoder)
+        encoder = shared.get(BulkEncoder)
         with no_cycle_collection():
             for batch in batches:
                 for part in slices(batch, "text") if batch.num_rows else ():
                     at, sizes, sums = [], [], []
-                    for row, text in enumerate(part.column("text").to_pylist()):
-                        ids = memoryview(encoder.encode(text or "") + end)
+                    for row, ids in enumerate(encoder.encode_all([text or "" for text in part.column("text").to_pylist()])):
+                        ids = memoryview(ids + end)
                         for c in range(0, len(ids), 4 * capacity):
                             at.append(row)
                             sizes.append(len(ids[c:c + 4 * capacity]) // 4)

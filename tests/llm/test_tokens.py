@@ -130,3 +130,20 @@ def test_best_fit_is_tightest():
     assert len(set(packing.best_fit(np.array([6, 5, 4, 3, 2]), 10))) == 2
     bins = packing.best_fit(np.array([7, 8, 3, 2]), 10)
     assert bins[0] == bins[2] and bins[1] == bins[3]
+
+
+def test_new_words_of_a_block_are_merged_together(monkeypatch, odd_texts):
+    tables = merges.load(tokenizer_path("word_bpe_49k.json"))
+    rng = random.Random(7)
+    words = ["".join(rng.choices("thernadoüß", k=rng.randint(1, 60))) + rng.choice(["", ".", "?!", "'s", "7,"]) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=200)).title() for _ in range(40)] + ["", "a\x1cb <|endoftext|> İx ΑΣ é 'll", " ".join(tables["specials"]), *odd_texts]
+    plain = merges.Encoder(tables)
+    expected = [plain.encode(t) for t in texts]
+    single = []
+    monkeypatch.setattr(merges.BulkEncoder, "merge", lambda self, word: single.append(word) or merges.Encoder.merge(self, word))
+    assert list(merges.BulkEncoder(tables).encode_all(texts)) == expected
+    assert len(single) < len(words) / 3
+    # blocks smaller than a text
+    monkeypatch.setattr(merges, "BLOCK", 7)
+    assert list(merges.BulkEncoder(tables).encode_all(texts)) == expected
+    assert list(merges.BulkEncoder(tables).encode_all([])) == []
