@@ -302,3 +302,19 @@ def test_edges_away_from_many_asked_nodes_are_not_shuffled(spark, rows, monkeypa
     # the same edges if the asked nodes are too many to be sent to every task
     monkeypatch.setattr(G, "BROADCAST_ROWS", 0)
     assert rows(G.touching_edges(edges, nodes, ["t"], None)) == want and rows(G.touching_edges(edges, nodes, ["t"], 5)) == first
+
+
+def _joins(df):
+    return sum(line.lstrip(" :+-").startswith("Join") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_edge_counts_look_up_the_ends_once(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
+    rels = spark.createDataFrame([("r1", "a", "b"), ("r1", "a", "b"), ("r2", "a", "x"), ("r3", "y", "x"), ("r4", None, "b"), ("r5", "b", "a")],
+                                 "id string, source_entity_id string, target_entity_id string").selectExpr("*", "'USES' as relationship_type", "0.5D as confidence", "'d' as document_id")
+    old = G.edges_from(rels.filter("id = 'r5'"))
+    _, counts = G.merge_edges(old, nodes, rels)
+    assert [tuple(r) for r in counts.collect()] == [(1, 2, 2)]
+    assert _joins(counts) == 3
+    _, counts = G.merge_edges(old, nodes, rels.limit(0))
+    assert [tuple(r) for r in counts.collect()] == [(0, 0, 0)]
