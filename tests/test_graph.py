@@ -318,3 +318,13 @@ def test_edge_counts_look_up_the_ends_once(spark):
     assert _joins(counts) == 3
     _, counts = G.merge_edges(old, nodes, rels.limit(0))
     assert [tuple(r) for r in counts.collect()] == [(0, 0, 0)]
+
+
+def test_names_of_both_ends_are_taken_from_one_pass(spark):
+    names = spark.createDataFrame([("1", "A"), ("2", None)], "k string, n string")
+    rels = spark.createDataFrame([("r", "1", "2"), ("s", "1", "1")], "id string, a string, b string").join(names.toDF("a", "source_entity_name"), "a").join(
+        names.toDF("b", "target_entity_name"), "b").withColumn("relationship_type", F.lit("USES"))
+    entities = spark.createDataFrame([("a", "Company", 1)], "name string, entity_type string, pos long")
+    nodes, _ = G.name_graph(rels, entities)
+    assert sorted((r.name or "", r.entity_type) for r in nodes.collect()) == [("", None), ("A", "Company")]
+    assert _joins(nodes) == 3
