@@ -3,6 +3,8 @@
 entities: id, document_id, chunk_index, entity_type, name, confidence, evidence_chunk, attributes, pos
 relations: id, document_id, chunk_index, source_entity_id, target_entity_id, relationship_type, confidence, evidence_text
 """
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,9 @@ def entities_from_responses(resp: DataFrame) -> DataFrame:
     ok, _ = parse_responses(resp, ENTITY_RESPONSE)
     items = explode_rows(ok, ["document_id", "chunk_index"], "parsed.entities", "e", "item")
     evidence = T.strip(F.coalesce("e.evidence", F.lit("")))
-    given = F.coalesce(F.from_json("e.attributes", "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
+    # what is no object would be read as a failure, which is slow
+    is_object = F.startswith(F.ltrim("e.attributes", F.lit(" \t\r\n")), F.lit("{"))
+    given = F.coalesce(F.when(is_object, F.from_json("e.attributes", "map<string,string>")), F.expr("cast(map() as map<string,string>)"))
     attrs = F.map_concat(F.map_filter(given, lambda k, v: k != "_evidence"), F.create_map(F.lit("_evidence"), evidence))
     rows = items.select(
         stable_id("document_id", "chunk_index", "item").alias("id"), "document_id", "chunk_index",
@@ -61,7 +65,7 @@ def _tokens(col) -> Column:
 
 def _token_table(chunks: DataFrame) -> DataFrame:
     """Chunks as token arrays ``t`` with a number ``row`` of their own, so that lookups come back to the very row, whatever its keys."""
-    return cut_lineage(chunks.select(F.monotonically_increasing_id().alias("row"), "document_id", "chunk_index", _tokens("text").alias("t")))
+    return chunks.select(F.monotonically_increasing_id().alias("row"), "document_id", "chunk_index", _tokens("text").alias("t"))
 
 
 def _around() -> Column:
@@ -72,32 +76,41 @@ def _around() -> Column:
 def _occurrences(table: DataFrame, names: DataFrame, name_col: str, keys: list = (), evidence: bool = False, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Every place where the tokens of a name follow each other in a chunk: row, document_id, chunk_index, word_pos (from 1), words and the columns of ``names``.
 
-    A name of any length is looked up by the token of it that is rarest in the corpus,
-    and not at all if one of its tokens is absent, so tokens meet few names; a name of
-    several tokens is then compared with the chunk at that place. ``keys`` are columns
-    of a chunk that have to be equal to those of the name, NULL matching NULL. Up to
-    ``limit`` names are sent to the chunks, so no chunk is moved; more names meet the
-    tokens that are some name's rarest by a shuffle.
+    A name of any length is looked up by one of its tokens; a name of several tokens is
+    then compared with the chunk at that place. ``keys`` are columns of a chunk that have
+    to be equal to those of the name, NULL matching NULL. Up to ``limit`` names are sent
+    to the chunks, each by the token that fewest names have, so chunks are read once and
+    not moved. Of more names the token is taken that is rarest in the corpus, those with
+    an absent token are left out, and the rest meets the tokens by a shuffle.
     """
     names = cut_lineage(names.withColumns({"_nt": _tokens(name_col), "_nid": F.monotonically_increasing_id()}).filter(F.size("_nt") > 0))
     parts = names.select("_nid", F.posexplode("_nt").alias("_off", "_token"))
-    words = broadcast_if_small(cut_lineage(parts.select("_token").distinct()))
-    counts = explode_rows(table, [], "t", "_token").join(words, "_token", "left_semi").groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    few = names.limit(limit + 1).count() <= limit
+    if few:
+        counts = parts.groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        table = cut_lineage(table)
+        words = broadcast_if_small(cut_lineage(parts.select("_token").distinct()))
+        counts = explode_rows(table, [], "t", "_token").join(words, "_token", "left_semi").groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
     known = parts.join(counts, "_token", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    rarest = known.groupBy("_nid").agg(F.min_by(F.struct("_token", "_off"), F.struct("_n", "_off")).alias("_a"), F.min("_n").alias("_least")).filter("_least > 0")
+    # of tokens that are as rare, the longest
+    rarest = known.groupBy("_nid").agg(F.min_by(F.struct("_token", "_off"), F.struct("_n", -F.length("_token"), "_off")).alias("_a"), F.min("_n").alias("_least")).filter("_least > 0")
     anchors = cut_lineage(names.join(rarest, "_nid").withColumn("words", F.size("_nt")).select("words", "_nt", "_a.*", *[F.col(k).alias(f"_k_{k}") for k in keys], *[
         c for c in names.columns if c not in ("_nt", "_nid", *keys)]))
-    few = anchors.limit(limit + 1).count() <= limit
+    few = few or anchors.limit(limit + 1).count() <= limit
     # the tokens of a chunk go along only as long as nothing is shuffled
     flat = explode_rows(table, ["row", "document_id", "chunk_index", *(["t"] if few else [])], "t", "_token", "_p")
-    if not few:
+    if few:
+        # tokens meet by a number, which is the faster lookup; the tokens themselves are compared below
+        flat, anchors = (df.withColumn("_token", F.xxhash64("_token")) for df in (flat, anchors))
+    else:
         flat = flat.join(broadcast_if_small(cut_lineage(anchors.select("_token").distinct())), "_token", "left_semi")
     same = F.col("flat._token") == F.col("anchors._token")
     for k in keys:
         same = same & F.col(f"flat.{k}").eqNullSafe(F.col(f"anchors._k_{k}"))
     hits = flat.alias("flat").join((F.broadcast(anchors) if few else anchors).alias("anchors"), same).withColumn("word_pos", F.col("_p") - F.col("_off") + 1).drop(
         "_token", "_p", "_off", *[f"_k_{k}" for k in keys])
-    whole = (F.col("words") == 1) | ((F.col("word_pos") > 0) & (F.slice("t", F.greatest("word_pos", F.lit(1)), F.col("words")) == F.col("_nt")))
+    whole = (F.col("word_pos") > 0) & (F.slice("t", F.greatest("word_pos", F.lit(1)), F.col("words")) == F.col("_nt"))
     if few:
         found = hits.filter(whole)
     elif evidence:
@@ -135,20 +148,25 @@ def extract_entities(chunks: DataFrame, gazetteer: DataFrame, patterns=None) ->
 
     ``gazetteer``: name, entity_type, confidence. ``patterns``: (regex, type,
     confidence, needle) rules whose matches become names themselves; a chunk
-    without the needle is not searched.
+    without the needle is not searched. ``chunks`` are read twice, for names and for
+    rules, so pass a stored table where they are costly to make.
     """
     keys = ["document_id", "chunk_index", "name", "entity_type"]
     # rows with the same names fold map-side, so a frequent name does not pile up
     first = mentions(chunks, gazetteer).groupBy(*keys).agg(F.min(F.struct("word_pos", "evidence")).alias("at"), F.max("confidence").alias("confidence"))
     out = first.select(*keys, F.col("at.word_pos").cast("bigint").alias("word_pos"), "at.evidence", "confidence")
-    for rx, typ, conf, needle in (DEFAULT_PATTERNS if patterns is None else patterns):
-        matches = F.when(F.contains("text", F.lit(needle)), F.regexp_extract_all("text", F.lit(rx), F.lit(0)))
-        found = (explode_rows(chunks, ["document_id", "chunk_index"], matches, "name", "_i")
-                 .groupBy("document_id", "chunk_index", "name")
-                 .agg((F.min("_i").cast("bigint") + AFTER_WORDS).alias("word_pos"))
-                 .select("document_id", "chunk_index", "name", F.lit(typ).alias("entity_type"), "word_pos",
-                         F.col("name").alias("evidence"), F.lit(conf).alias("confidence")))
-        out = out.unionByName(found)
+    rules = DEFAULT_PATTERNS if patterns is None else patterns
+    if rules:
+        # one pass for all rules; chunks without any needle are left out first
+        def matches(rx, typ, conf, needle):
+            names = F.when(F.contains("text", F.lit(needle)), F.regexp_extract_all("text", F.lit(rx), F.lit(0)))
+            return F.coalesce(F.transform(names, lambda n, i: F.struct(n.alias("name"), F.lit(typ).alias("entity_type"), i.cast("bigint").alias("i"), F.lit(float(conf)).alias("confidence"))),
+                              F.expr("cast(array() as array<struct<name:string,entity_type:string,i:bigint,confidence:double>>)"))
+        asked = chunks.filter(reduce(lambda a, b: a | b, [F.contains("text", F.lit(needle)) for *_, needle in rules]))
+        found = (explode_rows(asked, ["document_id", "chunk_index"], F.concat(*[matches(*rule) for rule in rules]), "m")
+                 .groupBy(*keys[:2], F.col("m.name").alias("name"), F.col("m.entity_type").alias("entity_type"), F.col("m.confidence").alias("confidence"))
+                 .agg((F.min("m.i") + AFTER_WORDS).alias("word_pos")))
+        out = out.unionByName(found.withColumn("evidence", F.col("name")))
     return out.select(
         stable_id(*keys).alias("id"), "document_id", "chunk_index", "entity_type", "name",
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))).alias("confidence"), F.col("evidence").alias("evidence_chunk"),
@@ -240,7 +258,7 @@ def extract_relations(chunks: DataFrame, entities: DataFrame, cues: DataFrame, d
     number of words, stands in the chunk; chunks with fewer than two are skipped.
     Work per chunk is bounded by the chunk window, and no entity pairs are formed.
     """
-    table = _token_table(chunks)
+    table = cut_lineage(_token_table(chunks))
     names = name_map(entities).select("document_id", "key", "entity")
     cue_rows = cues.select("cue", F.struct("cue", "relationship_type", "source_type", "target_type", "confidence").alias("c"))
     spots = _occurrences(table, names, "key", ["document_id"]).select(

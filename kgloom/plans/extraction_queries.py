@@ -21,7 +21,7 @@ def _chunks(spark, sf):
 
 
 def _entities(spark, sf):
-    return X.extract_entities(_chunks(spark, sf), N.gazetteer(spark, sf))
+    return X.extract_entities(cut_lineage(_chunks(spark, sf)), N.gazetteer(spark, sf))
 
 
 def stored_entities(spark, sf):

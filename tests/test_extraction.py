@@ -197,3 +197,41 @@ def test_an_answer_is_read_once(spark, capsys):
     ok.explain("formatted")
     # neither filter reads the answer again
     assert capsys.readouterr().out.count("from_json(") == 1
+
+
+def test_few_names_are_looked_up_while_the_chunks_are_read(spark, rows):
+    chunks = spark.createDataFrame([(1, 0, "old corp of corp"), (1, 0, "new corp"), (2, 0, None)], "document_id long, chunk_index int, text string")
+    names = spark.createDataFrame([("old corp", "T", 0.5), ("corp", "T", 0.5), ("corp of", "T", 0.5)], "name string, entity_type string, confidence double")
+    found = X.mentions(chunks, names)
+    assert rows(found, "word_pos", "name", "evidence") == sorted([
+        (1, "old corp", "old corp of corp"), (2, "corp", "new corp"), (2, "corp", "old corp of corp"), (2, "corp of", "old corp of corp"), (4, "corp", "old corp of corp")], key=repr)
+    # no table of tokens is stored, and none is counted, before the lookup
+    assert "regexp_extract_all" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_are_searched_in_one_pass(spark, rows):
+    chunks = spark.createDataFrame([(1, 0, "b@x.org a@x.org b@x.org http://x.org/a#1"), (1, 1, "#1 none"), (2, 0, None)], "document_id long, chunk_index int, text string")
+    none = spark.createDataFrame([], "name string, entity_type string, confidence double")
+    rules = [*X.DEFAULT_PATTERNS, ("#[0-9]", "Policy", 1, "#")]
+    found = X.extract_entities(chunks, none, rules)
+    assert rows(found, "chunk_index", "name", "entity_type", "confidence", (F.col("pos") - F.col("chunk_index") * X.CHUNK_SPAN - X.AFTER_WORDS).alias("p")) == [
+        (0, "#1", "Policy", 1.0, 0), (0, "a@x.org", "Person", 0.6, 1), (0, "b@x.org", "Person", 0.6, 0), (0, "http://x.org/a#1", "Technology", 0.6, 0), (1, "#1", "Policy", 1.0, 0)]
+    assert X.extract_entities(chunks, none, []).count() == 0
+    # answer of both rules and of the lookup: two passes over the chunks
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [document_id") == 2
+
+
+def test_attributes_that_are_no_object(spark):
+    given = ['" {\\"a\\":1}"', '"none"', '"[{\\"a\\":1}]"', '""', "null", '{"a":"b"}']
+    body = '{"entities":[' + ",".join('{"name":"n","type":"Person","attributes":%s}' % g for g in given) + "]}"
+    resp = spark.createDataFrame([(1, 0, body)], "document_id long, chunk_index int, response string")
+    got = [r.attributes.get("a") for r in X.entities_from_responses(resp).orderBy("pos").collect()]
+    assert got == ["1", None, None, None, None, "b"]
+
+
+def test_ids_keep_their_parts_apart(spark):
+    import hashlib
+    from kgloom.session import stable_id
+    df = spark.createDataFrame([("a|b", "c\\"), ("a", "b|c\\"), (None, "\\0")], "x string, y string")
+    want = [hashlib.sha256(t.encode()).hexdigest() for t in ("a\\|b|c\\\\", "a|b\\|c\\\\", "\\0|\\\\0")]
+    assert [r[0] for r in df.select(stable_id("x", "y")).collect()] == want

@@ -247,3 +247,9 @@ def test_cleaning_is_written_out_once_below_the_windows(spark, capsys):
         chunks.explain("formatted")
         # each pattern stands in the plan once, not inside the function of every window
         assert capsys.readouterr().out.count("-{3,}") == 1
+
+
+def test_words_of_blank_and_padded_texts(spark):
+    texts = [None, "", " \u2003\n", "\x85a \u3000b\t", "a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(T.words("t")).collect()] == [None, [], [], ["a", "b"], ["a"]]
