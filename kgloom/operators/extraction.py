@@ -205,20 +205,56 @@ def _words_containing(words: DataFrame, parts: DataFrame, q: int) -> DataFrame:
     return words.select("word", F.col("word").alias("part")).limit(0) if found is None else found
 
 
-def visible_entities(chunks: DataFrame, entities: DataFrame, q: int = 4, min_visible: int = 2) -> DataFrame:
+# chunks times names of a document up to which they are compared one by one
+DOCUMENT_PAIRS = 1 << 18
+
+
+def visible_entities(chunks: DataFrame, entities: DataFrame, q: int = 4, min_visible: int = 2, pairs: int = DOCUMENT_PAIRS) -> DataFrame:
     """Names that occur as a substring of a chunk: document_id, chunk_index, entity_id, name, entity_type, chunk_names.
 
-    Chunks with fewer than ``min_visible`` names are left out. Where a name
-    occurs, some word of the chunk contains the name's longest word. Which words
-    of the corpus contain which longest words is worked out once on the distinct
-    words; chunks then meet their document's names by equi joins on words, never
-    one by one, and names of several words are verified against the text. Chunks
-    have a number of their own: NULL documents (equal to each other) and repeated
-    keys neither lose nor multiply rows.
+    Chunks with fewer than ``min_visible`` names are left out. A chunk meets the list
+    of its document's names in one row, as long as the document has at most ``pairs``
+    chunks times names. In larger documents, NULL among them, chunks meet names by their
+    words. NULL documents are equal to each other; repeated keys neither lose nor
+    multiply rows.
     """
-    longest = F.expr("reduce(split(key, ' '), '', (a, w) -> if(length(w) > length(a), w, a))")
-    names = cut_lineage(name_map(entities).filter("key <> ''").select(F.col("document_id").alias("_doc"), "key", "entity", longest.alias("part")))
+    names = cut_lineage(name_map(entities).filter("key <> ''").select(F.col("document_id").alias("_doc"), "key", "entity"))
     low = cut_lineage(chunks.select(F.monotonically_increasing_id().alias("row"), "document_id", "chunk_index", F.lower("text").alias("_text")))
+    n_chunks, n_names = (df.groupBy(F.col(c).alias(f"_{n}")).agg(F.count(F.lit(1)).alias(n)) for df, c, n in ((low, "document_id", "chunks"), (names, "_doc", "names")))
+    large = cut_lineage(n_chunks.join(n_names, F.col("_chunks").eqNullSafe(F.col("_names"))).filter(F.col("chunks") * F.col("names") > pairs).select(F.col("_chunks").alias("_large")))
+    if large.isEmpty():
+        return _visible_in_rows(low, names, min_visible)
+    large = broadcast_if_small(large)
+
+    def part(df, c, how):
+        return df.join(large, F.col(c).eqNullSafe(F.col("_large")), how)
+    return _visible_in_rows(part(low, "document_id", "left_anti"), part(names, "_doc", "left_anti"), min_visible).unionByName(
+        _visible_by_words(part(low, "document_id", "left_semi"), part(names, "_doc", "left_semi"), q, min_visible))
+
+
+_VISIBLE = ("document_id", "chunk_index", "entity.id as entity_id", "entity.name as name", "entity.entity_type as entity_type", "chunk_names")
+
+
+def _visible_in_rows(low: DataFrame, names: DataFrame, min_visible: int) -> DataFrame:
+    """Chunks with the names of their document in one row."""
+    own = names.groupBy("_doc").agg(F.collect_list(F.struct("key", "entity")).alias("_own")).filter(F.size("_own") >= min_visible)
+    met = low.join(own, F.col("document_id").eqNullSafe(F.col("_doc")))
+    # names that are words of the chunk are found at once, the others are searched in its text
+    met = bound_rows(met, ["document_id", "chunk_index", "_text", "_own"], F.array_intersect(F.transform("_own", lambda n: n.key), F.split("_text", " ")), name="_words")
+    seen = bound_rows(met, ["document_id", "chunk_index"], F.filter("_own", lambda n: F.array_contains("_words", n.key) | F.contains("_text", n.key)), name="_seen")
+    seen = explode_rows(seen, ["document_id", "chunk_index", F.size("_seen").cast("bigint").alias("chunk_names")], "_seen", "n")
+    return seen.filter(F.col("chunk_names") >= min_visible).withColumn("entity", F.col("n.entity")).selectExpr(*_VISIBLE)
+
+
+def _visible_by_words(low: DataFrame, names: DataFrame, q: int, min_visible: int) -> DataFrame:
+    """Where a name occurs, some word of the chunk contains the name's longest word.
+
+    Which words contain which longest words is worked out once on the distinct words;
+    chunks then meet their document's names by equi joins on words, never one by one,
+    and names of several words are verified against the text.
+    """
+    longest = F.expr("reduce(split(key, ' '), '', (a, w) -> if(length(w) > length(a), w, a))")
+    names, low = cut_lineage(names.withColumn("part", longest)), cut_lineage(low)
     words = explode_rows(low, ["row", "document_id"], F.array_distinct(F.split("_text", " ")), "word").filter("word <> ''")
     known = cut_lineage(_words_containing(words.select("word").distinct(), names.select("part").distinct(), q))
     met = cut_lineage(words.join(broadcast_if_small(known), "word").select("row", "document_id", "part").distinct())
@@ -227,9 +263,7 @@ def visible_entities(chunks: DataFrame, entities: DataFrame, q: int = 4, min_vis
     verified = cand.filter(~single).join(low.select("row", "_text"), "row").filter(F.contains("_text", F.col("key")))
     seen = cand.filter(single).drop("key").unionByName(verified.select("row", "entity"))
     enough = seen.groupBy("row").agg(F.count(F.lit(1)).alias("chunk_names")).filter(F.col("chunk_names") >= min_visible)
-    return seen.join(enough, "row").join(low.drop("_text"), "row").select(
-        "document_id", "chunk_index", F.col("entity.id").alias("entity_id"), F.col("entity.name").alias("name"),
-        F.col("entity.entity_type").alias("entity_type"), "chunk_names")
+    return seen.join(enough, "row").join(low.drop("_text"), "row").selectExpr(*_VISIBLE)
 
 
 def relations_from_responses(resp: DataFrame, entities: DataFrame) -> DataFrame:

@@ -68,7 +68,8 @@ def _(spark, sf):
 select *, count(*) over (partition by document_id, chunk_index) as chunk_names from vis
 qualify chunk_names>=2"""))
 def _(spark, sf):
-    return X.visible_entities(cut_lineage(_chunks(spark, sf)), stored_entities(spark, sf))
+    chunks = cut_lineage(_chunks(spark, sf))
+    return X.visible_entities(chunks, cut_lineage(X.extract_entities(chunks, N.gazetteer(spark, sf))))
 
 
 EXTREL = TOKENS + r""",

@@ -221,6 +221,22 @@ def test_rules_are_searched_in_one_pass(spark, rows):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [document_id") == 2
 
 
+@pytest.mark.parametrize("pairs", [0, 60, 1 << 18])
+def test_visible_names_of_small_and_large_documents(spark, rows, pairs):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    ents = [(f"{d}-{i}", d, "Person", " ".join(word() for _ in range(rng.randint(1, 2))).upper(), 0.5, i) for d in (1, 2, None) for i in range(3 + 10 * (d or 0))]
+    chunks = [(d, c, " ".join(word() for _ in range(12))) for d in (1, 2, 3, None) for c in (0, 0, 1, 2)]
+    last = {(e[1], e[3].lower()): e[0] for e in ents}
+    want = []
+    for d, c, text in chunks:
+        seen = [i for (doc, n), i in last.items() if doc == d and n in text]
+        want += [(d, c, i, len(seen)) for i in seen] if len(seen) >= 2 else []
+    got = X.visible_entities(spark.createDataFrame(chunks, "document_id long, chunk_index int, text string"),
+                             spark.createDataFrame(ents, "id string, document_id long, entity_type string, name string, confidence double, pos int"), pairs=pairs)
+    assert rows(got, "document_id", "chunk_index", "entity_id", "chunk_names") == sorted(want, key=repr) and want
+
+
 def test_attributes_that_are_no_object(spark):
     given = ['" {\\"a\\":1}"', '"none"', '"[{\\"a\\":1}]"', '""', "null", '{"a":"b"}']
     body = '{"entities":[' + ",".join('{"name":"n","type":"Person","attributes":%s}' % g for g in given) + "]}"
