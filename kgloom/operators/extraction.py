@@ -283,25 +283,35 @@ def relations_from_responses(resp: DataFrame, entities: DataFrame) -> DataFrame:
         "relationship_type", "confidence", "evidence_text", place("chunk_index", "item").alias("seq"))
 
 
-def extract_relations(chunks: DataFrame, entities: DataFrame, cues: DataFrame, dedup: bool = True) -> DataFrame:
+def extract_relations(chunks: DataFrame, entities: DataFrame, cues: DataFrame, dedup: bool = True, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Relations stated by cue words inside a chunk.
 
     ``cues``: cue, relationship_type, source_type, target_type, confidence. A cue
     relates the nearest entity of its source type before it to the nearest of its
     target type after it. Entities are those of the document whose name, of any
     number of words, stands in the chunk; chunks with fewer than two are skipped.
-    Work per chunk is bounded by the chunk window, and no entity pairs are formed.
+    Work per chunk is bounded by the chunk window, and no entity pairs are formed. Up to
+    ``limit`` distinct names and cues are looked up in one pass over the chunks, whatever
+    the document; places then meet the names of their own document.
     """
-    table = cut_lineage(_token_table(chunks))
-    names = name_map(entities).select("document_id", "key", "entity")
+    names = name_map(entities).select("document_id", "key", F.struct("entity.id", "entity.entity_type").alias("entity"))
     cue_rows = cues.select("cue", F.struct("cue", "relationship_type", "source_type", "target_type", "confidence").alias("c"))
-    spots = _occurrences(table, names, "key", ["document_id"]).select(
-        "row", F.struct("word_pos", F.col("entity.entity_type").alias("t"), F.col("entity.id").alias("eid")).alias("spot"))
-    marks = _occurrences(table, cue_rows, "cue").select("row", F.struct("word_pos", "c.*").alias("mark"))
+    names, keys = cut_lineage(names), ["row", "document_id", "chunk_index"]
+    asked = cut_lineage(names.select(F.col("key").alias("name")).unionByName(cues.select(F.col("cue").alias("name"))).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    if asked.limit(limit + 1).count() <= limit:
+        places = cut_lineage(_occurrences(_token_table(chunks), asked, "name").select(*keys, "word_pos", "_id"))
+        known, sent = names.withColumnRenamed("document_id", "_doc"), F.broadcast(asked)
+        known = known.join(sent, F.col("key") == F.col("name")).select("_doc", F.col("_id").alias("_n"), "entity")
+        spots = places.join(known, places["document_id"].eqNullSafe(known["_doc"]) & (places["_id"] == known["_n"]))
+        marks = places.join(F.broadcast(cue_rows.join(sent, F.col("cue") == F.col("name")).select("_id", "c")), "_id")
+    else:
+        table = cut_lineage(_token_table(chunks))
+        spots, marks = _occurrences(table, names, "key", ["document_id"]), _occurrences(table, cue_rows, "cue")
+    spots = spots.select(*keys, F.struct("word_pos", F.col("entity.entity_type").alias("t"), F.col("entity.id").alias("eid")).alias("spot"))
+    marks = marks.select(*keys, F.struct("word_pos", "c.*").alias("mark"))
     # the window of a chunk bounds what is collected for it
-    per_chunk = spots.unionByName(marks, allowMissingColumns=True).groupBy("row").agg(F.collect_set("spot").alias("spots"), F.collect_set("mark").alias("marks"))
-    per_chunk = per_chunk.filter((F.size("marks") > 0) & (F.size(F.array_distinct(F.transform("spots", lambda s: s.eid))) >= 2)).join(
-        table.select("row", "document_id", "chunk_index"), "row")
+    per_chunk = spots.unionByName(marks, allowMissingColumns=True).groupBy(*keys).agg(F.collect_set("spot").alias("spots"), F.collect_set("mark").alias("marks"))
+    per_chunk = per_chunk.filter((F.size("marks") > 0) & (F.size(F.array_distinct(F.transform("spots", lambda s: s.eid))) >= 2))
     marks = explode_rows(per_chunk, ["document_id", "chunk_index", "spots"], "marks", "m").select("document_id", "chunk_index", "spots", "m.*")
     before = F.array_max(F.filter("spots", lambda s: (s.word_pos < F.col("word_pos")) & (s.t == F.col("source_type"))))
     after = F.array_min(F.filter("spots", lambda s: (s.word_pos > F.col("word_pos")) & (s.t == F.col("target_type"))))

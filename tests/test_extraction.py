@@ -221,6 +221,19 @@ def test_rules_are_searched_in_one_pass(spark, rows):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [document_id") == 2
 
 
+def test_relations_are_the_same_for_few_and_many_names(spark, rows):
+    rng = random.Random(5)
+    names = ["Bob", "Acme Corp", "acme", "York", "New York"]
+    kinds = ["Person", "Company", "Company", "Location", "Location"]
+    ents = [(f"{d}-{i}", d, kinds[i], names[i], 0.9, i) for d in ("d", "e", None) for i in rng.sample(range(5), 4)]
+    words = ["bob", "acme corp", "new york", "joined", "left", "and"]
+    chunks = [(rng.choice(["d", "e", None, "f"]), rng.randint(0, 2), " ".join(rng.choices(words, k=12))) for _ in range(40)]
+    cues = spark.createDataFrame([("joined", "WORKS_FOR", "Person", "Company", 0.7), ("left", "USES", "Person", "Location", 0.7), ("left", "OWNS", "Company", "Location", 0.4)],
+                                 "cue string, relationship_type string, source_type string, target_type string, confidence double")
+    made = [rows(X.extract_relations(spark.createDataFrame(chunks, "document_id string, chunk_index int, text string"), spark.createDataFrame(ents, ENT), cues, dedup=False, limit=n)) for n in (0, 1000)]
+    assert made[0] == made[1] and len({r[1] for r in made[0]}) == 3
+
+
 @pytest.mark.parametrize("pairs", [0, 60, 1 << 18])
 def test_visible_names_of_small_and_large_documents(spark, rows, pairs):
     rng = random.Random(6)
