@@ -1,4 +1,5 @@
 """What several operators share: lineage cuts, free column names, tokenizer tables for tasks."""
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -85,9 +86,17 @@ class SharedEncoder:
         return tables["made"]
 
 
+def hand_back():
+    """Gives freed memory back to the system: a worker lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 @contextmanager
 def no_cycle_collection():
-    """Pauses Python's cycle collector for code that makes many strings and no cycles."""
+    """Pauses Python's cycle collector for code that makes many strings and no cycles; freed memory is handed back in the end."""
     was = gc.isenabled()
     gc.disable()
     try:
@@ -95,12 +104,13 @@ def no_cycle_collection():
     finally:
         if was:
             gc.enable()
+        hand_back()
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """``batch`` in parts of about ``SLICE_BYTES`` of a text or binary column, at least a row each."""
+def slices(batch: pa.RecordBatch, column: str, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of about ``size`` bytes (``SLICE_BYTES``) of a text or binary column, at least a row each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    part = (np.cumsum(sizes) - sizes) // (size or SLICE_BYTES)
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
         yield batch.slice(a, b - a)

@@ -181,14 +181,19 @@ SHORT_WORD = 48
 FEW_WORDS = 8
 # strings that are looked up at a time
 BLOCK = 1 << 19
+# strings that are held singly before they become an array
+PART = 1 << 14
 # no pair of symbols has this rank
 NO_RANK = 1 << 30
 
 
 def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Places start, start + 1, ... of every run, one run after the other."""
+    # places of a block fit into 32 bits, which halves its arrays
     before = np.cumsum(counts) - counts
-    return np.repeat(starts - before, counts) + np.arange(counts.sum())
+    runs = np.repeat((starts - before).astype(np.int32), counts)
+    runs += np.arange(len(runs), dtype=np.int32)
+    return runs
 
 
 class BulkEncoder(Encoder):
@@ -205,18 +210,33 @@ class BulkEncoder(Encoder):
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """``encode`` of each text; those that hold special strings are encoded one by one."""
         single = [not self.lower or (self.split_specials is not None and self.split_specials.search(t) is not None) for t in texts]
-        split = [[] if alone else blank_split(t) for t, alone in zip(texts, single)]
-        counts, pieces = list(map(len, split)), [p for part in split for p in part]
-        coded = [pa.array(pieces[at:at + BLOCK], pa.string()).dictionary_encode() for at in range(0, len(pieces), BLOCK)]
-        # the strings are let go before the arrays are made
-        del split, pieces
-        blocks = list(map(self.block, coded))
+        counts, blocks = [], []
+        # the strings of a part become an array at once, those of a block are looked up together
+        for arrays in self.gathered(texts, single, counts):
+            blocks.append(self.block(pa.concat_arrays(arrays).dictionary_encode()))
         ids = np.concatenate([np.zeros(0, dtype="<u4"), *[b[0] for b in blocks]])
         after = np.concatenate([[0], *[b[1] for b in blocks]]).cumsum()
         ends = after[np.cumsum([0, *counts])].tolist()
         for text, alone, a, b in zip(texts, single, ends, ends[1:]):
             yield self.encode(text) if alone else ids[a:b].tobytes()
 
+    def gathered(self, texts: list[str], single: list[bool], counts: list[int]) -> Iterator[list[pa.StringArray]]:
+        """Pieces of the texts in arrays, about ``BLOCK`` at a time; the number of pieces of each text is added to ``counts``."""
+        pieces, arrays, held = [], [], 0
+        for text, alone in zip(texts, single):
+            split = [] if alone else blank_split(text)
+            counts.append(len(split))
+            for at in range(0, len(split), BLOCK):
+                pieces += split[at:at + BLOCK]
+                if len(pieces) >= PART:
+                    arrays.append(pa.array(pieces, pa.string()))
+                    held, pieces = held + len(pieces), []
+                if held >= BLOCK:
+                    yield arrays
+                    arrays, held = [], 0
+        if pieces or arrays:
+            yield [*arrays, pa.array(pieces, pa.string())]
+
     def block(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after the other, and how many each has."""
         piece, distinct = coded.indices.to_numpy(), coded.dictionary

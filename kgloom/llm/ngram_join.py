@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import PAIRS, cut_lineage, slices, whole_groups, without_rows
+from kgloom.llm.common import PAIRS, cut_lineage, hand_back, slices, whole_groups, without_rows
 from kgloom.llm.components import connected_components
 from kgloom.session import broadcast_if_small
 
@@ -184,6 +184,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             yield from slices(batch, "text")
+    hand_back()
 
 
 def _summarize(words: int):

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from kgloom.llm.common import SharedEncoder, cut_lineage, no_cycle_collection, slices, tokenizer_path
+from kgloom.llm.common import SharedEncoder, cut_lineage, hand_back, no_cycle_collection, slices, tokenizer_path
 from kgloom.llm.merges import BulkEncoder
 
 CAPACITY = 2048
 END_ID = 0
+# bytes of text that are cut at a time
+CUT_BYTES = 1 << 20
 # a bin is emitted when its room is at most this part of the capacity
 NEARLY = 1 / 512
 # bins that one task packs at most, and partitions that meet in one of the next round
@@ -50,7 +52,7 @@ def _cut(shared: SharedEncoder, capacity: int):
         encoder = shared.get(BulkEncoder)
         with no_cycle_collection():
             for batch in batches:
-                for part in slices(batch, "text") if batch.num_rows else ():
+                for part in slices(batch, "text", CUT_BYTES) if batch.num_rows else ():
                     at, sizes, sums = [], [], []
                     for row, ids in enumerate(encoder.encode_all([text or "" for text in part.column("text").to_pylist()])):
                         ids = memoryview(ids + end)
@@ -132,7 +134,10 @@ def _merge_round(capacity: int):
         parts = [b.column("members") for b in batches if b.num_rows]
         if not parts:
             return
+        # the encoder's freed memory goes back before the bins are made
+        hand_back()
         members = pa.concat_arrays(parts)
+        del parts
         members = _gathered(members, best_fit(_levels(members), capacity))
         levels = _levels(members)
         full = levels >= least_full(capacity)

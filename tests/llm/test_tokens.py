@@ -147,3 +147,20 @@ def test_new_words_of_a_block_are_merged_together(monkeypatch, odd_texts):
     monkeypatch.setattr(merges, "BLOCK", 7)
     assert list(merges.BulkEncoder(tables).encode_all(texts)) == expected
     assert list(merges.BulkEncoder(tables).encode_all([])) == []
+
+
+def test_encoder_of_many_texts_holds_little_at_a_time(odd_texts, monkeypatch):
+    """Pieces become arrays part by part, and small parts give the same ids as one large one."""
+    own, bulk = merges.Encoder(merges.load(WORD)), merges.BulkEncoder(merges.load(WORD))
+    want = [own.encode(t) for t in odd_texts]
+    held = []
+    array_of = merges.pa.array
+    monkeypatch.setattr(merges.pa, "array", lambda values, *a: (held.append(len(values)) if a == (merges.pa.string(),) else None) or array_of(values, *a))
+    assert list(bulk.encode_all(["a bc def " * 20_000])) == [own.encode("a bc def " * 20_000)] and max(held) <= merges.BLOCK
+    held.clear()
+    assert list(bulk.encode_all(["a bc def " * 2000] * 60)) == [own.encode("a bc def " * 2000)] * 60
+    assert max(held) <= merges.PART + 6000
+    monkeypatch.setattr(merges, "PART", 5)
+    monkeypatch.setattr(merges, "BLOCK", 17)
+    assert list(bulk.encode_all(odd_texts)) == want
+    assert list(bulk.encode_all([])) == [] and list(bulk.encode_all(["", " "])) == [b"", b""]
