@@ -7,7 +7,7 @@ linear and an executor loss repeats at most one hop.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.session import broadcast_if_small, cut_lineage
+from kgloom.session import broadcast_if_small, cut_lineage, id_bits, may_be
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -76,10 +76,13 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, depth:
     past, met = ring.select("to_id", "at"), []
     for hop in range(depth - half + 1):
         if hop:
+            last = hop == depth - half
             ring = ring.join(open_pairs.select("to_id").distinct(), "to_id", "left_semi")
-            step = adj.join(broadcast_if_small(cut_lineage(ring.withColumnRenamed("at", "a"))), "a").select(
+            # what the last ring reaches beyond the edges of the trees meets nothing, and what it reaches again has met before
+            ways = may_be(adj, "b", id_bits(tree.filter(F.col("dist") == half), "at")) if last else adj
+            step = ways.join(broadcast_if_small(cut_lineage(ring.withColumnRenamed("at", "a"))), "a").select(
                 "to_id", F.col("b").alias("at"), F.concat("way", F.array("b")).alias("way")).groupBy("to_id", "at").agg(F.min("way").alias("way"))
-            ring = cut_lineage(step.join(past, ["to_id", "at"], "left_anti"))
+            ring = cut_lineage(step if last else step.join(past, ["to_id", "at"], "left_anti"))
             past = past.unionByName(ring.select("to_id", "at"))
         # a ring further out meets only the outermost places of a tree, else its pair were done
         edge = tree if hop == 0 else tree.filter(F.col("dist") == half)

@@ -328,3 +328,34 @@ def test_names_of_both_ends_are_taken_from_one_pass(spark):
     nodes, _ = G.name_graph(rels, entities)
     assert sorted((r.name or "", r.entity_type) for r in nodes.collect()) == [("", None), ("A", "Company")]
     assert _joins(nodes) == 3
+
+
+def _recorded(monkeypatch, module):
+    """Frames that ``module`` cuts from their lineage, in order."""
+    seen, cut = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df: seen.append(cut(df)) or seen[-1])
+    return seen
+
+
+def test_last_ring_of_paths_holds_only_places_of_the_trees(spark, rows, monkeypatch):
+    from kgloom.operators import traversal as R
+    # a start, two places between, and a target with 500 neighbours that lie on no path
+    links = [("s", "m"), ("m", "n"), ("n", "t"), ("m", "t2"), *[("t", f"x{i}") for i in range(500)], *[(f"x{i}", f"y{i}") for i in range(500)]]
+    edges = spark.createDataFrame(links, "src string, tgt string")
+    nodes = spark.createDataFrame([(i,) for i in sorted({x for p in links for x in p})], "id string")
+    pairs = spark.createDataFrame([("s", "t"), ("s", "t2"), ("s", "x1"), ("t", "s")], "from_id string, to_id string")
+    seen = _recorded(monkeypatch, R)
+    got = rows(R.shortest_paths(nodes, edges, pairs, 3))
+    assert got == sorted([("s", "t", 3, "s->m->n->t"), ("s", "t2", 2, "s->m->t2"), ("t", "s", 3, "t->n->m->s")], key=repr)
+    rings = [f.count() for f in seen if f.columns == ["to_id", "at", "way"]]
+    assert len(rings) == 2 and rings[1] < 20
+
+
+def test_finished_shuffles_are_freed_between_checkpoints(spark, monkeypatch):
+    from kgloom import session
+    called = []
+    monkeypatch.setattr(session.gc, "collect", lambda: called.append(1))
+    monkeypatch.setattr(session, "_freed_at", session.time.monotonic() - session.FREE_EVERY - 1)
+    for _ in range(3):
+        assert session.cut_lineage(spark.range(3)).count() == 3
+    assert len(called) == 1
