@@ -351,6 +351,32 @@ def test_last_ring_of_paths_holds_only_places_of_the_trees(spark, rows, monkeypa
     assert len(rings) == 2 and rings[1] < 20
 
 
+def test_first_edges_of_frequent_types_come_from_the_head(spark, rows, monkeypatch):
+    nodes = spark.createDataFrame([(f"n{i}", f"name {i}", "rare" if i == 990 else ("A", "B")[i % 2], ("a", None)[i % 2], 1.0) for i in range(1000)] + [("n5", "other", "C", "zz", 1.0)],
+                                  "id string, name string, entity_type string, label string, confidence double")
+    edges = spark.createDataFrame([(f"{i * 7919 % 1000:04d}", f"n{i}", f"n{(i * 7) % 1000}", "R") for i in range(1000)]
+                                  + [("0000", "n1", "gone", "R"), ("0001", "n2", "n4", "A"), (None, "n1", "n3", "R"), ("0002", None, "n1", "R")], "id string, src string, tgt string, type string")
+    keys = spark.createDataFrame([("a",), ("b",), ("rare",), ("none",), ("zz",)], "match_key string")
+    seen = _recorded(monkeypatch, G)
+    got = rows(G.first_touching(edges, nodes, keys, 6))
+    # ends of a few edges only, none of the thousand nodes; the rare types meet all edges
+    assert max(f.count() for f in seen) < 600
+    assert {(r[0]): sum(x[0] == r[0] for x in got) for r in got} == {"a": 6, "b": 6, "rare": 2, "zz": 2}
+    monkeypatch.setattr(G, "_head_border", lambda *_: None)
+    assert rows(G.first_touching(edges, nodes, keys, 6)) == got
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 0)
+    assert rows(G.first_touching(edges, nodes, keys, 6)) == got
+    monkeypatch.undo()
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 0)
+    assert rows(G.first_touching(edges, nodes, keys, 6)) == got
+
+
+def test_numbers_of_ids_rise_with_them(spark):
+    ids = ["", "a", "a0", "a00000000", "ab", "ab\u00e9", "b", "\u00e9", "x0123456789", "x0123456798", "x2"]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id string").orderBy("id").select(G._id_number("id")).collect()]
+    assert got == sorted(got) and got[0] == 0 and len(set(got)) >= 8
+
+
 def test_finished_shuffles_are_freed_between_checkpoints(spark, monkeypatch):
     from kgloom import session
     called = []
