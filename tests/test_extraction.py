@@ -264,3 +264,35 @@ def test_ids_keep_their_parts_apart(spark):
     df = spark.createDataFrame([("a|b", "c\\"), ("a", "b|c\\"), (None, "\\0")], "x string, y string")
     want = [hashlib.sha256(t.encode()).hexdigest() for t in ("a\\|b|c\\\\", "a|b\\|c\\\\", "\\0|\\\\0")]
     assert [r[0] for r in df.select(stable_id("x", "y")).collect()] == want
+
+
+def test_found_entities_are_stored_without_what_follows_from_them(spark, rows):
+    chunks = spark.createDataFrame([("d", 0, "Acme met Bob. acme@x.org wrote to Acme"), ("d", 0, "see Acme"), (None, 1, "Bob"), ("e", 2, None)], "document_id string, chunk_index int, text string")
+    names = spark.createDataFrame([("Acme", "Company", 1.5), ("Bob", "Person", 0.5)], "name string, entity_type string, confidence double")
+    found = X.found_entities(chunks, names)
+    assert not {"id", "attributes", "pos"} & set(found.columns)
+    columns = ["id", "document_id", "chunk_index", "entity_type", "name", "confidence", "evidence_chunk", "pos"]
+    got = rows(X.entity_rows(found), *columns)
+    assert got == rows(X.extract_entities(chunks, names), *columns) and len({r[0] for r in got}) == len(got) == 4
+    assert {r[4]: r[5] for r in got} == {"Acme": 1.0, "Bob": 0.5, "acme@x.org": 0.6}
+    assert all(r.attributes == {"_evidence": r.evidence_chunk} for r in X.entity_rows(found).collect())
+
+
+def test_last_entity_of_a_name_comes_with_the_fields_asked_for(spark, rows):
+    e = spark.createDataFrame([("a", "d", "Company", "Acme", 1), ("b", "d", "Person", "ACME", 2), ("c", "d", "Policy", "acme", 2), ("n", None, None, "acme", None)], "id string, document_id string, entity_type string, name string, pos int")
+    assert rows(X.name_map(e).select("document_id", "key", "entity.*")) == sorted([("d", "acme", "c", "acme", "Policy"), (None, "acme", "n", "acme", None)], key=repr)
+    assert X.name_map(e, ()).schema["entity"].dataType.names == ["id"]
+
+
+def test_types_of_ends_come_with_their_names(spark, rows):
+    from kgloom.operators.corpus import document_ontologies
+    e = spark.createDataFrame([("a", "d", "Company", "A"), ("a", "d", "Person", "A2"), ("b", "d", None, "B"), ("c", "d", "Policy", None)], "id string, document_id string, entity_type string, name string")
+    e = e.withColumn("attributes", F.create_map(F.lit("k"), F.lit("1")))
+    r = spark.createDataFrame([("1", "d", "a", "b", "USES"), ("2", "d", "a", "a", "OWNS"), ("3", "d", "c", "gone", "USES"), ("4", "d", None, "a", "USES"), ("5", None, "a", "c", "USES")],
+                              "id string, document_id string, source_entity_id string, target_entity_id string, relationship_type string").withColumn("confidence", F.lit(0.5))
+    plain, typed = X.relationship_rows(r, e), X.relationship_rows(r, e, types=True)
+    assert rows(typed.drop(*X.END_TYPES)) == rows(plain) and typed.count() == 11
+    a, b = (document_ontologies(e, x, "2024-01-01 00:00:00") for x in (plain, typed))
+    assert rows(a) == rows(b) and [x.relationships_count for x in b.collect()] == [6]
+    joins = [sum(line.lstrip(" :+-").startswith("Join") for line in x._jdf.queryExecution().optimizedPlan().toString().splitlines()) for x in (a, b)]
+    assert joins[0] == joins[1] + 2
